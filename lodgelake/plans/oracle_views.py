@@ -38,6 +38,14 @@ SELECT o_orderkey AS booking_id, o_custkey AS user_id,
   CAST(o_totalprice AS DECIMAL(10,2)) AS total_price,
   CASE o_orderstatus WHEN 'F' THEN 'confirmed' WHEN 'O' THEN 'pending' ELSE 'cancelled' END AS status,
   CAST(o_orderdate AS TIMESTAMP) + (o_orderkey * 7919 % 86400) * INTERVAL '1' SECOND AS booking_date FROM orders""",
+    "bookings_wide": """
+SELECT b.*, CAST(NULL AS VARCHAR) AS guest_name, CAST(NULL AS VARCHAR) AS guest_email,
+  CAST(NULL AS VARCHAR) AS guest_phone, CAST(NULL AS VARCHAR) AS special_requests,
+  CAST(NULL AS DECIMAL(10,2)) AS base_price, CAST(NULL AS DECIMAL(10,2)) AS peak_surcharge,
+  CAST(NULL AS DECIMAL(10,2)) AS room_type_surcharge, CAST(NULL AS DECIMAL(10,2)) AS guest_surcharge,
+  CAST(NULL AS DECIMAL(10,2)) AS subtotal, CAST(NULL AS DECIMAL(5,2)) AS advance_discount_percent,
+  CAST(NULL AS DECIMAL(10,2)) AS advance_discount_amount, CAST(NULL AS TIMESTAMP) AS cancellation_date
+FROM bookings b""",
     "booking_commands_raw": """
 SELECT event_id AS seq, CAST(ts AS TIMESTAMP) AS ts, event_id % ((SELECT count(*) FROM supplier) * 20) AS booking_id,
   CASE event_type WHEN 'purchase' THEN 'admin_confirm' WHEN 'error' THEN 'admin_cancel' ELSE 'user_cancel' END AS command
