@@ -94,6 +94,8 @@ def with_views(body: str) -> str:
     """
     ctes = ",\n".join(f"{name} AS ({sql.strip()})" for name, sql in VIEW_SQL.items())
     body = body.strip().replace("AS_OF", AS_OF_SQL)
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body[:5].upper() == "WITH ":
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"
