@@ -81,7 +81,7 @@ def append_users(checked: DataFrame, users: DataFrame, as_of, status: int = 1) -
         ts_lit(as_of).alias("created_at"), F.lit(None).cast("timestamp_ntz").alias("last_login"),
         "role", F.lit(status).alias("status"),
     )
-    return assign_ids(rows, ["request_id"], "id", users, "id").select(*PROFILE_COLUMNS, "request_id")
+    return assign_ids(rows, "request_id", "id", users, "id").select(*PROFILE_COLUMNS, "request_id")
 
 
 # ------------------------------------------------------------------ U10

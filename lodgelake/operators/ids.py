@@ -1,10 +1,12 @@
 """Dense id assignment without a single-partition window.
 
 ``max(id) + row_number() over (order by k)`` would pull every new row into
-one task.  Instead: range-partition the new rows by the order key, number
-rows inside each partition, and add the prefix sum of the earlier
-partitions' counts.  The per-partition count table has one row per
-partition (bounded by the partition count, so it is broadcast safely).
+one task.  Instead the numeric order key is cut into ``n`` equal-width value
+buckets (bounds from min/max scalar subqueries, so every re-evaluation of
+any branch sees the same buckets -- no sampling, no dependence on shuffle
+arrival order).  Rows are numbered inside their bucket, and each bucket adds
+the count of all lower buckets.  The count table has one row per bucket,
+bounded by ``n``, so it is broadcast.
 """
 
 from __future__ import annotations
@@ -13,32 +15,29 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def assign_ids(new_rows: DataFrame, order_cols: list[str], id_col: str, existing: DataFrame | None = None,
-               existing_id_col: str | None = None, num_partitions: int | None = None) -> DataFrame:
-    """Give ``new_rows`` ids max(existing id) + 1, + 2, ... in ``order_cols`` order."""
-    n = num_partitions or max(1, new_rows.sparkSession.sparkContext.defaultParallelism)
-    # range partitions in key order, rows sorted inside each; monotonically_increasing_id then
-    # carries (partition index << 33) + position, so no second shuffle is needed to number rows
-    ranged = (
-        new_rows.repartitionByRange(n, *order_cols)
-        .sortWithinPartitions(*order_cols)
-        .withColumn("_mid", F.monotonically_increasing_id())
-        .withColumn("_pid", F.shiftright("_mid", 33))
-        .withColumn("_rn", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)) + 1)
-    )
-    counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+def assign_ids(new_rows: DataFrame, order_col: str | list[str], id_col: str, existing: DataFrame | None = None,
+               existing_id_col: str | None = None, num_buckets: int | None = None) -> DataFrame:
+    """Give ``new_rows`` ids max(existing id) + 1, + 2, ... in order of the unique numeric ``order_col``."""
+    key = order_col[0] if isinstance(order_col, list) else order_col
+    n = num_buckets or max(1, new_rows.sparkSession.sparkContext.defaultParallelism)
+    lo = new_rows.select(F.min(key)).scalar()
+    hi = new_rows.select(F.max(key)).scalar()
+    width = (hi - lo + 1).cast("double")
+    bucket = F.least(F.lit(n - 1), F.floor((F.col(key) - lo).cast("double") * n / width).cast("int"))
+    b = new_rows.withColumn("_bucket", bucket)
+    local = b.withColumn("_rn", F.row_number().over(Window.partitionBy("_bucket").orderBy(key)))
+    counts = b.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select(
-        "_pid",
-        (F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))).alias("_off"),
-    )  # one row per partition
-    local = ranged
-    base = F.lit(0).cast("long")
+        "_bucket",
+        F.coalesce(F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)),
+                   F.lit(0)).alias("_off"),
+    )  # at most n rows
     if existing is not None:
-        base = F.coalesce(existing.select(F.max(existing_id_col or id_col)).scalar(), F.lit(-1)).cast("long") + 1
+        base = F.coalesce(existing.select(F.max(existing_id_col or id_col)).scalar(), F.lit(0)).cast("long") + 1
     else:
         base = F.lit(1).cast("long")
     return (
-        local.join(F.broadcast(offsets), "_pid")
-        .withColumn(id_col, base + F.coalesce(F.col("_off"), F.lit(0)) + F.col("_rn") - 1)
-        .drop("_mid", "_pid", "_rn", "_off")
+        local.join(F.broadcast(offsets), "_bucket")
+        .withColumn(id_col, base + F.col("_off") + F.col("_rn") - 1)
+        .drop("_bucket", "_rn", "_off")
     )

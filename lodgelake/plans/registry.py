@@ -40,6 +40,7 @@ def query(name: str, oracle: str | None = None):
 def _load_all() -> None:
     # importing the plan modules fills QUERIES / ORACLE
     from lodgelake.plans import (  # noqa: F401
+        q_accounts,
         q_bookings,
         q_catalog,
         q_changes,
