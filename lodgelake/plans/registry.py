@@ -46,6 +46,7 @@ def _load_all() -> None:
         q_changes,
         q_pricing,
         q_reports,
+        q_streaming,
     )
 
 
