@@ -4,7 +4,8 @@ Folds are closed forms, not sequential replays:
   * last-write-wins columns are ``max_by(value, struct(ts, seq))`` aggregates
     (partial aggregation map-side, so a hot key never reaches one task whole);
   * the booking fold needs "first owner cancel after the latest admin command",
-    expressed with running counts inside one window specification;
+    expressed with running counts in a two-level (slice, then carry) scan, so no
+    window ever holds one whole booking;
   * toggles are parity counts after the last reset.
 Upserts are keyed outer joins; deletes are anti/semi joins.  Nothing mutates
 in place: each operator returns the new state as a DataFrame.
@@ -87,31 +88,74 @@ def delete_rooms(rooms: DataFrame, bookings: DataFrame, ids: DataFrame) -> DataF
 
 
 # ------------------------------------------------------------------ B9
-def _booking_command_steps(bookings: DataFrame, cmds: DataFrame) -> DataFrame:
-    """Every command against an existing booking, with what it did."""
+SLICE_SECONDS = 3600
+
+
+def _epoch_seconds(ts: str) -> F.Column:
+    """Seconds since 1970-01-01 of a TIMESTAMP_NTZ, with no time-zone conversion (monotone in ts)."""
+    t = F.col(ts)
+    return (F.datediff(F.to_date(t), F.lit("1970-01-01")).cast("long") * 86400
+            + F.hour(t) * 3600 + F.minute(t) * 60 + F.second(t))
+
+
+def _booking_command_steps(bookings: DataFrame, cmds: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+    """Every command against an existing booking, with what it did.
+
+    The fold needs, per command, the latest admin command before it and the number of owner cancels
+    since then.  A window over a whole booking would put a booking holding a third of all commands
+    into one task, so the scan is two-level:
+      1. running values inside each (booking, time slice), a window partitioned by both keys;
+      2. one summary row per (booking, slice), aggregated;
+      3. carries into each slice from the earlier slices, a window over the summaries only
+         (rows per booking = slices it spans, bounded by its time span, not by data volume);
+      4. local values + carries, joined back on (booking, slice).
+    """
     owners = bookings.select("booking_id", F.col("user_id").alias("_owner"), F.col("status").alias("_s0"))
     c = cmds.join(owners, "booking_id")
     is_admin = F.col("command").isin("admin_confirm", "admin_cancel")
     is_owner_cancel = (F.col("command") == "user_cancel") & (F.col("actor_id") == F.col("_owner"))
-    c = c.withColumn("_admin", is_admin).withColumn("_cancel", is_owner_cancel)
-    # one ordering per booking; every window below shares it, so the data is sorted once
-    w = Window.partitionBy("booking_id").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
     admin_status = F.when(F.col("command") == "admin_confirm", "confirmed").when(
         F.col("command") == "admin_cancel", "cancelled")
-    c = c.select(
+    c = c.select("*", is_admin.alias("_admin"), is_owner_cancel.alias("_cancel"), admin_status.alias("_astat"),
+                 F.floor(_epoch_seconds("ts") / slice_seconds).alias("_slice"))
+
+    # 1. running values inside (booking, slice)
+    w = Window.partitionBy("booking_id", "_slice").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    c = c.select("*", F.last("_astat", ignorenulls=True).over(w).alias("_l_admin"),
+                 F.sum(F.col("_cancel").cast("long")).over(w).alias("_l_cum"))
+    c = c.withColumn("_l_before", F.last(F.when(F.col("_admin"), F.col("_l_cum")), ignorenulls=True).over(w))
+
+    # 2. one summary per (booking, slice)
+    pos = _pos()
+    summary = c.groupBy("booking_id", "_slice").agg(
+        F.max_by("_astat", F.when(F.col("_admin"), pos)).alias("_s_admin"),
+        F.max_by("_l_cum", F.when(F.col("_admin"), pos)).alias("_s_before"),
+        F.count_if("_cancel").alias("_s_cancels"),
+    )
+
+    # 3. carries from earlier slices of the same booking
+    ws = Window.partitionBy("booking_id").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    summary = summary.select(
         "*",
-        F.last(admin_status, ignorenulls=True).over(w).alias("_last_admin"),
-        F.sum(F.col("_cancel").cast("int")).over(w).alias("_cum_cancel"),
+        F.last("_s_admin", ignorenulls=True).over(ws).alias("_c_admin"),
+        F.coalesce(F.sum("_s_cancels").over(ws), F.lit(0)).alias("_c_cum"),
     )
-    c = c.withColumn(
-        "_cancels_before_segment",
-        F.coalesce(F.last(F.when(F.col("_admin"), F.col("_cum_cancel")), ignorenulls=True).over(w), F.lit(0)),
+    carries = summary.select(
+        "booking_id", "_slice", "_c_admin", "_c_cum",
+        F.coalesce(F.last(F.when(F.col("_s_admin").isNotNull(), F.col("_c_cum") + F.col("_s_before")),
+                          ignorenulls=True).over(ws), F.lit(0)).alias("_c_before"),
     )
-    base = F.coalesce(F.col("_last_admin"), F.col("_s0"))  # status at the start of this row's segment
-    first_in_segment = (F.col("_cum_cancel") - F.col("_cancels_before_segment")) == 1
+
+    # 4. global running values = carry + local
+    c = c.join(carries, ["booking_id", "_slice"])
+    last_admin = F.coalesce(F.col("_l_admin"), F.col("_c_admin"))
+    cum = F.col("_c_cum") + F.col("_l_cum")
+    before = F.when(F.col("_l_before").isNotNull(), F.col("_c_cum") + F.col("_l_before")).otherwise(F.col("_c_before"))
+    base = F.coalesce(last_admin, F.col("_s0"))  # status at the start of this row's segment
+    first_in_segment = (cum - before) == 1
     effective = F.col("_cancel") & first_in_segment & (base == "confirmed")
     after = (
-        F.when(F.col("_admin"), admin_status)
+        F.when(F.col("_admin"), F.col("_astat"))
         .when(F.col("_cancel") & (base == "confirmed"), F.lit("cancelled"))
         .otherwise(base)
     )
@@ -131,19 +175,19 @@ def _booking_command_steps(bookings: DataFrame, cmds: DataFrame) -> DataFrame:
     )
 
 
-def booking_command_outcomes(bookings: DataFrame, cmds: DataFrame) -> DataFrame:
+def booking_command_outcomes(bookings: DataFrame, cmds: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
     """Per command: applied or refused with a reason (commands on unknown bookings: 'booking not found')."""
-    steps = _booking_command_steps(bookings, cmds).drop("_effective_cancel")
+    steps = _booking_command_steps(bookings, cmds, slice_seconds).drop("_effective_cancel")
     lost = cmds.join(bookings.select("booking_id"), "booking_id", "left_anti").select(
         "seq", "ts", "booking_id", "actor_id", "command", F.lit(False).alias("applied"),
         F.lit("booking not found").alias("reason"), F.lit(None).cast("string").alias("status_after"))
     return steps.unionByName(lost)
 
 
-def apply_booking_commands(bookings: DataFrame, cmds: DataFrame) -> DataFrame:
+def apply_booking_commands(bookings: DataFrame, cmds: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
     """Bookings after the command log: admin confirm/cancel are unconditional; an owner's cancel
     applies only to a confirmed booking and stamps cancellation_date."""
-    steps = _booking_command_steps(bookings, cmds)
+    steps = _booking_command_steps(bookings, cmds, slice_seconds)
     final = steps.groupBy("booking_id").agg(
         F.max_by("status_after", _pos()).alias("_new_status"),
         F.max(F.when(F.col("_effective_cancel"), F.col("ts"))).alias("_new_cancel_date"),

@@ -102,23 +102,24 @@ def hotel_performance(hotels: DataFrame, bookings: DataFrame, n: int | None = ru
         .groupBy("hotel_id")
         .agg(F.count("booking_id").alias("n"), F.sum("total_price").alias("rev"))
     )
-    total = per_hotel.select(F.sum("n")).scalar()  # reuses the same exchange
+    # the total is a scalar subquery held in one column, so it is planned and run once
+    total = F.coalesce(per_hotel.select(F.sum("n")).scalar(), F.lit(0))
     revenue = F.coalesce(F.col("rev"), F.lit(0)).cast("decimal(18,2)")
     n_b = F.coalesce(F.col("n"), F.lit(0))
-    out = (
+    joined = (
         hotels.select("hotel_id", "title", "city")
         .join(per_hotel, "hotel_id", "left")
-        .select(
-            "hotel_id",
-            F.col("title").alias("name"),
-            "city",
-            n_b.alias("bookings"),
-            revenue.alias("revenue"),
-            pct_half_up(n_b, F.coalesce(total, F.lit(0))).alias("occupancy"),
-            F.when(revenue > rules.PROFIT_REVENUE_THRESHOLD, 1).otherwise(-1).alias("profit"),
-        )
-        .orderBy(F.col("revenue").desc(), F.col("hotel_id").asc())
+        .select("hotel_id", "title", "city", n_b.alias("bookings"), revenue.alias("revenue"), total.alias("_total"))
     )
+    out = joined.select(
+        "hotel_id",
+        F.col("title").alias("name"),
+        "city",
+        "bookings",
+        "revenue",
+        pct_half_up(F.col("bookings"), F.col("_total")).alias("occupancy"),
+        F.when(F.col("revenue") > rules.PROFIT_REVENUE_THRESHOLD, 1).otherwise(-1).alias("profit"),
+    ).orderBy(F.col("revenue").desc(), F.col("hotel_id").asc())
     return out.limit(n) if n else out
 
 
@@ -173,8 +174,9 @@ def report_totals(monthly: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------- K7
 def trend_scale(trends: DataFrame) -> DataFrame:
     """bookings / max(bookings) for chart bars; the max is a scalar subquery."""
-    top = trends.select(F.max("bookings")).scalar()
-    return trends.select("*", ratio(F.col("bookings"), F.coalesce(top, F.lit(0))).alias("scale"))
+    top = F.coalesce(trends.select(F.max("bookings")).scalar(), F.lit(0))
+    cols = trends.columns
+    return trends.select("*", top.alias("_top")).select(*cols, ratio(F.col("bookings"), F.col("_top")).alias("scale"))
 
 
 # --------------------------------------------------------------------- K8
