@@ -154,9 +154,11 @@ def _booking_command_steps(bookings: DataFrame, cmds: DataFrame, slice_seconds:
     base = F.coalesce(last_admin, F.col("_s0"))  # status at the start of this row's segment
     first_in_segment = (cum - before) == 1
     effective = F.col("_cancel") & first_in_segment & (base == "confirmed")
+    # a segment that started confirmed is cancelled from its first owner cancel on; refused commands
+    # (a non-owner's cancel included) leave the status as it is at their position
     after = (
         F.when(F.col("_admin"), F.col("_astat"))
-        .when(F.col("_cancel") & (base == "confirmed"), F.lit("cancelled"))
+        .when((base == "confirmed") & ((cum - before) >= 1), F.lit("cancelled"))
         .otherwise(base)
     )
     reason = (

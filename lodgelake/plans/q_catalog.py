@@ -149,3 +149,12 @@ SELECT room_id, 100 AS multiplier_percent,
 FROM rooms""")
 def room_labels(v):
     return I.room_labels(v.rooms)
+
+
+@query("room_availability_one_hotel", """
+SELECT hotel_id, room_type, count(*) AS available_count FROM rooms WHERE status = 'available'
+  AND hotel_id = (SELECT min(hotel_id) FROM hotels WHERE city = 'Oxford') GROUP BY 1, 2""")
+def room_availability_one_hotel(v):
+    # the source's per-hotel form; the hotel is chosen from the data (first hotel in Oxford)
+    first = v.hotels.filter(F.col("city") == "Oxford").select(F.min("hotel_id")).scalar()
+    return I.room_availability(v.rooms.filter(F.col("hotel_id") == first))

@@ -198,3 +198,31 @@ SELECT *, coalesce(username, 'Guest') AS guest_name,
 FROM new_users""")
 def guest_contact(v):
     return P.guest_contact(v.new_users)
+
+
+MONEY_COLS = ["standard_price", "peak_surcharge", "room_type_surcharge", "guest_surcharge", "price_per_night",
+              "subtotal", "advance_discount"]
+
+
+@query("quote_money_text", f"""
+WITH {QUOTES_CTES}
+SELECT request_id, {", ".join(f"printf('£%.2f', CAST({c} AS DOUBLE)) AS {c}_fmt" for c in MONEY_COLS)} FROM quotes""")
+def quote_money_text(v):
+    q = _quotes(v)
+    return P.money_columns(q.select("request_id", *MONEY_COLS), MONEY_COLS).select(
+        "request_id", *[f"{c}_fmt" for c in MONEY_COLS])
+
+
+@query("surcharges", f"""
+WITH {QUOTES_CTES}
+SELECT request_id, standard_price, peak_surcharge, room_type_surcharge, room_type_multiplier, guest_surcharge,
+  base_price, price_per_night, subtotal FROM quotes""")
+def surcharges(v):
+    req = P.stay_requests(v.bookings)
+    h = P.city_rate(v.hotels.select("hotel_id", "city"), v.city_rates)
+    df = P.season(req.join(h, "hotel_id"))
+    df = df.withColumn("standard_price",
+                       F.when(F.col("is_peak_season"), F.col("peak_rate")).otherwise(F.col("offpeak_rate")))
+    return P.surcharges(df).select("request_id", "standard_price", "peak_surcharge", "room_type_surcharge",
+                                   "room_type_multiplier", "guest_surcharge", "base_price", "price_per_night",
+                                   "subtotal")

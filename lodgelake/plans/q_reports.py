@@ -175,3 +175,9 @@ FROM users u LEFT JOIN (
   FROM bookings GROUP BY user_id) s ON u.id = s.user_id""")
 def user_dashboard_stats(v):
     return R.user_dashboard_stats(v.users, v.bookings, AS_OF)
+
+
+@query("monthly_sales_compat_last_year", MONTHLY_6M + " ORDER BY month DESC")
+def monthly_sales_compat_last_year(v):
+    # the source served every menu period other than this month / custom as the last six months
+    return R.monthly_sales(v.bookings, "last_year", AS_OF, compat=True)

@@ -2,7 +2,7 @@
 
 import datetime as dt
 
-from hypothesis import HealthCheck, given, settings
+from hypothesis import HealthCheck, example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -38,6 +38,8 @@ booking_logs = st.tuples(
 
 @settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(booking_logs, st.sampled_from([60, 300, 3600]))
+# a refused non-owner cancel after an effective owner cancel must leave the booking cancelled
+@example((["confirmed"] * 3, [(0, 0, "user_cancel", True), (0, 0, "user_cancel", False)]), 60)
 def test_booking_fold_equals_replay(spark, log, slice_seconds):
     statuses, raw = log
     bookings = [(i, 100 + i, s) for i, s in enumerate(statuses)]
