@@ -37,16 +37,47 @@ def col_(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# English month abbreviations used in every date text.
+MONTH_ABBR = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
+
+# Date texts are assembled from calendar fields, which are time-zone free on DATE and
+# TIMESTAMP_NTZ (date_format would cast to the session zone first, and DST gaps would shift
+# wall-clock times) and locale free (month names are fixed).
+
+
+def _pad(c: Column, n: int) -> Column:
+    return F.lpad(c.cast("string"), n, "0")
+
+
+def month_name(c) -> Column:
+    """'MMM': Jan .. Dec."""
+    return F.element_at(F.array(*[F.lit(m) for m in MONTH_ABBR]), F.month(col_(c)))
+
+
 def day_fmt(c) -> Column:
-    return F.date_format(col_(c), DAY_FMT)
+    """'dd MMM yyyy', e.g. '05 Jan 2026'."""
+    c = col_(c)
+    return F.concat(_pad(F.dayofmonth(c), 2), F.lit(" "), month_name(c), F.lit(" "), _pad(F.year(c), 4))
 
 
 def day_time_fmt(c) -> Column:
-    return F.date_format(col_(c), DAY_TIME_FMT)
+    """"dd MMM yyyy 'at' hh:mm a", e.g. '05 Jan 2026 at 05:09 PM'."""
+    c = col_(c)
+    h = F.hour(c)
+    return F.concat(day_fmt(c), F.lit(" at "), _pad((h + 11) % 12 + 1, 2), F.lit(":"), _pad(F.minute(c), 2),
+                    F.when(h < 12, F.lit(" AM")).otherwise(F.lit(" PM")))
 
 
 def month_key(c) -> Column:
-    return F.date_format(col_(c), MONTH_FMT)
+    """'yyyy-MM'."""
+    c = col_(c)
+    return F.concat(_pad(F.year(c), 4), F.lit("-"), _pad(F.month(c), 2))
+
+
+def iso_day(c) -> Column:
+    """'yyyy-MM-dd'."""
+    c = col_(c)
+    return F.concat(month_key(c), F.lit("-"), _pad(F.dayofmonth(c), 2))
 
 
 def is_peak(check_in) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodgelake.functions import rules
-from lodgelake.functions.columns import ISO_DAY_FMT, MONTH_FMT, MONTH_NAME_FMT, date_lit, ts_lit
+from lodgelake.functions.columns import iso_day, month_key, month_name, ts_lit
 
 def _confirmed() -> F.Column:
     return F.col("status") == "confirmed"
@@ -82,7 +82,7 @@ def monthly_sales(
     out = (
         bookings.select("booking_date", "total_price")
         .filter(in_range)
-        .groupBy(F.date_format(bd, MONTH_FMT).alias("month"))
+        .groupBy(month_key(bd).alias("month"))
         .agg(
             F.count(F.lit(1)).alias("bookings"),
             money_sum("total_price").alias("revenue"),
@@ -139,7 +139,7 @@ def top_customers(users: DataFrame, bookings: DataFrame, n: int | None = rules.R
             "email",
             F.coalesce(F.col("n"), F.lit(0)).alias("total_bookings"),
             F.coalesce(F.col("spent"), F.lit(0)).cast("decimal(18,2)").alias("total_spent"),
-            F.date_format("created_at", ISO_DAY_FMT).alias("member_since"),
+            iso_day("created_at").alias("member_since"),
         )
         .orderBy(F.col("total_spent").desc(), F.col("id").asc())
     )
@@ -154,7 +154,7 @@ def booking_trends(bookings: DataFrame, as_of) -> DataFrame:
     return (
         bookings.select("booking_date")
         .filter((bd >= now - F.expr("INTERVAL 6 MONTHS")) & (bd <= now))
-        .groupBy(F.date_format(bd, MONTH_FMT).alias("month_key"), F.date_format(bd, MONTH_NAME_FMT).alias("month"))
+        .groupBy(month_key(bd).alias("month_key"), month_name(bd).alias("month"))
         .agg(F.count(F.lit(1)).alias("bookings"))
         .orderBy("month_key")
     )

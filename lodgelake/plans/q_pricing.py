@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from lodgelake.functions.columns import day_fmt
 from lodgelake.operators import pricing as P
 from lodgelake.plans.registry import AS_OF, query
 
@@ -95,7 +96,7 @@ SELECT *, CAST(coalesce(datediff('day', CAST(try_strptime(check_in, '%Y-%m-%d')
   CAST(try_strptime(check_out, '%Y-%m-%d') AS DATE)), 0) AS INTEGER) AS num_nights FROM t""")
 def stay_nights_lenient(v):
     b = v.bookings
-    text_in = F.when(F.col("room_id").isNull(), F.date_format("check_in", "dd MMM yyyy")) \
+    text_in = F.when(F.col("room_id").isNull(), day_fmt("check_in")) \
         .otherwise(F.col("check_in").cast("string"))
     t = b.select("booking_id", text_in.alias("check_in"), F.col("check_out").cast("string").alias("check_out"))
     return P.nights(t, strict=False)

@@ -96,14 +96,25 @@ def current_state(spark: SparkSession, state_root: str, schema) -> DataFrame:
 
 # ------------------------------------------------------------------ ST3
 def live_booking_counts(bookings: DataFrame, late: str = "1 day") -> DataFrame:
-    """Bookings and revenue per day and status; with a stream, rows later than ``late`` are dropped
-    and each day is emitted once (append mode).  On a static frame the watermark is a no-op."""
+    """Bookings and revenue per day and status.
+
+    On a stream: a tumbling one-day window on the watermarked event time; rows later than ``late``
+    are dropped and each day is emitted once (append mode).  On a static frame: the same result
+    grouped by the calendar day of the TIMESTAMP_NTZ, independent of the session time zone.
+    """
+    agg = [F.count(F.lit(1)).alias("bookings"), F.sum("total_price").cast("decimal(18,2)").alias("revenue")]
+    if bookings.isStreaming:
+        return (
+            with_event_time(bookings, "booking_date").withWatermark(EVENT_TIME, late)
+            .groupBy(F.window(EVENT_TIME, "1 day").alias("day"), "status").agg(*agg)
+            .select(F.col("day.start").cast("timestamp_ntz").alias("day_start"),
+                    F.col("day.end").cast("timestamp_ntz").alias("day_end"), "status", "bookings", "revenue")
+        )
+    day = F.to_date("booking_date").cast("timestamp_ntz")
     return (
-        with_event_time(bookings, "booking_date").withWatermark(EVENT_TIME, late)
-        .groupBy(F.window(EVENT_TIME, "1 day").alias("day"), "status")
-        .agg(F.count(F.lit(1)).alias("bookings"), F.sum("total_price").cast("decimal(18,2)").alias("revenue"))
-        .select(F.col("day.start").cast("timestamp_ntz").alias("day_start"),
-                F.col("day.end").cast("timestamp_ntz").alias("day_end"), "status", "bookings", "revenue")
+        bookings.groupBy(day.alias("day_start"), "status").agg(*agg)
+        .select("day_start", (F.col("day_start") + F.expr("INTERVAL 1 DAY")).alias("day_end"), "status",
+                "bookings", "revenue")
     )
 
 

@@ -64,3 +64,22 @@ def test_custom_range_ends_at_midnight(spark):
         "booking_id long, booking_date timestamp_ntz").withColumn("total_price", F.lit(10).cast("decimal(10,2)"))
     m = R.monthly_sales(b, "custom", "2026-02-10 00:00:00", "2026-01-01", "2026-01-31").first()
     assert m.bookings == 2
+
+
+def test_date_texts_ignore_session_time_zone(spark):
+    from lodgelake.functions.columns import day_fmt, day_time_fmt, iso_day, month_key, month_name
+
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        # 02:30 on 7 Apr 1996 does not exist in New York (clocks jumped to 03:00)
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        df = spark.sql("SELECT TIMESTAMP_NTZ '1996-04-07 02:30:00' AS t, DATE '2026-01-05' AS d, "
+                       "TIMESTAMP_NTZ '2026-01-05 17:09:00' AS p, TIMESTAMP_NTZ '2026-01-05 00:05:00' AS m")
+        r = df.select(day_time_fmt("t").alias("a"), day_fmt("d").alias("b"), day_time_fmt("p").alias("c"),
+                      day_time_fmt("m").alias("e"), month_key("t").alias("k"), month_name("d").alias("n"),
+                      iso_day("t").alias("i")).first()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert (r.a, r.b, r.c, r.e) == ("07 Apr 1996 at 02:30 AM", "05 Jan 2026", "05 Jan 2026 at 05:09 PM",
+                                    "05 Jan 2026 at 12:05 AM")
+    assert (r.k, r.n, r.i) == ("1996-04", "Jan", "1996-04-07")
