@@ -88,6 +88,15 @@ REPORT_TOP_N = 10
 RECENT_BOOKINGS_N = 5
 MEDALS = ("gold", "silver", "bronze")
 
+# booking-request validation messages (quote path, then create path)
+MSG_QUOTE_MISSING = "Missing booking information. Please select dates and room type."
+MSG_CREATE_MISSING = "Missing required booking information."
+MSG_ROOM_TYPE_INVALID = "Invalid room type selected."
+MSG_HOTEL_NOT_FOUND = "Hotel not found."
+MSG_NIGHTS_INVALID = "Check-out date must be after check-in date."
+MSG_ROOM_DELETE_REFUSED = "Cannot delete room with {n} bookings! Please cancel bookings first."
+MSG_USER_DELETE_REFUSED = "Cannot delete user with {n} bookings!"
+
 # account validation messages, in the order they are reported
 MSG_USERNAME_REQUIRED = "Username is required"
 MSG_USERNAME_LENGTH = "Username must be 3-20 characters"

@@ -75,9 +75,11 @@ def room_delete_outcomes(rooms: DataFrame, bookings: DataFrame, ids: DataFrame)
     known = rooms.select("room_id", F.lit(True).alias("_known"))
     df = req.join(known, "room_id", "left").join(refs, "room_id", "left")
     n = F.coalesce(F.col("bookings"), F.lit(0))
+    head, tail = rules.MSG_ROOM_DELETE_REFUSED.split("{n}")
     return df.select(
         "room_id", n.alias("bookings"),
         F.when(F.col("_known").isNull(), "not_found").when(n > 0, "refused").otherwise("deleted").alias("outcome"),
+        F.when(n > 0, F.concat(F.lit(head), n.cast("string"), F.lit(tail))).alias("message"),
     )
 
 
@@ -320,8 +322,8 @@ def user_delete_outcomes(users: DataFrame, bookings: DataFrame, ids: DataFrame)
     return df.select(
         F.col("user_id").alias("id"), n.alias("bookings"),
         F.when(F.col("_known").isNull(), "not_found").when(n > 0, "refused").otherwise("deleted").alias("outcome"),
-        F.when(n > 0, F.concat(F.lit("Cannot delete user with "), n.cast("string"), F.lit(" bookings!")))
-        .alias("message"),
+        F.when(n > 0, F.concat(F.lit(rules.MSG_USER_DELETE_REFUSED.split("{n}")[0]), n.cast("string"),
+                               F.lit(rules.MSG_USER_DELETE_REFUSED.split("{n}")[1]))).alias("message"),
     )
 
 

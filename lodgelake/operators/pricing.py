@@ -132,16 +132,29 @@ def money_columns(df: DataFrame, cols: list[str]) -> DataFrame:
 
 # ------------------------------------------------------------------ P9
 def validate_requests(requests: DataFrame, hotels: DataFrame, check_type: bool = True) -> DataFrame:
-    """Every request with ``reason`` (NULL when valid); split with ``valid`` / ``rejected`` below."""
+    """Every request with ``reason`` (NULL when valid); split with ``valid`` / ``rejected`` below.
+
+    ``check_type=True`` is the quote path (room-type whitelist; hotel checked before the dates);
+    ``check_type=False`` is the create path (no whitelist; dates checked before the hotel).
+    """
     known = hotels.select("hotel_id", F.lit(True).alias("_hotel_known"))
     df = requests.join(known, "hotel_id", "left")
     missing = F.col("room_type").isNull() | F.col("check_in").isNull() | F.col("check_out").isNull()
-    reason = F.when(missing, F.lit("missing booking information"))
+    no_hotel = F.col("_hotel_known").isNull()
+    bad_nights = F.datediff(F.col("check_out"), F.col("check_in")) <= 0
     if check_type:
-        reason = reason.when(~F.col("room_type").isin(*rules.VALID_QUOTE_ROOM_TYPES), F.lit("invalid room type"))
-    reason = reason.when(F.col("_hotel_known").isNull(), F.lit("hotel not found"))
-    reason = reason.when(F.datediff(F.col("check_out"), F.col("check_in")) <= 0,
-                         F.lit("check-out must be after check-in"))
+        reason = (
+            F.when(missing, F.lit(rules.MSG_QUOTE_MISSING))
+            .when(~F.col("room_type").isin(*rules.VALID_QUOTE_ROOM_TYPES), F.lit(rules.MSG_ROOM_TYPE_INVALID))
+            .when(no_hotel, F.lit(rules.MSG_HOTEL_NOT_FOUND))
+            .when(bad_nights, F.lit(rules.MSG_NIGHTS_INVALID))
+        )
+    else:
+        reason = (
+            F.when(missing, F.lit(rules.MSG_CREATE_MISSING))
+            .when(bad_nights, F.lit(rules.MSG_NIGHTS_INVALID))
+            .when(no_hotel, F.lit(rules.MSG_HOTEL_NOT_FOUND))
+        )
     return df.select(*requests.columns, reason.alias("reason"))
 
 

@@ -55,7 +55,9 @@ ROOM_DELETE = """
 WITH req AS (SELECT DISTINCT room_id FROM rooms WHERE status = 'maintenance'),
 refs AS (SELECT room_id, count(*) AS n FROM bookings WHERE room_id IS NOT NULL GROUP BY room_id)
 SELECT req.room_id, coalesce(refs.n, 0) AS bookings,
-  CASE WHEN r.room_id IS NULL THEN 'not_found' WHEN coalesce(refs.n, 0) > 0 THEN 'refused' ELSE 'deleted' END AS outcome
+  CASE WHEN r.room_id IS NULL THEN 'not_found' WHEN coalesce(refs.n, 0) > 0 THEN 'refused' ELSE 'deleted' END AS outcome,
+  CASE WHEN coalesce(refs.n, 0) > 0 THEN concat('Cannot delete room with ', CAST(refs.n AS VARCHAR),
+    ' bookings! Please cancel bookings first.') END AS message
 FROM req LEFT JOIN rooms r ON req.room_id = r.room_id LEFT JOIN refs ON req.room_id = refs.room_id"""
 
 

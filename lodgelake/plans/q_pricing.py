@@ -117,10 +117,11 @@ def _validation_requests(v):
 
 VALIDATE = f"""
 WITH q AS ({VALIDATION_REQUESTS})
-SELECT q.*, CASE WHEN room_type IS NULL OR check_in IS NULL OR check_out IS NULL THEN 'missing booking information'
-  WHEN room_type NOT IN ('single', 'double', 'family') THEN 'invalid room type'
-  WHEN h.hotel_id IS NULL THEN 'hotel not found'
-  WHEN datediff('day', check_in, check_out) <= 0 THEN 'check-out must be after check-in' END AS reason
+SELECT q.*, CASE WHEN room_type IS NULL OR check_in IS NULL OR check_out IS NULL
+    THEN 'Missing booking information. Please select dates and room type.'
+  WHEN room_type NOT IN ('single', 'double', 'family') THEN 'Invalid room type selected.'
+  WHEN h.hotel_id IS NULL THEN 'Hotel not found.'
+  WHEN datediff('day', check_in, check_out) <= 0 THEN 'Check-out date must be after check-in date.' END AS reason
 FROM q LEFT JOIN hotels h ON q.hotel_id = h.hotel_id"""
 
 
@@ -129,6 +130,17 @@ def validate_requests(v):
     return P.validate_requests(_validation_requests(v), v.hotels)
 
 
+@query("validate_create_requests", f"""
+WITH q AS ({VALIDATION_REQUESTS})
+SELECT q.*, CASE WHEN room_type IS NULL OR check_in IS NULL OR check_out IS NULL
+    THEN 'Missing required booking information.'
+  WHEN datediff('day', check_in, check_out) <= 0 THEN 'Check-out date must be after check-in date.'
+  WHEN h.hotel_id IS NULL THEN 'Hotel not found.' END AS reason
+FROM q LEFT JOIN hotels h ON q.hotel_id = h.hotel_id""")
+def validate_create_requests(v):
+    return P.validate_requests(_validation_requests(v), v.hotels, check_type=False)
+
+
 @query("rejected_requests", f"SELECT * FROM ({VALIDATE}) WHERE reason IS NOT NULL")
 def rejected_requests(v):
     return P.rejected(P.validate_requests(_validation_requests(v), v.hotels))
