@@ -79,9 +79,11 @@ def monthly_sales(
     lo, hi, inclusive = sales_window(period, as_of, date_from, date_to, compat)
     bd = F.col("booking_date")
     in_range = (bd >= lo) & ((bd <= hi) if inclusive else (bd < hi))
+    if "booking_month" in bookings.columns:  # stored layout: prune month directories as well
+        in_range = in_range & (F.col("booking_month") >= month_key(lo)) & (F.col("booking_month") <= month_key(hi))
     out = (
-        bookings.select("booking_date", "total_price")
-        .filter(in_range)
+        bookings.filter(in_range)
+        .select("booking_date", "total_price")
         .groupBy(month_key(bd).alias("month"))
         .agg(
             F.count(F.lit(1)).alias("bookings"),

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from lodgelake import schema as S
 from lodgelake.functions import rules
-from lodgelake.functions.columns import ts_lit
+from lodgelake.functions.columns import month_key, ts_lit
 from lodgelake.operators.ids import assign_ids
 
 
@@ -64,6 +64,25 @@ def write_append(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     df.write.mode("append").format(fmt).save(path)
 
 
+def write_bookings(bookings: DataFrame, root: str, mode: str = "append") -> None:
+    """Store bookings partitioned by booking month and clustered by hotel inside each file.
+
+    Period reports then read only the months they cover (partition pruning) and hotel lookups
+    skip row groups by min/max statistics.  Rows are shuffled by month first so each task
+    writes few files.
+    """
+    month = month_key("booking_date")
+    df = conform(bookings, "bookings").withColumn("booking_month", F.coalesce(month, F.lit("none")))
+    (df.repartition("booking_month").sortWithinPartitions("hotel_id", "booking_id")
+       .write.mode(mode).partitionBy("booking_month").parquet(f"{root.rstrip('/')}/bookings"))
+
+
+def load_bookings(spark, root: str) -> DataFrame:
+    """Stored bookings with their partition column; filters on booking_month prune directories."""
+    schema = S.struct_type("bookings").add("booking_month", T.StringType())
+    return spark.read.schema(schema).parquet(f"{root.rstrip('/')}/bookings")
+
+
 # ---------------------------------------------------------------- S4
 def to_json_rows(df: DataFrame, key: str | None = None) -> DataFrame:
     """Each row as one JSON text (the API reply form), optionally keyed."""

@@ -68,8 +68,11 @@ def _latest_version(spark: SparkSession, state_root: str, before: int) -> str |
 
 
 def command_stream(commands: DataFrame, initial_state: DataFrame, state_root: str, checkpoint: str,
-                   trigger: dict | None = None) -> StreamingQuery:
-    """Fold each micro-batch of booking commands onto the latest state snapshot.
+                   trigger: dict | None = None, fold=apply_booking_commands) -> StreamingQuery:
+    """Fold each micro-batch of commands onto the latest state snapshot.
+
+    ``fold(state, commands) -> state`` is ``apply_booking_commands`` (default),
+    ``apply_room_commands`` or ``apply_account_commands``: each composes batch by batch.
 
     Batch ``k`` reads snapshot ``< k`` and writes snapshot ``v{k}`` (overwrite of its own
     version only), so a replayed batch rewrites the same version: idempotent.  Commands
@@ -78,14 +81,14 @@ def command_stream(commands: DataFrame, initial_state: DataFrame, state_root: st
     spark = commands.sparkSession
     state_schema = initial_state.schema
 
-    def fold(batch: DataFrame, batch_id: int) -> None:
+    def apply_batch(batch: DataFrame, batch_id: int) -> None:
         prev = _latest_version(spark, state_root, batch_id)
         state = initial_state if prev is None else spark.read.schema(state_schema).parquet(prev)
-        new = apply_booking_commands(state, batch)
+        new = fold(state, batch)
         new.select(*state_schema.fieldNames()).write.mode("overwrite").parquet(
             f"{state_root.rstrip('/')}/v{batch_id:012d}")
 
-    w = commands.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)
+    w = commands.writeStream.foreachBatch(apply_batch).option("checkpointLocation", checkpoint)
     return w.trigger(**(trigger or {"availableNow": True})).start()
 
 

@@ -41,3 +41,15 @@ def test_ensure_columns_adds_typed_nulls(views):
 def test_json_rows(views):
     r = sinks.to_json_rows(views.hotels.limit(1), key="hotel_id").first()
     assert r.json.startswith('{"hotel_id":')
+
+
+def test_partitioned_bookings_prune_months(spark, views, scratch):
+    from lodgelake.operators.reports import monthly_sales
+
+    sinks.write_bookings(views.bookings, scratch)
+    stored = sinks.load_bookings(spark, scratch)
+    got = monthly_sales(stored, "last_6_months", "1998-06-15 10:30:00")
+    want = monthly_sales(views.bookings, "last_6_months", "1998-06-15 10:30:00")
+    assert sorted(got.collect()) == sorted(want.collect())
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(booking_month" in plan

@@ -93,3 +93,22 @@ def test_quote_stream_equals_batch(spark, views, scratch):
     want = price_quotes(req, views.hotels, views.city_rates, AS_OF)
     cols = ("request_id", "total_price", "discount_percent", "standard_price")
     assert rows(got, *cols) == rows(want, *cols)
+
+
+def test_room_and_account_streams_equal_batch(spark, views, scratch):
+    from lodgelake.operators.changes import apply_account_commands, apply_room_commands
+
+    for name, state, cmds, fold, key, cols in [
+        ("rooms", views.rooms, views.room_commands, apply_room_commands, "seq", ("room_id", "status")),
+        ("users", views.users, views.account_commands, apply_account_commands, "seq", ("id", "status", "role")),
+    ]:
+        src = os.path.join(scratch, name)
+        cut = cmds.select(F.percentile_approx(key, 0.5)).first()[0]
+        cmds.filter(F.col(key) <= cut).write.parquet(os.path.join(src, "w1"))
+        stream = spark.readStream.schema(cmds.schema).parquet(os.path.join(src, "*"))
+        root, ck = os.path.join(scratch, name + "_state"), os.path.join(scratch, name + "_ck")
+        feeds.command_stream(stream, state, root, ck, fold=fold).awaitTermination()
+        cmds.filter(F.col(key) > cut).write.parquet(os.path.join(src, "w2"))
+        feeds.command_stream(stream, state, root, ck, fold=fold).awaitTermination()
+        got = feeds.current_state(spark, root, state.schema)
+        assert rows(got, *cols) == rows(fold(state, cmds), *cols)
