@@ -23,6 +23,16 @@ def _pos() -> F.Column:
     return F.struct(F.col("ts"), F.col("seq"))
 
 
+def latest_per_key(edits: DataFrame, key: str, order_col: str | None) -> DataFrame:
+    """One edit per key: the one with the greatest ``order_col`` (an aggregate, so a key edited
+    very often is combined map-side).  Without ``order_col`` the edits must already be unique."""
+    if order_col is None:
+        return edits
+    cols = [c for c in edits.columns if c != key]
+    latest = edits.groupBy(key).agg(F.max_by(F.struct(*cols), F.col(order_col)).alias("_e"))
+    return latest.select(key, *[F.col(f"_e.{c}").alias(c) for c in cols])
+
+
 # ------------------------------------------------------------------ R6
 def apply_room_commands(rooms: DataFrame, cmds: DataFrame) -> DataFrame:
     """Each room takes the status of its latest command; rooms without commands keep theirs."""
@@ -38,8 +48,10 @@ def apply_room_commands(rooms: DataFrame, cmds: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ R7
-def upsert_rooms(rooms: DataFrame, edits: DataFrame) -> DataFrame:
-    """Full-row edits by room_id (unknown ids are ignored, as an UPDATE would)."""
+def upsert_rooms(rooms: DataFrame, edits: DataFrame, order_col: str | None = None) -> DataFrame:
+    """Full-row edits by room_id (unknown ids are ignored, as an UPDATE would); with ``order_col``
+    the latest edit of each room wins."""
+    edits = latest_per_key(edits, "room_id", order_col)
     e = edits.select(
         "room_id",
         F.lit(True).alias("_hit"),
@@ -221,36 +233,38 @@ def cascade_hotel_bookings(bookings: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ B11
-def upsert_hotels(hotels: DataFrame, edits: DataFrame) -> DataFrame:
+def upsert_hotels(hotels: DataFrame, edits: DataFrame, order_col: str | None = None) -> DataFrame:
     """Edits of known ids replace title, city, price, address, description; other ids are inserted
-    with the insert defaults (price 100.00, default image and address)."""
+    with the insert defaults (price 100.00, default image and address).  With ``order_col`` the
+    latest edit of each hotel wins."""
+    edits = latest_per_key(edits, "hotel_id", order_col)
     edit_cols = ["title", "city", "price", "address", "description"]
     e = edits.select("hotel_id", F.lit(True).alias("_hit"), *[F.col(c).alias(f"_{c}") for c in edit_cols
                                                               if c in edits.columns])
     h = hotels.withColumn("_known", F.lit(True))
     df = h.join(e, "hotel_id", "full_outer")
 
-    def edited(c, default=None):
-        new = F.col(f"_{c}") if f"_{c}" in e.columns else F.lit(None)
-        if default is not None:
-            new = F.coalesce(new, F.lit(default))
-        return F.when(F.col("_hit").isNull(), F.col(c)).otherwise(new).cast(hotels.schema[c].dataType).alias(c)
+    def new(c):
+        return F.col(f"_{c}") if f"_{c}" in e.columns else F.lit(None)
+
+    inserted, updated = F.col("_known").isNull(), F.col("_hit").isNotNull()
+
+    def pick(c, on_insert, on_update):
+        return (F.when(inserted, on_insert).when(updated, on_update).otherwise(F.col(c))
+                .cast(hotels.schema[c].dataType).alias(c))
 
     cols = []
     for c in hotels.columns:
-        if c == "price":
-            cols.append(edited(c, rules.HOTEL_DEFAULT_PRICE))
+        if c in ("title", "city"):
+            cols.append(pick(c, new(c), new(c)))
+        elif c == "price":
+            cols.append(pick(c, F.coalesce(new(c), F.lit(rules.HOTEL_DEFAULT_PRICE)), F.coalesce(new(c), F.col(c))))
         elif c == "address":
-            cols.append(F.when(F.col("_known").isNull(),
-                               F.coalesce(F.col("_address") if "_address" in e.columns else F.lit(None),
-                                          F.lit(rules.HOTEL_DEFAULT_ADDRESS)))
-                        .otherwise(edited(c)).alias(c))
+            cols.append(pick(c, F.coalesce(new(c), F.lit(rules.HOTEL_DEFAULT_ADDRESS)), F.coalesce(new(c), F.lit(""))))
         elif c == "description":
-            cols.append(edited(c, ""))
+            cols.append(pick(c, F.coalesce(new(c), F.lit("")), F.coalesce(new(c), F.lit(""))))
         elif c == "image":
             cols.append(F.coalesce(F.col("image"), F.lit(rules.HOTEL_DEFAULT_IMAGE)).alias(c))
-        elif c in edit_cols:
-            cols.append(edited(c))
         else:
             cols.append(F.col(c))
     return df.select(*cols)
@@ -338,20 +352,23 @@ def profile_update_outcomes(users: DataFrame, edits: DataFrame) -> DataFrame:
     case-insensitively) belongs to another user or to an earlier edit in the same batch."""
     e = edits.select("id", F.trim("username").alias("username"), F.trim("email").alias("email"))
     lu, le = F.lower(F.col("username")), F.lower(F.col("email"))
-    # another existing user already holds the name / address
-    holders_u = users.select(F.col("id").alias("_hid"), F.lower("username").alias("_lu"))
-    holders_e = users.select(F.col("id").alias("_hid2"), F.lower("email").alias("_le"))
-    clash_u = e.join(holders_u, (lu == F.col("_lu")) & (F.col("id") != F.col("_hid")), "left_semi") \
-        .select("id").withColumn("_cu", F.lit(True))
-    clash_e = e.join(holders_e, (le == F.col("_le")) & (F.col("id") != F.col("_hid2")), "left_semi") \
-        .select("id").withColumn("_ce", F.lit(True))
+    # another user already holds the name / address: holders are aggregated to one row per value
+    # (min/max id), so a popular value is compared once per edit, never edit x holder pairs
+    def holders(col, name):
+        return users.groupBy(F.lower(col).alias(name)).agg(F.min("id").alias(f"{name}_min"),
+                                                          F.max("id").alias(f"{name}_max"))
+
+    def taken_by_other(name):
+        lo, hi = F.col(f"{name}_min"), F.col(f"{name}_max")
+        return lo.isNotNull() & ((lo != F.col("id")) | (hi != F.col("id")))
+
+    hu, he = holders("username", "_lu_h"), holders("email", "_le_h")
+    e2 = e.join(hu, lu == F.col("_lu_h"), "left").join(he, le == F.col("_le_h"), "left")
+    clash = e2.select("id", taken_by_other("_lu_h").alias("_cu"), taken_by_other("_le_h").alias("_ce"))
     # first edit (lowest id) wins inside the batch: aggregates, so a popular value is not a hot window
     first_u = e.groupBy(lu.alias("_lu")).agg(F.min("id").alias("_first_u"))
     first_e = e.groupBy(le.alias("_le")).agg(F.min("id").alias("_first_e"))
-    df = (
-        e.join(clash_u, "id", "left").join(clash_e, "id", "left")
-        .join(first_u, lu == F.col("_lu"), "left").join(first_e, le == F.col("_le"), "left")
-    )
+    df = e.join(clash, "id").join(first_u, lu == F.col("_lu"), "left").join(first_e, le == F.col("_le"), "left")
     reason = (
         F.when(F.col("_cu") | F.col("_ce"), "username or email already in use")
         .when((F.col("_first_u") != F.col("id")) | (F.col("_first_e") != F.col("id")),

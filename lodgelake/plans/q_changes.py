@@ -155,10 +155,11 @@ SELECT coalesce(h.hotel_id, e.hotel_id) AS hotel_id,
   CASE WHEN e.hotel_id IS NULL THEN h.city ELSE e.city END AS city,
   CASE WHEN e.hotel_id IS NULL THEN h.title ELSE e.title END AS title,
   CASE WHEN e.hotel_id IS NULL THEN h.description ELSE coalesce(e.description, '') END AS description,
-  CASE WHEN e.hotel_id IS NULL THEN h.price ELSE CAST(coalesce(e.price, 100.00) AS DECIMAL(10,2)) END AS price,
+  CASE WHEN h.hotel_id IS NULL THEN CAST(coalesce(e.price, 100.00) AS DECIMAL(10,2))
+    WHEN e.hotel_id IS NULL THEN h.price ELSE coalesce(e.price, h.price) END AS price,
   coalesce(h.image, 'default.jpg') AS image,
   CASE WHEN h.hotel_id IS NULL THEN coalesce(e.address, 'Hotel Address, City, Country')
-    WHEN e.hotel_id IS NULL THEN h.address ELSE e.address END AS address
+    WHEN e.hotel_id IS NULL THEN h.address ELSE coalesce(e.address, '') END AS address
 FROM hotels h FULL OUTER JOIN e ON h.hotel_id = e.hotel_id""")
 def upsert_hotels(v):
     return X.upsert_hotels(v.hotels, _hotel_edits(v))
