@@ -9,12 +9,6 @@ from pyspark.sql import functions as F
 
 from lodgelake.functions import rules
 
-DAY_FMT = "dd MMM yyyy"
-DAY_TIME_FMT = "dd MMM yyyy 'at' hh:mm a"
-MONTH_FMT = "yyyy-MM"
-MONTH_NAME_FMT = "MMM"
-ISO_DAY_FMT = "yyyy-MM-dd"
-
 
 def ts_lit(value) -> Column:
     """A TIMESTAMP_NTZ literal from text or ``datetime`` (no session time zone involved)."""

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from lodgelake.functions import rules
 from lodgelake.functions.columns import (
-    advance_days, col_, date_lit, dec, discount_label, discount_percent, is_peak, money, refund_charge_rate,
+    advance_days, col_, dec, discount_label, discount_percent, is_peak, money, refund_charge_rate,
     refund_policy, season_name, ts_lit,
 )
 
@@ -232,5 +232,5 @@ def guest_contact(df: DataFrame, username: str = "username", email: str = "email
 __all__ = [
     "season", "city_rate", "nights", "surcharges", "advance_discount", "price_quotes", "stay_requests",
     "money_columns", "validate_requests", "valid", "rejected", "convert_prices", "cancellation_quotes",
-    "normalise_stay", "guest_contact", "date_lit",
+    "normalise_stay", "guest_contact",
 ]
