@@ -93,6 +93,19 @@ def upcoming_flags(bookings: DataFrame, as_of) -> DataFrame:
     return bookings.withColumn("is_upcoming", F.when(up, 1).otherwise(0)).withColumn("cancellable", up)
 
 
+def _latest_per_user(b: DataFrame, n: int) -> DataFrame:
+    w = Window.partitionBy("user_id").orderBy(F.col("booking_date").desc_nulls_last(), F.col("booking_id").desc())
+    return b.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+
+
+def profile_recent_bookings(bookings: DataFrame, hotels: DataFrame, n: int = 5) -> DataFrame:
+    """Profile page: each user's latest n bookings of known hotels, ``b.*`` with hotel name and city."""
+    b = bookings.join(hotels.select("hotel_id"), "hotel_id", "left_semi")
+    h = hotels.select("hotel_id", F.col("title").alias("hotel_name"), "city")
+    return _latest_per_user(b, n).join(h, "hotel_id").select(*[F.col(c) for c in bookings.columns],
+                                                              "hotel_name", "city")
+
+
 def user_recent_bookings(bookings: DataFrame, hotels: DataFrame, as_of, n: int = 20, how: str = "left") -> DataFrame:
     """Each user's latest n bookings.
 
@@ -101,8 +114,9 @@ def user_recent_bookings(bookings: DataFrame, hotels: DataFrame, as_of, n: int =
     at most n rows per map task.
     """
     b = _wide(bookings)
-    w = Window.partitionBy("user_id").orderBy(F.col("booking_date").desc_nulls_last(), F.col("booking_id").desc())
-    top = b.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+    if how == "inner":  # the limit applies after the join: bookings of unknown hotels never count
+        b = b.join(hotels.select("hotel_id"), "hotel_id", "left_semi")
+    top = _latest_per_user(b, n)
     h = hotels.select("hotel_id", F.col("title").alias("hotel_name"), "city", F.col("image").alias("hotel_image"))
     df = upcoming_flags(top, as_of).join(h, "hotel_id", how)
     return df.select(

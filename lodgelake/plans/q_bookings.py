@@ -70,10 +70,11 @@ def recent_bookings(v):
 
 
 def _user_recent_sql(n: int, join: str) -> str:
+    known = " WHERE b.hotel_id IN (SELECT hotel_id FROM hotels)" if join == "JOIN" else ""
     return f"""
 WITH top AS (
   SELECT * FROM (SELECT b.*, row_number() OVER (PARTITION BY user_id ORDER BY booking_date DESC NULLS LAST,
-    booking_id DESC) AS rn FROM bookings_wide b) WHERE rn <= {n})
+    booking_id DESC) AS rn FROM bookings_wide b{known}) WHERE rn <= {n})
 SELECT b.user_id, {CORE}, b.total_price, b.status, b.booking_date, b.guest_name, b.guest_email, b.guest_phone,
   b.special_requests, h.title AS hotel_name, h.city, h.image AS hotel_image, {DAYS},
   strftime(b.booking_date, '%d %b %Y') AS booking_date_formatted,
@@ -91,6 +92,15 @@ def user_recent_bookings_inner(v):
     return B.user_recent_bookings(v.bookings, v.hotels, AS_OF, n=5, how="inner")
 
 
+@query("profile_recent_bookings", """
+WITH top AS (
+  SELECT * FROM (SELECT b.*, row_number() OVER (PARTITION BY user_id ORDER BY booking_date DESC NULLS LAST,
+    booking_id DESC) AS rn FROM bookings b WHERE b.hotel_id IN (SELECT hotel_id FROM hotels)) WHERE rn <= 5)
+SELECT top.* EXCLUDE (rn), h.title AS hotel_name, h.city FROM top JOIN hotels h ON top.hotel_id = h.hotel_id""")
+def profile_recent_bookings(v):
+    return B.profile_recent_bookings(v.bookings, v.hotels)
+
+
 @query("upcoming_flags", """
 SELECT b.*, CASE WHEN check_in > CAST(AS_OF AS DATE) AND status = 'confirmed' THEN 1 ELSE 0 END AS is_upcoming,
   (check_in > CAST(AS_OF AS DATE) AND status = 'confirmed') AS cancellable FROM bookings b""")
