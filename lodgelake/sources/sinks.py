@@ -84,9 +84,18 @@ def load_bookings(spark, root: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- S4
-def to_json_rows(df: DataFrame, key: str | None = None) -> DataFrame:
+JSON_OPTIONS = {
+    # second-precision texts, as the relational store kept them; nulls are written, not dropped
+    "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss",
+    "timestampFormat": "yyyy-MM-dd HH:mm:ss",
+    "dateFormat": "yyyy-MM-dd",
+    "ignoreNullFields": "false",
+}
+
+
+def to_json_rows(df: DataFrame, key: str | None = None, options: dict | None = None) -> DataFrame:
     """Each row as one JSON text (the API reply form), optionally keyed."""
-    body = F.to_json(F.struct(*[F.col(c) for c in df.columns])).alias("json")
+    body = F.to_json(F.struct(*[F.col(c) for c in df.columns]), {**JSON_OPTIONS, **(options or {})}).alias("json")
     return df.select(F.col(key), body) if key else df.select(body)
 
 
