@@ -64,9 +64,12 @@ def validate_new_users(new: DataFrame, users: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ U6
-def append_users(checked: DataFrame, users: DataFrame, as_of, status: int = 1) -> DataFrame:
+def append_users(checked: DataFrame, users: DataFrame, as_of, status: int = 1, role: str | None = None) -> DataFrame:
     """Valid requests as new accounts; inside one batch the first request for a username or
-    email wins (aggregate minima, so a popular value is no hot window partition)."""
+    email wins (aggregate minima, so a popular value is no hot window partition).
+
+    Self-registration is ``role="user", status=1``; the admin form passes each request's own role
+    (``role=None``) and the chosen status."""
     v = checked.filter("valid")
     first_u = v.groupBy(F.lower("username").alias("_lu")).agg(F.min("request_id").alias("_fu"))
     first_e = v.groupBy(F.col("email").alias("_le")).agg(F.min("request_id").alias("_fe"))
@@ -79,7 +82,7 @@ def append_users(checked: DataFrame, users: DataFrame, as_of, status: int = 1) -
     rows = winners.select(
         "request_id", "username", "email",
         ts_lit(as_of).alias("created_at"), F.lit(None).cast("timestamp_ntz").alias("last_login"),
-        "role", F.lit(status).alias("status"),
+        F.lit(role).alias("role") if role else F.col("role"), F.lit(status).alias("status"),
     )
     return assign_ids(rows, "request_id", "id", users, "id").select(*PROFILE_COLUMNS, "request_id")
 
