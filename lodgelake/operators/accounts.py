@@ -40,12 +40,14 @@ def validate_new_users(new: DataFrame, users: DataFrame) -> DataFrame:
         F.lower(F.trim(F.coalesce(F.col("email"), F.lit("")))).alias("email"),
         F.coalesce(F.col("role"), F.lit("user")).alias("role"),
     )
-    names = users.select(F.lower("username").alias("_lu")).distinct()
-    mails = users.select(F.lower("email").alias("_le")).distinct()
-    taken_u = r.join(names, F.lower(r["username"]) == names["_lu"], "left_semi").select("request_id")
-    taken_e = r.join(mails, r["email"] == mails["_le"], "left_semi").select("request_id")
-    taken = taken_u.union(taken_e).distinct().withColumn("_taken", F.lit(True))
-    df = r.join(taken, "request_id", "left")
+    # existing names and addresses, one row per value, so each request meets at most one of each
+    names = users.select(F.lower("username").alias("_lu"), F.lit(True).alias("_taken_u")).distinct()
+    mails = users.select(F.lower("email").alias("_le"), F.lit(True).alias("_taken_e")).distinct()
+    df = (
+        r.join(names, F.lower(r["username"]) == names["_lu"], "left")
+        .join(mails, r["email"] == mails["_le"], "left")
+        .withColumn("_taken", F.when(F.col("_taken_u") | F.col("_taken_e"), F.lit(True)))
+    )
     u, e = F.col("username"), F.col("email")
     ulen = F.length(u)
     errors = F.array_compact(F.array(
@@ -64,7 +66,8 @@ def validate_new_users(new: DataFrame, users: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ U6
-def append_users(checked: DataFrame, users: DataFrame, as_of, status: int = 1, role: str | None = None) -> DataFrame:
+def append_users(checked: DataFrame, users: DataFrame, as_of, status: int = 1, role: str | None = None,
+                 checkpoint: bool = False) -> DataFrame:
     """Valid requests as new accounts; inside one batch the first request for a username or
     email wins (aggregate minima, so a popular value is no hot window partition).
 
@@ -84,7 +87,8 @@ def append_users(checked: DataFrame, users: DataFrame, as_of, status: int = 1, r
         ts_lit(as_of).alias("created_at"), F.lit(None).cast("timestamp_ntz").alias("last_login"),
         F.lit(role).alias("role") if role else F.col("role"), F.lit(status).alias("status"),
     )
-    return assign_ids(rows, "request_id", "id", users, "id").select(*PROFILE_COLUMNS, "request_id")
+    return assign_ids(rows, "request_id", "id", users, "id", checkpoint=checkpoint).select(
+        *PROFILE_COLUMNS, "request_id")
 
 
 # ------------------------------------------------------------------ U10

@@ -2,11 +2,12 @@
 
 ``max(id) + row_number() over (order by k)`` would pull every new row into
 one task.  Instead the numeric order key is cut into ``n`` equal-width value
-buckets (bounds from min/max scalar subqueries, so every re-evaluation of
-any branch sees the same buckets -- no sampling, no dependence on shuffle
-arrival order).  Rows are numbered inside their bucket, and each bucket adds
-the count of all lower buckets.  The count table has one row per bucket,
-bounded by ``n``, so it is broadcast.
+buckets.  The bounds come from one min/max scalar subquery, so every
+re-evaluation sees the same buckets (no sampling, no dependence on shuffle
+arrival order).  One window per bucket numbers the rows and counts them;
+the per-bucket counts (at most ``n`` rows) are taken from that same
+window output, so its shuffle is reused, and their running sum, broadcast
+back, offsets each bucket.
 """
 
 from __future__ import annotations
@@ -16,28 +17,42 @@ from pyspark.sql import functions as F
 
 
 def assign_ids(new_rows: DataFrame, order_col: str | list[str], id_col: str, existing: DataFrame | None = None,
-               existing_id_col: str | None = None, num_buckets: int | None = None) -> DataFrame:
-    """Give ``new_rows`` ids max(existing id) + 1, + 2, ... in order of the unique numeric ``order_col``."""
+               existing_id_col: str | None = None, num_buckets: int | None = None,
+               checkpoint: bool = False) -> DataFrame:
+    """Give ``new_rows`` ids max(existing id) + 1, + 2, ... in order of the unique numeric ``order_col``.
+
+    The input is read twice (bounds, then numbering).  With ``checkpoint=True`` an expensive input
+    is first materialised once into the shared ``spark.checkpoint.dir`` (a reliable checkpoint,
+    which survives executor loss), and both passes read that.
+    """
     key = order_col[0] if isinstance(order_col, list) else order_col
-    n = num_buckets or max(1, new_rows.sparkSession.sparkContext.defaultParallelism)
-    lo = new_rows.select(F.min(key)).scalar()
-    hi = new_rows.select(F.max(key)).scalar()
+    spark = new_rows.sparkSession
+    if checkpoint:
+        from lodgelake.session import checkpoint_dir
+
+        checkpoint_dir(spark)
+        new_rows = new_rows.checkpoint(eager=True)
+    n = num_buckets or max(1, spark.sparkContext.defaultParallelism)
+    bounds = new_rows.select(F.struct(F.min(key).alias("lo"), F.max(key).alias("hi"))).scalar()
+    base = F.lit(1).cast("long")
+    if existing is not None:
+        base = F.coalesce(existing.select(F.max(existing_id_col or id_col)).scalar(), F.lit(0)).cast("long") + 1
+    # scalars held in columns: each subquery is planned once, not once per reference
+    b = new_rows.select("*", bounds.alias("_bounds"), base.alias("_base"))
+    lo, hi = F.col("_bounds.lo"), F.col("_bounds.hi")
     width = (hi - lo + 1).cast("double")
-    bucket = F.least(F.lit(n - 1), F.floor((F.col(key) - lo).cast("double") * n / width).cast("int"))
-    b = new_rows.withColumn("_bucket", bucket)
-    local = b.withColumn("_rn", F.row_number().over(Window.partitionBy("_bucket").orderBy(key)))
-    counts = b.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    b = b.withColumn("_bucket", F.least(F.lit(n - 1), F.floor((F.col(key) - lo).cast("double") * n / width)
+                                        .cast("int"))).drop("_bounds")
+    w = Window.partitionBy("_bucket")
+    local = b.select("*", F.row_number().over(w.orderBy(key)).alias("_rn"), F.count(F.lit(1)).over(w).alias("_n"))
+    counts = local.groupBy("_bucket").agg(F.max("_n").alias("_n"))  # at most n rows
     offsets = counts.select(
         "_bucket",
         F.coalesce(F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)),
                    F.lit(0)).alias("_off"),
-    )  # at most n rows
-    if existing is not None:
-        base = F.coalesce(existing.select(F.max(existing_id_col or id_col)).scalar(), F.lit(0)).cast("long") + 1
-    else:
-        base = F.lit(1).cast("long")
+    )
     return (
         local.join(F.broadcast(offsets), "_bucket")
-        .withColumn(id_col, base + F.col("_off") + F.col("_rn") - 1)
-        .drop("_bucket", "_rn", "_off")
+        .withColumn(id_col, F.col("_base") + F.col("_off") + F.col("_rn") - 1)
+        .drop("_bucket", "_rn", "_n", "_off", "_base")
     )

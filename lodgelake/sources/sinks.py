@@ -41,7 +41,7 @@ def intake_messages(messages: DataFrame, as_of) -> DataFrame:
 
 
 # ---------------------------------------------------------------- S3
-def append_bookings(quotes: DataFrame, bookings: DataFrame | None, as_of) -> DataFrame:
+def append_bookings(quotes: DataFrame, bookings: DataFrame | None, as_of, checkpoint: bool = False) -> DataFrame:
     """Priced requests -> booking rows: new ids after the current maximum, 'confirmed', booked now."""
     q = quotes
     rows = q.select(
@@ -56,7 +56,7 @@ def append_bookings(quotes: DataFrame, bookings: DataFrame | None, as_of) -> Dat
         F.col("advance_discount").alias("advance_discount_amount"), "total_price",
         F.lit("confirmed").alias("status"), ts_lit(as_of).alias("booking_date"),
     )
-    rows = assign_ids(rows, "request_id", "booking_id", bookings, "booking_id")
+    rows = assign_ids(rows, "request_id", "booking_id", bookings, "booking_id", checkpoint=checkpoint)
     return conform(rows, "bookings")
 
 

@@ -129,3 +129,10 @@ def test_stay_defaults_and_guest_contact(spark):
                                    "username string, email string")
     assert [r.guest_email for r in P.guest_contact(people).collect()] == ["a@x.io", "bob@example.com",
                                                                          "Guest@example.com", ""]
+
+
+def test_checkpointed_id_assignment_equals_lazy(spark, views):
+    checked = A.validate_new_users(views.new_users, views.users)
+    lazy = A.append_users(checked, views.users, "2026-01-01 00:00:00")
+    cut = A.append_users(checked, views.users, "2026-01-01 00:00:00", checkpoint=True)
+    assert rows(lazy, "request_id", "id") == rows(cut, "request_id", "id")
