@@ -24,7 +24,7 @@ def money_sum(c) -> F.Column:
 
 
 def ratio(num, den) -> F.Column:
-    """num / den as a double, 0 when den is 0 (MySQL-style ``x or 0``)."""
+    """num / den as a double, 0 when den is 0 (the ``x or 0`` convention of the reports)."""
     return F.when(den > 0, num.cast("double") / den.cast("double")).otherwise(F.lit(0.0))
 
 
