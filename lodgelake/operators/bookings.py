@@ -47,6 +47,24 @@ def booking_detail(bookings: DataFrame, hotels: DataFrame, users: DataFrame, use
     return df.select(*cols)
 
 
+def booking_print_receipt(bookings: DataFrame, hotels: DataFrame, users: DataFrame,
+                          user_id: int | None = None) -> DataFrame:
+    """Printable receipt: receipt columns through inner joins (bookings of unknown hotels or users drop out)."""
+    b = _wide(bookings)
+    if user_id is not None:
+        b = b.filter(F.col("user_id") == user_id)
+    h = hotels.select("hotel_id", F.col("title").alias("hotel_name"), "city")
+    u = users.select(F.col("id").alias("user_id"), "username", F.col("email").alias("user_email"))
+    df = b.join(h, "hotel_id").join(u, "user_id")
+    return df.select(
+        *CORE_COLS,
+        *[F.coalesce(F.col(c), F.lit(0)).cast(b.schema[c].dataType).alias(c) for c in MONEY_COLS],
+        *GUEST_COLS, "hotel_name", "city",
+        day_fmt("check_in").alias("check_in_formatted"), day_fmt("check_out").alias("check_out_formatted"),
+        day_time_fmt("booking_date").alias("booking_date_full"), "username", "user_email",
+    )
+
+
 def booking_detail_inner(bookings: DataFrame, hotels: DataFrame, users: DataFrame) -> DataFrame:
     """Admin view: b.* with customer and hotel columns; bookings of unknown users or hotels drop out."""
     b = _wide(bookings)

@@ -37,6 +37,14 @@ def booking_receipt(v):
     return B.booking_detail(v.bookings, v.hotels, v.users, receipt=True)
 
 
+@query("booking_print_receipt", f"""
+SELECT {CORE}, {MONEY0}, {GUEST}, h.title AS hotel_name, h.city, {DAYS},
+  strftime(b.booking_date, '%d %b %Y at %I:%M %p') AS booking_date_full, u.username, u.email AS user_email
+FROM bookings_wide b JOIN hotels h ON b.hotel_id = h.hotel_id JOIN users u ON b.user_id = u.id""")
+def booking_print_receipt(v):
+    return B.booking_print_receipt(v.bookings, v.hotels, v.users)
+
+
 @query("booking_detail_inner", f"""
 SELECT b.*, u.username AS customer_name, u.email AS customer_email, h.title AS hotel_name, h.city AS hotel_city,
   h.address AS hotel_address, {DAYS}, strftime(b.booking_date, '%d %b %Y at %I:%M %p') AS booking_date_formatted
