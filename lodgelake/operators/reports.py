@@ -104,8 +104,9 @@ def hotel_performance(hotels: DataFrame, bookings: DataFrame, n: int | None = ru
         .groupBy("hotel_id")
         .agg(F.count("booking_id").alias("n"), F.sum("total_price").alias("rev"))
     )
-    # the total is a scalar subquery held in one column, so it is planned and run once
-    total = F.coalesce(per_hotel.select(F.sum("n")).scalar(), F.lit(0))
+    # all confirmed bookings: a plain count (no key derivation, no hash shuffle), as a scalar
+    # subquery held in one column so it is planned and run once
+    total = F.coalesce(bookings.filter(_confirmed()).select(F.count(F.lit(1))).scalar(), F.lit(0))
     revenue = F.coalesce(F.col("rev"), F.lit(0)).cast("decimal(18,2)")
     n_b = F.coalesce(F.col("n"), F.lit(0))
     joined = (
