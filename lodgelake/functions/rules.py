@@ -94,6 +94,8 @@ MSG_CREATE_MISSING = "Missing required booking information."
 MSG_ROOM_TYPE_INVALID = "Invalid room type selected."
 MSG_HOTEL_NOT_FOUND = "Hotel not found."
 MSG_NIGHTS_INVALID = "Check-out date must be after check-in date."
+MSG_QUOTE_PROCESSING_ERROR = "Error processing booking details. Please try again."
+MSG_CREATE_PROCESSING_ERROR = "An error occurred while processing your booking. Please try again."
 MSG_ROOM_DELETE_REFUSED = "Cannot delete room with {n} bookings! Please cancel bookings first."
 MSG_USER_DELETE_REFUSED = "Cannot delete user with {n} bookings!"
 

@@ -131,27 +131,49 @@ def money_columns(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 # ------------------------------------------------------------------ P9
+def _stay_dates(requests: DataFrame):
+    """(check_in, check_out) as dates, whether either is absent, and whether either is text that is
+    not a yyyy-MM-dd date."""
+    out, absent, bad = [], F.lit(False), F.lit(False)
+    for c in ("check_in", "check_out"):
+        if isinstance(requests.schema[c].dataType, T.DateType):
+            out.append(F.col(c))
+            absent = absent | F.col(c).isNull()
+            continue
+        text = F.col(c).cast("string")
+        d = F.try_to_date(text, "yyyy-MM-dd")
+        out.append(d)
+        absent = absent | text.isNull() | (text == "")
+        bad = bad | (text.isNotNull() & (text != "") & d.isNull())
+    return out[0], out[1], absent, bad
+
+
 def validate_requests(requests: DataFrame, hotels: DataFrame, check_type: bool = True) -> DataFrame:
     """Every request with ``reason`` (NULL when valid); split with ``valid`` / ``rejected`` below.
 
-    ``check_type=True`` is the quote path (room-type whitelist; hotel checked before the dates);
-    ``check_type=False`` is the create path (no whitelist; dates checked before the hotel).
+    Quote path (``check_type=True``): missing field, room type not whitelisted, unknown hotel,
+    unparsable date, nights <= 0 -- in that order.  Create path (``check_type=False``): missing field
+    (hotel id included), unparsable date, nights <= 0, unknown hotel.  Text dates are parsed as
+    yyyy-MM-dd; empty text counts as missing.
     """
     known = hotels.select("hotel_id", F.lit(True).alias("_hotel_known"))
     df = requests.join(known, "hotel_id", "left")
-    missing = F.col("room_type").isNull() | F.col("check_in").isNull() | F.col("check_out").isNull()
+    ci, co, absent, bad_text = _stay_dates(requests)
+    missing = F.col("room_type").isNull() | (F.col("room_type") == "") | absent
     no_hotel = F.col("_hotel_known").isNull()
-    bad_nights = F.datediff(F.col("check_out"), F.col("check_in")) <= 0
+    bad_nights = F.datediff(co, ci) <= 0
     if check_type:
         reason = (
             F.when(missing, F.lit(rules.MSG_QUOTE_MISSING))
             .when(~F.col("room_type").isin(*rules.VALID_QUOTE_ROOM_TYPES), F.lit(rules.MSG_ROOM_TYPE_INVALID))
             .when(no_hotel, F.lit(rules.MSG_HOTEL_NOT_FOUND))
+            .when(bad_text, F.lit(rules.MSG_QUOTE_PROCESSING_ERROR))
             .when(bad_nights, F.lit(rules.MSG_NIGHTS_INVALID))
         )
     else:
         reason = (
-            F.when(missing, F.lit(rules.MSG_CREATE_MISSING))
+            F.when(missing | F.col("hotel_id").isNull(), F.lit(rules.MSG_CREATE_MISSING))
+            .when(bad_text, F.lit(rules.MSG_CREATE_PROCESSING_ERROR))
             .when(bad_nights, F.lit(rules.MSG_NIGHTS_INVALID))
             .when(no_hotel, F.lit(rules.MSG_HOTEL_NOT_FOUND))
         )

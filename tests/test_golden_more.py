@@ -136,3 +136,24 @@ def test_checkpointed_id_assignment_equals_lazy(spark, views):
     lazy = A.append_users(checked, views.users, "2026-01-01 00:00:00")
     cut = A.append_users(checked, views.users, "2026-01-01 00:00:00", checkpoint=True)
     assert rows(lazy, "request_id", "id") == rows(cut, "request_id", "id")
+
+
+def test_request_validation_orders_and_text_dates(spark):
+    hotels = spark.createDataFrame([(1,)], "hotel_id long")
+    req = spark.createDataFrame([
+        (1, 1, "double", "2026-03-01", "2026-03-04"),   # valid
+        (2, 1, "", "2026-03-01", "2026-03-04"),         # missing type
+        (3, 1, "suite", "2026-03-01", "2026-03-04"),    # not whitelisted (quote only)
+        (4, 9, "double", "01/03/2026", "2026-03-04"),   # unknown hotel and bad date: order differs
+        (5, 1, "double", "2026-03-04", "2026-03-04"),   # zero nights
+        (6, 1, "double", "", "2026-03-04"),             # empty date text = missing
+    ], "request_id long, hotel_id long, room_type string, check_in string, check_out string")
+    quote = {r.request_id: r.reason for r in P.validate_requests(req, hotels).collect()}
+    create = {r.request_id: r.reason for r in P.validate_requests(req, hotels, check_type=False).collect()}
+    assert quote == {1: None, 2: "Missing booking information. Please select dates and room type.",
+                     3: "Invalid room type selected.", 4: "Hotel not found.",
+                     5: "Check-out date must be after check-in date.",
+                     6: "Missing booking information. Please select dates and room type."}
+    assert create == {1: None, 2: "Missing required booking information.", 3: None,
+                      4: "An error occurred while processing your booking. Please try again.",
+                      5: "Check-out date must be after check-in date.", 6: "Missing required booking information."}
