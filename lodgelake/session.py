@@ -13,8 +13,11 @@ SCALE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
-    # broadcast only what the planner has measured to be small
-    "spark.sql.autoBroadcastJoinThreshold": "32m",
+    # static broadcast rests on file-size estimates (compressed Parquet can grow several-fold in
+    # memory): keep it conservative; larger build sides are broadcast only by AQE after their
+    # shuffle output has been measured
+    "spark.sql.autoBroadcastJoinThreshold": "10m",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
     "spark.sql.files.maxPartitionBytes": "256m",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
