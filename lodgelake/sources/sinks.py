@@ -64,17 +64,22 @@ def write_append(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     df.write.mode("append").format(fmt).save(path)
 
 
-def write_bookings(bookings: DataFrame, root: str, mode: str = "append") -> None:
+def write_bookings(bookings: DataFrame, root: str, mode: str = "append", max_records_per_file: int = 5_000_000,
+                   num_partitions: int | None = None) -> None:
     """Store bookings partitioned by booking month and clustered by hotel inside each file.
 
     Period reports then read only the months they cover (partition pruning) and hotel lookups
-    skip row groups by min/max statistics.  Rows are shuffled by month first so each task
-    writes few files.
+    skip row groups by min/max statistics.  The write is range-partitioned on
+    (month, hotel_id, booking_id): a month -- or a hotel within a month -- holding a third of
+    all rows is split across many tasks instead of landing in one, and files stay capped.
     """
-    month = month_key("booking_date")
-    df = conform(bookings, "bookings").withColumn("booking_month", F.coalesce(month, F.lit("none")))
-    (df.repartition("booking_month").sortWithinPartitions("hotel_id", "booking_id")
-       .write.mode(mode).partitionBy("booking_month").parquet(f"{root.rstrip('/')}/bookings"))
+    df = conform(bookings, "bookings").withColumn(
+        "booking_month", F.coalesce(month_key("booking_date"), F.lit("none")))
+    ranged = (df.repartitionByRange(num_partitions, "booking_month", "hotel_id", "booking_id") if num_partitions
+              else df.repartitionByRange("booking_month", "hotel_id", "booking_id"))
+    (ranged.sortWithinPartitions("booking_month", "hotel_id", "booking_id")
+     .write.mode(mode).option("maxRecordsPerFile", max_records_per_file)
+     .partitionBy("booking_month").parquet(f"{root.rstrip('/')}/bookings"))
 
 
 def load_bookings(spark, root: str) -> DataFrame:

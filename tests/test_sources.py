@@ -53,3 +53,13 @@ def test_partitioned_bookings_prune_months(spark, views, scratch):
     assert sorted(got.collect()) == sorted(want.collect())
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(booking_month" in plan
+
+
+def test_hot_month_is_written_by_many_tasks(spark, views, scratch):
+    # every booking in one month: the range partitioning still spreads the write over tasks/files
+    hot = views.bookings.withColumn("booking_date", F.lit("1998-03-15 12:00:00").cast("timestamp_ntz"))
+    sinks.write_bookings(hot, scratch, num_partitions=4)
+    files = [f for f in os.listdir(os.path.join(scratch, "bookings", "booking_month=1998-03"))
+             if f.endswith(".parquet")]
+    assert len(files) >= 2
+    assert sinks.load_bookings(spark, scratch).count() == views.bookings.count()
