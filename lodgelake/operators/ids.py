@@ -32,7 +32,10 @@ def assign_ids(new_rows: DataFrame, order_col: str | list[str], id_col: str, exi
 
         checkpoint_dir(spark)
         new_rows = new_rows.checkpoint(eager=True)
-    n = num_buckets or max(1, spark.sparkContext.defaultParallelism)
+    # fine buckets: balanced for the dense keys ids are drawn from (event ids, request sequences);
+    # keys with far outliers would crowd the buckets near the bulk of the values
+    n = num_buckets or 4 * max(spark.sparkContext.defaultParallelism,
+                               int(spark.conf.get("spark.sql.shuffle.partitions", "8")))
     bounds = new_rows.select(F.struct(F.min(key).alias("lo"), F.max(key).alias("hi"))).scalar()
     base = F.lit(1).cast("long")
     if existing is not None:
