@@ -75,8 +75,9 @@ def command_stream(commands: DataFrame, initial_state: DataFrame, state_root: st
     ``apply_room_commands`` or ``apply_account_commands``: each composes batch by batch.
 
     Batch ``k`` reads snapshot ``< k`` and writes snapshot ``v{k}`` (overwrite of its own
-    version only), so a replayed batch rewrites the same version: idempotent.  Commands
-    of a batch are assumed to follow those of earlier batches in (ts, seq) order.
+    version only), so a replayed batch rewrites the same version: idempotent.  Batches apply
+    in arrival order, as the application applied requests as they arrived; inside a batch,
+    commands apply in (ts, seq) order.
     """
     spark = commands.sparkSession
     state_schema = initial_state.schema
