@@ -81,6 +81,7 @@ MESSAGE_STATUSES = ("new", "read", "replied")
 ROLES = ("user", "admin")
 USERNAME_MIN, USERNAME_MAX = 3, 20
 GUEST_NAME_DEFAULT = "Guest"
+MEMBER_SINCE_UNKNOWN = "Recently"
 GUEST_EMAIL_DOMAIN = "@example.com"
 
 PROFIT_REVENUE_THRESHOLD = 10000

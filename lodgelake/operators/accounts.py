@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodgelake.functions import rules
-from lodgelake.functions.columns import first_present, iso_day, ts_lit
+from lodgelake.functions.columns import day_fmt, first_present, iso_day, ts_lit
 from lodgelake.operators.ids import assign_ids
 
 PROFILE_COLUMNS = ["id", "username", "email", "created_at", "last_login", "role", "status"]
@@ -103,5 +103,6 @@ def user_labels(users: DataFrame) -> DataFrame:
         F.when(F.col("role") == "admin", "Administrator").otherwise("Standard User").alias("role_label"),
         F.when(F.col("status") == 1, "Active").otherwise("Inactive").alias("status_label"),
         F.coalesce(iso_day("created_at"), F.lit("N/A")).alias("joined"),
+        F.coalesce(day_fmt("created_at"), F.lit(rules.MEMBER_SINCE_UNKNOWN)).alias("member_since"),
         initial.alias("initial"),
     )

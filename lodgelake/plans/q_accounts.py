@@ -68,6 +68,7 @@ SELECT id, coalesce(nullif(username, ''), 'N/A') AS name_label, coalesce(nullif(
   CASE WHEN role = 'admin' THEN 'Administrator' ELSE 'Standard User' END AS role_label,
   CASE WHEN status = 1 THEN 'Active' ELSE 'Inactive' END AS status_label,
   coalesce(strftime(created_at, '%Y-%m-%d'), 'N/A') AS joined,
+  coalesce(strftime(created_at, '%d %b %Y'), 'Recently') AS member_since,
   CASE WHEN coalesce(username, '') <> '' THEN upper(left(username, 1)) ELSE 'U' END AS initial
 FROM users""")
 def user_labels(v):
