@@ -177,3 +177,23 @@ def booking_labels(df: DataFrame) -> DataFrame:
         amount.alias("amount_label"),
         status_label.alias("status_label"),
     )
+
+
+def receipt_labels(receipt: DataFrame) -> DataFrame:
+    """Display fallbacks of the receipt page over ``booking_detail(..., receipt=True)`` rows."""
+    def text(c):
+        return F.col(c).cast("string")
+
+    return receipt.select(
+        "booking_id",
+        first_present("guest_name", "username").alias("guest_label"),
+        first_present("guest_email", "user_email").alias("email_label"),
+        first_present("hotel_name").alias("hotel_label"),
+        first_present("city").alias("city_label"),
+        F.when(F.coalesce(F.col("room_type"), F.lit("")) != "", F.initcap("room_type")).otherwise(F.lit("N/A"))
+        .alias("room_type_label"),
+        first_present("check_in_formatted", text("check_in")).alias("check_in_label"),
+        first_present("check_out_formatted", text("check_out")).alias("check_out_label"),
+        first_present("booking_date_full", text("booking_date")).alias("booked_label"),
+        F.initcap(F.coalesce(F.col("status"), F.lit(""))).alias("status_label"),
+    )

@@ -37,6 +37,25 @@ def booking_receipt(v):
     return B.booking_detail(v.bookings, v.hotels, v.users, receipt=True)
 
 
+@query("receipt_labels", f"""
+WITH r AS (
+SELECT {CORE}, {MONEY0}, {GUEST}, h.title AS hotel_name, h.city, {DAYS},
+  strftime(b.booking_date, '%d %b %Y at %I:%M %p') AS booking_date_full, u.username, u.email AS user_email
+FROM bookings_wide b LEFT JOIN hotels h ON b.hotel_id = h.hotel_id LEFT JOIN users u ON b.user_id = u.id)
+SELECT booking_id, coalesce(nullif(guest_name, ''), nullif(username, ''), 'N/A') AS guest_label,
+  coalesce(nullif(guest_email, ''), nullif(user_email, ''), 'N/A') AS email_label,
+  coalesce(nullif(hotel_name, ''), 'N/A') AS hotel_label, coalesce(nullif(city, ''), 'N/A') AS city_label,
+  CASE WHEN coalesce(room_type, '') <> '' THEN concat(upper(left(room_type, 1)), lower(substr(room_type, 2)))
+    ELSE 'N/A' END AS room_type_label,
+  coalesce(nullif(check_in_formatted, ''), nullif(CAST(check_in AS VARCHAR), ''), 'N/A') AS check_in_label,
+  coalesce(nullif(check_out_formatted, ''), nullif(CAST(check_out AS VARCHAR), ''), 'N/A') AS check_out_label,
+  coalesce(nullif(booking_date_full, ''), nullif(CAST(booking_date AS VARCHAR), ''), 'N/A') AS booked_label,
+  concat(upper(left(coalesce(status, ''), 1)), lower(substr(coalesce(status, ''), 2))) AS status_label
+FROM r""")
+def receipt_labels(v):
+    return B.receipt_labels(B.booking_detail(v.bookings, v.hotels, v.users, receipt=True))
+
+
 @query("booking_print_receipt", f"""
 SELECT {CORE}, {MONEY0}, {GUEST}, h.title AS hotel_name, h.city, {DAYS},
   strftime(b.booking_date, '%d %b %Y at %I:%M %p') AS booking_date_full, u.username, u.email AS user_email
