@@ -4,8 +4,8 @@ Folds are closed forms, not sequential replays:
   * last-write-wins columns are ``max_by(value, struct(ts, seq))`` aggregates
     (partial aggregation map-side, so a hot key never reaches one task whole);
   * the booking fold needs "first owner cancel after the latest admin command",
-    expressed with running counts in a two-level (slice, then carry) scan, so no
-    window ever holds one whole booking;
+    expressed as a hierarchical prefix scan over nested time slices, so no window
+    ever holds one whole booking;
   * toggles are parity counts after the last reset.
 Upserts are keyed outer joins; deletes are anti/semi joins.  Nothing mutates
 in place: each operator returns the new state as a DataFrame.
@@ -102,7 +102,8 @@ def delete_rooms(rooms: DataFrame, bookings: DataFrame, ids: DataFrame) -> DataF
 
 
 # ------------------------------------------------------------------ B9
-SLICE_SECONDS = 3600
+# nested time slices of the booking fold, finest first; each divides the next
+SLICE_LEVELS = (60, 86400)
 
 
 def _epoch_seconds(ts: str) -> F.Column:
@@ -112,59 +113,92 @@ def _epoch_seconds(ts: str) -> F.Column:
             + F.hour(t) * 3600 + F.minute(t) * 60 + F.second(t))
 
 
-def _booking_command_steps(bookings: DataFrame, cmds: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+def _levels(slices) -> tuple[int, ...]:
+    levels = (slices,) if isinstance(slices, int) else tuple(slices)
+    assert levels and all(b % a == 0 for a, b in zip(levels, levels[1:])), "each slice must divide the next"
+    return levels
+
+
+def _booking_command_steps(bookings: DataFrame, cmds: DataFrame, slices=SLICE_LEVELS) -> DataFrame:
     """Every command against an existing booking, with what it did.
 
-    The fold needs, per command, the latest admin command before it and the number of owner cancels
-    since then.  A window over a whole booking would put a booking holding a third of all commands
-    into one task, so the scan is two-level:
-      1. running values inside each (booking, time slice), a window partitioned by both keys;
-      2. one summary row per (booking, slice), aggregated;
-      3. carries into each slice from the earlier slices, a window over the summaries only
-         (rows per booking = slices it spans, bounded by its time span, not by data volume);
-      4. local values + carries, joined back on (booking, slice).
+    Per command the fold needs: the latest admin status before it (``la``), the number of owner
+    cancels so far (``c``) and how many of them came before that admin command (``bf``).  Over a
+    range of commands these three form an associative summary -- (A then B) = (B.la ?? A.la,
+    A.c + B.c, B.bf is set ? A.c + B.bf : A.bf) -- so the running values are a prefix scan.  A
+    window over a whole booking would put a booking holding a third of all commands in one task;
+    the scan is hierarchical instead:
+      level 0: running values inside each (booking, finest slice);
+      level j: exclusive prefixes of the level j-1 slice summaries inside each (booking, slice j),
+               and per booking over the coarsest summaries;
+      carries are composed top-down and joined back to the rows.
+    With the default (1 minute, 1 day) no window holds more than one booking-minute of rows,
+    1440 minute summaries, or one summary per day the booking spans.
     """
-    owners = bookings.select("booking_id", F.col("user_id").alias("_owner"), F.col("status").alias("_s0"))
-    c = cmds.join(owners, "booking_id")
+    levels = _levels(slices)
+    k = len(levels)
+    key = "booking_id"
+    bcols = [f"_b{i}" for i in range(k)]
+    owners = bookings.select(key, F.col("user_id").alias("_owner"), F.col("status").alias("_s0"))
+    c = cmds.join(owners, key)
     is_admin = F.col("command").isin("admin_confirm", "admin_cancel")
     is_owner_cancel = (F.col("command") == "user_cancel") & (F.col("actor_id") == F.col("_owner"))
     admin_status = F.when(F.col("command") == "admin_confirm", "confirmed").when(
         F.col("command") == "admin_cancel", "cancelled")
+    es = _epoch_seconds("ts")
     c = c.select("*", is_admin.alias("_admin"), is_owner_cancel.alias("_cancel"), admin_status.alias("_astat"),
-                 F.floor(_epoch_seconds("ts") / slice_seconds).alias("_slice"))
+                 *[F.floor(es / w).alias(b) for w, b in zip(levels, bcols)])
 
-    # 1. running values inside (booking, slice)
-    w = Window.partitionBy("booking_id", "_slice").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    c = c.select("*", F.last("_astat", ignorenulls=True).over(w).alias("_l_admin"),
-                 F.sum(F.col("_cancel").cast("long")).over(w).alias("_l_cum"))
-    c = c.withColumn("_l_before", F.last(F.when(F.col("_admin"), F.col("_l_cum")), ignorenulls=True).over(w))
+    # level 0: inclusive running summary inside (booking, finest slice)
+    w0 = Window.partitionBy(key, bcols[0]).orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    c = c.select("*", F.last("_astat", ignorenulls=True).over(w0).alias("_s_la"),
+                 F.sum(F.col("_cancel").cast("long")).over(w0).alias("_s_c"))
+    c = c.withColumn("_s_bf", F.last(F.when(F.col("_admin"), F.col("_s_c")), ignorenulls=True).over(w0))
 
-    # 2. one summary per (booking, slice)
+    # slice totals of level 0
     pos = _pos()
-    summary = c.groupBy("booking_id", "_slice").agg(
-        F.max_by("_astat", F.when(F.col("_admin"), pos)).alias("_s_admin"),
-        F.max_by("_l_cum", F.when(F.col("_admin"), pos)).alias("_s_before"),
-        F.count_if("_cancel").alias("_s_cancels"),
-    )
-
-    # 3. carries from earlier slices of the same booking
-    ws = Window.partitionBy("booking_id").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    summary = summary.select(
-        "*",
-        F.last("_s_admin", ignorenulls=True).over(ws).alias("_c_admin"),
-        F.coalesce(F.sum("_s_cancels").over(ws), F.lit(0)).alias("_c_cum"),
-    )
-    carries = summary.select(
-        "booking_id", "_slice", "_c_admin", "_c_cum",
-        F.coalesce(F.last(F.when(F.col("_s_admin").isNotNull(), F.col("_c_cum") + F.col("_s_before")),
-                          ignorenulls=True).over(ws), F.lit(0)).alias("_c_before"),
+    cur = c.groupBy(key, *bcols).agg(
+        F.max_by("_astat", F.when(F.col("_admin"), pos)).alias("la"),
+        F.count_if("_cancel").alias("c"),
+        F.max_by("_s_c", F.when(F.col("_admin"), pos)).alias("bf"),
     )
-
-    # 4. global running values = carry + local
-    c = c.join(carries, ["booking_id", "_slice"])
-    last_admin = F.coalesce(F.col("_l_admin"), F.col("_c_admin"))
-    cum = F.col("_c_cum") + F.col("_l_cum")
-    before = F.when(F.col("_l_before").isNotNull(), F.col("_c_cum") + F.col("_l_before")).otherwise(F.col("_c_before"))
+    # levels 1..k: exclusive prefixes of child summaries inside each parent (the last parent is the booking)
+    prefixes = []
+    for j in range(1, k + 1):
+        child, parents = bcols[j - 1], bcols[j:]
+        wj = Window.partitionBy(key, *parents[:1]).orderBy(child).rowsBetween(Window.unboundedPreceding, -1)
+        e = cur.select("*", F.last("la", ignorenulls=True).over(wj).alias("e_la"),
+                       F.coalesce(F.sum("c").over(wj), F.lit(0)).alias("e_c"))
+        e = e.withColumn("e_bf", F.last(F.when(F.col("la").isNotNull(), F.col("e_c") + F.col("bf")),
+                                        ignorenulls=True).over(wj))
+        prefixes.append(e.select(key, child, *parents, "e_la", "e_c", "e_bf"))
+        if j < k:
+            admin_at = F.when(F.col("la").isNotNull(), F.col(child))
+            cur = e.groupBy(key, *parents).agg(
+                F.max_by("la", admin_at).alias("la"),
+                F.sum("c").alias("c"),
+                F.max_by(F.col("e_c") + F.col("bf"), admin_at).alias("bf"),
+            )
+
+    # carries, top-down: carry(slice) = carry(parent) then prefix-within-parent(slice)
+    top = prefixes[-1]
+    carry = top.select(key, bcols[k - 1], F.col("e_la").alias("g_la"), F.col("e_c").alias("g_c"),
+                       F.col("e_bf").alias("g_bf"))
+    for j in range(k - 1, 0, -1):
+        t = prefixes[j - 1].join(carry, [key, bcols[j]])
+        carry = t.select(
+            key, bcols[j - 1],
+            F.coalesce(F.col("e_la"), F.col("g_la")).alias("g_la"),
+            (F.col("g_c") + F.col("e_c")).alias("g_c"),
+            F.when(F.col("e_bf").isNotNull(), F.col("g_c") + F.col("e_bf")).otherwise(F.col("g_bf")).alias("g_bf"),
+        )
+
+    # global running values of each row = carry of its finest slice, then its own running summary
+    c = c.join(carry, [key, bcols[0]])
+    last_admin = F.coalesce(F.col("_s_la"), F.col("g_la"))
+    cum = F.col("g_c") + F.col("_s_c")
+    before = F.coalesce(F.when(F.col("_s_bf").isNotNull(), F.col("g_c") + F.col("_s_bf")).otherwise(F.col("g_bf")),
+                        F.lit(0))
     base = F.coalesce(last_admin, F.col("_s0"))  # status at the start of this row's segment
     first_in_segment = (cum - before) == 1
     effective = F.col("_cancel") & first_in_segment & (base == "confirmed")
@@ -183,7 +217,7 @@ def _booking_command_steps(bookings: DataFrame, cmds: DataFrame, slice_seconds:
             F.when(~first_in_segment & (base == "confirmed"), F.lit("cancelled")).otherwise(base)))
     )
     return c.select(
-        "seq", "ts", "booking_id", "actor_id", "command",
+        "seq", "ts", key, "actor_id", "command",
         (F.col("_admin") | effective).alias("applied"),
         reason.alias("reason"),
         after.alias("status_after"),
@@ -191,19 +225,19 @@ def _booking_command_steps(bookings: DataFrame, cmds: DataFrame, slice_seconds:
     )
 
 
-def booking_command_outcomes(bookings: DataFrame, cmds: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+def booking_command_outcomes(bookings: DataFrame, cmds: DataFrame, slices=SLICE_LEVELS) -> DataFrame:
     """Per command: applied or refused with a reason (commands on unknown bookings: 'booking not found')."""
-    steps = _booking_command_steps(bookings, cmds, slice_seconds).drop("_effective_cancel")
+    steps = _booking_command_steps(bookings, cmds, slices).drop("_effective_cancel")
     lost = cmds.join(bookings.select("booking_id"), "booking_id", "left_anti").select(
         "seq", "ts", "booking_id", "actor_id", "command", F.lit(False).alias("applied"),
         F.lit("booking not found").alias("reason"), F.lit(None).cast("string").alias("status_after"))
     return steps.unionByName(lost)
 
 
-def apply_booking_commands(bookings: DataFrame, cmds: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+def apply_booking_commands(bookings: DataFrame, cmds: DataFrame, slices=SLICE_LEVELS) -> DataFrame:
     """Bookings after the command log: admin confirm/cancel are unconditional; an owner's cancel
     applies only to a confirmed booking and stamps cancellation_date."""
-    steps = _booking_command_steps(bookings, cmds, slice_seconds)
+    steps = _booking_command_steps(bookings, cmds, slices)
     final = steps.groupBy("booking_id").agg(
         F.max_by("status_after", _pos()).alias("_new_status"),
         F.max(F.when(F.col("_effective_cancel"), F.col("ts"))).alias("_new_cancel_date"),

@@ -41,9 +41,10 @@ def test_booking_fold_never_windows_a_whole_booking(spark):
     specs = re.findall(r"windowspecdefinition\(([^)]*)\)", p)
     assert specs
     for spec in specs:
-        # row-level windows carry the slice in their partition key; the only per-booking
-        # window orders slice summaries
-        assert "_slice" in spec.split("ASC")[0], spec
+        # every window is bounded by a slice: rows per (booking, minute), minute summaries per
+        # (booking, day), day summaries per booking -- never a booking's rows ordered by time
+        assert re.search(r"_b\d", spec), spec
+        assert not re.match(r"booking_id#\d+L?, ts#", spec), spec
 
 
 def test_city_rates_broadcast(spark):

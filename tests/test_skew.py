@@ -17,7 +17,7 @@ def test_hot_booking_fold_equals_replay(spark, views):
         .withColumn("actor_id", F.when(hot & (F.col("seq") % 2 == 0), F.lit(owner0)).otherwise(F.col("actor_id")))
     assert cmds.filter(hot).count() * 10 >= cmds.count() * 3  # about a third of all commands
     got = {r.booking_id: (r.status, r.cancellation_date)
-           for r in X.apply_booking_commands(b, cmds, slice_seconds=3600).collect()}
+           for r in X.apply_booking_commands(b, cmds).collect()}
     bl = [(r.booking_id, r.user_id, r.status) for r in b.collect()]
     cl = [(r.seq, r.ts, r.booking_id, r.actor_id, r.command) for r in cmds.collect()]
     assert got == replay_bookings(bl, cl)
