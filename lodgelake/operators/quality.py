@@ -34,6 +34,21 @@ def constraint_violations(df: DataFrame, table: str) -> DataFrame:
     return df.select(*keys, F.explode(found).alias("_v")).select(*keys, "_v.column", "_v.rule")
 
 
+def constraint_report(tables: dict[str, DataFrame]) -> DataFrame:
+    """DQ1 over several tables at once: (table_name, record_key, column, rule) rows, one scan per table."""
+    parts = []
+    for name, df in tables.items():
+        keys = S.PRIMARY_KEYS[name]
+        v = constraint_violations(df, name)
+        parts.append(v.select(F.lit(name).alias("table_name"),
+                              F.concat_ws("|", *[F.col(k).cast("string") for k in keys]).alias("record_key"),
+                              "column", "rule"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def duplicate_keys(df: DataFrame, cols: list[str], case_insensitive: bool = True) -> DataFrame:
     """Key values held by more than one row (UNIQUE / PRIMARY KEY violations)."""
     key = [F.lower(F.col(c).cast("string")).alias(c) if case_insensitive else F.col(c) for c in cols]

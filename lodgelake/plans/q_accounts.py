@@ -92,6 +92,46 @@ def constraint_violations_bookings(v):
     return Q.constraint_violations(v.bookings, "bookings")
 
 
+# columns each derived view carries (checks on absent columns are skipped, as in the operator)
+VIEW_COLUMNS = {
+    "hotels": ["hotel_id", "city", "title", "description", "price", "image", "address"],
+    "rooms": ["room_id", "hotel_id", "room_number", "room_type", "price", "status", "capacity"],
+    "users": ["id", "username", "email", "created_at", "last_login", "role", "status"],
+    "bookings": ["booking_id", "user_id", "hotel_id", "room_id", "room_type", "check_in", "check_out", "guests",
+                 "num_nights", "total_price", "status", "booking_date"],
+    "contact_messages": ["id", "name", "email", "subject", "message", "submitted_at"],
+}
+
+
+def _constraint_report_sql() -> str:
+    from lodgelake import schema as SC
+
+    parts = []
+    for table, cols in VIEW_COLUMNS.items():
+        key = " || '|' || ".join(f"CAST({k} AS VARCHAR)" for k in SC.PRIMARY_KEYS[table])
+        for c in SC.spec(table):
+            if c.name not in cols:
+                continue
+            checks = []
+            if not c.nullable:
+                checks.append((f"{c.name} IS NULL", "null"))
+            if c.max_len:
+                checks.append((f"length({c.name}) > {c.max_len}", f"longer than {c.max_len}"))
+            if c.domain:
+                dom = ", ".join(f"'{d}'" if isinstance(d, str) else str(d) for d in c.domain)
+                checks.append((f"{c.name} IS NOT NULL AND {c.name} NOT IN ({dom})", "outside domain"))
+            for cond, rule in checks:
+                parts.append(f"SELECT '{table}' AS table_name, {key} AS record_key, '{c.name}' AS \"column\", "
+                             f"'{rule}' AS rule FROM {table} WHERE {cond}")
+    return "\nUNION ALL\n".join(parts)
+
+
+@query("constraint_report", _constraint_report_sql())
+def constraint_report(v):
+    return Q.constraint_report({"hotels": v.hotels, "rooms": v.rooms, "users": v.users, "bookings": v.bookings,
+                                "contact_messages": v.contact_messages})
+
+
 @query("duplicate_usernames", """
 SELECT lower(username) AS username, count(*) AS rows FROM new_users GROUP BY 1 HAVING count(*) > 1""")
 def duplicate_usernames(v):
@@ -176,6 +216,13 @@ def booking_json(v):
     return S.to_json_rows(v.bookings, key="booking_id")
 
 
+@query("booking_json_roundtrip", "SELECT * FROM bookings")
+def booking_json_roundtrip(v):
+    # export each row as JSON text, parse it back: the typed rows must survive unchanged
+    b = v.bookings
+    return S.from_json_rows(S.to_json_rows(b), b.schema)
+
+
 @query("inserted_read_back", "SELECT * FROM bookings WHERE booking_id IN (SELECT booking_id FROM booking_commands)")
 def inserted_read_back(v):
     return S.inserted(v.bookings, v.booking_commands, "booking_id")

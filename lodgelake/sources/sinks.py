@@ -104,6 +104,12 @@ def to_json_rows(df: DataFrame, key: str | None = None, options: dict | None = N
     return df.select(F.col(key), body) if key else df.select(body)
 
 
+def from_json_rows(rows: DataFrame, schema: T.StructType, column: str = "json") -> DataFrame:
+    """Parse JSON row texts back into typed columns (the inverse of ``to_json_rows``)."""
+    parsed = F.from_json(F.col(column), schema, JSON_OPTIONS).alias("_row")
+    return rows.select(parsed).select("_row.*")
+
+
 # ---------------------------------------------------------------- S6
 def inserted(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.join(ids.select(key).distinct(), key, "left_semi")

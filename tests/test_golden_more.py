@@ -157,3 +157,14 @@ def test_request_validation_orders_and_text_dates(spark):
     assert create == {1: None, 2: "Missing required booking information.", 3: None,
                       4: "An error occurred while processing your booking. Please try again.",
                       5: "Check-out date must be after check-in date.", 6: "Missing required booking information."}
+
+
+def test_constraint_report_finds_violations(spark):
+    from lodgelake.operators import quality as Q
+
+    hotels = spark.createDataFrame([(1, "x" * 51, None, D("10.00"), "i.jpg")],
+                                   "hotel_id long, city string, title string, price decimal(10,2), image string")
+    rooms = spark.createDataFrame([(5, "12345678901", "closed")], "room_id long, room_number string, status string")
+    got = rows(Q.constraint_report({"hotels": hotels, "rooms": rooms}))
+    assert got == [("hotels", "1", "city", "longer than 50"), ("hotels", "1", "title", "null"),
+                   ("rooms", "5", "room_number", "longer than 10"), ("rooms", "5", "status", "outside domain")]
