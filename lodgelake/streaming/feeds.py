@@ -7,6 +7,7 @@ location) differ, so a stream over the same rows equals the batch result.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -51,19 +52,21 @@ def intake_stream(messages: DataFrame, as_of, sink_path: str, checkpoint: str, d
 
 
 # ------------------------------------------------------------------ ST2
+def _manifest(state_root: str) -> str:
+    return f"{state_root.rstrip('/')}/_versions"
+
+
 def _latest_version(spark: SparkSession, state_root: str, before: int) -> str | None:
-    """Path of the newest complete snapshot older than batch ``before`` (Hadoop FS listing, no data read)."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(state_root)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
+    """Path of the newest snapshot older than batch ``before``, from the version manifest.
+
+    A version is listed only after its snapshot was written completely, so a half-written
+    snapshot of a failed batch is never read.
+    """
+    try:
+        versions = spark.read.parquet(_manifest(state_root))
+    except AnalysisException:  # no snapshot yet
         return None
-    best = None
-    for st in fs.listStatus(path):
-        name = st.getPath().getName()
-        if name.startswith("v") and name[1:].isdigit() and int(name[1:]) < before:
-            if fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-                best = max(best or -1, int(name[1:]))
+    best = versions.filter(F.col("batch_id") < before).agg(F.max("batch_id")).first()[0]
     return None if best is None else f"{state_root.rstrip('/')}/v{best:012d}"
 
 
@@ -88,6 +91,8 @@ def command_stream(commands: DataFrame, initial_state: DataFrame, state_root: st
         new = fold(state, batch)
         new.select(*state_schema.fieldNames()).write.mode("overwrite").parquet(
             f"{state_root.rstrip('/')}/v{batch_id:012d}")
+        # list the version only once it is complete (a replayed batch lists it again: harmless)
+        spark.createDataFrame([(batch_id,)], "batch_id long").write.mode("append").parquet(_manifest(state_root))
 
     w = commands.writeStream.foreachBatch(apply_batch).option("checkpointLocation", checkpoint)
     return w.trigger(**(trigger or {"availableNow": True})).start()
