@@ -305,9 +305,22 @@ def upsert_hotels(hotels: DataFrame, edits: DataFrame, order_col: str | None = N
 
 
 # ------------------------------------------------------------------ U7
+def resolve_account_targets(cmds: DataFrame, users: DataFrame) -> DataFrame:
+    """Commands may name their account by ``email`` instead of ``user_id`` (activation links carry
+    the address): resolve it case-insensitively against one row per address."""
+    if "email" not in cmds.columns:
+        return cmds
+    by_mail = users.groupBy(F.lower("email").alias("_mail")).agg(F.min("id").alias("_uid"))
+    df = cmds.join(by_mail, F.lower(cmds["email"]) == by_mail["_mail"], "left")
+    uid = F.coalesce(F.col("user_id"), F.col("_uid")) if "user_id" in cmds.columns else F.col("_uid")
+    return df.select(*[c for c in cmds.columns if c not in ("user_id", "email")], uid.alias("user_id"))
+
+
 def apply_account_commands(users: DataFrame, cmds: DataFrame) -> DataFrame:
     """Status: toggles (not on oneself) after the last activation, by parity.
-    Role: the latest allowed role command (set_role_* not on oneself; make_admin always)."""
+    Role: the latest allowed role command (set_role_* not on oneself; make_admin always).
+    Commands may target an account by ``email`` (see ``resolve_account_targets``)."""
+    cmds = resolve_account_targets(cmds, users)
     self_cmd = F.col("actor_id") == F.col("user_id")
     cmd = F.col("command")
     new_role = (
@@ -348,6 +361,7 @@ def apply_account_commands(users: DataFrame, cmds: DataFrame) -> DataFrame:
 
 
 def account_command_outcomes(cmds: DataFrame, users: DataFrame) -> DataFrame:
+    cmds = resolve_account_targets(cmds, users)
     self_cmd = F.col("actor_id") == F.col("user_id")
     cmd = F.col("command")
     known = users.select(F.col("id").alias("user_id"), F.lit(True).alias("_known"))

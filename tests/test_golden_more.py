@@ -168,3 +168,13 @@ def test_constraint_report_finds_violations(spark):
     got = rows(Q.constraint_report({"hotels": hotels, "rooms": rooms}))
     assert got == [("hotels", "1", "city", "longer than 50"), ("hotels", "1", "title", "null"),
                    ("rooms", "5", "room_number", "longer than 10"), ("rooms", "5", "status", "outside domain")]
+
+
+def test_activation_by_email(spark):
+    users = spark.createDataFrame([(1, "a@x.io", 0, "user"), (2, "b@x.io", 0, "user")],
+                                  "id long, email string, status int, role string")
+    cmds = spark.createDataFrame([(1, T0, None, None, "B@X.io", "activate"), (2, T0, 7, 1, None, "make_admin")],
+                                 "seq long, ts timestamp_ntz, actor_id long, user_id long, email string, "
+                                 "command string")
+    got = {r.id: (r.status, r.role) for r in X.apply_account_commands(users, cmds).collect()}
+    assert got == {1: (0, "admin"), 2: (1, "user")}
