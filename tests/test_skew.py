@@ -37,3 +37,33 @@ def test_hot_hotel_reports(spark, views):
     total = sum(v[0] for k, v in want.items())
     occ = R.hotel_performance(views.hotels, b, n=None).filter("hotel_id = 1").first().occupancy
     assert occ == round(100.0 * want[1][0] / total + 1e-12, 2)
+
+
+def test_hot_user_latest_bookings(spark, views):
+    from lodgelake.operators import bookings as B
+
+    b = views.bookings.withColumn(
+        "user_id", F.when(F.col("booking_id") % 3 == 0, F.lit(7).cast("long")).otherwise(F.col("user_id")))
+    got = {}
+    for r in B.user_recent_bookings(b, views.hotels, "1998-06-15 10:30:00", n=20).collect():
+        got.setdefault(r.user_id, []).append(r.booking_id)
+    allrows = [(r.user_id, r.booking_date, r.booking_id) for r in b.select("user_id", "booking_date", "booking_id")
+               .collect()]
+    want = {}
+    for u, d, i in sorted(allrows, key=lambda t: (t[0], -t[1].timestamp(), -t[2])):
+        if len(want.setdefault(u, [])) < 20:
+            want[u].append(i)
+    assert {u: sorted(v) for u, v in got.items()} == {u: sorted(v) for u, v in want.items()}
+    assert b.filter(F.col("user_id") == 7).count() * 3 >= b.count() - 3
+
+
+def test_hot_account_fold_equals_replay(spark, views):
+    from test_properties import replay_accounts
+
+    users = views.users
+    cmds = views.account_commands.withColumn(
+        "user_id", F.when(F.col("seq") % 3 == 0, F.lit(5).cast("long")).otherwise(F.col("user_id")))
+    got = {r.id: (r.status, r.role) for r in X.apply_account_commands(users, cmds).collect()}
+    ul = [(r.id, r.status, r.role) for r in users.collect()]
+    cl = [(r.seq, r.ts, r.actor_id, r.user_id, r.command) for r in cmds.collect()]
+    assert got == replay_accounts(ul, cl)
