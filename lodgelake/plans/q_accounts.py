@@ -34,16 +34,15 @@ WITH r AS (SELECT request_id, trim(coalesce(username, '')) AS username, lower(tr
     coalesce(role, 'user') AS role FROM new_users),
 t AS (SELECT DISTINCT r.request_id FROM r JOIN users u ON lower(r.username) = lower(u.username)
   UNION SELECT r.request_id FROM r JOIN users u ON r.email = lower(u.email)),
-e AS (SELECT r.*, list_filter([
+e AS (SELECT r.*, nullif(concat_ws(' ',
     CASE WHEN username = '' THEN 'Username is required'
       WHEN length(username) < 3 OR length(username) > 20 THEN 'Username must be 3-20 characters' END,
     CASE WHEN email = '' THEN 'Email is required'
       WHEN NOT contains(email, '@') OR NOT contains(email, '.') THEN 'Invalid email format' END,
     CASE WHEN role NOT IN ('user', 'admin') THEN 'Invalid role selected' END,
-    CASE WHEN t.request_id IS NOT NULL THEN 'Email or username already exists' END], lambda x: x IS NOT NULL) AS errs
+    CASE WHEN t.request_id IS NOT NULL THEN 'Email or username already exists' END), '') AS msg
   FROM r LEFT JOIN t ON r.request_id = t.request_id),
-checked AS (SELECT request_id, username, email, role, len(errs) = 0 AS valid,
-  CASE WHEN len(errs) > 0 THEN array_to_string(errs, ' ') END AS message FROM e)"""
+checked AS (SELECT request_id, username, email, role, msg IS NULL AS valid, msg AS message FROM e)"""
 
 
 @query("validate_new_users", VALIDATE_USERS + " SELECT * FROM checked")
