@@ -47,7 +47,9 @@ def hotel_search_meta(hotels: DataFrame, city: str | None = None, offset: int =
 
 
 def distinct_cities(hotels: DataFrame) -> DataFrame:
-    return hotels.select("city").distinct().orderBy("city")
+    """One entry per city, compared case-insensitively as the store did (the smallest spelling shown)."""
+    return (hotels.groupBy(F.lower("city").alias("_k")).agg(F.min("city").alias("city"))
+            .orderBy("_k").select("city"))
 
 
 def hotel_detail(hotels: DataFrame, ids: DataFrame | None = None) -> DataFrame:

@@ -39,7 +39,7 @@ def hotel_inventory(hotels: DataFrame, rooms: DataFrame) -> DataFrame:
             F.coalesce(F.col("total_rooms"), F.lit(0)).alias("total_rooms"),
             F.coalesce(F.col("available_rooms"), F.lit(0)).cast("long").alias("available_rooms"),
         )
-        .orderBy("city", "title", "hotel_id")
+        .orderBy(F.lower("city"), F.lower("title"), "hotel_id")
     )
 
 
@@ -53,7 +53,10 @@ def room_listing(rooms: DataFrame, hotels: DataFrame, hotel_id: int | None = Non
         r = r.filter(F.col("status") == status)
     h = hotels.select("hotel_id", F.col("title").alias("hotel_name"), "city")
     df = r.join(h, "hotel_id")
-    order = ["room_number", "room_id"] if hotel_id is not None else ["hotel_name", "room_number", "room_id"]
+    # the store ordered text case-insensitively
+    order = [F.lower("room_number"), "room_id"]
+    if hotel_id is None:
+        order = [F.lower("hotel_name")] + order
     return df.orderBy(*order)
 
 

@@ -43,7 +43,7 @@ def hotel_search_meta_city(v):
     return C.hotel_search_meta(v.hotels, city="kent", offset=9)
 
 
-@query("distinct_cities", "SELECT DISTINCT city FROM hotels ORDER BY city")
+@query("distinct_cities", "SELECT min(city) AS city FROM hotels GROUP BY lower(city) ORDER BY lower(city)")
 def distinct_cities(v):
     return C.distinct_cities(v.hotels)
 
@@ -95,21 +95,21 @@ def room_availability_map(v):
 SELECT h.hotel_id, h.title, h.city, h.price, h.address, count(r.room_id) AS total_rooms,
   CAST(sum(CASE WHEN r.status = 'available' THEN 1 ELSE 0 END) AS BIGINT) AS available_rooms
 FROM hotels h LEFT JOIN rooms r ON h.hotel_id = r.hotel_id
-GROUP BY h.hotel_id, h.title, h.city, h.price, h.address ORDER BY h.city, h.title, h.hotel_id""")
+GROUP BY h.hotel_id, h.title, h.city, h.price, h.address ORDER BY lower(h.city), lower(h.title), h.hotel_id""")
 def hotel_inventory(v):
     return I.hotel_inventory(v.hotels, v.rooms)
 
 
 @query("room_listing", """
 SELECT r.*, h.title AS hotel_name, h.city FROM rooms r JOIN hotels h ON r.hotel_id = h.hotel_id
-ORDER BY h.title, r.room_number, r.room_id""")
+ORDER BY lower(h.title), lower(r.room_number), r.room_id""")
 def room_listing(v):
     return I.room_listing(v.rooms, v.hotels)
 
 
 @query("room_listing_available", """
 SELECT r.*, h.title AS hotel_name, h.city FROM rooms r JOIN hotels h ON r.hotel_id = h.hotel_id
-WHERE r.status = 'available' ORDER BY h.title, r.room_number, r.room_id""")
+WHERE r.status = 'available' ORDER BY lower(h.title), lower(r.room_number), r.room_id""")
 def room_listing_available(v):
     return I.room_listing(v.rooms, v.hotels, status="available")
 
