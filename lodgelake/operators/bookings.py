@@ -86,7 +86,7 @@ def _feed(bookings: DataFrame, users: DataFrame, hotels: DataFrame) -> DataFrame
 
 
 def bookings_feed(bookings: DataFrame, users: DataFrame, hotels: DataFrame, status: str | None = None) -> DataFrame:
-    b = bookings.filter(F.col("status") == status) if status else bookings
+    b = bookings.filter(F.lower("status") == status.lower()) if status else bookings  # case-insensitive store
     return _feed(b, users, hotels).select(
         *[b[c] for c in b.columns], "customer_name", "email", "hotel_name",
         day_fmt("check_in").alias("check_in_formatted"), day_fmt("check_out").alias("check_out_formatted"),

@@ -82,9 +82,10 @@ def bookings_feed(v):
     return B.bookings_feed(v.bookings, v.users, v.hotels)
 
 
-@query("bookings_feed_pending", FEED + " WHERE b.status = 'pending' ORDER BY b.booking_date DESC, b.booking_id DESC")
+@query("bookings_feed_pending",
+       FEED + " WHERE lower(b.status) = 'pending' ORDER BY b.booking_date DESC, b.booking_id DESC")
 def bookings_feed_pending(v):
-    return B.bookings_feed(v.bookings, v.users, v.hotels, status="pending")
+    return B.bookings_feed(v.bookings, v.users, v.hotels, status="Pending")
 
 
 @query("recent_bookings", f"""
