@@ -37,8 +37,8 @@ WORDS = sorted({w for line in COMMON.values() for w in line.split()})
 MIN_WORDS = 50
 REFERENCE_WORDS = 2000
 MOST_LANGUAGES = 4096
-CLASS_LIMIT, CLASS_SLACK = 0.12, 0.8
-WORD_LIMIT, WORD_SLACK = 0.14, 2.0
+CLASS_LIMIT, CLASS_SLACK = 0.12, 1.0
+WORD_LIMIT, WORD_SLACK = 0.14, 2.1
 
 _CLASSES = 8
 _CLASS = np.full(256, 6, np.int64)  # other ASCII: symbols
