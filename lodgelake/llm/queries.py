@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodgelake.llm import licenses, mixing, packing, quality, sharding
+from lodgelake.llm import classifier, licenses, mixing, packing, quality, sharding
 from lodgelake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,8 @@ QUERIES: dict[str, Query] = {
     "op2_mixing": _on("documents", mixing.op2),
     "op5_license_scan": _on("documents", licenses.op5),
     "op6_quality_rules": _on("documents", quality.op6),
+    "op8_quality_classifier": lambda spark, sf_dir: classifier.op8(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op9_packing": _on("documents", packing.op9),
     "op10_sharding": _on("documents", sharding.op10),
 }
