@@ -36,7 +36,7 @@ MOST_SOURCES = 65536
 TOKENIZER = "word_bpe_49k.json"
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, 10]] = True  # always white space to the tokenizer, which drops it and never joins across it
-_MOST_KEPT = 1_000_000
+_MOST_KEPT, _MOST_WORDS = 750_000, 100_000
 # the tokenizer's own split of a part, and its printable stand-ins for bytes
 _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 _PLAIN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -45,7 +45,7 @@ _STAND_IN = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in
 
 class Tokens:
     """Token ids of whole texts.  A text's white-space separated parts are encoded apart, equal ones once: the
-    ids of a part are kept by its 64-bit hash, up to _MOST_KEPT parts, then learned again."""
+    ids of a part are kept by its 64-bit hash, up to _MOST_KEPT parts, then learned again (a bound of memory; the ids are the same)."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -65,6 +65,8 @@ class Tokens:
         if got is None:
             seen = word if word.isascii() and word.isprintable() else \
                 word.encode().decode("latin-1").translate(_STAND_IN)
+            if len(self.words) >= _MOST_WORDS:
+                self.words.clear()
             got = self.words[word] = [t.id for t in self.tok.model.tokenize(seen)]
         return got
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodgelake.llm import classifier, licenses, mixing, packing, quality, sharding
+from lodgelake.llm import classifier, licenses, mixing, packing, ppm, quality, sharding
 from lodgelake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,7 @@ def _on(name: str, operator: Callable[[DataFrame], DataFrame]) -> Query:
 
 QUERIES: dict[str, Query] = {
     "op2_mixing": _on("documents", mixing.op2),
+    "op4_lm_scoring": _on("documents", ppm.op4),
     "op5_license_scan": _on("documents", licenses.op5),
     "op6_quality_rules": _on("documents", quality.op6),
     "op8_quality_classifier": lambda spark, sf_dir: classifier.op8(
