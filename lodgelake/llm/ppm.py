@@ -229,35 +229,38 @@ def word_keys(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(docs)
 
 
-def _ask_words(t: pa.Table) -> rounds.Arrays:
+def _words(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys of a chunk, the place of each word's key among them, and its row."""
     key, row = word_keys(t)
-    u, back = np.unique(key, return_inverse=True)
+    keys, back = np.unique(key, return_inverse=True)
+    return keys, back, row
+
+
+def _ask_words(t: pa.Table) -> rounds.Arrays:
+    keys, back, row = _words(t)
     train = ~t.column("held_out").to_numpy()
-    return [u, np.bincount(back, train[row], minlength=len(u)).astype(np.int64)]
+    return [keys, np.bincount(back, train[row], minlength=len(keys))]
 
 
-def _answer_words(arrays: rounds.Arrays, each: np.ndarray) -> tuple:
-    u, back = np.unique(arrays[0], return_inverse=True)
-    total = np.bincount(back, arrays[1], minlength=len(u)).astype(np.int64)
-    return np.ones(len(back), bool), [arrays[0], total[back]], {"n": int(total.sum()), "v": int((total > 0).sum())}
+def _answer_words(keys: np.ndarray, chunk: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, dict]:
+    u, back = np.unique(keys, return_inverse=True)
+    total = np.bincount(back, n, minlength=len(u)).astype(np.int64)
+    return total[back], {"n": int(total.sum()), "v": int((total > 0).sum())}
 
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of every document."""
     d = pick(docs, {"doc_id": "bigint", "text": "string"}).withColumn("held_out", fold(F.col("doc_id")) == 1)
-    spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(learn(d.where(~F.col("held_out"))))
+    model = docs.sparkSession.sparkContext.broadcast(learn(d.where(~F.col("held_out"))))  # bounded, see above
     volume = rounds.text_volume(d)
-    chunks = rounds.chunked(d, volume)
-    requests = rounds.ask(chunks, volume, _ask_words, ["<u8", "<u4"])
-    replies = rounds.answer(requests, ["<u8", "<u4"], _answer_words, ["<u8", "<u8"], {"n": "bigint", "v": "bigint"})
+    n_buckets = rounds.buckets(volume)
+    chunks = rounds.by_hash(d, volume)
+    requests = rounds.ask(chunks, n_buckets, _ask_words, ["<u4"])
+    replies = cut(rounds.answer(requests, ["<u4"], _answer_words, "<u8", ("n", "v")))
 
     def run(t: pa.Table, r: pa.Table) -> pa.Table:
-        known, count = rounds.told(r, ["<u8", "<u8"])
-        order = np.argsort(known)
-        known, count = known[order], count[order]
-        key, row = word_keys(t)
-        c = count[np.searchsorted(known, key)]
+        keys, back, row = _words(t)
+        c = rounds.answers(r, keys, n_buckets, "<u8")[back]
         data, off = text_bytes(t.column("text"))
         m = t.num_rows
         return pa.table({
@@ -267,7 +270,8 @@ def score(docs: DataFrame) -> DataFrame:
             "_logs": pa.array(np.bincount(row, np.log10(c + 0.5), minlength=m)),
             "score": pa.array(built(model.value).score(data, off))})
 
-    scored = chunks.groupBy("_chunk").cogroup(replies.select("_chunk", "r0", "r1").groupBy("_chunk")).applyInArrow(
+    own = replies.select("_chunk", "_bucket", "answer").groupBy("_chunk")
+    scored = chunks.groupBy("_chunk").cogroup(own).applyInArrow(
         run, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, _logs double, score double")
     sums = replies.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("train_tokens"), F.sum("v").alias("_v"))  # one row
     return scored.crossJoin(F.broadcast(sums)).withColumn(
