@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodgelake.llm import classifier, licenses, mixing, packing, ppm, quality, sharding
+from lodgelake.llm import classifier, licenses, mixing, packing, ppm, quality, repeats, sharding
 from lodgelake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,7 @@ QUERIES: dict[str, Query] = {
     "op4_lm_scoring": _on("documents", ppm.op4),
     "op5_license_scan": _on("documents", licenses.op5),
     "op6_quality_rules": _on("documents", quality.op6),
+    "op7_suffix_dedup": _on("documents", repeats.op7),
     "op8_quality_classifier": lambda spark, sf_dir: classifier.op8(
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
     "op9_packing": _on("documents", packing.op9),

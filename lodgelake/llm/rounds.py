@@ -41,34 +41,36 @@ def by_hash(docs: DataFrame, volume: int) -> DataFrame:
 def pack_keys(keys: np.ndarray) -> bytes:
     """Sorted distinct keys as gaps of as few whole bytes as serve best; a gap that doesn't fit stands apart."""
     if not len(keys):
-        return b"\1"
-    gaps = np.diff(keys, prepend=np.uint64(0))
+        return b""
+    used = int(np.bitwise_or.reduce(keys))
+    shift = (used & -used).bit_length() - 1 if used else 0  # low bits that no key uses
+    gaps = np.diff(keys >> np.uint64(shift), prepend=np.uint64(0))
     top = np.sort(gaps)
     cost = [(w * len(gaps) + 8 * (len(gaps) - int(np.searchsorted(top, np.uint64((1 << 8 * w) - 1)))), w)
             for w in range(1, 8)]
     w = min([*cost, (8 * len(gaps), 8)])[1]
     if w == 8:
-        return b"\x08" + gaps.astype("<u8").tobytes()
+        return bytes([w, shift]) + gaps.astype("<u8").tobytes()
     most = np.uint64((1 << 8 * w) - 1)
     far = gaps >= most
     small = np.where(far, most, gaps).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :w]
-    return bytes([w]) + small.tobytes() + gaps[far].astype("<u8").tobytes() + int(far.sum()).to_bytes(8, "little")
+    return bytes([w, shift]) + small.tobytes() + gaps[far].astype("<u8").tobytes() + int(far.sum()).to_bytes(8, "little")
 
 
 def unpack_keys(raw: bytes) -> np.ndarray:
-    w = raw[0]
-    if len(raw) == 1:
+    if not raw:
         return np.zeros(0, np.uint64)
+    w, shift = raw[0], np.uint64(raw[1])
     if w == 8:
-        return np.cumsum(np.frombuffer(raw, "<u8", offset=1), dtype=np.uint64)
+        return np.cumsum(np.frombuffer(raw, "<u8", offset=2), dtype=np.uint64) << shift
     n_far = int.from_bytes(raw[-8:], "little")
-    n = (len(raw) - 9 - 8 * n_far) // w
+    n = (len(raw) - 10 - 8 * n_far) // w
     wide = np.zeros((n, 8), np.uint8)
-    wide[:, :w] = np.frombuffer(raw, np.uint8, n * w, 1).reshape(n, w)
+    wide[:, :w] = np.frombuffer(raw, np.uint8, n * w, 2).reshape(n, w)
     gaps = wide.view("<u8").ravel()
     if n_far:
-        gaps[gaps == (1 << 8 * w) - 1] = np.frombuffer(raw, "<u8", n_far, 1 + n * w)
-    return np.cumsum(gaps, dtype=np.uint64)
+        gaps[gaps == (1 << 8 * w) - 1] = np.frombuffer(raw, "<u8", n_far, 2 + n * w)
+    return np.cumsum(gaps, dtype=np.uint64) << shift
 
 
 def buckets(volume: int) -> int:
