@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodgelake.llm import classifier, licenses, minhash, mixing, packing, ppm, quality, repeats, sharding
+from lodgelake.llm import classifier, embeddings, licenses, minhash, mixing, packing, ppm, quality, repeats, sharding
 from lodgelake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,7 @@ def _on(name: str, operator: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_embedding_dedup": _on("embeddings", embeddings.op1),
     "op2_mixing": _on("documents", mixing.op2),
     "op3_minhash_dedup": _on("documents", minhash.op3),
     "op4_lm_scoring": _on("documents", ppm.op4),
