@@ -216,7 +216,7 @@ def pieces(before: np.ndarray, n: np.ndarray, source: np.ndarray, totals: np.nda
 
 
 def pack(docs: DataFrame, tokenizer_path: str | None = None, seed: int = 23) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids (binary, little-endian 32-bit), doc_tokens, sequence_id, offset."""
+    """One row per piece: doc_id, start, length, ids, ids_crc32, doc_tokens, sequence_id, offset."""
     if tokenizer_path is None:
         import public_tokenizers
 
@@ -243,13 +243,15 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, seed: int = 23) ->
                     out.append(wide.astype("<u4").tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").take(pa.array(row)), pa.array(start), pa.array(length),
-                     pa.array(out, pa.binary()), pa.array([zlib.crc32(x) for x in out], pa.int64()),
+                     pa.ListArray.from_arrays(
+                         pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()),
+                         pa.array(np.frombuffer(b"".join(out), "<i4"))), pa.array([zlib.crc32(x) for x in out], pa.int64()),
                      pa.array(num["_n"][row]), pa.array(w), pa.array(offset)],
                     ["doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     run_ = running_sum(t, "_g", "_h", ["doc_id", "_n", F.xxhash64("_ids")], "_n", "_before")
     return run_.join(index, F.col("_g") == F.col("_sg")).select("doc_id", "_n", "_ids", "_before", "_source") \
-        .mapInArrow(run, "doc_id bigint, start bigint, length bigint, ids binary, ids_crc32 bigint, "
+        .mapInArrow(run, "doc_id bigint, start bigint, length bigint, ids array<int>, ids_crc32 bigint, "
                     "doc_tokens bigint, sequence_id bigint, offset bigint")
 
 
