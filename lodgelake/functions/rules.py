@@ -99,6 +99,19 @@ MSG_QUOTE_PROCESSING_ERROR = "Error processing booking details. Please try again
 MSG_CREATE_PROCESSING_ERROR = "An error occurred while processing your booking. Please try again."
 MSG_ROOM_DELETE_REFUSED = "Cannot delete room with {n} bookings! Please cancel bookings first."
 MSG_USER_DELETE_REFUSED = "Cannot delete user with {n} bookings!"
+MSG_CANCEL_NOT_ALLOWED = "Booking not found or you do not have permission to cancel it"
+MSG_CANCEL_WRONG_STATUS = "Cannot cancel booking with status: "
+MSG_OWN_STATUS = "Cannot modify your own account status"
+MSG_OWN_ROLE = "Cannot modify your own role"
+MSG_USER_NOT_FOUND = "User not found"
+MSG_ROLE_DATA_MISSING = "Missing required data"
+MSG_ROLE_UNKNOWN = "Invalid role"
+
+# replies of this library for what the source has no words for
+MSG_BOOKING_UNKNOWN = "booking not found"
+MSG_COMMAND_UNKNOWN = "unknown command"
+MSG_PROFILE_HELD = "username or email already in use"
+MSG_PROFILE_TAKEN_IN_BATCH = "username or email taken earlier in the batch"
 
 # account validation messages, in the order they are reported
 MSG_USERNAME_REQUIRED = "Username is required"

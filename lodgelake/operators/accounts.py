@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodgelake.functions import rules
 from lodgelake.functions.columns import day_fmt, first_present, iso_day, ts_lit
+from lodgelake.operators.changes import first_come
 from lodgelake.operators.ids import assign_ids
 
 PROFILE_COLUMNS = ["id", "username", "email", "created_at", "last_login", "role", "status"]
@@ -68,20 +69,15 @@ def validate_new_users(new: DataFrame, users: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ U6
 def append_users(checked: DataFrame, users: DataFrame, as_of, status: int = 1, role: str | None = None,
                  checkpoint: bool = False) -> DataFrame:
-    """Valid requests as new accounts; inside one batch the first request for a username or
-    email wins (aggregate minima, so a popular value is no hot window partition).
+    """Valid requests as new accounts, taken one after the other by request_id: a request whose username or email
+    went to an accepted one before it is left out; a request left out blocks nobody.
 
     Self-registration is ``role="user", status=1``; the admin form passes each request's own role
     (``role=None``) and the chosen status."""
     v = checked.filter("valid")
-    first_u = v.groupBy(F.lower("username").alias("_lu")).agg(F.min("request_id").alias("_fu"))
-    first_e = v.groupBy(F.col("email").alias("_le")).agg(F.min("request_id").alias("_fe"))
-    winners = (
-        v.join(first_u, F.lower(v["username"]) == first_u["_lu"])
-        .join(first_e, v["email"] == first_e["_le"])
-        .filter((F.col("request_id") == F.col("_fu")) & (F.col("request_id") == F.col("_fe")))
-        .select("request_id", "username", "email", "role")
-    )
+    won = first_come(v.select("request_id", F.lower("username").alias("_lu"), F.col("email").alias("_le")),
+                     "request_id", ["_lu", "_le"])
+    winners = v.join(won, "request_id", "left_semi").select("request_id", "username", "email", "role")
     rows = winners.select(
         "request_id", "username", "email",
         ts_lit(as_of).alias("created_at"), F.lit(None).cast("timestamp_ntz").alias("last_login"),

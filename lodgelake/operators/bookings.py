@@ -107,7 +107,7 @@ def recent_bookings(bookings: DataFrame, users: DataFrame, hotels: DataFrame,
 
 def upcoming_flags(bookings: DataFrame, as_of) -> DataFrame:
     today = F.to_date(ts_lit(as_of))
-    up = (F.col("check_in") > today) & (F.col("status") == "confirmed")
+    up = (F.col("check_in") > today) & (F.lower("status") == "confirmed")
     return bookings.withColumn("is_upcoming", F.when(up, 1).otherwise(0)).withColumn("cancellable", up)
 
 

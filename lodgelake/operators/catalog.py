@@ -11,8 +11,8 @@ SEARCH_COLUMNS = ["hotel_id", "city", "title", "price", "image", "description"]
 
 
 def _city_filter(hotels: DataFrame, city: str | None) -> DataFrame:
-    # the store compared case-insensitively; empty string means "all cities"
-    if city:
+    # the store compared case-insensitively; an empty string and the page's choice "all" mean all cities
+    if city and city.lower() != "all":
         return hotels.filter(F.lower(F.col("city")) == city.lower())
     return hotels
 

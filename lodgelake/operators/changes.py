@@ -142,12 +142,17 @@ def _booking_command_steps(bookings: DataFrame, cmds: DataFrame, slices=SLICE_LE
     owners = bookings.select(key, F.col("user_id").alias("_owner"), F.col("status").alias("_s0"))
     c = cmds.join(owners, key)
     is_admin = F.col("command").isin("admin_confirm", "admin_cancel")
-    is_owner_cancel = (F.col("command") == "user_cancel") & (F.col("actor_id") == F.col("_owner"))
+    # a command without an actor is nobody's own
+    is_owner_cancel = F.coalesce((F.col("command") == "user_cancel") & (F.col("actor_id") == F.col("_owner")),
+                                 F.lit(False))
     admin_status = F.when(F.col("command") == "admin_confirm", "confirmed").when(
         F.col("command") == "admin_cancel", "cancelled")
     es = _epoch_seconds("ts")
     c = c.select("*", is_admin.alias("_admin"), is_owner_cancel.alias("_cancel"), admin_status.alias("_astat"),
                  *[F.floor(es / w).alias(b) for w, b in zip(levels, bcols)])
+    # the join leaves the rows dealt by booking, which would satisfy every window below and keep a hot
+    # booking in one task: deal them anew by (booking, finest slice)
+    c = c.repartition(key, bcols[0])
 
     # level 0: inclusive running summary inside (booking, finest slice)
     w0 = Window.partitionBy(key, bcols[0]).orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
@@ -211,9 +216,9 @@ def _booking_command_steps(bookings: DataFrame, cmds: DataFrame, slices=SLICE_LE
     )
     reason = (
         F.when(F.col("_admin"), F.lit(None).cast("string"))
-        .when(~F.col("_cancel"), F.lit("Booking not found or you do not have permission to cancel it"))
+        .when(~F.col("_cancel"), F.lit(rules.MSG_CANCEL_NOT_ALLOWED))
         .when(~effective, F.concat(
-            F.lit("Cannot cancel booking with status: "),
+            F.lit(rules.MSG_CANCEL_WRONG_STATUS),
             F.when(~first_in_segment & (base == "confirmed"), F.lit("cancelled")).otherwise(base)))
     )
     return c.select(
@@ -226,11 +231,13 @@ def _booking_command_steps(bookings: DataFrame, cmds: DataFrame, slices=SLICE_LE
 
 
 def booking_command_outcomes(bookings: DataFrame, cmds: DataFrame, slices=SLICE_LEVELS) -> DataFrame:
-    """Per command: applied or refused with a reason (commands on unknown bookings: 'booking not found')."""
+    """Per command: applied or refused with a reason.  On an unknown booking a user's cancel gets the
+    reply of the source; an administrator's command changes no row and is reported as not found."""
     steps = _booking_command_steps(bookings, cmds, slices).drop("_effective_cancel")
     lost = cmds.join(bookings.select("booking_id"), "booking_id", "left_anti").select(
         "seq", "ts", "booking_id", "actor_id", "command", F.lit(False).alias("applied"),
-        F.lit("booking not found").alias("reason"), F.lit(None).cast("string").alias("status_after"))
+        F.when(F.col("command") == "user_cancel", F.lit(rules.MSG_CANCEL_NOT_ALLOWED))
+        .otherwise(F.lit(rules.MSG_BOOKING_UNKNOWN)).alias("reason"), F.lit(None).cast("string").alias("status_after"))
     return steps.unionByName(lost)
 
 
@@ -316,32 +323,49 @@ def resolve_account_targets(cmds: DataFrame, users: DataFrame) -> DataFrame:
     return df.select(*[c for c in cmds.columns if c not in ("user_id", "email")], uid.alias("user_id"))
 
 
-def apply_account_commands(users: DataFrame, cmds: DataFrame) -> DataFrame:
+ACCOUNT_SLICE = 86400
+
+
+def apply_account_commands(users: DataFrame, cmds: DataFrame, slice_seconds: int = ACCOUNT_SLICE) -> DataFrame:
     """Status: toggles (not on oneself) after the last activation, by parity.
     Role: the latest allowed role command (set_role_* not on oneself; make_admin always).
-    Commands may target an account by ``email`` (see ``resolve_account_targets``)."""
-    cmds = resolve_account_targets(cmds, users)
-    self_cmd = F.col("actor_id") == F.col("user_id")
+    Commands may target an account by ``email`` (see ``resolve_account_targets``).
+
+    The log is first summed up per (account, time slice): the last activation and the toggles after it.
+    Only these summaries meet per account, so an account with a third of the log is no single task."""
+    cmds = resolve_account_targets(cmds, users).where(F.col("user_id").isNotNull())
+    self_cmd = F.coalesce(F.col("actor_id") == F.col("user_id"), F.lit(False))
     cmd = F.col("command")
     new_role = (
         F.when((cmd == "set_role_user") & ~self_cmd, "user")
         .when((cmd == "set_role_admin") & ~self_cmd, "admin")
         .when(cmd == "make_admin", "admin")
     )
-    per_user = cmds.groupBy("user_id").agg(
-        F.max(F.when(cmd == "activate", _pos())).alias("_last_activate"),
-        F.max_by(new_role, F.when(new_role.isNotNull(), _pos())).alias("_new_role"),
+    c = cmds.select("user_id", _pos().alias("_p"), F.floor(_epoch_seconds("ts") / slice_seconds).alias("_slice"),
+                    (cmd == "activate").alias("_act"), ((cmd == "toggle_status") & ~self_cmd).alias("_tog"),
+                    new_role.alias("_role"))
+    c = c.repartition("user_id", "_slice")
+    w = Window.partitionBy("user_id", "_slice")
+    parts = (
+        c.withColumn("_last", F.max(F.when(F.col("_act"), F.col("_p"))).over(w))
+        .groupBy("user_id", "_slice").agg(
+            F.max("_last").isNotNull().alias("_has"),
+            F.count_if(F.col("_tog") & (F.col("_last").isNull() | (F.col("_p") > F.col("_last")))).alias("_n"),
+            F.max_by("_role", F.when(F.col("_role").isNotNull(), F.col("_p"))).alias("_role"),
+        )
     )
-    toggles = (
-        cmds.filter((cmd == "toggle_status") & ~self_cmd)
-        .select("user_id", _pos().alias("_p"))
-        .join(per_user.select("user_id", "_last_activate"), "user_id")
-        .filter(F.col("_last_activate").isNull() | (F.col("_p") > F.col("_last_activate")))
-        .groupBy("user_id").agg(F.count(F.lit(1)).alias("_toggles"))
+    # slices from the last one with an activation on: at most one row per slice an account spans
+    per_user = Window.partitionBy("user_id")
+    per_user = (
+        parts.withColumn("_from", F.max(F.when(F.col("_has"), F.col("_slice"))).over(per_user))
+        .groupBy("user_id").agg(
+            F.max("_from").isNotNull().alias("_activated"),
+            F.sum(F.when(F.col("_from").isNull() | (F.col("_slice") >= F.col("_from")), F.col("_n"))).alias("_toggles"),
+            F.max_by("_role", F.when(F.col("_role").isNotNull(), F.col("_slice"))).alias("_new_role"),
+        )
     )
     df = users.join(per_user, users["id"] == per_user["user_id"], "left").drop("user_id")
-    df = df.join(toggles, df["id"] == toggles["user_id"], "left").drop("user_id")
-    base = F.when(F.col("_last_activate").isNotNull(), F.lit(1)).otherwise(F.col("status"))
+    base = F.when(F.coalesce("_activated", F.lit(False)), F.lit(1)).otherwise(F.col("status"))
     n = F.coalesce(F.col("_toggles"), F.lit(0))
     odd = (n % 2) == 1
     status = (
@@ -361,15 +385,22 @@ def apply_account_commands(users: DataFrame, cmds: DataFrame) -> DataFrame:
 
 
 def account_command_outcomes(cmds: DataFrame, users: DataFrame) -> DataFrame:
+    """Per command: applied or refused with the source's reply.  Role changes of an unknown account are
+    reported as done there, as they update no row; only a toggle looks the account up."""
     cmds = resolve_account_targets(cmds, users)
-    self_cmd = F.col("actor_id") == F.col("user_id")
+    self_cmd = F.coalesce(F.col("actor_id") == F.col("user_id"), F.lit(False))
     cmd = F.col("command")
     known = users.select(F.col("id").alias("user_id"), F.lit(True).alias("_known"))
     df = cmds.join(known, "user_id", "left")
+    sets_role = F.coalesce(cmd.startswith("set_role_"), F.lit(False))
     reason = (
-        F.when(F.col("_known").isNull(), "User not found")
-        .when((cmd == "toggle_status") & self_cmd, "Cannot modify your own account status")
-        .when(cmd.isin("set_role_user", "set_role_admin") & self_cmd, "Cannot modify your own role")
+        F.when(sets_role & (F.col("user_id").isNull() | (cmd == "set_role_")), rules.MSG_ROLE_DATA_MISSING)
+        .when(sets_role & self_cmd, rules.MSG_OWN_ROLE)
+        .when(sets_role & ~cmd.isin(*[f"set_role_{r}" for r in rules.ROLES]), rules.MSG_ROLE_UNKNOWN)
+        .when((cmd == "toggle_status") & self_cmd, rules.MSG_OWN_STATUS)
+        .when((cmd == "toggle_status") & F.col("_known").isNull(), rules.MSG_USER_NOT_FOUND)
+        .when(cmd.isNull() | ~(sets_role | cmd.isin("toggle_status", "make_admin", "activate")),
+              rules.MSG_COMMAND_UNKNOWN)
     )
     return df.select(*cmds.columns, reason.isNull().alias("applied"), reason.alias("reason"))
 
@@ -395,11 +426,47 @@ def delete_users(users: DataFrame, bookings: DataFrame, ids: DataFrame) -> DataF
 
 
 # ------------------------------------------------------------------ U9
-def profile_update_outcomes(users: DataFrame, edits: DataFrame) -> DataFrame:
+def first_come(requests: DataFrame, id_col: str, keys: list[str]) -> DataFrame:
+    """Ids of the requests that get all their key values: none of them went to an accepted request with a smaller id.
+
+    Same as taking the requests one by one.  Each round accepts those that are first for every value they ask for
+    and drops those that ask for a value now taken; both are minima per value, so a popular value is no
+    hot group, and whoever meets no rival is settled in the first round.
+    """
+    from lodgelake.session import materialize
+
+    open_ = materialize(requests.select(id_col, *keys))
+    accepted = None
+    while True:
+        for k in keys:
+            first = open_.groupBy(k).agg(F.min(id_col).alias(f"_f_{k}"))
+            open_ = open_.join(first, open_[k].eqNullSafe(first[k]), "left").drop(first[k])
+        won = F.lit(True)
+        for k in keys:
+            won = won & (F.col(k).isNull() | (F.col(f"_f_{k}") == F.col(id_col)))
+        decided = materialize(open_.withColumn("_won", won).select(id_col, *keys, "_won"))
+        now = decided.where("_won").select(id_col)
+        accepted = now if accepted is None else accepted.unionAll(now)
+        open_ = decided.where("NOT _won").drop("_won")
+        for k in keys:  # values that are gone
+            taken = decided.where("_won").select(F.col(k).alias("_t")).where("_t IS NOT NULL").distinct()
+            open_ = open_.join(taken, open_[k] == taken["_t"], "left_anti")
+        open_ = materialize(open_)
+        if open_.isEmpty():
+            return accepted
+
+
+def profile_update_outcomes(users: DataFrame, edits: DataFrame, order_col: str | None = None) -> DataFrame:
     """Each (id, username, email) edit: accepted, or refused when the new username or email (compared
-    case-insensitively) belongs to another user or to an earlier edit in the same batch."""
-    e = edits.select("id", F.trim("username").alias("username"), F.trim("email").alias("email"))
-    lu, le = F.lower(F.col("username")), F.lower(F.col("email"))
+    case-insensitively, as stored, without trimming) belongs to another stored user or went to an accepted edit
+    with a smaller id.  A refused edit blocks nobody.  Of several edits of one user the latest counts
+    (``order_col``; without it the greatest pair of values)."""
+    if order_col:
+        e = latest_per_key(edits.select("id", "username", "email", order_col), "id", order_col)
+    else:
+        e = edits.groupBy("id").agg(F.max(F.struct("username", "email")).alias("_e")).select("id", "_e.*")
+    e = e.select("id", "username", "email", F.lower("username").alias("_lu"), F.lower("email").alias("_le"))
+
     # another user already holds the name / address: holders are aggregated to one row per value
     # (min/max id), so a popular value is compared once per edit, never edit x holder pairs
     def holders(col, name):
@@ -411,22 +478,19 @@ def profile_update_outcomes(users: DataFrame, edits: DataFrame) -> DataFrame:
         return lo.isNotNull() & ((lo != F.col("id")) | (hi != F.col("id")))
 
     hu, he = holders("username", "_lu_h"), holders("email", "_le_h")
-    e2 = e.join(hu, lu == F.col("_lu_h"), "left").join(he, le == F.col("_le_h"), "left")
-    clash = e2.select("id", taken_by_other("_lu_h").alias("_cu"), taken_by_other("_le_h").alias("_ce"))
-    # first edit (lowest id) wins inside the batch: aggregates, so a popular value is not a hot window
-    first_u = e.groupBy(lu.alias("_lu")).agg(F.min("id").alias("_first_u"))
-    first_e = e.groupBy(le.alias("_le")).agg(F.min("id").alias("_first_e"))
-    df = e.join(clash, "id").join(first_u, lu == F.col("_lu"), "left").join(first_e, le == F.col("_le"), "left")
+    e2 = e.join(hu, F.col("_lu") == F.col("_lu_h"), "left").join(he, F.col("_le") == F.col("_le_h"), "left") \
+        .withColumn("_held", taken_by_other("_lu_h") | taken_by_other("_le_h"))
+    ok = first_come(e2.where("NOT _held"), "id", ["_lu", "_le"]).withColumn("_ok", F.lit(True))
     reason = (
-        F.when(F.col("_cu") | F.col("_ce"), "username or email already in use")
-        .when((F.col("_first_u") != F.col("id")) | (F.col("_first_e") != F.col("id")),
-              "username or email taken earlier in the batch")
+        F.when(F.col("_held"), rules.MSG_PROFILE_HELD)
+        .when(F.col("_ok").isNull(), rules.MSG_PROFILE_TAKEN_IN_BATCH)
     )
-    return df.select("id", "username", "email", reason.isNull().alias("accepted"), reason.alias("reason"))
+    return e2.join(ok, "id", "left").select("id", "username", "email", reason.isNull().alias("accepted"),
+                                           reason.alias("reason"))
 
 
-def update_profiles(users: DataFrame, edits: DataFrame) -> DataFrame:
-    ok = profile_update_outcomes(users, edits).filter("accepted").select(
+def update_profiles(users: DataFrame, edits: DataFrame, order_col: str | None = None) -> DataFrame:
+    ok = profile_update_outcomes(users, edits, order_col).filter("accepted").select(
         "id", F.col("username").alias("_u"), F.col("email").alias("_e"))
     df = users.join(ok, "id", "left")
     return df.select(*[

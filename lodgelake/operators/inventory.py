@@ -10,10 +10,12 @@ from lodgelake.functions import rules
 
 def room_availability(rooms: DataFrame, hotel_id: int | None = None) -> DataFrame:
     """Available rooms per (hotel, room type); map-side partial counts make hot hotels cheap."""
-    df = rooms.filter(F.col("status") == "available")
+    df = rooms.filter(F.lower("status") == "available")
     if hotel_id is not None:
         df = df.filter(F.col("hotel_id") == hotel_id)
-    return df.groupBy("hotel_id", "room_type").agg(F.count(F.lit(1)).alias("available_count"))
+    # one group per type whatever its spelling (the smallest is shown), as the store groups
+    return df.groupBy("hotel_id", F.lower("room_type").alias("_type")).agg(
+        F.min("room_type").alias("room_type"), F.count(F.lit(1)).alias("available_count")).drop("_type")
 
 
 def room_availability_map(rooms: DataFrame, hotel_id: int | None = None) -> DataFrame:
@@ -29,7 +31,7 @@ def hotel_inventory(hotels: DataFrame, rooms: DataFrame) -> DataFrame:
     """Rooms and available rooms per hotel; hotels without rooms show 0 and 0."""
     per_hotel = rooms.groupBy("hotel_id").agg(
         F.count("room_id").alias("total_rooms"),
-        F.sum(F.when(F.col("status") == "available", 1).otherwise(0)).alias("available_rooms"),
+        F.sum(F.when(F.lower("status") == "available", 1).otherwise(0)).alias("available_rooms"),
     )
     return (
         hotels.select("hotel_id", "title", "city", "price", "address")
@@ -50,7 +52,7 @@ def room_listing(rooms: DataFrame, hotels: DataFrame, hotel_id: int | None = Non
     if hotel_id is not None:
         r = r.filter(F.col("hotel_id") == hotel_id)
     if status:
-        r = r.filter(F.col("status") == status)
+        r = r.filter(F.lower("status") == status.lower())
     h = hotels.select("hotel_id", F.col("title").alias("hotel_name"), "city")
     df = r.join(h, "hotel_id")
     # the store ordered text case-insensitively

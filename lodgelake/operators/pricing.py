@@ -20,8 +20,6 @@ from lodgelake.functions.columns import (
     refund_policy, season_name, ts_lit,
 )
 
-MAX_CITY_RATE_ROWS = 10_000  # a city table beyond this is not a dimension; join it without broadcast
-
 
 def _rate(pct: str) -> F.Column:
     return F.lit(pct).cast("decimal(3,2)")
@@ -33,7 +31,7 @@ def season(df: DataFrame, check_in: str = "check_in") -> DataFrame:
 
 
 # ------------------------------------------------------------------ P2
-def city_rate(hotels: DataFrame, rates: DataFrame, broadcast_rates: bool = True) -> DataFrame:
+def city_rate(hotels: DataFrame, rates: DataFrame) -> DataFrame:
     """Per hotel: peak and off-peak standard rates; unknown cities take the fallback city's rates.
 
     The lookup is exact and case-sensitive, as the rule set's dictionary lookup was.
@@ -42,8 +40,6 @@ def city_rate(hotels: DataFrame, rates: DataFrame, broadcast_rates: bool = True)
     fb_peak, fb_off = fb.select(F.max("peak")).scalar(), fb.select(F.max("offpeak")).scalar()
     r = rates.select(F.col("city").alias("_rate_city"), F.col("peak").alias("_peak"),
                      F.col("offpeak").alias("_offpeak"))
-    if broadcast_rates:
-        r = F.broadcast(r)
     df = hotels.join(r, hotels["city"] == r["_rate_city"], "left")
     return df.select(
         *[hotels[c] for c in hotels.columns],
@@ -205,7 +201,7 @@ def convert_prices(df: DataFrame, currencies: DataFrame, currency: str, price: s
 # ------------------------------------------------------------------ P11
 def cancellation_quotes(bookings: DataFrame, hotels: DataFrame, as_of, user_id: int | None = None) -> DataFrame:
     """Refund quote for each confirmed booking of a known hotel, by calendar days to check-in."""
-    b = bookings.filter(F.col("status") == "confirmed")
+    b = bookings.filter(F.lower("status") == "confirmed")
     if user_id is not None:
         b = b.filter(F.col("user_id") == user_id)
     h = hotels.select("hotel_id", F.col("title").alias("hotel_name"))

@@ -16,7 +16,7 @@ from lodgelake.functions import rules
 from lodgelake.functions.columns import iso_day, month_key, month_name, ts_lit
 
 def _confirmed() -> F.Column:
-    return F.col("status") == "confirmed"
+    return F.lower("status") == "confirmed"  # the store compares case-insensitively
 
 
 def money_sum(c) -> F.Column:
@@ -33,7 +33,7 @@ def pct_half_up(n, total, scale: int = 2) -> F.Column:
     unit = 10 ** scale
     num = n.cast("long") * (100 * unit * 2) + total
     den = total.cast("long") * 2
-    whole = ((num - F.pmod(num, den)) / den).cast("long")  # exact integer division
+    whole = F.call_function("div", num, F.when(den > 0, den))  # integral division
     return F.when(total > 0, whole.cast("double") / float(unit))
 
 

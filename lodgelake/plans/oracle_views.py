@@ -52,8 +52,8 @@ SELECT event_id AS seq, CAST(ts AS TIMESTAMP) AS ts, event_id % ((SELECT count(*
   FROM events WHERE event_type IN ('purchase','error','click')""",
     "booking_commands": """
 SELECT c.seq, c.ts, c.booking_id, c.command,
-  CASE WHEN c.seq % 10 = 0 THEN b.user_id + 1 ELSE b.user_id END AS actor_id
-  FROM booking_commands_raw c JOIN bookings b ON b.booking_id = c.booking_id""",
+  CASE WHEN c.seq % 17 = 3 THEN NULL WHEN c.seq % 10 = 0 THEN b.user_id + 1 ELSE b.user_id END AS actor_id
+  FROM booking_commands_raw c LEFT JOIN bookings b ON b.booking_id = c.booking_id""",
     "city_rates": """
 SELECT * FROM (VALUES ('Aberdeen',140,70),('Belfast',130,70),('Birmingham',150,75),('Bristol',140,70),('Cardiff',130,70),
   ('Edinburgh',160,80),('Glasgow',150,75),('London',200,100),('Manchester',180,90),('Newcastle',120,70),('Oxford',180,90),
@@ -66,17 +66,20 @@ SELECT event_id AS seq, CAST(ts AS TIMESTAMP) AS ts, event_id * 3 % (SELECT coun
   CASE event_type WHEN 'view' THEN 'available' WHEN 'click' THEN 'maintenance' ELSE 'booked' END AS status
   FROM events WHERE event_type IN ('view','click','signup')""",
     "account_commands": """
-SELECT event_id AS seq, CAST(ts AS TIMESTAMP) AS ts, user_id AS actor_id, event_id % (SELECT count(*) FROM customer) AS user_id,
-  CASE event_type WHEN 'purchase' THEN 'toggle_status' WHEN 'error' THEN 'make_admin' WHEN 'view' THEN 'set_role_user'
-    ELSE 'set_role_admin' END AS command FROM events""",
+SELECT event_id AS seq, CAST(ts AS TIMESTAMP) AS ts, user_id AS actor_id, event_id % ((SELECT count(*) FROM customer) + 7) AS user_id,
+  CASE WHEN event_id % 11 = 5 THEN 'activate' WHEN event_id % 23 = 7 THEN 'set_role_root'
+    WHEN event_id % 29 = 3 THEN 'promote' ELSE CASE event_type WHEN 'purchase' THEN 'toggle_status' WHEN 'error' THEN 'make_admin' WHEN 'view' THEN 'set_role_user'
+    ELSE 'set_role_admin' END END AS command FROM events""",
     "new_hotels": """
 SELECT 100000 + s_suppkey AS hotel_id, s_name AS title, CAST(100 + s_suppkey % 7 * 15 AS DECIMAL(10,2)) AS price FROM supplier""",
     "new_users": """
 SELECT c_custkey AS request_id,
   CASE c_custkey % 7 WHEN 0 THEN '' WHEN 1 THEN ' ab ' WHEN 2 THEN repeat('x', 25) WHEN 3 THEN upper(c_name)
+    WHEN 4 THEN concat('Team.', CAST(c_custkey // 21 AS VARCHAR))
     ELSE concat('new.', CAST(c_custkey AS VARCHAR)) END AS username,
   CASE c_custkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'no-at-sign.com'
     WHEN 2 THEN concat(' MiXed', CAST(c_custkey AS VARCHAR), '@Example.COM ')
+    WHEN 3 THEN concat('n', CAST(c_custkey // 40 AS VARCHAR), '@example.com')
     ELSE concat('n', CAST(c_custkey AS VARCHAR), '@example.com') END AS email,
   CASE WHEN c_custkey % 9 = 0 THEN 'root' ELSE 'user' END AS role FROM customer""",
     "contact_messages": """

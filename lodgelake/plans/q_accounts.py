@@ -50,12 +50,18 @@ def validate_new_users(v):
     return A.validate_new_users(v.new_users, v.users)
 
 
-@query("append_users", VALIDATE_USERS + """
-, ok AS (SELECT * FROM checked WHERE valid),
-w AS (SELECT ok.* FROM ok
-  JOIN (SELECT lower(username) AS lu, min(request_id) AS f FROM ok GROUP BY 1) fu ON lower(ok.username) = fu.lu
-  JOIN (SELECT email AS le, min(request_id) AS f FROM ok GROUP BY 1) fe ON ok.email = fe.le
-  WHERE ok.request_id = fu.f AND ok.request_id = fe.f)
+# one request after the other: the state before request k is what the accepted ones before it took
+@query("append_users", VALIDATE_USERS.replace("WITH r AS", "WITH RECURSIVE r AS", 1) + """
+, ok AS (SELECT *, lower(username) AS lu, row_number() OVER (ORDER BY request_id) AS k FROM checked WHERE valid),
+st(k, names, mails) AS (
+  SELECT CAST(1 AS BIGINT), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[])
+  UNION ALL
+  SELECT st.k + 1,
+    CASE WHEN list_contains(names, ok.lu) OR list_contains(mails, ok.email) THEN names ELSE list_append(names, ok.lu) END,
+    CASE WHEN list_contains(names, ok.lu) OR list_contains(mails, ok.email) THEN mails ELSE list_append(mails, ok.email) END
+  FROM st JOIN ok ON ok.k = st.k),
+w AS (SELECT ok.* FROM ok JOIN st ON st.k = ok.k
+  WHERE NOT list_contains(st.names, ok.lu) AND NOT list_contains(st.mails, ok.email))
 SELECT (SELECT max(id) FROM users) + row_number() OVER (ORDER BY request_id) AS id, username, email,
   AS_OF AS created_at, CAST(NULL AS TIMESTAMP) AS last_login, role, 1 AS status, request_id FROM w""")
 def append_users(v):

@@ -105,12 +105,16 @@ def apply_booking_commands(v):
 
 @query("booking_command_outcomes", REPLAY + """
 SELECT c.seq, c.ts, c.booking_id, c.actor_id, c.command,
-  c.command <> 'user_cancel' OR (c.actor_id = c.owner AND st.prev_status = 'confirmed') AS applied,
+  c.command <> 'user_cancel' OR coalesce(c.actor_id = c.owner AND st.prev_status = 'confirmed', FALSE) AS applied,
   CASE WHEN c.command <> 'user_cancel' THEN NULL
-    WHEN c.actor_id <> c.owner THEN 'Booking not found or you do not have permission to cancel it'
+    WHEN c.actor_id IS DISTINCT FROM c.owner THEN 'Booking not found or you do not have permission to cancel it'
     WHEN st.prev_status <> 'confirmed' THEN concat('Cannot cancel booking with status: ', st.prev_status) END AS reason,
   st.status AS status_after
-FROM cmd c JOIN st ON st.booking_id = c.booking_id AND st.k = c.k""")
+FROM cmd c JOIN st ON st.booking_id = c.booking_id AND st.k = c.k
+UNION ALL
+SELECT c.seq, c.ts, c.booking_id, c.actor_id, c.command, FALSE, CASE WHEN c.command = 'user_cancel'
+  THEN 'Booking not found or you do not have permission to cancel it' ELSE 'booking not found' END, NULL
+FROM booking_commands c WHERE c.booking_id NOT IN (SELECT booking_id FROM bookings)""")
 def booking_command_outcomes(v):
     return X.booking_command_outcomes(v.bookings, v.booking_commands)
 
@@ -189,13 +193,14 @@ def apply_account_commands(v):
 
 
 @query("account_command_outcomes", """
-SELECT c.*, u.id IS NOT NULL AND NOT (c.actor_id = c.user_id AND c.command IN ('toggle_status', 'set_role_user',
-    'set_role_admin')) AS applied,
-  CASE WHEN u.id IS NULL THEN 'User not found'
+SELECT *, reason IS NULL AS applied FROM (SELECT c.*,
+  CASE WHEN c.command IN ('set_role_user', 'set_role_admin', 'set_role_root') AND c.actor_id = c.user_id
+      THEN 'Cannot modify your own role'
+    WHEN c.command = 'set_role_root' THEN 'Invalid role'
     WHEN c.command = 'toggle_status' AND c.actor_id = c.user_id THEN 'Cannot modify your own account status'
-    WHEN c.command IN ('set_role_user', 'set_role_admin') AND c.actor_id = c.user_id
-      THEN 'Cannot modify your own role' END AS reason
-FROM account_commands c LEFT JOIN users u ON c.user_id = u.id""")
+    WHEN c.command = 'toggle_status' AND u.id IS NULL THEN 'User not found'
+    WHEN c.command = 'promote' THEN 'unknown command' END AS reason
+FROM account_commands c LEFT JOIN users u ON c.user_id = u.id)""")
 def account_command_outcomes(v):
     return X.account_command_outcomes(v.account_commands, v.users)
 
@@ -226,17 +231,26 @@ def delete_users(v):
 
 
 PROFILE_EDITS = "SELECT request_id AS id, username, email FROM new_users"
+# one edit after the other: the state before edit k is what the accepted edits before it asked for
 PROFILE_OUTCOMES = f"""
-WITH e AS (SELECT id, trim(username) AS username, trim(email) AS email FROM ({PROFILE_EDITS})),
-cu AS (SELECT DISTINCT e.id FROM e JOIN users u ON lower(e.username) = lower(u.username) AND e.id <> u.id),
-ce AS (SELECT DISTINCT e.id FROM e JOIN users u ON lower(e.email) = lower(u.email) AND e.id <> u.id),
-fu AS (SELECT lower(username) AS lu, min(id) AS f FROM e GROUP BY 1),
-fe AS (SELECT lower(email) AS le, min(id) AS f FROM e GROUP BY 1),
-o AS (SELECT e.id, e.username, e.email,
-  CASE WHEN cu.id IS NOT NULL OR ce.id IS NOT NULL THEN 'username or email already in use'
-    WHEN fu.f <> e.id OR fe.f <> e.id THEN 'username or email taken earlier in the batch' END AS reason
-  FROM e LEFT JOIN cu ON e.id = cu.id LEFT JOIN ce ON e.id = ce.id
-  LEFT JOIN fu ON lower(e.username) = fu.lu LEFT JOIN fe ON lower(e.email) = fe.le)"""
+WITH RECURSIVE e AS (SELECT *, lower(username) AS lu, lower(email) AS le, row_number() OVER (ORDER BY id) AS k
+  FROM ({PROFILE_EDITS})),
+h AS (SELECT e.*, EXISTS (SELECT 1 FROM users u WHERE u.id <> e.id AND lower(u.username) = e.lu)
+    OR EXISTS (SELECT 1 FROM users u WHERE u.id <> e.id AND lower(u.email) = e.le) AS held FROM e),
+st(k, names, mails) AS (
+  SELECT CAST(1 AS BIGINT), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[])
+  UNION ALL
+  SELECT st.k + 1,
+    CASE WHEN h.held OR list_contains(names, h.lu) OR list_contains(mails, h.le) THEN names
+      ELSE list_append(names, h.lu) END,
+    CASE WHEN h.held OR list_contains(names, h.lu) OR list_contains(mails, h.le) THEN mails
+      ELSE list_append(mails, h.le) END
+  FROM st JOIN h ON h.k = st.k),
+o AS (SELECT h.id, h.username, h.email,
+  CASE WHEN h.held THEN 'username or email already in use'
+    WHEN list_contains(st.names, h.lu) OR list_contains(st.mails, h.le)
+      THEN 'username or email taken earlier in the batch' END AS reason
+  FROM h JOIN st ON st.k = h.k)"""
 
 
 def _profile_edits(v):

@@ -44,11 +44,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared lineage-cut folder named by ``spark.checkpoint.dir``.
 
     On a cluster this is set by the deployment and is read from the session.
-    Only when it is unset (local tests) is a fresh local folder created.
+    Only when it is unset and Spark runs in one process (local mode) is a fresh local folder
+    created; other machines could not read it, so a cluster without the setting is an error.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="lodgelake-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def materialize(df):
+    """``df`` written once to the shared folder (a reliable checkpoint, which survives executor loss)."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

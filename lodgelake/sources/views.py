@@ -131,12 +131,14 @@ class DriverViews:
 
     @cached_property
     def booking_commands(self) -> DataFrame:
-        """Commands with their actor: every tenth comes from someone other than the owner."""
+        """Commands with their actor: every tenth comes from someone other than the owner, some from nobody,
+        and some name a booking that does not exist."""
         owners = self.bookings.select("booking_id", "user_id")
         c = self.booking_commands_raw
-        return c.join(owners, "booking_id").select(
+        return c.join(owners, "booking_id", "left").select(
             "seq", "ts", "booking_id", "command",
-            F.when(F.col("seq") % 10 == 0, F.col("user_id") + 1).otherwise(F.col("user_id")).alias("actor_id"),
+            F.when(F.col("seq") % 17 == 3, F.lit(None)).when(F.col("seq") % 10 == 0, F.col("user_id") + 1)
+            .otherwise(F.col("user_id")).alias("actor_id"),
         )
 
     @cached_property
@@ -168,8 +170,9 @@ class DriverViews:
             F.col("event_id").alias("seq"),
             F.col("ts").cast("timestamp_ntz").alias("ts"),
             F.col("user_id").alias("actor_id"),
-            (F.col("event_id") % self._count("customer")).alias("user_id"),
-            F.when(t == "purchase", "toggle_status").when(t == "error", "make_admin")
+            (F.col("event_id") % (self._count("customer") + 7)).alias("user_id"),
+            F.when(F.col("event_id") % 11 == 5, "activate").when(F.col("event_id") % 23 == 7, "set_role_root")
+            .when(F.col("event_id") % 29 == 3, "promote").when(t == "purchase", "toggle_status").when(t == "error", "make_admin")
             .when(t == "view", "set_role_user").otherwise("set_role_admin").alias("command"),
         )
 
@@ -192,9 +195,11 @@ class DriverViews:
             k.alias("request_id"),
             F.when(k % 7 == 0, F.lit("")).when(k % 7 == 1, F.lit(" ab "))
             .when(k % 7 == 2, F.lit("x" * 25)).when(k % 7 == 3, F.upper(F.col("c_name")))
+            .when(k % 7 == 4, F.concat(F.lit("Team."), F.floor(k / 21).cast("string")))
             .otherwise(F.concat(F.lit("new."), ks)).alias("username"),
             F.when(k % 5 == 0, F.lit("")).when(k % 5 == 1, F.lit("no-at-sign.com"))
             .when(k % 5 == 2, F.concat(F.lit(" MiXed"), ks, F.lit("@Example.COM ")))
+            .when(k % 5 == 3, F.concat(F.lit("n"), F.floor(k / 40).cast("string"), F.lit("@example.com")))
             .otherwise(F.concat(F.lit("n"), ks, F.lit("@example.com"))).alias("email"),
             F.when(k % 9 == 0, "root").otherwise("user").alias("role"),
         )
