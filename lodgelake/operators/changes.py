@@ -458,7 +458,7 @@ def first_come(requests: DataFrame, id_col: str, keys: list[str]) -> DataFrame:
 
 def profile_update_outcomes(users: DataFrame, edits: DataFrame, order_col: str | None = None) -> DataFrame:
     """Each (id, username, email) edit: accepted, or refused when the new username or email (compared
-    case-insensitively, as stored, without trimming) belongs to another stored user or went to an accepted edit
+    case-insensitively, untrimmed, as the store compares) belongs to another stored user or went to an accepted edit
     with a smaller id.  A refused edit blocks nobody.  Of several edits of one user the latest counts
     (``order_col``; without it the greatest pair of values)."""
     if order_col:

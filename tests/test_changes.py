@@ -40,7 +40,7 @@ def test_profile_edit_clashes(spark):
         [(1, "ANN", "ann@x.io"),      # own values, different case: accepted
          (2, "bob", "new@x.io"),      # 'bob' also held by user 3: refused
          (3, "carl", "carl@x.io"),    # free, first in batch: accepted
-         (4, "Carl ", "c4@x.io")],    # same name as the earlier edit 3: refused
+         (4, "Carl", "c4@x.io")],     # same name as the earlier edit 3: refused
         "id long, username string, email string")
     got = {r.id: r.accepted for r in X.profile_update_outcomes(users, edits).collect()}
     assert got == {1: True, 2: False, 3: True, 4: False}

@@ -4,10 +4,8 @@ import re
 
 import pytest
 
-import __spark_entry__ as E
 from conftest import SF_SMALL
-
-QUERIES = E.queries()
+from lodgelake.plans.registry import QUERIES
 
 
 def plan(df) -> str:
@@ -47,6 +45,27 @@ def test_booking_fold_never_windows_a_whole_booking(spark):
         assert not re.match(r"booking_id#\d+L?, ts#", spec), spec
 
 
-def test_city_rates_broadcast(spark):
-    p = plan(QUERIES["price_quotes"](spark, SF_SMALL))
-    assert "BroadcastExchange" in p
+def _dealt_by(p: str) -> set[str]:
+    return {re.sub(r"#\d+L?", "", m) for m in re.findall(r"Exchange hashpartitioning\(([^)]*), \d+\)", p)}
+
+
+def test_folds_are_dealt_by_key_and_slice_without_broadcasts(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = plan(QUERIES["apply_booking_commands"](spark, SF_SMALL))
+        assert "booking_id, _b0" in _dealt_by(p)
+        # the first window over commands reads that exchange, not the join's
+        chain = re.findall(r"(Window|Exchange hashpartitioning\([^)]*\)|SortMergeJoin)", p)
+        assert not any(a == "Window" and b.startswith("SortMergeJoin") for a, b in zip(chain, chain[1:]))
+        p = plan(QUERIES["apply_account_commands"](spark, SF_SMALL))
+        assert "user_id, _slice" in _dealt_by(p)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_city_rates_are_not_forced_to_broadcast(spark):
+    import inspect
+
+    from lodgelake.operators import pricing
+    assert "F.broadcast(" not in inspect.getsource(pricing)
