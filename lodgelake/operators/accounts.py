@@ -68,7 +68,7 @@ def validate_new_users(new: DataFrame, users: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ U6
 def append_users(checked: DataFrame, users: DataFrame, as_of, status: int = 1, role: str | None = None,
-                 checkpoint: bool = False) -> DataFrame:
+                 checkpoint: bool = True) -> DataFrame:
     """Valid requests as new accounts, taken one after the other by request_id: a request whose username or email
     went to an accepted one before it is left out; a request left out blocks nobody.
 

@@ -85,12 +85,15 @@ def _feed(bookings: DataFrame, users: DataFrame, hotels: DataFrame) -> DataFrame
     return bookings.join(u, "user_id").join(h, "hotel_id")
 
 
-def bookings_feed(bookings: DataFrame, users: DataFrame, hotels: DataFrame, status: str | None = None) -> DataFrame:
+def bookings_feed(bookings: DataFrame, users: DataFrame, hotels: DataFrame, status: str | None = None,
+                  ordered: bool = True) -> DataFrame:
+    """The feed, newest first; ``ordered=False`` leaves the global sort out where nobody needs the order."""
     b = bookings.filter(F.lower("status") == status.lower()) if status else bookings  # case-insensitive store
-    return _feed(b, users, hotels).select(
+    feed = _feed(b, users, hotels).select(
         *[b[c] for c in b.columns], "customer_name", "email", "hotel_name",
         day_fmt("check_in").alias("check_in_formatted"), day_fmt("check_out").alias("check_out_formatted"),
-    ).orderBy(F.col("booking_date").desc_nulls_last(), F.col("booking_id").desc())
+    )
+    return feed.orderBy(F.col("booking_date").desc_nulls_last(), F.col("booking_id").desc()) if ordered else feed
 
 
 def recent_bookings(bookings: DataFrame, users: DataFrame, hotels: DataFrame,

@@ -1,61 +1,58 @@
-"""Dense id assignment without a single-partition window.
-
-``max(id) + row_number() over (order by k)`` would pull every new row into
-one task.  Instead the numeric order key is cut into ``n`` equal-width value
-buckets.  The bounds come from one min/max scalar subquery, so every
-re-evaluation sees the same buckets (no sampling, no dependence on shuffle
-arrival order).  One window per bucket numbers the rows and counts them;
-the per-bucket counts (at most ``n`` rows) are taken from that same
-window output, so its shuffle is reused, and their running sum, broadcast
-back, offsets each bucket.
+"""Dense id assignment without a single-partition window, even under any key distribution.
+
+``max(id) + row_number() over (order by k)`` would pull every new row into one task.  Instead the rows, written
+once to the shared folder, are cut at quantiles of the key: ranges of about equally many rows wherever the keys
+lie, and whatever cuts were found, as the numbers don't depend on them.  One window per range numbers its rows, the
+ranges' row counts (one small row each) are summed up, and each range adds the counts before it.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodgelake.session import materialize
+
+ROWS_PER_RANGE = 1_000_000
+MOST_RANGES = 10_000
+
 
 def assign_ids(new_rows: DataFrame, order_col: str | list[str], id_col: str, existing: DataFrame | None = None,
                existing_id_col: str | None = None, num_buckets: int | None = None,
-               checkpoint: bool = False) -> DataFrame:
+               checkpoint: bool = True) -> DataFrame:
     """Give ``new_rows`` ids max(existing id) + 1, + 2, ... in order of the unique numeric ``order_col``.
 
-    The input is read twice (bounds, then numbering).  With ``checkpoint=True`` an expensive input
-    is first materialised once into the shared ``spark.checkpoint.dir`` (a reliable checkpoint,
-    which survives executor loss), and both passes read that.
+    The key must be there and not null: without one the numbers would hang on how rows are partitioned.
+    With ``checkpoint=False`` the input, which must then be cheap and stable, is read again for each use.
     """
     key = order_col[0] if isinstance(order_col, list) else order_col
-    spark = new_rows.sparkSession
+    if key not in new_rows.columns:
+        raise ValueError(f"rows need the key {key!r} to be numbered by")
     if checkpoint:
-        from lodgelake.session import checkpoint_dir
-
-        checkpoint_dir(spark)
-        new_rows = new_rows.checkpoint(eager=True)
-    # fine buckets: balanced for the dense keys ids are drawn from (event ids, request sequences);
-    # keys with far outliers would crowd the buckets near the bulk of the values
-    n = num_buckets or 4 * max(spark.sparkContext.defaultParallelism,
-                               int(spark.conf.get("spark.sql.shuffle.partitions", "8")))
-    bounds = new_rows.select(F.struct(F.min(key).alias("lo"), F.max(key).alias("hi"))).scalar()
+        new_rows = materialize(new_rows)
+    seen = new_rows.agg(F.count(F.lit(1)).alias("n"), F.count(key).alias("keys")).first()
+    if seen["n"] != seen["keys"]:
+        raise ValueError(f"the key {key!r} is null in some rows")
+    n = min(MOST_RANGES, num_buckets or math.ceil(seen["n"] / ROWS_PER_RANGE) or 1)
     base = F.lit(1).cast("long")
     if existing is not None:
         base = F.coalesce(existing.select(F.max(existing_id_col or id_col)).scalar(), F.lit(0)).cast("long") + 1
-    # scalars held in columns: each subquery is planned once, not once per reference
-    b = new_rows.select("*", bounds.alias("_bounds"), base.alias("_base"))
-    lo, hi = F.col("_bounds.lo"), F.col("_bounds.hi")
-    width = (hi - lo + 1).cast("double")
-    b = b.withColumn("_bucket", F.least(F.lit(n - 1), F.floor((F.col(key) - lo).cast("double") * n / width)
-                                        .cast("int"))).drop("_bounds")
-    w = Window.partitionBy("_bucket")
-    local = b.select("*", F.row_number().over(w.orderBy(key)).alias("_rn"), F.count(F.lit(1)).over(w).alias("_n"))
-    counts = local.groupBy("_bucket").agg(F.max("_n").alias("_n"))  # at most n rows
-    offsets = counts.select(
-        "_bucket",
-        F.coalesce(F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("_off"),
-    )
+    if n == 1:
+        number = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(key))  # at most ROWS_PER_RANGE rows
+        return new_rows.withColumn("_base", base).withColumn(id_col, F.col("_base") + number - 1).drop("_base")
+    bounds = new_rows.agg(F.percentile_approx(key, [k / n for k in range(1, n)], 20 * n)).first()[0]
+    bounds = F.array(*[F.lit(b) for b in sorted(set(bounds))])
+    b = new_rows.select("*", base.alias("_base"), bounds.alias("_cuts")).withColumn(
+        "_range", F.size(F.filter("_cuts", lambda c: c < F.col(key)))).drop("_cuts")
+    w = Window.partitionBy("_range")
+    local = b.withColumn("_rn", F.row_number().over(w.orderBy(key)))
+    counts = b.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))  # at most n rows
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     return (
-        local.join(F.broadcast(offsets), "_bucket")
+        local.join(F.broadcast(offsets), "_range")
         .withColumn(id_col, F.col("_base") + F.col("_off") + F.col("_rn") - 1)
-        .drop("_bucket", "_rn", "_n", "_off", "_base")
+        .drop("_range", "_rn", "_off", "_base")
     )

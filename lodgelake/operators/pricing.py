@@ -101,16 +101,18 @@ QUOTE_COLUMNS = [
 ]
 
 
-def price_quotes(requests: DataFrame, hotels: DataFrame, rates: DataFrame, as_of) -> DataFrame:
-    """Full quote for every request whose hotel exists: season, city rate, surcharges, discount."""
+def price_quotes(requests: DataFrame, hotels: DataFrame, rates: DataFrame, as_of,
+                 keep: tuple[str, ...] = ()) -> DataFrame:
+    """Full quote for every request whose hotel exists: season, city rate, surcharges, discount.
+    ``keep``: further columns of the requests that go along."""
     h = city_rate(hotels.select("hotel_id", "city"), rates)
     req = requests if "num_nights" in requests.columns else nights(requests)
-    req = req.select("request_id", "hotel_id", "room_type", "check_in", "check_out", "guests", "num_nights")
+    req = req.select("request_id", "hotel_id", "room_type", "check_in", "check_out", "guests", "num_nights", *keep)
     df = season(req.join(h, "hotel_id"))
     df = df.withColumn(
         "standard_price", F.when(F.col("is_peak_season"), F.col("peak_rate")).otherwise(F.col("offpeak_rate")))
     df = advance_discount(surcharges(df), as_of)
-    return df.withColumn("total_price_fmt", money("total_price")).select(*QUOTE_COLUMNS)
+    return df.withColumn("total_price_fmt", money("total_price")).select(*QUOTE_COLUMNS, *keep)
 
 
 def stay_requests(bookings: DataFrame) -> DataFrame:

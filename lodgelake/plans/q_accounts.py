@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from lodgelake.operators import accounts as A
 from lodgelake.operators import quality as Q
 from lodgelake.operators.pricing import price_quotes, stay_requests
+from lodgelake.plans.q_pricing import QUOTES_CTES
 from lodgelake.plans.registry import AS_OF, query
 from lodgelake.sources import sinks as S
 
@@ -203,17 +204,26 @@ def schema_evolution(v):
     return S.ensure_columns(v.bookings, "bookings")
 
 
-@query("append_bookings", """
-WITH q AS (SELECT b.booking_id AS request_id, b.user_id, b.hotel_id, b.room_type, b.check_in, b.check_out, b.guests
-  FROM bookings b JOIN hotels h ON b.hotel_id = h.hotel_id WHERE b.check_in > CAST(AS_OF AS DATE))
-SELECT (SELECT max(booking_id) FROM bookings) + row_number() OVER (ORDER BY request_id) AS booking_id,
-  user_id, hotel_id, room_type, check_in, check_out, guests FROM q""")
+APPENDED = ["booking_id", "user_id", "hotel_id", "room_type", "check_in", "check_out", "guests", "num_nights",
+            "guest_name", "base_price", "peak_surcharge", "room_type_surcharge", "guest_surcharge", "subtotal",
+            "advance_discount_percent", "advance_discount_amount", "total_price", "status", "booking_date"]
+
+
+@query("append_bookings", f"""
+WITH {QUOTES_CTES}
+SELECT (SELECT max(booking_id) FROM bookings) + row_number() OVER (ORDER BY q.request_id) AS booking_id, b.user_id,
+  q.hotel_id, q.room_type, q.check_in, q.check_out, q.guests, CAST(q.num_nights AS INTEGER) AS num_nights,
+  'Guest' AS guest_name, CAST(q.standard_price AS DECIMAL(10,2)) AS base_price,
+  CAST(q.peak_surcharge AS DECIMAL(10,2)) AS peak_surcharge,
+  CAST(q.room_type_surcharge AS DECIMAL(10,2)) AS room_type_surcharge,
+  CAST(q.guest_surcharge AS DECIMAL(10,2)) AS guest_surcharge, CAST(q.subtotal AS DECIMAL(10,2)) AS subtotal,
+  CAST(q.discount_percent AS DECIMAL(5,2)) AS advance_discount_percent,
+  CAST(q.advance_discount AS DECIMAL(10,2)) AS advance_discount_amount,
+  CAST(q.total_price AS DECIMAL(10,2)) AS total_price, 'confirmed' AS status, AS_OF AS booking_date
+FROM quotes q JOIN bookings b ON b.booking_id = q.request_id""")
 def append_bookings(v):
-    # core columns only in the comparison; pricing columns are checked by price_quotes
-    req = stay_requests(v.bookings.filter(F.col("check_in") > F.to_date(F.lit(AS_OF))))
-    q = price_quotes(req, v.hotels, v.city_rates, AS_OF).join(req.select("request_id", "user_id"), "request_id")
-    rows = S.append_bookings(q, v.bookings, AS_OF)
-    return rows.select("booking_id", "user_id", "hotel_id", "room_type", "check_in", "check_out", "guests")
+    q = price_quotes(stay_requests(v.bookings), v.hotels, v.city_rates, AS_OF, keep=("user_id",))
+    return S.append_bookings(q, v.bookings, AS_OF).select(*APPENDED)
 
 
 @query("booking_json")  # rows-only: DuckDB's JSON drops the trailing zeros of money values

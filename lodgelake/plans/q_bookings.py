@@ -170,4 +170,4 @@ SELECT booking_id, coalesce(nullif(customer_name, ''), 'N/A') AS customer_label,
       lower(substr(coalesce(nullif(status, ''), 'unknown'), 2))) END AS status_label
 FROM f""")
 def booking_labels(v):
-    return B.booking_labels(B.bookings_feed(v.bookings, v.users, v.hotels))
+    return B.booking_labels(B.bookings_feed(v.bookings, v.users, v.hotels, ordered=False))

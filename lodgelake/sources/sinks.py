@@ -32,6 +32,11 @@ def conform(df: DataFrame, table: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- S2
+def append_messages(messages: DataFrame, stored: DataFrame | None, as_of, order_col: str) -> DataFrame:
+    """Form rows, which have no id yet, as stored: numbered after the stored messages in order of ``order_col``."""
+    return intake_messages(assign_ids(messages, order_col, "id", stored, "id"), as_of)
+
+
 def intake_messages(messages: DataFrame, as_of) -> DataFrame:
     """Contact messages as stored: status 'new', submitted_at defaulting to the intake time."""
     out = messages.withColumn("status", F.lit("new"))
@@ -41,12 +46,14 @@ def intake_messages(messages: DataFrame, as_of) -> DataFrame:
 
 
 # ---------------------------------------------------------------- S3
-def append_bookings(quotes: DataFrame, bookings: DataFrame | None, as_of, checkpoint: bool = False) -> DataFrame:
-    """Priced requests -> booking rows: new ids after the current maximum, 'confirmed', booked now."""
+def append_bookings(quotes: DataFrame, bookings: DataFrame | None, as_of, checkpoint: bool = True) -> DataFrame:
+    """Priced requests -> booking rows: new ids after the current maximum in order of ``request_id``, 'confirmed',
+    booked now."""
     q = quotes
+    if "request_id" not in q.columns:
+        raise ValueError("quotes need a request_id to be numbered by")
     rows = q.select(
-        "request_id" if "request_id" in q.columns else F.monotonically_increasing_id().alias("request_id"),
-        "user_id", "hotel_id", "room_type", "check_in", "check_out", "guests",
+        "request_id", "user_id", "hotel_id", "room_type", "check_in", "check_out", "guests",
         F.col("num_nights").cast("int").alias("num_nights"),
         F.coalesce(F.col("guest_name"), F.lit(rules.GUEST_NAME_DEFAULT)).alias("guest_name")
         if "guest_name" in q.columns else F.lit(rules.GUEST_NAME_DEFAULT).alias("guest_name"),
@@ -60,10 +67,6 @@ def append_bookings(quotes: DataFrame, bookings: DataFrame | None, as_of, checkp
     return conform(rows, "bookings")
 
 
-def write_append(df: DataFrame, path: str, fmt: str = "parquet") -> None:
-    df.write.mode("append").format(fmt).save(path)
-
-
 def write_bookings(bookings: DataFrame, root: str, mode: str = "append", max_records_per_file: int = 5_000_000,
                    num_partitions: int | None = None) -> None:
     """Store bookings partitioned by booking month and clustered by hotel inside each file.
@@ -90,9 +93,9 @@ def load_bookings(spark, root: str) -> DataFrame:
 
 # ---------------------------------------------------------------- S4
 JSON_OPTIONS = {
-    # second-precision texts, as the relational store kept them; nulls are written, not dropped
-    "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss",
-    "timestampFormat": "yyyy-MM-dd HH:mm:ss",
+    # a fraction of a second is written where there is one; nulls are written, not dropped
+    "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss[.SSSSSS]",
+    "timestampFormat": "yyyy-MM-dd HH:mm:ss[.SSSSSS]",
     "dateFormat": "yyyy-MM-dd",
     "ignoreNullFields": "false",
 }

@@ -7,7 +7,6 @@ location) differ, so a stream over the same rows equals the batch result.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -62,10 +61,12 @@ def _latest_version(spark: SparkSession, state_root: str, before: int) -> str |
     A version is listed only after its snapshot was written completely, so a half-written
     snapshot of a failed batch is never read.
     """
-    try:
-        versions = spark.read.parquet(_manifest(state_root))
-    except AnalysisException:  # no snapshot yet
+    folder = spark._jvm.org.apache.hadoop.fs.Path(_manifest(state_root))
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):  # no snapshot yet
         return None
+    versions = spark.read.schema("batch_id long").parquet(_manifest(state_root))
+    if versions.isEmpty():
+        raise ValueError(f"the version list {_manifest(state_root)} was emptied: the state is lost or the path is wrong")
     best = versions.filter(F.col("batch_id") < before).agg(F.max("batch_id")).first()[0]
     return None if best is None else f"{state_root.rstrip('/')}/v{best:012d}"
 
@@ -88,11 +89,13 @@ def command_stream(commands: DataFrame, initial_state: DataFrame, state_root: st
     def apply_batch(batch: DataFrame, batch_id: int) -> None:
         prev = _latest_version(spark, state_root, batch_id)
         state = initial_state if prev is None else spark.read.schema(state_schema).parquet(prev)
+        batch = batch.persist()  # the fold reads it several times
         new = fold(state, batch)
         new.select(*state_schema.fieldNames()).write.mode("overwrite").parquet(
             f"{state_root.rstrip('/')}/v{batch_id:012d}")
         # list the version only once it is complete (a replayed batch lists it again: harmless)
         spark.createDataFrame([(batch_id,)], "batch_id long").write.mode("append").parquet(_manifest(state_root))
+        batch.unpersist()
 
     w = commands.writeStream.foreachBatch(apply_batch).option("checkpointLocation", checkpoint)
     return w.trigger(**(trigger or {"availableNow": True})).start()
@@ -100,6 +103,8 @@ def command_stream(commands: DataFrame, initial_state: DataFrame, state_root: st
 
 def current_state(spark: SparkSession, state_root: str, schema) -> DataFrame:
     path = _latest_version(spark, state_root, 1 << 62)
+    if path is None:
+        raise ValueError(f"no state under {state_root}")
     return spark.read.schema(schema).parquet(path)
 
 
