@@ -11,9 +11,11 @@ suffixes tie when their first LENGTH bytes are equal.
 * Blocks: the suffixes left are dealt to buckets by a range of their first LENGTH bytes' 64-bit fingerprint, which
   stands in for the bytes.  Each bucket sorts its suffixes alone and finds for every tie whether a document of
   a smaller chunk has it.  Chunks are ranges of doc_id, so a chunk's number is enough to compare with.
-* Whole copies are found first by two 64-bit hashes of the text, and their suffixes never travel.
+* Long ties: whole copies are found first by two 64-bit hashes of the text; of the suffixes left, runs of
+  successive ones between two whose fingerprints end in zero bits are looked up as one.  A run that a smaller
+  doc_id has as a whole is settled, and its suffixes don't travel: the first to have it sends them.
 
-Three rounds of lookups (whole texts, cover samples, suffixes) read one shuffle of the texts; see ``rounds``.  A
+Four rounds of lookups (whole texts, cover samples, runs, suffixes) read one shuffle of the texts; see ``rounds``.  A
 bucket holds a range of keys, one entry per chunk for a frequent string; nothing grows with a group of copies.
 
 Null text counts as empty.  Rows that share a doc_id aren't smaller than each other.  A null doc_id is not
@@ -33,12 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodgelake.llm import rounds
-from lodgelake.llm.common import passes, pick, span_hashes, text_bytes
+from lodgelake.llm.common import mix, passes, pick, span_hashes, text_bytes
 
 LENGTH = 50
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)  # every residue mod 31 is a difference of two of these
 SAMPLE = LENGTH - PERIOD + 1
 _IN_COVER = np.isin(np.arange(PERIOD), COVER)
+SEGMENT = 16
 MOST_RANGES = 100_000
 
 
@@ -90,37 +93,63 @@ class Chunk:
 
     # rounds 2 and 3: strings of one length at chosen places
 
-    def _strings(self, rows: np.ndarray, length: int, places) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Fingerprint, document and place (in the chunk) of the strings that start at ``places`` of ``rows``."""
-        keys, docs, at = [], [], []
+    def _strings(self, length: int, chosen) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Fingerprint, document and place (in the chunk) of the strings that start where ``chosen`` says."""
+        keys, docs, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i, j in passes(self.off):
-            own = self.off[i:j + 1] - self.off[i]
-            part = self.data[self.off[i]:self.off[j]]
-            doc = np.repeat(np.arange(i, j), np.diff(own))
-            place = np.arange(len(part)) - own[doc - i]
-            ok = rows[doc] & (place + length <= np.diff(own)[doc - i]) & places(place, self.off[i], len(part))
-            start = np.flatnonzero(ok)
-            keys.append(span_hashes(part, start, start + length))
-            docs.append(doc[start])
+            start, doc = chosen(i, j, self.off[i:j + 1] - self.off[i])
+            keys.append(span_hashes(self.data[self.off[i]:self.off[j]], start, start + length))
+            docs.append(doc)
             at.append(start + self.off[i])
-        empty = np.zeros(0, np.int64)
-        return (np.concatenate([empty.astype(np.uint64), *keys]), np.concatenate([empty, *docs]),
-                np.concatenate([empty, *at]))
+        return np.concatenate(keys), np.concatenate(docs), np.concatenate(at)
 
     def samples(self, rows: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        key, doc, at = self._strings(rows, SAMPLE, lambda p, _, n: _IN_COVER[p % PERIOD])
+        longest = int(np.diff(self.off).max(initial=0))
+        cover = np.flatnonzero(np.resize(_IN_COVER, longest))
+
+        def chosen(i, j, own):
+            n = np.where(rows[i:j], np.searchsorted(cover, np.diff(own) - SAMPLE, "right"), 0)
+            doc = np.repeat(np.arange(j - i), n)
+            return own[doc] + cover[np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)], doc + i
+
+        key, doc, at = self._strings(SAMPLE, chosen)
         return key >> np.uint64(shift) << np.uint64(shift), doc, at
 
     def suspects(self, shared_at: np.ndarray) -> np.ndarray:
         """Places whose string of LENGTH bytes holds a shared sample."""
-        edge = np.zeros(len(self.data) + PERIOD + 1, np.int32)
-        lo = np.maximum(shared_at - PERIOD + 1, 0)
-        edge += np.bincount(lo, minlength=len(edge)).astype(np.int32)
-        edge -= np.bincount(shared_at + 1, minlength=len(edge)).astype(np.int32)
-        return np.cumsum(edge)[:len(self.data)] > 0
+        return _marked(len(self.data), np.maximum(shared_at - PERIOD + 1, 0), shared_at + 1)
 
     def suffixes(self, rows: np.ndarray, suspect: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        return self._strings(rows, LENGTH, lambda p, a, n: suspect[a:a + n])
+        def chosen(i, j, own):
+            start = np.flatnonzero(suspect[self.off[i]:self.off[j]])
+            doc = np.searchsorted(own, start, "right") - 1
+            ok = rows[doc + i] & (start + LENGTH <= own[doc + 1])
+            return start[ok], doc[ok] + i
+
+        return self._strings(LENGTH, chosen)
+
+
+def _segments(key: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of successive suffixes from one whose fingerprint ends in zero bits to the next such one: the fingerprint of
+    the run, its first and its last suffix.  Equal runs of text are cut alike, wherever they stand."""
+    edge = np.flatnonzero(key & np.uint64(SEGMENT - 1) == 0)
+    lo, hi = edge[:-1], edge[1:]
+    whole = (at[hi] - at[lo] == hi - lo) & (doc[hi] == doc[lo])
+    lo, hi = lo[whole], hi[whole]
+    total = np.concatenate([[np.uint64(0)], np.cumsum(mix(key ^ np.uint64(0x2545F4914F6CDD1D)))])
+    return mix(total[hi + 1] - total[lo] + (hi - lo).astype(np.uint64)), lo, hi
+
+
+def _marked(n: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Which of n places lie in a range [lo, hi)."""
+    edge = np.bincount(lo, minlength=n + 1).astype(np.int32)
+    edge -= np.bincount(hi, minlength=n + 1).astype(np.int32)
+    return np.cumsum(edge)[:n] > 0
+
+
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    keys = np.sort(keys)
+    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
 
 
 def _first_of_chunks(keys: np.ndarray, chunk: np.ndarray, check: np.ndarray | None = None) -> np.ndarray:
@@ -183,33 +212,52 @@ def covered(docs: DataFrame, finish, schema: str) -> DataFrame:
         u, back = np.unique(key, return_inverse=True)
         return c.suspects(at[rounds.answers(_round(r, 2), u, n, rounds.BITS)[back]])
 
-    def ask_suffixes(t: pa.Table, r: pa.Table) -> rounds.Arrays:
+    def suffixes(t: pa.Table, r: pa.Table):
         c = Chunk(t)
         rows = alone(c, r)
-        return [np.unique(c.suffixes(rows, suspect(c, rows, r))[0])]
+        return c, rows, *c.suffixes(rows, suspect(c, rows, r))
 
-    def last(t: pa.Table, r: pa.Table) -> pa.Table:
-        c = Chunk(t)
-        rows = alone(c, r)
-        key, doc, at = c.suffixes(rows, suspect(c, rows, r))
+    def ask_segments(t: pa.Table, r: pa.Table) -> rounds.Arrays:
+        _, _, *own = suffixes(t, r)
+        return [_distinct(_segments(*own)[0])]
+
+    def earlier(c: Chunk, key: np.ndarray, doc: np.ndarray, r: pa.Table, k: int) -> np.ndarray:
+        """Which strings a smaller doc_id has: one in the chunk, or a smaller chunk by the answers of round k."""
         ids = c.doc_id[doc]
         u, back, least, _ = _least(key, ids)
-        hit = at[(ids > least[back]) | rounds.answers(_round(r, 3), u, n, rounds.BITS)[back]]
-        edge = np.bincount(hit, minlength=len(c.data) + LENGTH + 1) - np.bincount(
-            hit + LENGTH, minlength=len(c.data) + LENGTH + 1)
-        gone = np.cumsum(edge)[:len(c.data)] > 0
+        return (ids > least[back]) | rounds.answers(_round(r, k), u, n, rounds.BITS)[back]
+
+    def settled(c: Chunk, key: np.ndarray, doc: np.ndarray, at: np.ndarray, r: pa.Table) -> np.ndarray:
+        """Suffixes that lie in a run which a smaller doc_id has as a whole."""
+        run, lo, hi = _segments(key, doc, at)
+        hit = earlier(c, run, doc[lo], r, 3)
+        return _marked(len(key), lo[hit], hi[hit] + 1)
+
+    def ask_suffixes(t: pa.Table, r: pa.Table) -> rounds.Arrays:
+        c, _, key, doc, at = suffixes(t, r)
+        return [_distinct(key[~settled(c, key, doc, at, r)])]
+
+    def last(t: pa.Table, r: pa.Table) -> pa.Table:
+        c, rows, key, doc, at = suffixes(t, r)
+        known = settled(c, key, doc, at, r)
+        open_ = np.flatnonzero(~known)
+        known[open_] = earlier(c, key[open_], doc[open_], r, 4)
+        hit = at[known]
+        gone = _marked(len(c.data), hit, hit + LENGTH)
         size = np.diff(c.off)
         gone |= np.repeat(~rows & (size >= LENGTH), size)
         return finish(c.t, c.data, c.off, gone)
 
     bits = (rounds.BITS,)
-    one = _tag(rounds.answer(rounds.ask(chunks, n, ask_texts, ["<u8"]), ["<u8"],
-                             lambda k, c, x: (_first_of_chunks(k, c, x), {}), *bits), 1)
+    first = lambda k, c, *check: (_first_of_chunks(k, c, *check), {})
+    one = _tag(rounds.answer(rounds.ask(chunks, n, ask_texts, ["<u8"]), ["<u8"], first, *bits), 1)
     two = _tag(rounds.answer(rounds.ask(chunks, n, ask_samples, ["u1"], one), ["u1"],
                              lambda k, c, x: (_shared(k, c, x), {}), *bits), 2)
-    three = _tag(rounds.answer(rounds.ask(chunks, n, ask_suffixes, [], one.union(two)), [],
-                               lambda k, c: (_first_of_chunks(k, c), {}), *bits), 3)
-    done = chunks.groupBy("_chunk").cogroup(one.union(two).union(three).groupBy("_chunk")).applyInArrow(last, schema)
+    so_far = one.union(two)
+    three = _tag(rounds.answer(rounds.ask(chunks, n, ask_segments, [], so_far), [], first, *bits), 3)
+    so_far = so_far.union(three)
+    four = _tag(rounds.answer(rounds.ask(chunks, n, ask_suffixes, [], so_far), [], first, *bits), 4)
+    done = chunks.groupBy("_chunk").cogroup(so_far.union(four).groupBy("_chunk")).applyInArrow(last, schema)
 
     def untouched(t):
         for batch in t:
@@ -221,7 +269,8 @@ def covered(docs: DataFrame, finish, schema: str) -> DataFrame:
 
 
 def _tag(replies: DataFrame, k: int) -> DataFrame:
-    return replies.withColumn("_round", F.lit(k))
+    # dealt by chunk at once: later rounds read this exchange and don't work the answers out again
+    return replies.withColumn("_round", F.lit(k)).repartition("_chunk")
 
 
 def _round(replies: pa.Table, k: int) -> pa.Table:

@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 8 << 20
-BUCKET_BYTES = 24 << 20
+CHUNK_BYTES = 6 << 20
+BUCKET_BYTES = 12 << 20
 
 Arrays = list[np.ndarray]
 BITS = "bits"  # dtype of an answer of one bit
