@@ -4,10 +4,11 @@ from pyspark.sql import functions as F
 
 from lodgelake.operators import accounts as A
 from lodgelake.operators import quality as Q
-from lodgelake.operators.pricing import price_quotes, stay_requests
-from lodgelake.plans.q_pricing import QUOTES_CTES
+from lodgelake.operators.pricing import cancellation_quotes, price_quotes, stay_requests
+from lodgelake.plans.q_pricing import CANCELLATION_QUOTES, QUOTES_CTES
 from lodgelake.plans.registry import AS_OF, query
 from lodgelake.sources import sinks as S
+from lodgelake.sources.tables import load_declared
 
 IDENTIFIERS = "SELECT username AS identifier FROM new_users UNION ALL SELECT email FROM new_users"
 
@@ -226,11 +227,45 @@ def append_bookings(v):
     return S.append_bookings(q, v.bookings, AS_OF).select(*APPENDED)
 
 
-@query("booking_json")  # rows-only: DuckDB's JSON drops the trailing zeros of money values
+def _json_sql(fields: list[tuple[str, str]]) -> str:
+    """SQL for one JSON object as text; kinds: n number or money, s text, d date, t timestamp, b boolean."""
+    text = {
+        "n": "CAST({c} AS VARCHAR)", "b": "CASE WHEN {c} THEN 'true' WHEN NOT {c} THEN 'false' END",
+        "s": "'\"' || replace(replace({c}, chr(92), chr(92) || chr(92)), '\"', chr(92) || '\"') || '\"'",
+        "d": "'\"' || strftime({c}, '%Y-%m-%d') || '\"'",
+        "t": "'\"' || strftime({c}, '%Y-%m-%d %H:%M:%S.%f') || '\"'",
+    }
+    parts = [f"'\"{c}\":' || coalesce({text[k].format(c=c)}, 'null')" for c, k in fields]
+    return "'{' || " + " || ',' || ".join(parts) + " || '}'"
+
+
+BOOKING_JSON = _json_sql([("booking_id", "n"), ("user_id", "n"), ("hotel_id", "n"), ("room_id", "n"), ("room_type", "s"),
+                          ("check_in", "d"), ("check_out", "d"), ("guests", "n"), ("num_nights", "n"),
+                          ("total_price", "n"), ("status", "s"), ("booking_date", "t")])
+REFUND_JSON = _json_sql([("booking_id", "n"), ("user_id", "n"), ("hotel_name", "s"), ("total_price", "n"),
+                         ("days_until_checkin", "n"), ("cancellation_charges", "n"), ("refund_amount", "n"),
+                         ("policy_message", "s"), ("full_refund", "b")])
+
+
+@query("booking_json", f"SELECT booking_id, {BOOKING_JSON} AS json FROM bookings")
 def booking_json(v):
     return S.to_json_rows(v.bookings, key="booking_id")
 
 
+@query("refund_quote_json", f"""
+WITH quotes AS ({CANCELLATION_QUOTES}) SELECT booking_id, {REFUND_JSON} AS json FROM quotes""")
+def refund_quote_json(v):
+    """The reply to a refund request, as text."""
+    return S.to_json_rows(cancellation_quotes(v.bookings, v.hotels, AS_OF), key="booking_id")
+
+
+@query("typed_scan_orders", """
+SELECT o_orderkey, o_custkey, o_orderstatus, CAST(o_totalprice AS DOUBLE) AS o_totalprice, o_orderdate FROM orders""")
+def typed_scan_orders(v):
+    """A scan with a declared schema; columns it does not name are never read."""
+    return load_declared(v.spark, v.sf_dir, "orders")
+
+
 @query("booking_json_roundtrip", "SELECT * FROM bookings")
 def booking_json_roundtrip(v):
     # export each row as JSON text, parse it back: the typed rows must survive unchanged

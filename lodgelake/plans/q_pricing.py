@@ -168,7 +168,7 @@ def convert_room_prices_usd(v):
     return P.convert_prices(v.rooms, v.currency_rates, "USD", "price")
 
 
-@query("cancellation_quotes", """
+CANCELLATION_QUOTES = """
 WITH c AS (SELECT b.booking_id, b.user_id, h.title AS hotel_name, b.total_price,
     CAST(greatest(0, datediff('day', CAST(AS_OF AS DATE), b.check_in)) AS INTEGER) AS days_until_checkin
   FROM bookings b JOIN hotels h ON b.hotel_id = h.hotel_id WHERE b.status = 'confirmed'),
@@ -183,7 +183,10 @@ SELECT booking_id, user_id, hotel_name, total_price, days_until_checkin,
       WHEN days_until_checkin >= 7 THEN '50% refund (cancellation 7-14 days before check-in)'
       ELSE 'No refund (cancellation less than 7 days before check-in)' END) AS policy_message,
   total_price * rate = 0 AS full_refund
-FROM r""")
+FROM r"""
+
+
+@query("cancellation_quotes", CANCELLATION_QUOTES)
 def cancellation_quotes(v):
     return P.cancellation_quotes(v.bookings, v.hotels, AS_OF)
 

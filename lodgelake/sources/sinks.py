@@ -93,9 +93,9 @@ def load_bookings(spark, root: str) -> DataFrame:
 
 # ---------------------------------------------------------------- S4
 JSON_OPTIONS = {
-    # a fraction of a second is written where there is one; nulls are written, not dropped
-    "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss[.SSSSSS]",
-    "timestampFormat": "yyyy-MM-dd HH:mm:ss[.SSSSSS]",
+    # the whole timestamp, six digits of a second's fraction; nulls are written, not dropped
+    "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS",
+    "timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS",
     "dateFormat": "yyyy-MM-dd",
     "ignoreNullFields": "false",
 }

@@ -17,6 +17,17 @@ def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: declared schemas of driver tables that are read by name and type
+DECLARED = {
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz",
+}
+
+
+def load_declared(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table read with its declared schema: no inference, no column beyond those declared."""
+    return spark.read.schema(DECLARED[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
 def load(spark: SparkSession, root: str, name: str) -> DataFrame:
     """A domain table stored as Parquet under ``root/name`` with its declared schema.
 
