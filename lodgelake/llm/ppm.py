@@ -256,7 +256,7 @@ def score(docs: DataFrame) -> DataFrame:
     n_buckets = rounds.buckets(volume)
     chunks = rounds.by_hash(d, volume)
     requests = rounds.ask(chunks, n_buckets, _ask_words, ["<u4"])
-    replies = cut(rounds.answer(requests, ["<u4"], _answer_words, "<u8", ("n", "v")))
+    replies = rounds.answer(requests, ["<u4"], _answer_words, "<u8", ("n", "v"))
 
     def run(t: pa.Table, r: pa.Table) -> pa.Table:
         keys, back, row = _words(t)
