@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import zipfile
 from collections.abc import Iterator
@@ -17,7 +18,7 @@ from lodgelake.session import checkpoint_dir
 DOCUMENT = {"doc_id": "bigint", "text": "string", "lang": "string", "source": "string", "n_chars": "bigint"}
 
 #: bytes of text that one numpy pass holds at a time; a longer document is a pass of its own
-PASS_BYTES = 1 << 21
+PASS_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -109,6 +110,19 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), off
 
 
+try:
+    _TRIM = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # another C library
+    _TRIM = None
+
+
+def release() -> None:
+    """Gives memory that arrays no longer use back to the system: Python workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 def passes(off: np.ndarray, most: int = PASS_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of documents of at most ``most`` bytes together, or one longer document."""
     i, n = 0, len(off) - 1
@@ -117,6 +131,7 @@ def passes(off: np.ndarray, most: int = PASS_BYTES) -> Iterator[tuple[int, int]]
         j = min(j, n)
         yield i, j
         i = j
+    release()
 
 
 LOWER = np.arange(256, dtype=np.uint8)

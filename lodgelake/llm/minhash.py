@@ -153,8 +153,8 @@ def _estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        x, y = (b.column(c).to_pylist() for c in ("_set", "_pivot_set"))
-        ok = [linked(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) for p, q in zip(x, y, strict=True)]
+        ok = [linked(np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64))
+              for p, q in zip(b.column("_set"), b.column("_pivot_set"), strict=True)]
         yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("pivot")], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
@@ -230,7 +230,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     crossing = part.groupBy(*group).applyInArrow(
         _crossing, "_key bigint, _i int, _j int, rep bigint, component bigint, _sketch binary")
     second = crossing.join(sets, "rep").groupBy(*group).applyInArrow(_joining, "a bigint, b bigint")
-    comp = components(first.union(second))
+    comp = components(first.union(cut(second)))  # cut, so that no task needs two Python workers at once
     rep = signed.join(classes.select(*sets_of, "rep"), sets_of, "left")
     return rep.join(comp.toDF("rep", "_c"), "rep", "left").select(
         "doc_id", "n_shingles",

@@ -54,7 +54,8 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: Fr
     d = pick(docs).select(
         "*", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.when(F.col("source").isNull(), "n").otherwise(F.concat(F.lit("s"), "source")).alias("_g"),
-        F.xxhash64("doc_id", F.lit(seed)).alias("_h"),
+        F.when(F.col("doc_id").isNull(), F.xxhash64("text", F.lit(seed)))  # rows without an id are spread as well
+        .otherwise(F.xxhash64("doc_id", F.lit(seed))).alias("_h"),
     )
     rows = bounded_rows(d.groupBy("_g").agg(F.sum("size").alias("n")), MOST_SOURCES, "sources")
     rows = sorted(rows, key=lambda r: (r[0] == "n", r[0]))  # by code point, null last

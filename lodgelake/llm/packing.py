@@ -36,7 +36,7 @@ MOST_SOURCES = 65536
 TOKENIZER = "word_bpe_49k.json"
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, 10]] = True  # always white space to the tokenizer, which drops it and never joins across it
-_MOST_KEPT, _MOST_WORDS = 750_000, 100_000
+_MOST_KEPT, _MOST_WORDS = 1_000_000, 100_000
 # the tokenizer's own split of a part, and its printable stand-ins for bytes
 _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 _PLAIN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -55,11 +55,31 @@ class Tokens:
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[int, int] = {}
+        # sorted keys and the place of each: many in the first pair, the latest in the second
+        self.known = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))] * 2
         self.words: dict[str, list[int]] = {}
         self.ids, self.start = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64)
         self.n = 0
 
+    def _places(self, keys: np.ndarray) -> np.ndarray:
+        """Place of each key, -1 for one that is not known."""
+        out = np.full(len(keys), -1, np.int64)
+        for have, place in self.known:
+            if len(have):
+                at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
+                out = np.where(have[at] == keys, place[at], out)
+        return out
+
+    def _keep(self, keys: np.ndarray) -> None:
+        late = [np.concatenate(x) for x in zip(self.known[1], (keys, np.arange(self.n, self.n + len(keys))), strict=True)]
+        if len(late[0]) > _MOST_KEPT // 8:
+            late = [np.concatenate(x) for x in zip(self.known[0], late, strict=True)]
+            self.known[0] = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        order = np.argsort(late[0])
+        pair = (late[0][order], late[1][order])
+        empty = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        self.known = [pair, empty] if len(pair[0]) > _MOST_KEPT // 8 else [self.known[0], pair]
+
     def _word(self, word: str) -> list[int]:
         got = self.words.get(word)
         if got is None:
@@ -77,7 +97,7 @@ class Tokens:
             return [i for w in _WORD.findall(text.lower()) for i in self._word(w)]
         return self.tok.encode(text, add_special_tokens=False).ids
 
-    def _learn(self, keys: list[int], parts: list[str]) -> None:
+    def _learn(self, keys: np.ndarray, parts: list[str]) -> None:
         ids = [np.array(self.part(p), np.uint32) for p in parts]
         flat = np.concatenate(ids)
         end = np.cumsum([len(x) for x in ids]) + int(self.start[self.n])
@@ -87,7 +107,7 @@ class Tokens:
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
         self.ids[self.start[self.n]:end[-1]] = flat
         self.start[self.n + 1:self.n + 1 + len(parts)] = end
-        self.place.update(zip(keys, range(self.n, self.n + len(parts))))
+        self._keep(keys)
         self.n += len(parts)
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,23 +116,23 @@ class Tokens:
         keys, first, back = np.unique(span_hashes(data, start, end), return_index=True, return_inverse=True)
         if self.n + len(keys) > _MOST_KEPT:
             self.clear()
-        names = keys.tolist()
-        new = [k for k, x in enumerate(names) if x not in self.place]
-        if new:
+        place = self._places(keys)
+        new = np.flatnonzero(place < 0)
+        if len(new):
             raw = data.tobytes()
-            self._learn([names[k] for k in new],
-                        [raw[start[f]:end[f]].decode("utf-8", "replace") for f in first[new].tolist()])
-        at = np.fromiter(map(self.place.__getitem__, names), np.int64, len(names))[back]
+            self._learn(keys[new], [raw[start[f]:end[f]].decode("utf-8", "replace") for f in first[new].tolist()])
+            place = self._places(keys)
+        at = place[back]
         lo, m = self.start[at], self.start[at + 1] - self.start[at]
         n_docs = len(off) - 1
         # an END_ID part after each document's parts
         per_doc = np.bincount(doc, minlength=n_docs)
-        place = np.arange(len(at)) + doc
+        slot = np.arange(len(at)) + doc
         ends = np.cumsum(per_doc) + np.arange(n_docs)
         length = np.ones(len(at) + n_docs, np.int64)
-        length[place] = m
+        length[slot] = m
         source = np.zeros(len(length), np.int64)
-        source[place] = lo
+        source[slot] = lo
         to = np.cumsum(length) - length
         out = self.ids[np.repeat(source - to, length) + np.arange(int(length.sum()))]
         out[to[ends]] = END_ID
@@ -221,7 +241,9 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, seed: int = 23) ->
         import public_tokenizers
 
         tokenizer_path = public_tokenizers.path(TOKENIZER)
-    t = cut(tokenized(docs, tokenizer_path)).withColumn("_h", F.xxhash64("doc_id", F.lit(seed)))
+    t = cut(tokenized(docs, tokenizer_path)).withColumn(
+        "_h", F.when(F.col("doc_id").isNull(), F.xxhash64("_ids", F.lit(seed)))  # rows without an id are spread as well
+        .otherwise(F.xxhash64("doc_id", F.lit(seed))))
     rows = sorted(bounded_rows(t.groupBy("_g").agg(F.sum("_n")), MOST_SOURCES, "sources"))
     spark = docs.sparkSession
     index = F.broadcast(spark.createDataFrame(  # one row per source, at most MOST_SOURCES

@@ -47,7 +47,7 @@ MOST_RANGES = 100_000
 
 def by_range(docs: DataFrame, volume: int) -> DataFrame:
     """``docs`` with ``_chunk``: ranges of doc_id of about as many rows; equal ids share a chunk."""
-    n = min(MOST_RANGES, max(1, math.ceil(volume / rounds.CHUNK_BYTES)))
+    n = min(MOST_RANGES, max(1, math.ceil(1.5 * volume / rounds.CHUNK_BYTES)))
     if n == 1:
         return docs.withColumn("_chunk", F.lit(0))
     part = docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], max(10_000, 20 * n))).first()[0]
