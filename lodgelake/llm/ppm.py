@@ -5,12 +5,16 @@ symbol it was followed by its count over total + distinct symbols (method C); th
 the context shortened by its oldest symbol, where the symbols already seen in the longer one are excluded
 from the counts.  Below the empty context all symbols left are alike.
 
-Counting covers all training documents: tasks count (ORDER + 1)-grams, Spark adds them up, shorter
-contexts are sums of these.  A node stays in the trie when its count is at least a 2^-PRUNE part of all,
-so at most 2^PRUNE nodes per order are kept whatever the corpus: the bound of what is broadcast.  What is cut
-below a context is part of its escape.  Exclusion needs only the next longer context, as a symbol kept in it
-is kept in every shorter one; so each context's whole distribution is worked out once, and scoring is a walk
-down the trie and one lookup for each symbol, on whole arrays.
+Counting covers all training documents and no gram is left out, however rare.  Tasks count
+the (ORDER + 1)-grams of all documents, Spark adds them up, and shorter grams are sums of these.  Exclusion needs only the next longer context, as a symbol seen in it is seen in every
+shorter one: three numbers of a context (total, distinct symbols, and how much of its parent's total its symbols
+hold) settle it.  So the probability of every gram that occurs in any document is worked out from the empty
+context upwards, one order a step, by joins of a gram with the gram one symbol shorter and windows over a
+context's at most SYMBOLS grams; nothing is broadcast and no key is hot.  Chunks of documents ask for their grams
+(see rounds).
+
+``learn`` and ``Model`` hold the same model whole in memory, as a trie with the whole distribution of each
+context: for small tables only, to compare with.
 
 The unigram base of the contract asks for counts of words over all training documents; rare words are too many
 to broadcast, so chunks of documents ask for them (see rounds).
@@ -22,17 +26,18 @@ empty result.  Extra columns are left out.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodgelake.llm import rounds
-from lodgelake.llm.common import LOWER, cut, passes, pick, span_hashes, spans, text_bytes
+from lodgelake.llm.common import LOWER, cut, mix, passes, pick, span_hashes, spans, text_bytes
 
-ORDER, PRUNE = 5, 20
+ORDER = 5
 SYMBOLS, END = 257, 256
 _BITS = 9
 _MASK = (1 << _BITS) - 1
@@ -80,10 +85,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     parts, held = [], 0
     for batch in batches:
         data, off = text_bytes(batch.column("text"))
+        train = ~batch.column("held_out").to_numpy(zero_copy_only=False)
         for i, j in passes(off):
-            sym, place, _ = symbols(data, off[i:j + 1])
-            u, n = np.unique(codes(sym, place), return_counts=True)
-            parts.append((u, n))
+            sym, place, doc = symbols(data, off[i:j + 1])
+            u, back = np.unique(codes(sym, place), return_inverse=True)
+            parts.append((u, np.bincount(back, train[i:j][doc], minlength=len(u)).astype(np.int64)))
             held += len(u)
             if held > 3_000_000:
                 parts = [_merge(parts)]
@@ -100,23 +106,24 @@ def _grams(code: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(code[a:a + 100_000]), pa.array(n[a:a + 100_000])], ["code", "n"])
 
 
+def counted(docs: DataFrame) -> DataFrame:
+    """gram and n of every (ORDER + 1)-gram; ``n`` is 0 where only held-out documents hold it."""
+    return cut(docs.select("text", "held_out").mapInArrow(_count, "code bigint, n bigint")
+               .groupBy(F.col("code").alias("gram")).agg(F.sum("n").alias("n")))
+
+
 Level = tuple[np.ndarray, np.ndarray]
 
 
 def learn(texts: DataFrame) -> list[tuple[Level, Level]]:
-    """For each order: kept (gram, count) and kept (context, total), sorted; at most 2^PRUNE of each."""
-    grams = cut(texts.select("text").mapInArrow(_count, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")))
-    total = grams.agg(F.sum("n")).first()[0] or 0
-    least = max(1, -(-total // (1 << PRUNE)))
-    levels = grams.select("n", F.explode(F.array(*[
-        F.struct(F.lit(k).alias("order"), F.col("code").bitwiseAND((1 << _BITS * (k + 1)) - 1).alias("gram"))
+    """For each order: (gram, count) and (context, total), sorted; all of them, so of a small table only."""
+    levels = counted(texts.withColumn("held_out", F.lit(False))).select("n", F.explode(F.array(*[
+        F.struct(F.lit(k).alias("order"), F.col("gram").bitwiseAND((1 << _BITS * (k + 1)) - 1).alias("gram"))
         for k in range(ORDER + 1)])).alias("x")).select("x.order", "x.gram", "n")
-    most = (ORDER + 1) << PRUNE
-    sums = levels.groupBy("order", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    contexts = levels.groupBy("order", F.shiftright("gram", _BITS).alias("gram")).agg(F.sum("n").alias("n")) \
-        .where(F.col("n") >= least)
+    sums = levels.groupBy("order", "gram").agg(F.sum("n").alias("n"))
+    contexts = levels.groupBy("order", F.shiftright("gram", _BITS).alias("gram")).agg(F.sum("n").alias("n"))
     out = []
-    kept, total_of = (_bounded(x, most) for x in (sums, contexts))
+    kept, total_of = (_rows(x) for x in (sums, contexts))
     for k in range(ORDER + 1):
         pair = []
         for x in (kept, total_of):
@@ -127,9 +134,8 @@ def learn(texts: DataFrame) -> list[tuple[Level, Level]]:
     return out
 
 
-def _bounded(nodes: DataFrame, most: int) -> np.ndarray:
-    got = nodes.limit(most + 1).toArrow()
-    assert got.num_rows <= most, "more trie nodes than their bound"
+def _rows(nodes: DataFrame) -> np.ndarray:
+    got = nodes.toArrow()
     return np.stack([got.column(c).to_numpy() for c in ("order", "gram", "n")], axis=1).astype(np.int64)
 
 
@@ -202,14 +208,91 @@ class Model:
         return out
 
 
-_BUILT: list = [None, None]
+# ---------------------------------------------------------------- grams of all documents
 
-
-def built(levels: list) -> Model:
-    """The model, worked out once in each Python worker, which keeps the broadcast value between tasks."""
-    if _BUILT[0] is not levels:
-        _BUILT[:] = [levels, Model(levels)]
-    return _BUILT[1]
+def _grams_of(t: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each pass: its first row, its distinct grams, the place of each gram among them, and its row."""
+    data, off = text_bytes(t.column("text"))
+    for i, j in passes(off):
+        sym, place, doc = symbols(data, off[i:j + 1])
+        u, back = np.unique(codes(sym, place), return_inverse=True)
+        yield i, u, back.astype(np.int32), (doc + i).astype(np.int32)
+
+
+def _ask_grams(t: pa.Table) -> rounds.Arrays:
+    return [np.sort(mix(np.unique(np.concatenate([u for _, u, _, _ in _grams_of(t)])).astype(np.uint64)))]
+
+
+def probabilities(grams: DataFrame) -> DataFrame:
+    """gram and logp (log10) of every gram counted.
+
+    ``escaped`` is the log10 of the share of a symbol not seen in the context in what escapes from it.
+    """
+    def low(k: int) -> Column:
+        return F.col("gram").bitwiseAND(F.lit((1 << _BITS * k) - 1))
+
+    sums = [grams]
+    for k in range(ORDER, 0, -1):
+        sums.insert(0, cut(sums[0].groupBy(low(k).alias("gram")).agg(F.sum("n").alias("n"))))
+    seen = F.col("n") > 0
+    w = Window.partitionBy(F.shiftright("gram", _BITS))
+    stats = {"total": F.sum("n").over(w), "q": F.sum(seen.cast("long")).over(w)}
+    own = F.log10(F.col("n") / (F.col("total") + F.greatest("q", F.lit(1))))
+    escape = F.log10(F.greatest("q", F.lit(1)) / (F.col("total") + F.greatest("q", F.lit(1))))
+    out = sums[0].withColumns(stats) \
+        .withColumn("escaped", -F.log10(F.greatest(F.lit(SYMBOLS) - F.col("q"), F.lit(1)).cast("double"))) \
+        .withColumn("logp", F.when(seen, own).otherwise(escape + F.col("escaped")))
+    for k in range(1, ORDER + 1):
+        up = out.select(*[F.col(c).alias(f"{c}_up") for c in ("gram", "n", "total", "q", "escaped", "logp")])
+        rest = F.greatest(F.col("q_up") - F.col("q"), F.lit(1))
+        out = sums[k].withColumn("gram_up", low(k)).join(up, "gram_up") \
+            .withColumns({**stats, "gone": F.coalesce(F.sum(F.when(seen, F.col("n_up"))).over(w), F.lit(0))}) \
+            .withColumn("rest", rest) \
+            .withColumn("escaped", F.when(F.col("n_up") > 0, F.log10(F.col("n_up").cast("double")))
+                        .otherwise(F.log10(F.col("rest").cast("double")) + F.col("escaped_up"))
+                        - F.log10((F.col("total_up") - F.col("gone") + F.col("rest")).cast("double"))) \
+            .withColumn("logp", F.when(F.col("total") == 0, F.col("logp_up")).when(seen, own)
+                        .otherwise(escape + F.col("escaped"))) \
+            .drop("gone", "rest", *[f"{c}_up" for c in ("gram", "n", "total", "q", "escaped", "logp")])
+    return out.select("gram", F.col("logp").cast("float"))
+
+
+def _placed(n_buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = mix(batch.column("gram").to_numpy().astype(np.uint64))
+            order = np.argsort(keys)
+            names, at = rounds.cuts(keys[order], n_buckets)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(names, np.diff(at)).astype(np.int32)), pa.array(keys[order].view(np.int64)),
+                 batch.column("logp").take(pa.array(order))], ["_bucket", "key", "logp"])
+
+    return run
+
+
+def _answer_grams(t: pa.Table, known: pa.Table) -> pa.Table:
+    keys = known.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    keys, logp = keys[order], known.column("logp").to_numpy()[order]
+    answer = [logp[np.searchsorted(keys, rounds.unpack_keys(x.as_py()))].astype("<f4").tobytes()
+              for x in t.column("keys")]
+    return pa.table({"_chunk": t.column("_chunk"), "_bucket": t.column("_bucket"),
+                     "answer": pa.array(answer, pa.binary())})
+
+
+def _score_grams(t: pa.Table, replies: pa.Table, n_buckets: int) -> np.ndarray:
+    """log10 probability of each text of a chunk."""
+    parts = list(_grams_of(t))
+    code = np.unique(np.concatenate([u for _, u, _, _ in parts]))
+    keys = mix(code.astype(np.uint64))
+    order = np.argsort(keys)
+    logp = np.zeros(len(code))
+    logp[order] = rounds.answers(replies, keys[order], n_buckets, "<f4")
+    out = np.zeros(t.num_rows)
+    for i, u, back, row in parts:
+        part = np.bincount(row - i, logp[np.searchsorted(code, u)][back])
+        out[i:i + len(part)] += part
+    return out
 
 
 # ---------------------------------------------------------------- words
@@ -251,26 +334,29 @@ def _answer_words(keys: np.ndarray, chunk: np.ndarray, n: np.ndarray) -> tuple[n
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of every document."""
     d = pick(docs, {"doc_id": "bigint", "text": "string"}).withColumn("held_out", fold(F.col("doc_id")) == 1)
-    model = docs.sparkSession.sparkContext.broadcast(learn(d.where(~F.col("held_out"))))  # bounded, see above
     volume = rounds.text_volume(d)
     n_buckets = rounds.buckets(volume)
     chunks = rounds.by_hash(d, volume)
+    known = probabilities(counted(d)).mapInArrow(_placed(n_buckets), "_bucket int, key bigint, logp float")
+    told = rounds.ask(chunks, n_buckets, _ask_grams).groupBy("_bucket").cogroup(known.groupBy("_bucket")).applyInArrow(
+        _answer_grams, "_chunk int, _bucket int, answer binary")
     requests = rounds.ask(chunks, n_buckets, _ask_words, ["<u4"])
     replies = rounds.answer(requests, ["<u4"], _answer_words, "<u8", ("n", "v"))
 
     def run(t: pa.Table, r: pa.Table) -> pa.Table:
         keys, back, row = _words(t)
-        c = rounds.answers(r, keys, n_buckets, "<u8")[back]
-        data, off = text_bytes(t.column("text"))
+        of_gram = r.column("_gram")
+        c = rounds.answers(r.filter(pc.invert(of_gram)), keys, n_buckets, "<u8")[back]
         m = t.num_rows
         return pa.table({
             "doc_id": t.column("doc_id"), "held_out": t.column("held_out"),
             "n_tokens": pa.array(np.bincount(row, minlength=m)),
             "n_known": pa.array(np.bincount(row[c > 0], minlength=m)),
             "_logs": pa.array(np.bincount(row, np.log10(c + 0.5), minlength=m)),
-            "score": pa.array(built(model.value).score(data, off))})
+            "score": pa.array(_score_grams(t, r.filter(of_gram), n_buckets))})
 
-    own = replies.select("_chunk", "_bucket", "answer").groupBy("_chunk")
+    own = replies.select("_chunk", "_bucket", "answer", F.lit(False).alias("_gram")) \
+        .unionAll(told.withColumn("_gram", F.lit(True))).groupBy("_chunk")
     scored = chunks.groupBy("_chunk").cogroup(own).applyInArrow(
         run, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, _logs double, score double")
     sums = replies.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("train_tokens"), F.sum("v").alias("_v"))  # one row

@@ -242,6 +242,45 @@ def test_ppm_is_the_recursion(spark, make, monkeypatch):
         assert model.score(data, np.array([0, len(data)]))[0] == pytest.approx(want, rel=1e-5)
 
 
+def test_op4_counts_every_gram(make, monkeypatch):
+    """The score of each document from all grams of the training documents, however rare each is among them."""
+    monkeypatch.setattr(ppm, "PRUNE", 6, raising=False)  # a cap on the grams held must not exist
+    monkeypatch.setattr(rounds, "CHUNK_BYTES", 3000)
+    monkeypatch.setattr(rounds, "BUCKET_BYTES", 5000)
+    rows = [r for r in ROWS if len(r[1] or "") < 900] + [(9, "Unseen \x00 ÿ"), (17, "qzqz zq")]
+    syms = [(i, [256] * ppm.ORDER + list((t or "").translate(LOWER).encode()) + [256]) for i, t, *_ in rows]
+    count = collections.defaultdict(collections.Counter)
+    for i, x in syms:
+        if _fold(i) != 1:
+            for at in range(ppm.ORDER, len(x)):
+                for k in range(ppm.ORDER + 1):
+                    count[tuple(x[at - k:at])][x[at]] += 1
+
+    def prob(context, s):
+        while context not in count:
+            context = context[1:]
+        out, excluded = 0.0, set()
+        while True:
+            own = {x: m for x, m in count[context].items() if x not in excluded}
+            escape = max(len(own), 1)
+            whole = sum(own.values()) + escape
+            if s in own:
+                return out + math.log10(own[s] / whole)
+            out += math.log10(escape / whole)
+            excluded |= set(own)
+            if not context:
+                return out - math.log10(max(1, 257 - len(excluded)))
+            context = context[1:]
+
+    want = collections.defaultdict(list)
+    for i, x in syms:
+        want[i].append(sum(prob(tuple(x[at - ppm.ORDER:at]), x[at]) for at in range(ppm.ORDER, len(x))))
+    assert any(_fold(i) == 1 for i in want)
+    got = by_id(ppm.op4(make(rows)), "doc_id", "score")
+    for i, scores in want.items():
+        assert sorted(r[0] for r in got[i]) == pytest.approx(sorted(scores), rel=1e-5)
+
+
 def test_rounds_pack_keys():
     rng = np.random.default_rng(7)
     for n, b in ((0, 9), (1, 62), (3, 62), (5000, 40), (5000, 18), (5000, 62)):
