@@ -3,10 +3,12 @@
 Each half of the unit vectors has a codebook of its own (k-means on a bounded sample); the product of the two
 codebooks is a grid of cells, and every vector lies in one.  A vector's neighbours at a cosine of at least
 ``least`` are within r = sqrt(2 - 2 least) of it.  How far it is from the bisector between its own and another
-centroid tells how likely a neighbour lies beyond: a displacement of length r without a preferred direction is
-about normal along any line, with deviation r / sqrt(dimension).  The multi-sequence traversal visits
-cells in order of the two halves' squared distances together, nearest first, and ends where what lies further
-would hold less than 1 - ``target_recall`` of the neighbours.  Visited cells are verified by exact cosines in
+centroid tells how likely a neighbour lies beyond.  The multi-sequence traversal visits cells in order of the two
+halves' squared distances together, nearest first, and ends at a reach beyond which less than
+1 - ``target_recall`` of the neighbours lie: the largest of that of a displacement without preferred direction
+(about normal along any line, with deviation r / sqrt(dimension)) and those measured on the sample, its vectors
+displaced to a cosine of ``least`` along differences of other sample vectors, and along differences of neighbours.
+No neighbour lies further than r.  Visited cells are verified by exact cosines in
 double precision, so no link below the threshold is made.  (Tests measure recall against brute force.)
 
 Equal vectors are one class, counted with its size.  A vector visits cells of a larger number than its own, and each
@@ -35,6 +37,7 @@ from lodgelake.llm.common import cut, pick
 from lodgelake.llm.graph import components, forest
 
 SAMPLE, MOST_CENTROIDS, CELL_ROWS, KMEANS_ROUNDS = 4096, 1024, 256, 8
+DRAWS = 16384  # displaced vectors that set a reach
 BLOCK = 4096
 _SLICE = 256
 _GRID = 1 << 10  # cells of one dimension: _GRID x _GRID
@@ -62,11 +65,12 @@ def distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 class Grid:
     """The two codebooks of one dimension."""
 
-    def __init__(self, x: np.ndarray, k: int):
+    def __init__(self, x: np.ndarray, k: int, least: float, target_recall: float):
         rng = np.random.default_rng(3)
         self.half = x.shape[1] // 2
         self.books = [codebook(part, k, rng) for part in self.halves(x)]
         self.apart = [np.sqrt(np.maximum(distances(c, c), 1e-300)) for c in self.books]
+        self.reach = self.fitted(x, least, target_recall, rng)
 
     def halves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return x[:, :self.half], x[:, self.half:]
@@ -75,16 +79,51 @@ class Grid:
         a, b = (distances(p, c).argmin(axis=1) for p, c in zip(self.halves(x), self.books, strict=True))
         return a * _GRID + b
 
-    def traversal(self, x: np.ndarray, reach: float) -> Iterator[np.ndarray]:
-        """For each vector the cells in order of distance, its own first, up to ``reach``."""
+    def beyond(self, x: np.ndarray) -> list[np.ndarray]:
+        """For each half and vector its squared distance from the bisectors between its own and each centroid."""
         sides = []
         for p, c, apart in zip(self.halves(x), self.books, self.apart, strict=True):
             d = distances(p, c)
             own = d.argmin(axis=1)
-            beyond = np.maximum(d - d[np.arange(len(d)), own][:, None], 0) / (2 * apart[own])
-            beyond[np.arange(len(d)), own] = 0
-            sides.append(beyond ** 2)
-        for one, two in zip(*sides, strict=True):
+            far = np.maximum(d - d[np.arange(len(d)), own][:, None], 0) / (2 * apart[own])
+            far[np.arange(len(d)), own] = 0
+            sides.append(far ** 2)
+        return sides
+
+    def fitted(self, x: np.ndarray, least: float, target_recall: float, rng: np.random.Generator) -> float:
+        """How far a traversal goes, see above."""
+        r = math.sqrt(2 - 2 * least)
+        reach = NormalDist().inv_cdf(target_recall) * r / math.sqrt(x.shape[1])
+        kinds = [(rng.integers(0, len(x), DRAWS), rng.integers(0, len(x), DRAWS))]
+        near = []
+        for s in range(0, len(x), _SLICE):
+            cosine = x[s:s + _SLICE] @ x.T
+            p, q = np.nonzero((cosine >= least) & (cosine < 1 - 1e-9))
+            some = rng.permutation(len(p))[:DRAWS * _SLICE // len(x) + 1]
+            near.append((p[some] + s, q[some]))
+        kinds.append(tuple(np.concatenate(side) for side in zip(*near, strict=True)))
+        for p, q in kinds:
+            far = []
+            for s in range(0, len(p), 1024):
+                u = x[p[s:s + 1024]] - x[q[s:s + 1024]]
+                base = x[rng.integers(0, len(x), len(u))]
+                u -= (u * base).sum(axis=1, keepdims=True) * base
+                length = np.linalg.norm(u, axis=1, keepdims=True)
+                base, u = base[length[:, 0] > 1e-9], (u / np.maximum(length, 1e-9))[length[:, 0] > 1e-9]
+                moved = least * base + math.sqrt(1 - least * least) * u
+                for one, other in ((base, moved), (moved, base)):
+                    cell = self.cells(other)
+                    a, b = self.beyond(one)
+                    at = np.arange(len(one))
+                    far.append(a[at, cell // _GRID] + b[at, cell % _GRID])
+            if far and sum(map(len, far)):
+                reach = max(reach, math.sqrt(np.quantile(np.concatenate(far), target_recall, method="higher")))
+        return min(reach, r)
+
+    def traversal(self, x: np.ndarray) -> Iterator[np.ndarray]:
+        """For each vector the cells in order of distance, its own first, up to the reach."""
+        reach = self.reach
+        for one, two in zip(*self.beyond(x), strict=True):
             i, j = np.flatnonzero(one <= reach ** 2), np.flatnonzero(two <= reach ** 2)
             far = one[i][:, None] + two[j]
             near = np.flatnonzero(far.ravel() <= reach ** 2)
@@ -130,7 +169,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, target_recall: floa
     grids = {}
     for size in sorted({len(v) for v in sample}):
         x = unit([v for v in sample if len(v) == size], dtype)
-        grids[size] = Grid(x, min(k, len(x)))
+        grids[size] = Grid(x, min(k, len(x)), least, target_recall)
     grids = spark.sparkContext.broadcast(grids)  # at most 2 x MOST_CENTROIDS half vectors per length in the sample
 
     def by_length(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, Grid | None, np.ndarray, int]]:
@@ -154,7 +193,6 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, target_recall: floa
     blocks = spark.sparkContext.broadcast(counts)
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = NormalDist().inv_cdf(target_recall)
         for whole in batches:
             for start in range(0, whole.num_rows, 1024):
                 b = whole.slice(start, 1024)
@@ -162,8 +200,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, target_recall: floa
                 ids = b.column("_id").to_numpy()
                 row, cell, block, guest = [], [], [], []
                 for at, grid, x, first in by_length(b):
-                    reach = z * math.sqrt((2 - 2 * least) / x.shape[1])
-                    paths = grid.traversal(x, reach) if grid else ([0] for _ in at)
+                    paths = grid.traversal(x) if grid else ([0] for _ in at)
                     for i, path in zip(at.tolist(), paths, strict=True):
                         home = int(own[i])
                         mine = int(ids[i] % blocks.value[home])

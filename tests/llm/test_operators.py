@@ -71,6 +71,25 @@ def test_op1_links_equal_brute_force(spark, make):
     assert got[None] == (0, None, True)
 
 
+def test_op1_recall_where_few_directions_vary(spark, monkeypatch):
+    """Neighbours that differ as the data do, most in few directions, are found too; 63 centroids a half."""
+    monkeypatch.setattr(embeddings, "CELL_ROWS", 4000 / 63 ** 2)
+    rng = np.random.default_rng(12)
+    scale = np.arange(1, 129) ** -1.0
+    x = rng.normal(size=(2000, 128)) * scale
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    u = rng.normal(size=x.shape) * scale
+    u -= (u * x).sum(axis=1, keepdims=True) * x
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    c = rng.uniform(0.951, 0.97, (len(x), 1))
+    x = np.concatenate([x, c * x + np.sqrt(1 - c * c) * u])
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id bigint, embedding array<double>")
+    got = {r[0]: r[1] for r in embeddings.op1(df.repartition(4)).collect()}
+    near = x @ x.T >= 0.95
+    np.fill_diagonal(near, False)
+    assert sum(got.values()) >= 0.998 * near.sum()
+
+
 def test_op1_blocks_and_empty(spark, monkeypatch):
     assert embeddings.op1(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).collect() == []
     monkeypatch.setattr(embeddings, "BLOCK", 7)  # a hot cell is cut into blocks
