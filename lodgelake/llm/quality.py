@@ -2,15 +2,17 @@
 
 Two histograms are taken of each whole text: character classes, and common words of several languages
 with one bin for all others.  A reference is the sum of the histograms of all documents of one language
-(one row per language reaches the driver, at most MOST_LANGUAGES).  The verdict rejects a document whose
+(one row per language).  Only the languages named in COMMON give one: any other value of ``lang``, null and wrong
+tags included, might be a heap of junk that judges itself.  The verdict rejects a document whose
 distance to the nearest reference is above the limit for its length: limit + slack / sqrt(words), as short
 texts stray more.  Guards: documents under MIN_WORDS words fail the base rule and are not measured;
-a language with fewer than REFERENCE_WORDS words gives no reference; without any reference nothing is
-rejected by distance.
+a language with fewer than REFERENCE_WORDS words gives no reference.  A document whose own language has no
+reference is not measured either: its distances are 0 and it is not rejected by distance, whatever other
+languages the table holds.
 
 Base rules: under MIN_WORDS words, or over half of the words in repeated 3-word windows, fails.
 
-Null or empty text: no words, base_failed.  Null language: a language of its own.  Repeated rows count each.
+Null or empty text: no words, base_failed.  Null language: not measured.  Repeated rows count each.
 An empty table gives an empty result.  Extra columns are left out.
 """
 
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodgelake.llm.common import LOWER, SPACE, bounded_rows, grams, mix, passes, pick, span_hashes, spans, text_bytes
+from lodgelake.llm.common import LOWER, SPACE, grams, mix, passes, pick, span_hashes, spans, text_bytes
 
 # fixed values: frequent function words by language
 COMMON = {
@@ -36,7 +38,6 @@ WORDS = sorted({w for line in COMMON.values() for w in line.split()})
 
 MIN_WORDS = 50
 REFERENCE_WORDS = 2000
-MOST_LANGUAGES = 4096
 CLASS_LIMIT, CLASS_SLACK = 0.12, 1.0
 WORD_LIMIT, WORD_SLACK = 0.14, 2.1
 
@@ -153,12 +154,13 @@ def _partial_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         ["lang", "hist"])
 
 
-def references(docs: DataFrame) -> list[np.ndarray]:
-    """One histogram for each language with enough words, over all documents."""
-    part = pick(docs).select("text", "lang").mapInArrow(_partial_sums, "lang string, hist array<bigint>")
+def references(docs: DataFrame) -> dict[str, np.ndarray]:
+    """One histogram for each language of COMMON with enough words, over all documents."""
+    part = pick(docs).select("text", "lang").where(F.col("lang").isin(*COMMON)) \
+        .mapInArrow(_partial_sums, "lang string, hist array<bigint>")
     sums = part.groupBy("lang").agg(*[F.sum(F.col("hist")[i]).alias(f"_{i}") for i in range(BINS)])
-    rows = [np.array(r[1:], np.int64) for r in bounded_rows(sums, MOST_LANGUAGES, "languages")]
-    return [r for r in rows if r[_CLASSES:].sum() >= REFERENCE_WORDS]
+    rows = {r[0]: np.array(r[1:], np.int64) for r in sums.collect()}  # at most one per language of COMMON
+    return {name: r for name, r in rows.items() if r[_CLASSES:].sum() >= REFERENCE_WORDS}
 
 
 def quality(docs: DataFrame) -> DataFrame:
@@ -169,11 +171,13 @@ def quality(docs: DataFrame) -> DataFrame:
         for batch in batches:
             n = batch.num_rows
             base, far = np.zeros((n, 5), np.int64), np.zeros((n, 2))
+            measured = np.array([x in refs for x in batch.column("lang").to_pylist()], bool)
             for i, j, b, hist in _measured(batch):
                 base[i:j] = b
                 if refs:
-                    far[i:j, 0] = np.min([js_distance(hist[:, :_CLASSES], r[:_CLASSES]) for r in refs], axis=0)
-                    far[i:j, 1] = np.min([js_distance(hist[:, _CLASSES:], r[_CLASSES:]) for r in refs], axis=0)
+                    far[i:j, 0] = np.min([js_distance(hist[:, :_CLASSES], r[:_CLASSES]) for r in refs.values()], axis=0)
+                    far[i:j, 1] = np.min([js_distance(hist[:, _CLASSES:], r[_CLASSES:]) for r in refs.values()], axis=0)
+            far[~measured] = 0
             words = base[:, 0]
             failed = (words < MIN_WORDS) | (100 * base[:, 4] > 50 * words)
             root = np.sqrt(np.maximum(words, 1))

@@ -362,6 +362,28 @@ def test_op6_base_counts(docs):
         assert not any(r[5] and r[6] for r in got[i])
 
 
+def test_op6_languages_without_reference(make):
+    """A verdict doesn't hang on the other languages of the table, and junk gives no reference."""
+    import random
+    rng = random.Random(11)
+    common = {g: line.split() for g, line in quality.COMMON.items()}
+
+    def text(g, n=200):
+        return " ".join(rng.choice(common[g]) if rng.random() < 0.5 else
+                        "".join(rng.choice("abcdeilnorst") for _ in range(6)) for _ in range(n))
+
+    russian = " ".join("".join(rng.choice("абвгдежзиклмнопрст") for _ in range(6)) for _ in range(104))
+    junk = [" ".join("".join(rng.choice("#*$%&|<>") for _ in range(5)) for _ in range(200)) for _ in range(25)]
+    rows = [(i, text("en"), "en", "a") for i in range(20)]
+    rows += [(100, russian, "ru", "a"), (101, junk[0], "en", "a")]
+    heap = [(200 + i, t, "zz" if i % 2 else None, "a") for i, t in enumerate(junk)]  # with 2000 words each
+    heap += [(300 + i, " ".join("q%d" % rng.randrange(10**6) for _ in range(200)) + " " + t, "zz", "a")
+             for i, t in enumerate(junk)]
+    for table in (rows, rows + heap):
+        kept = {r["doc_id"]: r["kept"] for r in quality.op6(make(table)).collect()}
+        assert kept[100] and not kept[101] and all(kept[i] for i in range(20))
+
+
 def test_js_distance_bounds():
     p = np.array([[1, 0, 0], [5, 5, 0], [0, 0, 9], [0, 0, 0]])
     d = quality.js_distance(p, np.array([2, 2, 0]))
