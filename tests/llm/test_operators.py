@@ -343,6 +343,26 @@ def test_op5_base_and_blocks(make):
     assert ",".join(["gpl"]) in {r[5] for r in got[10]}
 
 
+def test_op5_other_licenses_in_the_templates(make):
+    """A notice that names another license is not the template's, however many of the other words it shares."""
+    texts = {
+        1: ("Released under the Apache License", "apache"), 2: ("released under the zlib license", ""),
+        3: ("licensed under the artistic license version 2 0", ""),
+        4: ("this work is licensed under the european union public license version 3", ""),
+        5: ("this work is licensed under the gnu free documentation license version 3", ""),
+        6: ("this program is free software you can redistribute it and or modify it under the terms of the zlib license", ""),
+        7: ("subject to the terms of the eclipse public license v 2 0", ""),
+        8: ("licensed under odc by nc 4 0", ""), 9: ("all rights reserved any part of this may be reproduced", ""),
+        11: ("Released under the terms of MIT", ""), 12: ("released under the MIT X11 licence", "mit"),
+        13: ("subject to the terms of the Mozilla public licence v 2 0", "mpl"),
+        14: ("licensed under CC BY-SA 4.0", "cc"),
+        15: ("licensed under the Apache licence version 2 0", "apache"),
+        16: ("Redistribution and use in source and binary forms, with or without change, are permitted", "bsd"),
+    }
+    got = by_id(licenses.op5(make([(i, t) for i, (t, _) in texts.items()])), "doc_id", "labels")
+    assert {i: r[0][0] for i, r in got.items()} == {i: label for i, (_, label) in texts.items()}
+
+
 # ---------------------------------------------------------------- op6
 
 def test_op6_base_counts(docs):
