@@ -7,7 +7,7 @@ location) differ, so a stream over the same rows equals the batch result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -36,9 +36,32 @@ def dedupe_resubmits(messages: DataFrame, within: str = "1 minute") -> DataFrame
     )
 
 
-def dedupe_resubmits_batch(messages: DataFrame) -> DataFrame:
-    """Batch form over a closed set: one row per identical content, keeping the earliest id."""
-    return messages.groupBy(*RESUBMIT_KEYS).agg(F.min("id").alias("id"))
+def dedupe_resubmits_batch(messages: DataFrame, within: str = "1 minute") -> DataFrame:
+    """Batch form over a closed set: a message is dropped less than ``within`` (a minute at least) after the kept one
+    of the same content; of equal times the smallest id is kept.
+
+    A minute of one content is one row before the window, so its order holds no single messages; only messages that
+    follow each other within ``within`` without a break are settled together, one after the other.
+    """
+    t = F.col("submitted_at")
+    span = F.expr(f"INTERVAL {within}")
+    w = Window.partitionBy(*RESUBMIT_KEYS).orderBy("_first")
+    minutes = (
+        messages.groupBy(*RESUBMIT_KEYS, t).agg(F.min("id").alias("id"))
+        .groupBy(*RESUBMIT_KEYS, F.to_date(t).alias("_day"), F.hour(t).alias("_hour"), F.minute(t).alias("_minute"))
+        .agg(F.min("submitted_at").alias("_first"), F.max("submitted_at").alias("_last"),
+             F.collect_list(F.struct("submitted_at", "id")).alias("_sent"))
+    )
+    fresh = F.coalesce(F.col("_first") >= F.lag("_last").over(w) + span, F.lit(True))
+    bursts = (
+        minutes.withColumn("_fresh", fresh).withColumn("_burst", F.sum(F.col("_fresh").cast("long")).over(w))
+        .groupBy(*RESUBMIT_KEYS, "_burst").agg(F.array_sort(F.flatten(F.collect_list("_sent"))).alias("_sent"))
+    )
+    sent = bursts.schema["_sent"].dataType.simpleString()
+    kept = F.aggregate("_sent", F.array().cast(sent), lambda kept, m: F.when(
+        (F.size(kept) > 0) & (m["submitted_at"] < F.get(kept, F.size(kept) - 1)["submitted_at"] + span), kept)
+        .otherwise(F.concat(kept, F.array(m))))
+    return bursts.select(F.explode(kept).alias("_kept"), *RESUBMIT_KEYS).select(*RESUBMIT_KEYS, "_kept.id")
 
 
 def intake_stream(messages: DataFrame, as_of, sink_path: str, checkpoint: str, dedupe: bool = False,

@@ -112,3 +112,16 @@ def test_room_and_account_streams_equal_batch(spark, views, scratch):
         feeds.command_stream(stream, state, root, ck, fold=fold).awaitTermination()
         got = feeds.current_state(spark, root, state.schema)
         assert rows(got, *cols) == rows(fold(state, cmds), *cols)
+
+
+def test_batch_dedupe_drops_only_near_resubmits(spark):
+    from datetime import datetime, timedelta
+
+    start = datetime(1998, 1, 1, 10, 0, 50)
+    at = {1: 0, 2: 0, 3: 30, 4: 59, 5: 60, 6: 100, 7: 121, 8: 30 * 86400}
+    rows = [(i, "n", None, "s", "m", start + timedelta(seconds=x)) for i, x in at.items()]
+    rows += [(20, "other", None, "s", "m", start), (21, "n", None, "s", "m", None), (22, "n", None, "s", "m", None)]
+    df = spark.createDataFrame(
+        rows, "id int, name string, email string, subject string, message string, submitted_at timestamp_ntz")
+    got = sorted(r["id"] for r in feeds.dedupe_resubmits_batch(df.repartition(3)).collect())
+    assert got == [1, 5, 7, 8, 20, 21]
