@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodgelake.llm import classifier, embeddings, licenses, minhash, mixing, packing, ppm, quality, repeats, sharding
+from lodgelake.llm import (audit, classifier, embeddings, licenses, minhash, mixing, packing, ppm, quality, repeats,
+                           sharding, spelling, toxicity)
 from lodgelake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +21,14 @@ def _on(name: str, operator: Callable[[DataFrame], DataFrame]) -> Query:
     return run
 
 
+def _on_labelled(operator: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return operator(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+    run.__doc__ = operator.__doc__
+    return run
+
+
 QUERIES: dict[str, Query] = {
     "op1_embedding_dedup": _on("embeddings", embeddings.op1),
     "op2_mixing": _on("documents", mixing.op2),
@@ -28,10 +37,12 @@ QUERIES: dict[str, Query] = {
     "op5_license_scan": _on("documents", licenses.op5),
     "op6_quality_rules": _on("documents", quality.op6),
     "op7_suffix_dedup": _on("documents", repeats.op7),
-    "op8_quality_classifier": lambda spark, sf_dir: classifier.op8(
-        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")),
+    "op8_quality_classifier": _on_labelled(classifier.op8),
     "op9_packing": _on("documents", packing.op9),
     "op10_sharding": _on("documents", sharding.op10),
+    "op11_toxicity": _on_labelled(toxicity.op11),
+    "op12_filter_audit": _on_labelled(audit.op12),
+    "op13_spelling_variants": _on("documents", spelling.op13),
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op12_filter_audit": audit.SQL}
