@@ -51,7 +51,10 @@ class Tokens:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        # names of tokens of their own, found in the raw text before anything else; none holds white space
+        self.added = tuple(t.content for t in self.tok.get_added_tokens_decoder().values())
+        if any(c.isspace() for name in self.added for c in name):
+            raise ValueError("a token's name holds white space, so parts can't be encoded apart")
         self.clear()
 
     def clear(self) -> None:
@@ -92,8 +95,9 @@ class Tokens:
 
     def part(self, text: str) -> list[int]:
         """Ids of a part.  Below U+0100 the tokenizer's normal form is lower case alone, so its words go to its
-        model one by one, which is cheaper than a whole encoding; any other part is encoded whole."""
-        if text.isascii() or max(text) < "\u0100":
+        model one by one, which is cheaper than a whole encoding; any other part, and one that holds the name of a
+        token of its own, is encoded whole."""
+        if (text.isascii() or max(text) < "\u0100") and not any(name in text for name in self.added):
             return [i for w in _WORD.findall(text.lower()) for i in self._word(w)]
         return self.tok.encode(text, add_special_tokens=False).ids
 
@@ -278,4 +282,6 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, seed: int = 23) ->
 
 
 def op9(docs: DataFrame) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id and offset of every piece; see the module for nulls,
+    empty texts and repeats."""
     return pack(docs).drop("ids")

@@ -525,8 +525,7 @@ def test_tokens_equal_the_tokenizer():
     path = public_tokenizers.path("word_bpe_49k.json")
     tok = Tokenizer.from_file(path)
     texts = ["á x", "  foo\n\nbar\tbaz", "ΟΔΟΣ ΟΔΟΣ", "x y", "İstanbul I", "don't can 't we'LL", " ", "", "12½ 3e\x1cf",
-             "it's 'squote ª º µ ÿ ß Ø×÷", "<|endoftext|> x", "日本 語", "\x00\x01 a\x85b", "a" * 400]
-    tok.encode_special_tokens = True
+             "it's 'squote ª º µ ÿ ß Ø×÷", "<|endoftext|> x", "x<|endoftext|>y <|ENDOFTEXT|> é<|startoftext|><|endoftext|>", "日本 語", "\x00\x01 a\x85b", "a" * 400]
     data = np.frombuffer("".join(texts).encode(), np.uint8)
     off = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
     ids, at = packing.Tokens(path).encode(data, off)
