@@ -19,7 +19,7 @@ No step emits pairs within a group: rows are one per member and band (or pair of
 more than BLOCK members that are still not joined).
 
 Null or empty text: the empty set, linked with nothing.  Fewer than 5 words: one shingle of all.  Rows that share a
-doc_id are one vertex.  A null doc_id is not compared: its component is null, and it is kept.  An empty table
+doc_id are one vertex: the classes of their texts are joined, and all have one component.  A null doc_id is not compared: its component is null, and it is kept.  An empty table
 gives an empty result.  Extra columns are left out.
 """
 
@@ -114,10 +114,10 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             where[full] = np.arange(len(full))
             bands = band.view(np.int64).tolist()
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id")[i:j], pa.array(np.diff(at)), pa.array(ids[:, 0]), pa.array(ids[:, 1]),
+                [batch.column("doc_id")[i:j], batch.column("_text")[i:j], pa.array(np.diff(at)), pa.array(ids[:, 0]), pa.array(ids[:, 1]),
                  pa.array([bands[w] if w >= 0 else [] for w in where], pa.list_(pa.int64())),
                  pa.array([sketch[w].tobytes() if w >= 0 else b"" for w in where], pa.binary())],
-                ["doc_id", "n_shingles", "_s1", "_s2", "_bands", "_sketch"])
+                ["doc_id", "_text", "n_shingles", "_s1", "_s2", "_bands", "_sketch"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,14 +187,24 @@ def _joining(t: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every document."""
+SETS = ["n_shingles", "_s1", "_s2"]
+
+
+def _of_shared_ids(signed: DataFrame) -> DataFrame:
+    """(doc_id, set) of the ids whose rows hold different sets, the empty set included."""
+    one = F.struct(*SETS)
+    shared = signed.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(one).alias("_lo"), F.max(one).alias("_hi")) \
+        .where("_lo <> _hi").select("doc_id")
+    return signed.join(shared, "doc_id", "left_semi").select("doc_id", *SETS).distinct()
+
+
+def _linked_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The signed rows; the classes of equal sets (SETS, rep); confirmed links (a, b) between classes."""
     d = pick(docs, {"doc_id": "bigint", "text": "string"})
-    signed = cut(d.mapInArrow(
-        _signed, "doc_id bigint, n_shingles bigint, _s1 bigint, _s2 bigint, _bands array<bigint>, _sketch binary"))
-    sets_of = ["n_shingles", "_s1", "_s2"]
+    signed = cut(d.withColumn("_text", F.xxhash64("text")).mapInArrow(
+        _signed, "doc_id bigint, _text bigint, n_shingles bigint, _s1 bigint, _s2 bigint, _bands array<bigint>, _sketch binary"))
     some = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = some.groupBy(*sets_of).agg(F.min("doc_id").alias("rep"), F.first("_bands").alias("_bands"),
+    classes = some.groupBy(*SETS).agg(F.min("doc_id").alias("rep"), F.first("_bands").alias("_bands"),
                                          F.first("_sketch").alias("_sketch"))
     classes = cut(classes)
     # buckets with at least two classes
@@ -230,21 +240,56 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     crossing = part.groupBy(*group).applyInArrow(
         _crossing, "_key bigint, _i int, _j int, rep bigint, component bigint, _sketch binary")
     second = crossing.join(sets, "rep").groupBy(*group).applyInArrow(_joining, "a bigint, b bigint")
-    comp = components(first.union(cut(second)))  # cut, so that no task needs two Python workers at once
-    rep = signed.join(classes.select(*sets_of, "rep"), sets_of, "left")
-    return rep.join(comp.toDF("rep", "_c"), "rep", "left").select(
+    return signed, classes.select(*SETS, "rep"), first.union(cut(second))  # cut: no task needs two Python workers at once
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every document."""
+    signed, classes, links = _linked_classes(docs)
+    # classes that rows of one id hold are joined as well: an id is one vertex
+    shared = cut(_of_shared_ids(signed).join(classes, SETS, "left"))
+    least = shared.groupBy("doc_id").agg(F.min("rep").alias("_lo"))
+    held = shared.where("rep IS NOT NULL").join(least, "doc_id").where("rep <> _lo") \
+        .select(F.col("_lo").alias("a"), F.col("rep").alias("b"))
+    comp = cut(components(links.union(held)))
+    rows = signed.join(classes, SETS, "left").join(comp.toDF("rep", "_c"), "rep", "left")
+    # a row without words takes the component of its id's other rows
+    bare = least.where("_lo IS NOT NULL").join(comp.toDF("_lo", "_lc"), "_lo", "left") \
+        .select(F.col("doc_id").alias("_sid"), F.coalesce("_lc", "_lo").alias("_sc"))
+    return rows.join(bare, (rows["doc_id"] == bare["_sid"]) & (rows["n_shingles"] == 0), "left").select(
         "doc_id", "n_shingles",
-        F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n_shingles") == 0, F.col("doc_id"))
+        F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n_shingles") == 0, F.coalesce("_sc", "doc_id"))
         .otherwise(F.coalesce("_c", "rep")).alias("component_id"),
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def op3(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every document; see the module for nulls, short texts and repeats."""
     return near_duplicates(docs)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The documents with one of each group: that of the smallest doc_id."""
-    d = pick(docs)
-    gone = near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return d.join(gone, d["doc_id"] == gone["_gone"], "left_anti")
+    """The documents with one of each group of texts: the row of the smallest doc_id, then text hash.
+
+    Here rows are told apart by id and text, and texts are joined only by their own links: of an id with two texts
+    that are nothing like each other neither is lost.  Rows equal in id and text are one row, the first by language and
+    source.  Rows without words or without an id are not compared and all stay, but for such repeats of one id.
+    """
+    signed, classes, links = _linked_classes(docs)
+    comp = cut(components(links))
+    key = F.struct("doc_id", "_text")
+    rows = signed.where("doc_id IS NOT NULL").groupBy("doc_id", "_text", *SETS).agg(F.count(F.lit(1)).alias("_n")) \
+        .join(classes, SETS, "left").join(comp.toDF("rep", "_c"), "rep", "left") \
+        .select("doc_id", "_text", "_n", F.coalesce("_c", "rep").alias("_c"))
+    first = rows.where("_c IS NOT NULL").groupBy("_c").agg(F.min(key).alias("_first"))
+    mark = rows.join(first, "_c", "left").withColumn("_gone", F.coalesce(key != F.col("_first"), F.lit(False)))
+    mark = cut(mark.where("_gone OR _n > 1").select(F.col("doc_id").alias("_id"), F.col("_text").alias("_t"), "_gone"))
+    d = pick(docs).withColumn("_text", F.xxhash64("text"))
+    on = lambda m: (d["doc_id"] == m["_id"]) & (d["_text"] == m["_t"])
+    once = d.join(mark, on(mark), "left_anti").drop("_text")
+    again = mark.where("NOT _gone")
+    if again.isEmpty():
+        return once
+    twice = d.join(again, on(again), "left_semi").groupBy("doc_id", "_text").agg(
+        F.min(F.struct("lang", "source", "n_chars", "text")).alias("_r"))
+    return once.unionByName(twice.select("doc_id", *[f"_r.{c}" for c in ("text", "lang", "source", "n_chars")]))
