@@ -12,12 +12,14 @@ No neighbour lies further than r.  Visited cells are verified by exact cosines i
 double precision, so no link below the threshold is made.  (Tests measure recall against brute force.)
 
 Equal vectors are one class, counted with its size.  A vector visits cells of a larger number than its own, and each
-pair is met once.  A cell of more than BLOCK classes is cut into blocks which are tasks of their own, so a hot
-cell is spread and a task is bounded; no pair leaves a task: only numbers of links and a forest do.
+pair is met once.  The members of a cell, and its visitors, are cut into blocks of about BLOCK, and a pair of blocks is
+a group of its own: so a dense region is spread, a group holds at most 2 x BLOCK vectors, whatever visits a
+cell, and no pair leaves a group: only numbers of links and a forest do.
 
 Vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do vectors of
 different lengths with each other.  A null vec_id is not compared: its component is null, and it is kept.
-Rows that share a vec_id are one vertex; each row's links are counted.  An empty table gives an empty result.
+Rows that share a vec_id are one vertex: their vectors' components are joined, and all have one; each row's links are
+counted.  An empty table gives an empty result.
 Extra columns are left out.
 """
 
@@ -154,15 +156,19 @@ def _prepared(vectors: DataFrame) -> tuple[DataFrame, str]:
         "_k2", F.xxhash64(F.lit(91), "_v")), dtype
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.95, target_recall: float = 0.9995) -> DataFrame:
-    """vec_id, n_links, component_id and kept of every vector."""
-    spark = vectors.sparkSession
+def _classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame, str]:
+    """The prepared rows; classes of equal vectors (_k1, _k2, _id, rep, size, _v); the vectors' number type."""
     rows, dtype = _prepared(vectors)
     rows = cut(rows)
     classes = rows.where("vec_id IS NOT NULL AND _v IS NOT NULL").groupBy("_k1", "_k2").agg(
         F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("size"), F.first("_v").alias("_v"))
-    key = F.xxhash64("_k1", "_k2")
-    classes = cut(classes.withColumn("_id", key))
+    return rows, cut(classes.withColumn("_id", F.xxhash64("_k1", "_k2"))), dtype
+
+
+def _groups(classes: DataFrame, dtype: str, least: float, target_recall: float) -> DataFrame:
+    """Rows of the groups that are verified: ``_group`` names one, ``_guest`` tells its two sides apart, and where
+    ``_inner`` members are compared with each other as well."""
+    spark = classes.sparkSession
     n = classes.count()
     sample = [r[0] for r in classes.orderBy("_id").limit(SAMPLE).select("_v").collect()]  # bounded
     k = max(1, min(MOST_CENTROIDS, math.ceil(math.sqrt(n / CELL_ROWS))))
@@ -172,59 +178,92 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, target_recall: floa
         grids[size] = Grid(x, min(k, len(x)), least, target_recall)
     grids = spark.sparkContext.broadcast(grids)  # at most 2 x MOST_CENTROIDS half vectors per length in the sample
 
-    def by_length(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, Grid | None, np.ndarray, int]]:
-        blobs = batch.column("_v").to_pylist()
-        size = np.array([len(v) for v in blobs], np.int64)
-        for s in np.unique(size).tolist():
-            at = np.flatnonzero(size == s)
-            yield at, grids.value.get(s), unit([blobs[i] for i in at], dtype), s << 20
-
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            cell = np.zeros(b.num_rows, np.int64)
-            for at, grid, x, first in by_length(b):
-                cell[at] = first + (grid.cells(x) if grid else 0)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell)], [*b.schema.names, "_cell"])
+    def visited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of every vector its own cell and the cells of a larger number that it visits."""
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1024):
+                b = whole.slice(start, 1024)
+                blobs = b.column("_v").to_pylist()
+                size = np.array([len(v) for v in blobs], np.int64)
+                cell, path = np.zeros(len(size), np.int64), [[]] * len(size)
+                for s in np.unique(size).tolist():
+                    at = np.flatnonzero(size == s)
+                    grid, x, first = grids.value.get(s), unit([blobs[i] for i in at], dtype), s << 20
+                    cell[at] = first + (grid.cells(x) if grid else 0)
+                    for i, visits in zip(at.tolist(), grid.traversal(x) if grid else (), strict=False):
+                        visits = np.asarray(visits, np.int64) + first
+                        path[i] = visits[visits > cell[i]]
+                yield pa.RecordBatch.from_arrays(
+                    [*b.columns, pa.array(cell), pa.array(path, pa.list_(pa.int64()))], [*b.schema.names, "_cell", "_path"])
 
     cells = cut(classes.select("_id", "size", "_v").mapInArrow(
-        placed, "_id bigint, size bigint, _v binary, _cell bigint"))
-    # one row per cell: the grid bounds their number
-    counts = {r[0]: math.ceil(r[1] / BLOCK) for r in cells.groupBy("_cell").count().collect()}
-    blocks = spark.sparkContext.broadcast(counts)
+        visited, "_id bigint, size bigint, _v binary, _cell bigint, _path array<bigint>"))
+    # two rows per cell: the grid bounds their number
+    part = BLOCK * 7 // 8  # blocks are dealt by hash, so some get a little more
+
+    def blocks_of(cell: DataFrame) -> dict[int, int]:
+        return {r[0]: math.ceil(r[1] / part) for r in cell.groupBy("_cell").count().collect()}
+
+    member_blocks = blocks_of(cells)
+    guest_blocks = {c: g for c, g in blocks_of(cells.select(F.explode("_path").alias("_cell"))).items() if c in member_blocks}
+    blocks = spark.sparkContext.broadcast((member_blocks, guest_blocks))
 
-    def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        members, guests = blocks.value
         for whole in batches:
-            for start in range(0, whole.num_rows, 1024):
-                b = whole.slice(start, 1024)
-                own = b.column("_cell").to_numpy()
-                ids = b.column("_id").to_numpy()
-                row, cell, block, guest = [], [], [], []
-                for at, grid, x, first in by_length(b):
-                    paths = grid.traversal(x) if grid else ([0] for _ in at)
-                    for i, path in zip(at.tolist(), paths, strict=True):
-                        home = int(own[i])
-                        mine = int(ids[i] % blocks.value[home])
-                        for c in (np.asarray(path) + first).tolist():
-                            for k_ in range(mine if c == home else 0, blocks.value.get(c, 0) if c >= home else 0):
-                                row.append(i)
-                                cell.append(c)
-                                block.append(k_)
-                                guest.append(c != home or k_ != mine)
+            for start in range(0, whole.num_rows, 256):
+                b = whole.slice(start, 256)
+                row, cell, left, right, kind, guest = [], [], [], [], [], []
+
+                def put(i: int, c: int, x: int, y: int, k_: int, is_guest: bool) -> None:
+                    row.append(i), cell.append(c), left.append(x), right.append(y), kind.append(k_), guest.append(is_guest)
+
+                for i, (id_, home, path) in enumerate(zip(*(b.column(c).to_pylist() for c in ("_id", "_cell", "_path")),
+                                                          strict=True)):
+                    m, mine = members[home], id_ % members[home]
+                    for other in range(m):  # blocks of the own cell
+                        put(i, home, min(mine, other), max(mine, other), 0, mine > other)
+                    for g in range(1, guests.get(home, 0)):  # visitors; the first block of them joins the members' own group
+                        put(i, home, mine, g, 1, False)
+                    for c in path:
+                        if c in members:
+                            g = (id_ >> 20) % guests[c]
+                            for block in range(members[c]):
+                                put(i, c, block, g if g else block, 1 if g else 0, True)
+                name = [f"{c}/{k_}/{x}/{y}" for c, k_, x, y in zip(cell, kind, left, right, strict=True)]
+                inner = [k_ == 0 and x == y for k_, x, y in zip(kind, left, right, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cell, pa.int64()), pa.array(block, pa.int32()), pa.array(guest, pa.bool_()),
+                    [pa.array(name, pa.string()), pa.array(inner, pa.bool_()), pa.array(guest, pa.bool_()),
                      *(b.column(c).take(pa.array(row, pa.int64())) for c in ("_id", "size", "_v"))],
-                    ["_cell", "_block", "_guest", "_id", "size", "_v"])
+                    ["_group", "_inner", "_guest", "_id", "size", "_v"])
+
+    return cells.mapInArrow(dealt, "_group string, _inner boolean, _guest boolean, _id bigint, size bigint, _v binary")
+
+
+def group_sizes(vectors: DataFrame, least: float = 0.95, target_recall: float = 0.9995) -> DataFrame:
+    """Vectors in each group that a task verifies."""
+    _, classes, dtype = _classes(vectors)
+    return _groups(classes, dtype, least, target_recall).groupBy("_group").agg(F.count(F.lit(1)).alias("vectors")).select("vectors")
+
+
+def near_duplicates(vectors: DataFrame, least: float = 0.95, target_recall: float = 0.9995) -> DataFrame:
+    """vec_id, n_links, component_id and kept of every vector."""
+    rows, classes, dtype = _classes(vectors)
+
+    none = pa.table({c: pa.array([], pa.int64()) for c in ("_id", "links", "root")})
 
     def verified(t: pa.Table) -> pa.Table:
         guest = t.column("_guest").to_numpy()
         order = np.argsort(guest, kind="stable")  # members first
-        m = int((~guest).sum())
+        m, inner = int((~guest).sum()), t.column("_inner")[0].as_py()
+        if not m or (m == len(guest) and not inner):
+            return none
         ids, size = t.column("_id").to_numpy()[order], t.column("size").to_numpy()[order]
         blobs = t.column("_v").to_pylist()
         x = unit([blobs[i] for i in order], dtype)
         links = np.zeros(len(ids), np.int64)
         a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for s in range(0, len(ids), _SLICE):
+        for s in range(0 if inner else m, len(ids), _SLICE):
             near = x[s:s + _SLICE] @ x[:m].T >= least
             own = np.arange(s, s + len(near))
             near &= own[:, None] > np.arange(m)  # a member meets the members before it, a guest meets all
@@ -236,21 +275,30 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, target_recall: floa
         return pa.table({"_id": np.concatenate([ids[hit], a]), "links": np.concatenate([links[hit], 0 * a]),
                          "root": np.concatenate([ids[hit], b])})
 
-    found = cut(cells.mapInArrow(visits, "_cell bigint, _block int, _guest boolean, _id bigint, size bigint, _v binary")
-                .groupBy("_cell", "_block").applyInArrow(verified, "_id bigint, links bigint, root bigint"))
+    found = cut(_groups(classes, dtype, least, target_recall).groupBy("_group")
+                .applyInArrow(verified, "_id bigint, links bigint, root bigint"))
     number = found.groupBy("_id").agg(F.sum("links").alias("_links"))
-    comp = components(found.select(F.col("_id").alias("a"), F.col("root").alias("b"))).toDF("_id", "_c")
+    # classes that rows of one id hold are joined as well: an id is one vertex
+    good = F.col("vec_id").isNotNull() & F.col("_v").isNotNull()
+    asked = rows.select("vec_id", F.when(good, F.xxhash64("_k1", "_k2")).alias("_id"))
+    shared = asked.groupBy("vec_id").agg(F.min("_id").alias("_lo"), F.max("_id").alias("_hi"), F.count("_id").alias("_n"),
+                                         F.count(F.lit(1)).alias("_m"))
+    shared = cut(shared.where("vec_id IS NOT NULL AND _n > 0 AND (_lo <> _hi OR _n < _m)").select("vec_id", "_lo"))
+    held = asked.join(shared, "vec_id").where("_id <> _lo").select(F.col("_lo").alias("a"), F.col("_id").alias("b"))
+    comp = components(found.select(F.col("_id").alias("a"), F.col("root").alias("b")).union(held)).toDF("_id", "_c")
     whole = classes.join(number, "_id", "left").join(comp, "_id", "left").withColumn("_c", F.coalesce("_c", "_id"))
     smallest = whole.groupBy("_c").agg(F.min("rep").alias("component_id"))
-    whole = whole.join(smallest, "_c").select(
-        "_k1", "_k2", (F.col("size") - 1 + F.coalesce("_links", F.lit(0))).alias("_n"), "component_id")
-    good = F.col("vec_id").isNotNull() & F.col("_v").isNotNull()
-    asked = rows.select("vec_id", F.when(good, F.col("_k1")).alias("_k1"), F.when(good, F.col("_k2")).alias("_k2"))
-    return asked.join(whole, ["_k1", "_k2"], "left") \
+    whole = cut(whole.join(smallest, "_c").select(
+        "_id", (F.col("size") - 1 + F.coalesce("_links", F.lit(0))).alias("_n"), "component_id"))
+    # a row without a vector takes the component of its id's other rows
+    bare = shared.join(whole, shared["_lo"] == whole["_id"]).select(F.col("vec_id").alias("_sid"), F.col("component_id").alias("_sc"))
+    out = asked.join(whole, "_id", "left")
+    return out.join(bare, (out["vec_id"] == bare["_sid"]) & out["_id"].isNull(), "left") \
         .select("vec_id", F.coalesce("_n", F.lit(0)).cast("long").alias("n_links"),
-                F.coalesce("component_id", "vec_id").alias("component_id")) \
+                F.coalesce("component_id", "_sc", "vec_id").alias("component_id")) \
         .withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def op1(vectors: DataFrame) -> DataFrame:
+    """vec_id, n_links, component_id and kept of every vector; see the module for unusable vectors, ties and repeats."""
     return near_duplicates(vectors)
