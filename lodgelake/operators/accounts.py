@@ -9,6 +9,7 @@ from lodgelake.functions import rules
 from lodgelake.functions.columns import day_fmt, first_present, iso_day, ts_lit
 from lodgelake.operators.changes import first_come
 from lodgelake.operators.ids import assign_ids
+from lodgelake.session import materialize
 
 PROFILE_COLUMNS = ["id", "username", "email", "created_at", "last_login", "role", "status"]
 
@@ -74,7 +75,7 @@ def append_users(checked: DataFrame, users: DataFrame, as_of, status: int = 1, r
 
     Self-registration is ``role="user", status=1``; the admin form passes each request's own role
     (``role=None``) and the chosen status."""
-    v = checked.filter("valid")
+    v = materialize(checked.filter("valid"))  # read by the contest and by the result
     won = first_come(v.select("request_id", F.lower("username").alias("_lu"), F.col("email").alias("_le")),
                      "request_id", ["_lu", "_le"])
     winners = v.join(won, "request_id", "left_semi").select("request_id", "username", "email", "role")

@@ -13,10 +13,14 @@ in place: each operator returns the new state as a DataFrame.
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodgelake.functions import rules
+from lodgelake.session import materialize
 
 
 def _pos() -> F.Column:
@@ -323,17 +327,18 @@ def resolve_account_targets(cmds: DataFrame, users: DataFrame) -> DataFrame:
     return df.select(*[c for c in cmds.columns if c not in ("user_id", "email")], uid.alias("user_id"))
 
 
-ACCOUNT_SLICE = 86400
-
-
-def apply_account_commands(users: DataFrame, cmds: DataFrame, slice_seconds: int = ACCOUNT_SLICE) -> DataFrame:
+def apply_account_commands(users: DataFrame, cmds: DataFrame, slices=SLICE_LEVELS) -> DataFrame:
     """Status: toggles (not on oneself) after the last activation, by parity.
     Role: the latest allowed role command (set_role_* not on oneself; make_admin always).
     Commands may target an account by ``email`` (see ``resolve_account_targets``).
 
-    The log is first summed up per (account, time slice): the last activation and the toggles after it.
-    Only these summaries meet per account, so an account with a third of the log is no single task."""
+    The log is summed up per (account, finest slice): the last activation, the toggles after it, the last role.  Two such
+    summaries make one (the later one's, and the earlier one's toggles if the later has no activation), so they are
+    combined slice by slice: no window holds more than one account-minute of commands, 1440 minutes or one summary a
+    day, whether an account has a third of the log over years or within one day."""
     cmds = resolve_account_targets(cmds, users).where(F.col("user_id").isNotNull())
+    levels = _levels(slices)
+    names = [f"_s{i}" for i in range(len(levels))]
     self_cmd = F.coalesce(F.col("actor_id") == F.col("user_id"), F.lit(False))
     cmd = F.col("command")
     new_role = (
@@ -341,29 +346,19 @@ def apply_account_commands(users: DataFrame, cmds: DataFrame, slice_seconds: int
         .when((cmd == "set_role_admin") & ~self_cmd, "admin")
         .when(cmd == "make_admin", "admin")
     )
-    c = cmds.select("user_id", _pos().alias("_p"), F.floor(_epoch_seconds("ts") / slice_seconds).alias("_slice"),
-                    (cmd == "activate").alias("_act"), ((cmd == "toggle_status") & ~self_cmd).alias("_tog"),
-                    new_role.alias("_role"))
-    c = c.repartition("user_id", "_slice")
-    w = Window.partitionBy("user_id", "_slice")
-    parts = (
-        c.withColumn("_last", F.max(F.when(F.col("_act"), F.col("_p"))).over(w))
-        .groupBy("user_id", "_slice").agg(
-            F.max("_last").isNotNull().alias("_has"),
-            F.count_if(F.col("_tog") & (F.col("_last").isNull() | (F.col("_p") > F.col("_last")))).alias("_n"),
-            F.max_by("_role", F.when(F.col("_role").isNotNull(), F.col("_p"))).alias("_role"),
-        )
-    )
-    # slices from the last one with an activation on: at most one row per slice an account spans
-    per_user = Window.partitionBy("user_id")
-    per_user = (
-        parts.withColumn("_from", F.max(F.when(F.col("_has"), F.col("_slice"))).over(per_user))
-        .groupBy("user_id").agg(
-            F.max("_from").isNotNull().alias("_activated"),
-            F.sum(F.when(F.col("_from").isNull() | (F.col("_slice") >= F.col("_from")), F.col("_n"))).alias("_toggles"),
-            F.max_by("_role", F.when(F.col("_role").isNotNull(), F.col("_slice"))).alias("_new_role"),
-        )
-    )
+    seconds = _epoch_seconds("ts")
+    parts = cmds.select("user_id", _pos().alias("_at"), *[F.floor(seconds / w).alias(n) for w, n in zip(levels, names)],
+                        (cmd == "activate").alias("_has"), F.when((cmd == "toggle_status") & ~self_cmd, 1).otherwise(0).alias("_n"),
+                        new_role.alias("_role"))
+    parts = parts.repartition("user_id", names[0])
+    for at, groups in zip(["_at", *names], [names[k:] for k in range(len(names) + 1)]):
+        start = F.max(F.when(F.col("_has"), F.col(at))).over(Window.partitionBy("user_id", *groups[:1]))
+        later = F.col("_start").isNull() | (F.col(at) > F.col("_start") if at == "_at" else F.col(at) >= F.col("_start"))
+        parts = parts.withColumn("_start", start).groupBy("user_id", *groups).agg(
+            F.max("_start").isNotNull().alias("_has"), F.sum(F.when(later, F.col("_n")).otherwise(0)).alias("_n"),
+            F.max_by("_role", F.when(F.col("_role").isNotNull(), F.col(at))).alias("_role"))
+    per_user = parts.select("user_id", F.col("_has").alias("_activated"), F.col("_n").alias("_toggles"),
+                            F.col("_role").alias("_new_role"))
     df = users.join(per_user, users["id"] == per_user["user_id"], "left").drop("user_id")
     base = F.when(F.coalesce("_activated", F.lit(False)), F.lit(1)).otherwise(F.col("status"))
     n = F.coalesce(F.col("_toggles"), F.lit(0))
@@ -426,34 +421,62 @@ def delete_users(users: DataFrame, bookings: DataFrame, ids: DataFrame) -> DataF
 
 
 # ------------------------------------------------------------------ U9
-def first_come(requests: DataFrame, id_col: str, keys: list[str]) -> DataFrame:
+#: rivals that one task takes one by one: a bound on its memory; more are settled value by value first
+REPLAYED = 1_000_000
+
+
+def _replay(id_col: str, keys: list[str]):
+    """Takes requests in the order they come; gives the ids of those whose values are all free."""
+    def run(batches):
+        taken = [set() for _ in keys]
+        for batch in batches:
+            won = []
+            for id_, *values in zip(*(batch.column(c).to_pylist() for c in (id_col, *keys)), strict=True):
+                if not any(v in t for v, t in zip(values, taken, strict=True)):
+                    won.append(id_)
+                    for v, t in zip(values, taken, strict=True):
+                        if v is not None:
+                            t.add(v)
+            yield pa.RecordBatch.from_arrays([pa.array(won, batch.schema.field(id_col).type)], [id_col])
+
+    return run
+
+
+def first_come(requests: DataFrame, id_col: str, keys: list[str], replayed: int = REPLAYED) -> DataFrame:
     """Ids of the requests that get all their key values: none of them went to an accepted request with a smaller id.
 
-    Same as taking the requests one by one.  Each round accepts those that are first for every value they ask for
-    and drops those that ask for a value now taken; both are minima per value, so a popular value is no
-    hot group, and whoever meets no rival is settled in the first round.
+    Same as taking the requests one by one, and the rivals are: a request none of whose values another one asks
+    for is accepted at once, and the others, sorted by id, are replayed by one task that holds the values taken.
+    Chains of rivals may be of any length.  Only while there are more than ``replayed`` rivals, those that are first for
+    every value they ask for are accepted and those that ask for a value now taken are dropped; both are
+    minima per value, so a value that a third of all requests ask for is gone after one such round.
     """
-    from lodgelake.session import materialize
-
-    open_ = materialize(requests.select(id_col, *keys))
-    accepted = None
-    while True:
+    rivals = requests.select(id_col, *keys)
+    wanted = F.lit(False)
+    for k in keys:
+        asked = requests.groupBy(F.col(k).alias(f"_v_{k}")).agg(F.count(F.lit(1)).alias(f"_n_{k}"))
+        rivals = rivals.join(asked.where(F.col(f"_v_{k}").isNotNull()), F.col(k) == F.col(f"_v_{k}"), "left")
+        wanted = wanted | (F.coalesce(F.col(f"_n_{k}"), F.lit(0)) > 1)
+    marked = materialize(rivals.select(id_col, *keys, wanted.alias("_rival")))
+    accepted = [marked.where("NOT _rival").select(id_col)]
+    rivals = marked.where("_rival").drop("_rival")
+    while rivals.count() > replayed:
         for k in keys:
-            first = open_.groupBy(k).agg(F.min(id_col).alias(f"_f_{k}"))
-            open_ = open_.join(first, open_[k].eqNullSafe(first[k]), "left").drop(first[k])
+            first = rivals.groupBy(F.col(k).alias(f"_v_{k}")).agg(F.min(id_col).alias(f"_f_{k}"))
+            rivals = rivals.join(first, F.col(k) == F.col(f"_v_{k}"), "left").drop(f"_v_{k}")
         won = F.lit(True)
         for k in keys:
             won = won & (F.col(k).isNull() | (F.col(f"_f_{k}") == F.col(id_col)))
-        decided = materialize(open_.withColumn("_won", won).select(id_col, *keys, "_won"))
-        now = decided.where("_won").select(id_col)
-        accepted = now if accepted is None else accepted.unionAll(now)
-        open_ = decided.where("NOT _won").drop("_won")
+        decided = materialize(rivals.select(id_col, *keys, won.alias("_won")))
+        accepted.append(decided.where("_won").select(id_col))
+        rivals = decided.where("NOT _won").drop("_won")
         for k in keys:  # values that are gone
-            taken = decided.where("_won").select(F.col(k).alias("_t")).where("_t IS NOT NULL").distinct()
-            open_ = open_.join(taken, open_[k] == taken["_t"], "left_anti")
-        open_ = materialize(open_)
-        if open_.isEmpty():
-            return accepted
+            gone = decided.where("_won").select(F.col(k).alias("_t")).where("_t IS NOT NULL").distinct()
+            rivals = rivals.join(gone, F.col(k) == F.col("_t"), "left_anti")
+        rivals = materialize(rivals)
+    schema = f"{id_col} {requests.schema[id_col].dataType.simpleString()}"
+    accepted.append(rivals.repartitionByRange(1, id_col).sortWithinPartitions(id_col).mapInArrow(_replay(id_col, keys), schema))
+    return reduce(DataFrame.unionAll, accepted)
 
 
 def profile_update_outcomes(users: DataFrame, edits: DataFrame, order_col: str | None = None) -> DataFrame:
@@ -479,7 +502,8 @@ def profile_update_outcomes(users: DataFrame, edits: DataFrame, order_col: str |
 
     hu, he = holders("username", "_lu_h"), holders("email", "_le_h")
     e2 = e.join(hu, F.col("_lu") == F.col("_lu_h"), "left").join(he, F.col("_le") == F.col("_le_h"), "left") \
-        .withColumn("_held", taken_by_other("_lu_h") | taken_by_other("_le_h"))
+        .select("id", "username", "email", "_lu", "_le", (taken_by_other("_lu_h") | taken_by_other("_le_h")).alias("_held"))
+    e2 = materialize(e2)  # read by the contest and by the result
     ok = first_come(e2.where("NOT _held"), "id", ["_lu", "_le"]).withColumn("_ok", F.lit(True))
     reason = (
         F.when(F.col("_held"), rules.MSG_PROFILE_HELD)

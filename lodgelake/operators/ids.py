@@ -1,22 +1,22 @@
-"""Dense id assignment without a single-partition window, even under any key distribution.
+"""Dense id assignment by a range exchange, without a single-partition window or a look at other rows.
 
-``max(id) + row_number() over (order by k)`` would pull every new row into one task.  Instead the rows, written
-once to the shared folder, are cut at quantiles of the key: ranges of about equally many rows wherever the keys
-lie, and whatever cuts were found, as the numbers don't depend on them.  One window per range numbers its rows, the
-ranges' row counts (one small row each) are summed up, and each range adds the counts before it.
+``max(id) + row_number() over (order by k)`` would pull every new row into one task.  Instead the rows are
+range-partitioned and sorted by the key, so a row's place is its partition's number and its place within
+(``monotonically_increasing_id`` says both), and written once.  Then only the partitions' row counts, one number each,
+are summed up, and each row adds the count of the partitions before its own.  Where Spark's sample puts the bounds of
+the ranges makes no difference to the numbers.
 """
 
 from __future__ import annotations
 
-import math
+from itertools import accumulate
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodgelake.session import materialize
 
-ROWS_PER_RANGE = 1_000_000
-MOST_RANGES = 10_000
+_IN_PARTITION = 33  # bits of monotonically_increasing_id that count rows within a partition
 
 
 def assign_ids(new_rows: DataFrame, order_col: str | list[str], id_col: str, existing: DataFrame | None = None,
@@ -25,34 +25,32 @@ def assign_ids(new_rows: DataFrame, order_col: str | list[str], id_col: str, exi
     """Give ``new_rows`` ids max(existing id) + 1, + 2, ... in order of the unique numeric ``order_col``.
 
     The key must be there and not null: without one the numbers would hang on how rows are partitioned.
-    With ``checkpoint=False`` the input, which must then be cheap and stable, is read again for each use.
+    The placed rows are written to the checkpoint folder, or with ``checkpoint=False`` kept by the executors: both hold
+    on to one set of ranges, also where a lost part is worked out again.
     """
     key = order_col[0] if isinstance(order_col, list) else order_col
     if key not in new_rows.columns:
         raise ValueError(f"rows need the key {key!r} to be numbered by")
-    if checkpoint:
-        new_rows = materialize(new_rows)
-    seen = new_rows.agg(F.count(F.lit(1)).alias("n"), F.count(key).alias("keys")).first()
-    if seen["n"] != seen["keys"]:
+    ranged = new_rows.repartitionByRange(num_buckets, key) if num_buckets else new_rows.repartitionByRange(key)
+    placed = ranged.sortWithinPartitions(key).withColumn("_place", F.monotonically_increasing_id())
+    placed = materialize(placed) if checkpoint else placed.persist()
+    part = F.shiftright("_place", _IN_PARTITION)
+    parts = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("n"), F.count(key).alias("keys")) \
+        .orderBy("_part").collect()  # one row per partition
+    if any(r["n"] != r["keys"] for r in parts):
         raise ValueError(f"the key {key!r} is null in some rows")
-    n = min(MOST_RANGES, num_buckets or math.ceil(seen["n"] / ROWS_PER_RANGE) or 1)
+    before = [0, *accumulate(r["n"] for r in parts)]
     base = F.lit(1).cast("long")
     if existing is not None:
         base = F.coalesce(existing.select(F.max(existing_id_col or id_col)).scalar(), F.lit(0)).cast("long") + 1
-    if n == 1:
-        number = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(key))  # at most ROWS_PER_RANGE rows
-        return new_rows.withColumn("_base", base).withColumn(id_col, F.col("_base") + number - 1).drop("_base")
-    bounds = new_rows.agg(F.percentile_approx(key, [k / n for k in range(1, n)], 20 * n)).first()[0]
-    bounds = F.array(*[F.lit(b) for b in sorted(set(bounds))])
-    b = new_rows.select("*", base.alias("_base"), bounds.alias("_cuts")).withColumn(
-        "_range", F.size(F.filter("_cuts", lambda c: c < F.col(key)))).drop("_cuts")
-    w = Window.partitionBy("_range")
-    local = b.withColumn("_rn", F.row_number().over(w.orderBy(key)))
-    counts = b.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))  # at most n rows
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    placed = placed.withColumn("_base", base).withColumn(
+        "_in", F.col("_place").bitwiseAND(F.lit((1 << _IN_PARTITION) - 1)))
+    if len(parts) <= 1:
+        return placed.withColumn(id_col, F.col("_base") + F.col("_in")).drop("_place", "_in", "_base")
+    offsets = placed.sparkSession.createDataFrame(
+        [(r["_part"], n) for r, n in zip(parts, before, strict=False)], "_part long, _off long")
     return (
-        local.join(F.broadcast(offsets), "_range")
-        .withColumn(id_col, F.col("_base") + F.col("_off") + F.col("_rn") - 1)
-        .drop("_range", "_rn", "_off", "_base")
+        placed.withColumn("_part", part).join(F.broadcast(offsets), "_part")  # one row per partition
+        .withColumn(id_col, F.col("_base") + F.col("_off") + F.col("_in"))
+        .drop("_place", "_in", "_base", "_part", "_off")
     )

@@ -87,6 +87,10 @@ SELECT conv_id * 1000 + turn AS id, concat('Guest ', CAST(conv_id AS VARCHAR)) A
   concat('guest', CAST(conv_id AS VARCHAR), '@example.com') AS email,
   'room booking' AS subject, text AS message, TIMESTAMP '2024-01-01 00:00:00' + conv_id * INTERVAL '1' MINUTE AS submitted_at
   FROM conversations WHERE role = 'user'""",
+    "resent_messages": """
+SELECT m.id * 1000 + l.s AS id, m.name, m.email, m.subject, m.message, m.submitted_at + l.s * INTERVAL '1' SECOND AS submitted_at
+  FROM contact_messages m, (SELECT range AS s FROM range(0, 601)) l
+  WHERE l.s = 0 OR (m.id % 9 = 0 AND l.s % 25 = 0) OR (m.id % 9 <> 0 AND m.id % 3 = 0 AND l.s <= 90 AND l.s % 30 = 0)""",
 }
 
 

@@ -216,3 +216,14 @@ class DriverViews:
             F.col("text").alias("message"),
             (ts_lit("2024-01-01 00:00:00") + F.make_dt_interval(mins=cid.cast("int"))).alias("submitted_at"),
         )
+
+    @cached_property
+    def resent_messages(self) -> DataFrame:
+        """Contact messages of which every third was sent again 30, 60 and 90 seconds later, and every ninth again
+        every 25 seconds for ten minutes."""
+        m = self.contact_messages
+        again = F.when(F.col("id") % 9 == 0, F.sequence(F.lit(0), F.lit(600), F.lit(25))) \
+            .when(F.col("id") % 3 == 0, F.sequence(F.lit(0), F.lit(90), F.lit(30))).otherwise(F.array(F.lit(0)))
+        return m.select("*", F.explode(again).alias("_later")).select(
+            (F.col("id") * 1000 + F.col("_later")).alias("id"), "name", "email", "subject", "message",
+            (F.col("submitted_at") + _secs(F.col("_later"))).alias("submitted_at"))
