@@ -1,10 +1,15 @@
 """State-change queries (R6-R8, B9-B11, U7-U9).  Oracles for the folds are sequential
 replays (recursive SQL), an independent statement of the same semantics."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lodgelake.operators import changes as X
+from lodgelake.operators import upkeep
 from lodgelake.plans.registry import query
+from lodgelake.session import checkpoint_dir
+from lodgelake.streaming.state import CommandState
 
 ROOM_COLS = "r.room_id, r.hotel_id, r.room_number, r.room_type, r.price"
 
@@ -103,6 +108,61 @@ def apply_booking_commands(v):
     return X.apply_booking_commands(v.bookings, v.booking_commands)
 
 
+BOOKINGS_AFTER = REPLAY + """
+, fin AS (SELECT * FROM (SELECT st.*, row_number() OVER (PARTITION BY booking_id ORDER BY k DESC) AS rn FROM st)
+  WHERE rn = 1),
+after AS (SELECT b.booking_id, b.user_id, b.hotel_id, b.room_id, b.room_type, b.check_in, b.check_out, b.guests,
+  b.num_nights, b.total_price, fin.status, fin.cdate AS cancellation_date, b.booking_date
+FROM bookings b JOIN fin ON b.booking_id = fin.booking_id)"""
+
+
+def _with_cancellation(v):
+    return v.bookings.withColumn("cancellation_date", F.lit(None).cast("timestamp_ntz"))
+
+
+@query("booking_state_by_batches", BOOKINGS_AFTER + " SELECT * FROM after")
+def booking_state_by_batches(v):
+    """The command log in three batches of its time, each folded onto a state of changed rows (ST2), read back."""
+    bookings, cmds = _with_cancellation(v), v.booking_commands
+    state = CommandState(v.spark, f"{checkpoint_dir(v.spark)}/state-{uuid.uuid4().hex}", bookings.schema, "booking_id")
+    state.start(bookings)
+    lo, hi = cmds.select(F.min("ts"), F.max("ts")).first()
+    cuts = [lo + (hi - lo) * k / 3 for k in (1, 2)] if lo else []
+    t = F.col("ts")
+    for k, (a, b) in enumerate(zip([None, *cuts], [*cuts, None], strict=True)):
+        part = cmds.where((t > F.lit(a) if a else F.lit(True)) & (t <= F.lit(b) if b else F.lit(True)))
+        state.apply(k, part, X.apply_booking_commands, compact_every=2)
+    return state.read().select(*bookings.columns)
+
+
+def _sums_after_commands(v):
+    """Sums per day and status of the bookings before, and what the commands did to them."""
+    bookings, cmds = _with_cancellation(v), v.booking_commands
+    touched = bookings.join(cmds.select("booking_id").distinct(), "booking_id", "left_semi")
+    return upkeep.added(upkeep.day_status_sums(bookings),
+                        upkeep.day_status_deltas(touched, X.apply_booking_commands(touched, cmds)))
+
+
+@query("day_status_kept_up", BOOKINGS_AFTER + """
+SELECT date_trunc('day', booking_date) AS day_start, status, count(*) AS bookings,
+  CAST(sum(total_price) AS DECIMAL(18,2)) AS revenue FROM after GROUP BY 1, 2""")
+def day_status_kept_up(v):
+    return _sums_after_commands(v)
+
+
+@query("month_status_kept_up", BOOKINGS_AFTER + """
+SELECT strftime(booking_date, '%Y-%m') AS month, status, CAST(count(*) AS BIGINT) AS bookings,
+  CAST(sum(total_price) AS DECIMAL(18,2)) AS revenue FROM after GROUP BY 1, 2""")
+def month_status_kept_up(v):
+    return upkeep.month_status(_sums_after_commands(v))
+
+
+@query("status_stats_kept_up", BOOKINGS_AFTER + """
+SELECT status, CAST(count(*) AS BIGINT) AS bookings FROM after GROUP BY 1""")
+def status_stats_kept_up(v):
+    return upkeep.status_stats(_sums_after_commands(v))
+
+
 @query("booking_command_outcomes", REPLAY + """
 SELECT c.seq, c.ts, c.booking_id, c.actor_id, c.command,
   c.command <> 'user_cancel' OR coalesce(c.actor_id = c.owner AND st.prev_status = 'confirmed', FALSE) AS applied,
