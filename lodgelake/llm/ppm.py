@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodgelake.llm import rounds
-from lodgelake.llm.common import LOWER, cut, mix, passes, pick, span_hashes, spans, text_bytes
+from lodgelake.llm.common import LOWER, cut, distinct, mix, passes, pick, span_hashes, spans, text_bytes
 
 ORDER = 5
 SYMBOLS, END = 257, 256
@@ -66,10 +66,11 @@ def symbols(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def codes(sym: np.ndarray, place: np.ndarray) -> np.ndarray:
     """The (ORDER + 1)-gram that ends at each place."""
-    code = np.zeros(len(place), np.int64)
-    for back in range(ORDER, -1, -1):
-        code = (code << _BITS) | sym[place - back]
-    return code
+    n = len(sym)
+    code = sym[:n - ORDER]
+    for k in range(1, ORDER + 1):
+        code = (code << _BITS) | sym[k:n - ORDER + k]
+    return code[place - ORDER]
 
 
 def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -88,9 +89,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         train = ~batch.column("held_out").to_numpy(zero_copy_only=False)
         for i, j in passes(off):
             sym, place, doc = symbols(data, off[i:j + 1])
-            u, back = np.unique(codes(sym, place), return_inverse=True)
-            parts.append((u, np.bincount(back, train[i:j][doc], minlength=len(u)).astype(np.int64)))
-            held += len(u)
+            code, known = codes(sym, place), train[i:j][doc]
+            parts.append(np.unique(code[known], return_counts=True))
+            asked = distinct(code[~known])  # of held-out documents: with the count 0
+            parts.append((asked, np.zeros(len(asked), np.int64)))
+            held += len(parts[-2][0]) + len(asked)
             if held > 3_000_000:
                 parts = [_merge(parts)]
                 held = len(parts[0][0])
@@ -220,7 +223,9 @@ def _grams_of(t: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.nda
 
 
 def _ask_grams(t: pa.Table) -> rounds.Arrays:
-    return [np.sort(mix(np.unique(np.concatenate([u for _, u, _, _ in _grams_of(t)])).astype(np.uint64)))]
+    data, off = text_bytes(t.column("text"))
+    code = np.concatenate([distinct(codes(*symbols(data, off[i:j + 1])[:2])) for i, j in passes(off)])
+    return [np.sort(mix(distinct(code).astype(np.uint64)))]
 
 
 def probabilities(grams: DataFrame) -> DataFrame:
@@ -283,7 +288,7 @@ def _answer_grams(t: pa.Table, known: pa.Table) -> pa.Table:
 def _score_grams(t: pa.Table, replies: pa.Table, n_buckets: int) -> np.ndarray:
     """log10 probability of each text of a chunk."""
     parts = list(_grams_of(t))
-    code = np.unique(np.concatenate([u for _, u, _, _ in parts]))
+    code = distinct(np.concatenate([u for _, u, _, _ in parts]))
     keys = mix(code.astype(np.uint64))
     order = np.argsort(keys)
     logp = np.zeros(len(code))
@@ -366,4 +371,6 @@ def score(docs: DataFrame) -> DataFrame:
 
 
 def op4(docs: DataFrame) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document; see the module for
+    nulls, empty texts and repeats."""
     return score(docs).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
