@@ -6,7 +6,9 @@ place of the last of them; its pivots are two bigrams of the prefix that don't o
 programming so that the fewest words hold them.  One edit spoils at most one of two bigrams that don't overlap.  So of two
 words one edit apart, the one whose prefix ends earlier in the order (either, if alike) has a pivot that the
 other holds, in its prefix, at the same place or shifted by the edit: pivots are joined with prefixes by bigram, position
-and length, and each pair is verified by its edit distance.  No pair is lost.
+and length, and each pair is verified by its edit distance.  No pair is lost.  As one edit leaves the first or the
+last half of the shorter word as it is, an equal half is part of the join's key: most pairs that share a pivot by chance
+are not made, and the list of a frequent bigram is spread.
 
 Two bigrams of any three places don't overlap, so PREFIX = 3 is enough; words have MIN_LENGTH = 5 letters or more.
 There are at most 90^2 bigrams, so their order is a table of bounded size.  Positions and lengths split the lists of a
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodgelake.llm.common import LOWER, cut, passes, pick, span_hashes, spans, text_bytes
+from lodgelake.llm.common import LOWER, cut, mix, passes, pick, span_hashes, spans, text_bytes
 
 SPOILED = 97
 MIN_LENGTH, MIN_COUNT = 5, 3
@@ -112,29 +114,39 @@ def vocabulary(docs: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- pivots
 
-def _codes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Code points (of letters below 256) of all words, and where each word starts."""
+def letters(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The letters of all words as code points (all below 256), and where each word starts."""
     data, off = text_bytes(col)
     two = data == _FIRST
-    value = data.astype(np.int64)
+    value = data.copy()
     value[1:][two[:-1]] += 64  # U+00C0 is C3 80
     keep = ~two
     at = np.concatenate([[0], np.cumsum(keep)])
     return value[off[0]:off[-1]][keep[off[0]:off[-1]]], at[off] - at[off[0]]
 
 
-def bigrams(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def bigrams(value: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of every bigram of every word: its code, its word and its position."""
-    value, off = _codes(col)
     word = np.repeat(np.arange(len(off) - 1), np.diff(off))
     whole = np.flatnonzero(word[1:] == word[:-1])
-    return value[whole] * 256 + value[whole + 1], word[whole], whole - off[word[whole]]
+    return value[whole].astype(np.int64) * 256 + value[whole + 1], word[whole], whole - off[word[whole]]
+
+
+#: a bit for each letter; some of the rarer ones share one
+_BIT = np.zeros(256, np.int64)
+_BIT[97:123] = 1 << np.arange(26, dtype=np.int64)
+_BIT[0xC0:] = 1 << (26 + np.arange(64, dtype=np.int64) % 37)
+
+
+def halves(value: np.ndarray, off: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the first and of the last ``n`` letters of each word."""
+    return tuple(span_hashes(value, a, a + n) for a in (off[:-1], off[1:] - n))
 
 
 def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(1 << 16, np.int64)
     for batch in batches:
-        gram, word, _ = bigrams(batch.column("word"))
+        gram, word, _ = bigrams(*letters(batch.column("word")))
         total += np.bincount(np.unique(word * (1 << 16) + gram) % (1 << 16), minlength=1 << 16)
     gram = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(total[gram])], ["gram", "n"])
@@ -176,13 +188,17 @@ def choose(position: np.ndarray, weight: np.ndarray, picks: int = 2, gram: int =
     return out
 
 
-def _signed(held: np.ndarray):
-    """Rows of the two sides of the join: kind 0 the pivots where a neighbour may hold them, kind 1 the prefixes."""
+SIGNED = "key bigint, seen bigint, word string, n bigint, last bigint"
+
+
+def _signed(held: np.ndarray, pivots: bool):
+    """Rows of one side of the join: the pivots, as a neighbour of another length may hold them, or the prefixes."""
     rank = held * (1 << 16) + np.arange(1 << 16)  # rare first, ties by code: one order of all bigrams
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            gram, word, position = bigrams(batch.column("word"))
+            value, off = letters(batch.column("word"))
+            gram, word, position = bigrams(value, off)
             if not len(gram):
                 continue
             order = np.lexsort((position, rank[gram], word))
@@ -197,40 +213,43 @@ def _signed(held: np.ndarray):
             chosen = choose(position[head], held[gram[head]])
             w, column = np.nonzero(chosen)
             at = head[w, column]
-            kind, of, g, p, length = [], [], [], [], []
-            for shift, longer in ((0, 0), (0, 1), (1, 1), (0, -1), (-1, -1)):
-                kind.append(np.zeros(len(w), np.int8))
-                of.append(w)
-                g.append(gram[at])
-                p.append(position[at] + shift)
-                length.append(size[w] + longer)
-            # prefixes, with every place of the last bigram
-            pre = np.flatnonzero(rank[gram] <= last[word])
-            kind.append(np.ones(len(pre), np.int8))
-            of.append(word[pre])
-            g.append(gram[pre])
-            p.append(position[pre])
-            length.append(size[word[pre]])
-            of, p = np.concatenate(of), np.concatenate(p)
-            fits = p >= 0
-            of = of[fits]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(kind)[fits]), pa.array(np.concatenate(g)[fits].astype(np.int32)),
-                 pa.array(p[fits].astype(np.int32)), pa.array(np.concatenate(length)[fits].astype(np.int32)),
-                 batch.column("word").take(pa.array(of)), batch.column("n").take(pa.array(of)), pa.array(last[of])],
-                ["kind", "gram", "position", "length", "word", "n", "last"])
+            seen = np.bitwise_or.reduceat(_BIT[value], off[:-1])
+            # halves of the shorter word of a pair, if that is the word itself or one letter less
+            same, shorter = halves(value, off, size // 2), halves(value, off, (size - 1) // 2)
+
+            def side(of: np.ndarray, at: np.ndarray, shift: int, longer: int, half: np.ndarray, tag: int) -> pa.RecordBatch:
+                fits = position[at] + shift >= 0
+                of, at = of[fits], at[fits]
+                place = ((position[at] + shift) << 32 | (size[of] + longer)).astype(np.uint64)
+                key = mix(mix(half[of] + gram[at].astype(np.uint64)) + mix(place) * np.uint64(2 * tag + 1))
+                return pa.RecordBatch.from_arrays(
+                    [pa.array(key.view(np.int64)), pa.array(seen[of]),
+                     batch.column("word").take(pa.array(of)), batch.column("n").take(pa.array(of)), pa.array(last[of])],
+                    [c.split()[0] for c in SIGNED.split(", ")])
+
+            for end in (0, 1):
+                if pivots:  # where a neighbour of this length may hold them
+                    for shift, longer in ((0, 0), (0, 1), (1, 1), (0, -1), (-1, -1)):
+                        yield side(w, at, shift, longer, (shorter if longer < 0 else same)[end], 2 * end + (longer > 0))
+                else:  # with every place of the last bigram
+                    pre = np.flatnonzero(rank[gram] <= last[word])
+                    yield side(word[pre], pre, 0, 0, same[end], 2 * end)
+                    yield side(word[pre], pre, 0, 0, shorter[end], 2 * end + 1)
 
     return run
 
 
 def near_words(words: DataFrame) -> DataFrame:
     """(a, na, b, nb): both directions of every pair of words exactly one edit apart, once."""
-    signed = words.mapInArrow(_signed(gram_order(words)), "kind tinyint, gram int, position int, length int, word string, "
-                              "n bigint, last bigint")
-    key = ["gram", "position", "length"]
-    pivot = signed.where("kind = 0").select(*key, F.col("word").alias("a"), F.col("n").alias("na"), F.col("last").alias("_la"))
-    prefix = signed.where("kind = 1").select(*key, F.col("word").alias("b"), F.col("n").alias("nb"), F.col("last").alias("_lb"))
-    near = pivot.join(prefix, key).where("_la <= _lb AND a <> b").where(F.levenshtein("a", "b", 1) == 1)
+    held = gram_order(words)
+    # the key is a hash of bigram, position, length and half: a chance meeting ends with the verification
+    pivot = words.mapInArrow(_signed(held, True), SIGNED).select(
+        "key", F.col("word").alias("a"), F.col("n").alias("na"), F.col("last").alias("_la"), F.col("seen").alias("_sa"))
+    prefix = words.mapInArrow(_signed(held, False), SIGNED).select(
+        "key", F.col("word").alias("b"), F.col("n").alias("nb"), F.col("last").alias("_lb"), F.col("seen").alias("_sb"))
+    # one edit changes at most two of the letters seen, which is cheaper to tell than an edit distance
+    may = (F.col("_la") <= F.col("_lb")) & (F.bit_count(F.col("_sa").bitwiseXOR(F.col("_sb"))) <= 2) & (F.col("a") != F.col("b"))
+    near = pivot.join(prefix, "key").where(F.when(may, F.levenshtein("a", "b", 1) == 1).otherwise(False))
     pair = near.select(F.when(F.col("a") < F.col("b"), F.struct("a", "na", "b", "nb"))
                        .otherwise(F.struct(F.col("b").alias("a"), F.col("nb").alias("na"), F.col("a").alias("b"),
                                            F.col("na").alias("nb"))).alias("p")).select("p.*").distinct()
