@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from lodgelake.llm.common import LOWER, mix, passes, pick, span_hashes, spans, text_bytes
 
 BUCKETS, DIM, N_GRAMS = 1 << 17, 8, (2, 3, 4, 5)
-SAMPLE, EPOCHS, BATCH, RATE = 10_000, 5, 64, 0.1
+SAMPLE, EPOCHS, BATCH, RATE = 8000, 5, 64, 0.1
 INIT = 1e-6
 SCALE = 800.0  # of the mean, so that a word among hundreds can decide
 MIN_DOCUMENTS = 10  # of the sample that hold a subword, else it is left out
@@ -79,28 +79,25 @@ def distinct_words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each document its distinct words, one after the other, where they end, and their counts."""
+    """The distinct words of each document and their counts."""
     for batch in batches:
         data, off = text_bytes(batch.column("text"))
         for i in range(batch.num_rows):
             own = off[i:i + 2]
             low, start, end, _, which = distinct_words(data[own[0]:own[1]], own - own[0])
-            raw = b"".join(low[a:b].tobytes() for a, b in zip(start.tolist(), end.tolist(), strict=True))
+            words = [low[a:b].tobytes() for a, b in zip(start.tolist(), end.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id")[i:i + 1], batch.column("_label")[i:i + 1], pa.array([raw], pa.binary()),
-                 pa.array([np.cumsum(end - start)], pa.list_(pa.int32())),
+                [batch.column("doc_id")[i:i + 1], batch.column("_label")[i:i + 1], pa.array([words], pa.list_(pa.binary())),
                  pa.array([np.bincount(which, minlength=len(start))], pa.list_(pa.int32()))],
-                ["doc_id", "_label", "words", "ends", "n"])
+                ["doc_id", "_label", "words", "n"])
 
 
 def train(words: tuple[np.ndarray, np.ndarray], docs: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray,
           seed: int = 3) -> tuple[np.ndarray, float]:
-    """(one number per bucket, bias).  ``words``: buckets of all distinct words and whose they are, own bucket first;
+    """(one number per bucket, bias).  ``words``: buckets of all distinct words, word by word, own bucket first, and whose they are;
     ``docs``: each document's words and their weights.  P(toxic) is the logistic of the documents' mean number plus bias."""
     rng = np.random.default_rng(seed)
     bucket, of = words
-    order = np.argsort(of, kind="stable")  # a word's own bucket stays first
-    bucket = bucket[order]
     at = np.concatenate([[0], np.cumsum(np.bincount(of))])
 
     def flatten(w: np.ndarray, skip: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -148,6 +145,18 @@ def train(words: tuple[np.ndarray, np.ndarray], docs: list[tuple[np.ndarray, np.
     return SCALE * (vectors @ (layer[:, 1] - layer[:, 0])).astype(np.float64), float(bias[1] - bias[0])
 
 
+def _all_subwords(words: pa.Array, step: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
+    """``subwords`` of many words, ``step`` of them at a time."""
+    bucket, of = [], []
+    for a in range(0, len(words), step):
+        data, off = text_bytes(words[a:a + step])
+        b, w = subwords(data[off[0]:off[-1]], off[:-1] - off[0], off[1:] - off[0])
+        order = np.argsort(w, kind="stable")  # a word's own bucket stays first
+        bucket.append(b[order].astype(np.int32))
+        of.append((w[order] + a).astype(np.int32))
+    return np.concatenate(bucket), np.concatenate(of)
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
     lab = pick(labels, {"doc_id": "bigint", "toxic": "int"}).where(
         F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
@@ -155,26 +164,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
     chosen = lab.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # the bounded sample
     rows = pick(docs, {"doc_id": "bigint", "text": "string"}).join(F.broadcast(chosen), "doc_id") \
         .groupBy("doc_id").agg(F.first("_label").alias("_label"), F.min_by("text", F.xxhash64("text")).alias("text")) \
-        .mapInArrow(_word_counts, "doc_id bigint, _label int, words binary, ends array<int>, n array<int>").toArrow()
-    ids, label, docs_, raw, ends = [], [], [], [], []
-    at = 0
-    for d, y, w, e, n in zip(*(rows.column(c) for c in ("doc_id", "_label", "words", "ends", "n")), strict=True):
-        count = n.values.to_numpy()
-        if len(count):
-            ids.append(d.as_py())
-            label.append(y.as_py())
-            docs_.append(count)
-            raw.append(w.as_py())
-            ends.append(e.values.to_numpy().astype(np.int64) + at)
-            at += len(raw[-1])
-    if not ids:
+        .mapInArrow(_word_counts, "doc_id bigint, _label int, words array<binary>, n array<int>").toArrow()
+    rows = rows.sort_by("doc_id").combine_chunks()  # whatever order the tasks ended in
+    if not rows.num_rows or not len(words := rows["words"].combine_chunks().flatten()):
         return np.zeros(BUCKETS), 0.0
-    data, end = np.frombuffer(b"".join(raw), np.uint8), np.concatenate(ends)
-    start = np.concatenate([[0], end[:-1]])
-    _, first, which = np.unique(span_hashes(data, start, end), return_index=True, return_inverse=True)
-    cut = np.split(which, np.cumsum([len(c) for c in docs_])[:-1])
-    order = np.argsort(ids)  # whatever order the tasks ended in
-    return train(subwords(data, start[first], end[first]), [(cut[k], np.sqrt(docs_[k])) for k in order], np.array(label)[order])
+    words = words.dictionary_encode()
+    weight = np.sqrt(rows["n"].combine_chunks().flatten().to_numpy())
+    ends = np.cumsum([len(x) for x in rows["n"]])[:-1]
+    docs_ = list(zip(np.split(words.indices.to_numpy(), ends), np.split(weight, ends), strict=True))
+    full = [k for k, (w, _) in enumerate(docs_) if len(w)]
+    return train(_all_subwords(words.dictionary), [docs_[k] for k in full], rows["_label"].to_numpy()[full])
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
