@@ -18,26 +18,31 @@ from lodgelake.session import checkpoint_dir
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and lie near enough to their language's histograms; null and empty texts go."""
     ship(spark)
     return quality.kept_documents(docs)
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies; texts are told apart by row, so an id with two texts loses neither."""
     ship(spark)
     return minhash.deduplicated(docs)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document without the bytes that repeat a 50-byte string of a document with a smaller id; empty texts stay."""
     ship(spark)
     return repeats.without_repeats(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them; a document taken more than once is repeated rows."""
     ship(spark)
     return mixing.mixed_documents(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 2048 tokens in sequences; every token of every row in exactly one piece."""
     ship(spark)
     return packing.pack(docs)
 
@@ -55,6 +60,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents that the stages keep, each stage's result written and read again."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):

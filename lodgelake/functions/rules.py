@@ -119,4 +119,5 @@ MSG_USERNAME_LENGTH = "Username must be 3-20 characters"
 MSG_EMAIL_REQUIRED = "Email is required"
 MSG_EMAIL_FORMAT = "Invalid email format"
 MSG_ROLE_INVALID = "Invalid role selected"
+MSG_ACCOUNT_EXISTS = "Account already exists!"
 MSG_TAKEN = "Email or username already exists"

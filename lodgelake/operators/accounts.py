@@ -88,6 +88,29 @@ def append_users(checked: DataFrame, users: DataFrame, as_of, status: int = 1, r
         *PROFILE_COLUMNS, "request_id")
 
 
+def registration_outcomes(requests: DataFrame, users: DataFrame) -> DataFrame:
+    """Self-registration, one after the other by request_id: refused where the email or the username, as typed but for the
+    case, belongs to a stored account or to one registered before it.  Nothing else is checked there."""
+    r = requests.select("request_id", "username", "email", F.lower("username").alias("_lu"), F.lower("email").alias("_le"))
+    names = users.select(F.lower("username").alias("_lu"), F.lit(True).alias("_u")).distinct()
+    mails = users.select(F.lower("email").alias("_le"), F.lit(True).alias("_e")).distinct()
+    r = r.join(names, "_lu", "left").join(mails, "_le", "left")
+    r = materialize(r.withColumn("_held", F.coalesce(F.col("_u"), F.col("_e"), F.lit(False))).drop("_u", "_e"))
+    won = first_come(r.where("NOT _held"), "request_id", ["_lu", "_le"]).withColumn("_won", F.lit(True))
+    registered = F.coalesce("_won", F.lit(False))
+    return r.join(won, "request_id", "left").select(
+        "request_id", "username", "email", registered.alias("registered"),
+        F.when(~registered, F.lit(rules.MSG_ACCOUNT_EXISTS)).alias("message"))
+
+
+def register_users(requests: DataFrame, users: DataFrame, as_of) -> DataFrame:
+    """Registered requests as new accounts: role 'user', status 1, ids after the stored ones in order of request_id."""
+    rows = registration_outcomes(requests, users).where("registered").select(
+        "request_id", "username", "email", ts_lit(as_of).alias("created_at"),
+        F.lit(None).cast("timestamp_ntz").alias("last_login"), F.lit("user").alias("role"), F.lit(1).alias("status"))
+    return assign_ids(rows, "request_id", "id", users, "id").select(*PROFILE_COLUMNS, "request_id")
+
+
 # ------------------------------------------------------------------ U10
 def user_labels(users: DataFrame) -> DataFrame:
     name = first_present("username")

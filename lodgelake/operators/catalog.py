@@ -67,6 +67,44 @@ def hotel_text_search(hotels: DataFrame, term: str = "", city: str = "") -> Data
     return hotels.filter(cond)
 
 
+GRAM = 3
+
+
+def _grams(text: F.Column, longest: int = GRAM) -> F.Column:
+    """Distinct substrings of up to ``longest`` letters, the empty one included."""
+    n = F.char_length(text)
+    of = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(k)))
+    return F.array_distinct(F.concat(F.array(F.lit("")), *[
+        F.when(n >= k, of(k)).otherwise(F.array().cast("array<string>")) for k in range(1, longest + 1)]))
+
+
+def text_index(hotels: DataFrame, column: str = "title") -> DataFrame:
+    """Postings (gram, hotel_id) of the lower-cased text: every substring of up to three letters, the empty one too."""
+    text = F.lower(F.coalesce(F.col(column), F.lit("")))
+    return hotels.where(F.col(column).isNotNull()).select("hotel_id", F.explode(_grams(text)).alias("gram"))
+
+
+def hotel_text_search_many(hotels: DataFrame, terms: DataFrame, index: DataFrame | None = None,
+                           column: str = "title") -> DataFrame:
+    """(term, hotel) for each of many terms that a hotel's text holds, whatever the case: as hotel_text_search, by an index.
+
+    A term meets the hotels that hold its rarest gram, and these are verified: so a term costs its shortest list, not
+    a scan.  A term of one or two letters is a gram of its own, and the empty term is in every text.  Null terms
+    find nothing.
+    """
+    index = text_index(hotels, column) if index is None else index
+    held = index.groupBy("gram").agg(F.count(F.lit(1)).alias("_n"))
+    asked = terms.select("term").where("term IS NOT NULL").distinct().withColumn("_t", F.lower("term"))
+    n = F.least(F.char_length("_t"), F.lit(GRAM))
+    grams = asked.select("term", "_t", F.explode(F.filter(_grams(F.col("_t")), lambda g: F.char_length(g) == n)).alias("gram"))
+    # a gram that no text holds settles its term: it counts as the rarest, with an empty list
+    rarest = grams.join(held, "gram", "left").groupBy("term", "_t").agg(
+        F.min_by("gram", F.struct(F.coalesce("_n", F.lit(0)), "gram")).alias("gram"))
+    found = rarest.join(index, "gram").select("term", "_t", "hotel_id")
+    return found.join(hotels, "hotel_id").where(F.lower(F.col(column)).contains(F.col("_t"))) \
+        .select("term", *hotels.columns)
+
+
 def hotel_options(hotels: DataFrame) -> DataFrame:
     return hotels.select("hotel_id", "title", "city").orderBy(F.lower("title"), "hotel_id")
 

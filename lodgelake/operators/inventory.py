@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodgelake.functions import rules
+from lodgelake.operators.ids import assign_ids
 
 
 def room_availability(rooms: DataFrame, hotel_id: int | None = None) -> DataFrame:
@@ -71,7 +72,7 @@ def room_type_defaults(requests: DataFrame) -> DataFrame:
         mult = F.when(t == name, F.lit(m)).otherwise(mult)
         guests = F.when(t == name, F.lit(g)).otherwise(guests)
     return requests.select(
-        "hotel_id", "room_number", "room_type",
+        *[c for c in ("room_id",) if c in requests.columns], "hotel_id", "room_number", "room_type",
         F.lit(None).cast("decimal(10,2)").alias("price"),
         mult.cast("decimal(3,2)").alias("price_multiplier"),
         F.coalesce(F.col("features"), F.lit("")).alias("features") if "features" in requests.columns
@@ -82,6 +83,18 @@ def room_type_defaults(requests: DataFrame) -> DataFrame:
     )
 
 
+def add_rooms(requests: DataFrame, rooms: DataFrame) -> DataFrame:
+    """Requested rooms as stored, with ids after the stored ones in order of ``request_id``."""
+    return room_type_defaults(assign_ids(requests, "request_id", "room_id", rooms, "room_id"))
+
+
+def add_default_rooms(new_hotels: DataFrame, rooms: DataFrame) -> DataFrame:
+    """The default rooms of new hotels as stored, with ids after the stored ones by hotel and room number."""
+    rows = expand_default_rooms(new_hotels)
+    numbered = assign_ids(rows.withColumn("_by", F.col("room_number").cast("bigint")), "_by", "room_id", rooms, "room_id")
+    return numbered.select("room_id", *rows.columns)
+
+
 def expand_default_rooms(new_hotels: DataFrame) -> DataFrame:
     """Three default rooms per new hotel, numbered str(hotel_id*100) + suffix."""
     template = F.array(*[

@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 from lodgelake.operators import accounts as A
 from lodgelake.operators import quality as Q
+from lodgelake.operators.bookings import booking_detail
 from lodgelake.operators.pricing import cancellation_quotes, price_quotes, stay_requests
+from lodgelake.plans.q_bookings import BOOKING_DETAIL
 from lodgelake.plans.q_pricing import CANCELLATION_QUOTES, QUOTES_CTES
 from lodgelake.plans.registry import AS_OF, query
 from lodgelake.sources import sinks as S
@@ -193,6 +195,45 @@ def apply_defaults_bookings(v):
 
 
 # ------------------------------------------------------------------ sinks
+REGISTER = """
+WITH RECURSIVE r AS (SELECT request_id, username, email, lower(username) AS lu, lower(email) AS le,
+    row_number() OVER (ORDER BY request_id) AS k,
+    EXISTS (SELECT 1 FROM users u WHERE lower(u.username) = lower(n.username) OR lower(u.email) = lower(n.email)) AS held
+  FROM new_users n),
+st(k, names, mails, ok) AS (
+  SELECT CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), FALSE
+  UNION ALL
+  SELECT r.k,
+    CASE WHEN r.held OR list_contains(names, r.lu) OR list_contains(mails, r.le) THEN names ELSE list_append(names, r.lu) END,
+    CASE WHEN r.held OR list_contains(names, r.lu) OR list_contains(mails, r.le) THEN mails ELSE list_append(mails, r.le) END,
+    NOT (r.held OR list_contains(names, r.lu) OR list_contains(mails, r.le))
+  FROM st JOIN r ON r.k = st.k + 1)"""
+
+
+@query("registration_outcomes", REGISTER + """
+SELECT r.request_id, r.username, r.email, st.ok AS registered,
+  CASE WHEN NOT st.ok THEN 'Account already exists!' END AS message FROM r JOIN st ON r.k = st.k""")
+def registration_outcomes(v):
+    return A.registration_outcomes(v.new_users, v.users)
+
+
+@query("register_users", REGISTER + """
+SELECT (SELECT max(id) FROM users) + row_number() OVER (ORDER BY r.request_id) AS id, r.username, r.email,
+  AS_OF AS created_at, CAST(NULL AS TIMESTAMP) AS last_login, 'user' AS role, 1 AS status, r.request_id
+FROM r JOIN st ON r.k = st.k WHERE st.ok""")
+def register_users(v):
+    return A.register_users(v.new_users, v.users, AS_OF)
+
+
+@query("append_messages", """
+SELECT (SELECT max(id) FROM contact_messages) + row_number() OVER (ORDER BY id) AS id, name, email, subject, message,
+  submitted_at, CAST(NULL AS VARCHAR) AS ip_address, 'new' AS status FROM contact_messages""")
+def append_messages(v):
+    """Forms without an id, one like each stored message."""
+    forms = v.contact_messages.withColumnRenamed("id", "form_id")
+    return S.append_messages(forms, v.contact_messages, AS_OF, "form_id")
+
+
 @query("intake_messages", """
 SELECT id, name, email, subject, message, coalesce(submitted_at, AS_OF) AS submitted_at,
   CAST(NULL AS VARCHAR) AS ip_address, 'new' AS status FROM contact_messages""")
@@ -259,6 +300,37 @@ def refund_quote_json(v):
     return S.to_json_rows(cancellation_quotes(v.bookings, v.hotels, AS_OF), key="booking_id")
 
 
+DETAIL_JSON = _json_sql(
+    [("booking_id", "n"), ("hotel_id", "n"), ("room_type", "s"), ("check_in", "d"), ("check_out", "d"), ("guests", "n"),
+     ("num_nights", "n"), *[(c, "n") for c in (
+         "base_price", "peak_surcharge", "room_type_surcharge", "guest_surcharge", "subtotal", "advance_discount_percent",
+         "advance_discount_amount", "total_price")],
+     ("guest_name", "s"), ("guest_email", "s"), ("guest_phone", "s"), ("special_requests", "s"), ("status", "s"),
+     ("booking_date", "t"), ("hotel_name", "s"), ("city", "s"), ("check_in_formatted", "s"), ("check_out_formatted", "s"),
+     ("booking_date_formatted", "s"), ("username", "s"), ("user_email", "s")])
+DETAIL_FIELDS = [c for c in DETAIL_JSON.split("'") if c.startswith('"') and c.endswith('":')]
+
+
+@query("booking_detail_json", f"""
+WITH d AS ({BOOKING_DETAIL}) SELECT booking_id, {DETAIL_JSON} AS json FROM d""")
+def booking_detail_json(v):
+    """The reply to a booking detail request, with its hotel and user, as text."""
+    detail = booking_detail(v.bookings, v.hotels, v.users).select(*[c[1:-2] for c in DETAIL_FIELDS])
+    return S.to_json_rows(detail, key="booking_id")
+
+
+REFUND_REPLY_JSON = _json_sql([("success", "b"), ("booking_id", "n"), ("hotel_name", "s"), ("total_price", "n"),
+                               ("days_until_checkin", "n"), ("cancellation_charges", "n"), ("refund_amount", "n"),
+                               ("policy_message", "s"), ("full_refund", "b")])
+
+
+@query("refund_reply_json", f"""
+WITH quotes AS ({CANCELLATION_QUOTES}) SELECT booking_id, {REFUND_REPLY_JSON} AS json FROM (SELECT true AS success, * FROM quotes)""")
+def refund_reply_json(v):
+    q = cancellation_quotes(v.bookings, v.hotels, AS_OF)
+    return S.to_json_rows(q.select(F.lit(True).alias("success"), *[c for c in q.columns if c != "user_id"]), key="booking_id")
+
+
 @query("typed_scan_orders", """
 SELECT o_orderkey, o_custkey, o_orderstatus, CAST(o_totalprice AS DOUBLE) AS o_totalprice, o_orderdate FROM orders""")
 def typed_scan_orders(v):

@@ -20,10 +20,13 @@ DAYS = """strftime(b.check_in, '%d %b %Y') AS check_in_formatted,
   strftime(b.check_out, '%d %b %Y') AS check_out_formatted"""
 
 
-@query("booking_detail", f"""
+BOOKING_DETAIL = f"""
 SELECT {CORE}, {MONEY0}, {GUEST}, h.title AS hotel_name, h.city, {DAYS},
   strftime(b.booking_date, '%d %b %Y') AS booking_date_formatted, u.username, u.email AS user_email
-FROM bookings_wide b LEFT JOIN hotels h ON b.hotel_id = h.hotel_id LEFT JOIN users u ON b.user_id = u.id""")
+FROM bookings_wide b LEFT JOIN hotels h ON b.hotel_id = h.hotel_id LEFT JOIN users u ON b.user_id = u.id"""
+
+
+@query("booking_detail", BOOKING_DETAIL)
 def booking_detail(v):
     return B.booking_detail(v.bookings, v.hotels, v.users)
 

@@ -66,6 +66,21 @@ def hotel_text_search(v):
     return C.hotel_text_search(v.hotels, "Supplier#0000000", "NEW")
 
 
+def _terms(v):
+    """Pieces of hotel names: up to six letters, the empty one among them, some of them in another case."""
+    k = F.col("hotel_id")
+    piece = F.substring(F.col("title"), (1 + k % 12).cast("int"), (k % 7).cast("int"))
+    return v.hotels.select(F.when(k % 2 == 0, F.upper(piece)).otherwise(piece).alias("term"))
+
+
+@query("hotel_text_search_many", """
+WITH terms AS (SELECT DISTINCT CASE WHEN hotel_id % 2 = 0 THEN upper(substr(title, 1 + hotel_id % 12, hotel_id % 7))
+  ELSE substr(title, 1 + hotel_id % 12, hotel_id % 7) END AS term FROM hotels)
+SELECT t.term, h.* FROM terms t JOIN hotels h ON contains(lower(h.title), lower(t.term))""")
+def hotel_text_search_many(v):
+    return C.hotel_text_search_many(v.hotels, _terms(v))
+
+
 @query("hotel_options", "SELECT hotel_id, title, city FROM hotels ORDER BY lower(title), hotel_id")
 def hotel_options(v):
     return C.hotel_options(v.hotels)
@@ -127,6 +142,36 @@ def room_type_defaults(v):
     return I.room_type_defaults(v.rooms.select("hotel_id", "room_number", form.alias("room_type")))
 
 
+@query("add_rooms", """
+SELECT (SELECT max(room_id) FROM rooms) + row_number() OVER (ORDER BY room_id) AS room_id, hotel_id, room_number, room_type,
+  CAST(NULL AS DECIMAL(10,2)) AS price,
+  CAST(CASE room_type WHEN 'standard' THEN 1.0 WHEN 'double' THEN 1.2 WHEN 'family' THEN 1.5 ELSE 1.0 END
+    AS DECIMAL(3,2)) AS price_multiplier,
+  '' AS features, 'available' AS status, 1 AS capacity,
+  CASE room_type WHEN 'standard' THEN 1 WHEN 'double' THEN 2 WHEN 'family' THEN 4 ELSE 1 END AS max_guests
+FROM (SELECT room_id, hotel_id, room_number,
+        CASE lower(room_type) WHEN 'single' THEN 'standard' ELSE lower(room_type) END AS room_type FROM rooms)""")
+def add_rooms(v):
+    """R4 with ids: a room like each stored one is added."""
+    form = F.when(F.lower("room_type") == "single", "standard").otherwise(F.lower("room_type"))
+    return I.add_rooms(v.rooms.select(F.col("room_id").alias("request_id"), "hotel_id", "room_number", form.alias("room_type")),
+                       v.rooms)
+
+
+@query("add_default_rooms", """
+WITH d AS (SELECT n.hotel_id, concat(CAST(n.hotel_id * 100 AS VARCHAR), t.sfx) AS room_number, t.room_type,
+  CAST(n.price * t.f AS DECIMAL(10,2)) AS price, 'available' AS status, t.capacity, t.max_guests,
+  CAST(t.m AS DECIMAL(3,2)) AS price_multiplier, t.features
+FROM new_hotels n, (VALUES
+  ('01', 'Single', 0.8, 1, 1, 1.0, 'Single bed, TV, WiFi, En-suite bathroom'),
+  ('02', 'Double', 1.0, 2, 2, 1.2, 'Double bed, TV, WiFi, Mini-fridge, En-suite bathroom'),
+  ('03', 'Family', 1.2, 4, 4, 1.5, 'Two double beds, TV, WiFi, Mini-fridge, Sofa, En-suite bathroom'))
+  AS t(sfx, room_type, f, capacity, max_guests, m, features))
+SELECT (SELECT max(room_id) FROM rooms) + row_number() OVER (ORDER BY CAST(room_number AS BIGINT)) AS room_id, * FROM d""")
+def add_default_rooms(v):
+    return I.add_default_rooms(v.new_hotels, v.rooms)
+
+
 @query("expand_default_rooms", """
 SELECT n.hotel_id, concat(CAST(n.hotel_id * 100 AS VARCHAR), t.sfx) AS room_number, t.room_type,
   CAST(n.price * t.f AS DECIMAL(10,2)) AS price, 'available' AS status, t.capacity, t.max_guests,

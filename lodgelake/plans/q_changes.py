@@ -9,6 +9,7 @@ from lodgelake.operators import changes as X
 from lodgelake.operators import upkeep
 from lodgelake.plans.registry import query
 from lodgelake.session import checkpoint_dir
+from lodgelake.sources.months import MonthTable
 from lodgelake.streaming.state import CommandState
 
 ROOM_COLS = "r.room_id, r.hotel_id, r.room_number, r.room_type, r.price"
@@ -194,6 +195,23 @@ def cascade_hotel_bookings(v):
     return X.cascade_hotel_bookings(v.bookings, _kent_hotels(v))
 
 
+@query("bookings_rewritten_by_month", """
+SELECT booking_id, user_id, hotel_id, room_type, check_in, check_out,
+  CASE WHEN strftime(booking_date, '%Y-%m') = '1997-05' THEN CAST(guests + 1 AS INTEGER) ELSE guests END AS guests,
+  num_nights, total_price, status, booking_date FROM bookings
+WHERE hotel_id NOT IN (SELECT hotel_id FROM hotels WHERE city = 'Kent') OR strftime(booking_date, '%Y-%m') = '1997-05'""")
+def bookings_rewritten_by_month(v):
+    """B10 and an edit of one month on stored bookings: the hotels' bookings are dropped, then a month's rows come
+    back changed; read from the files of three versions."""
+    table = MonthTable(v.spark, f"{checkpoint_dir(v.spark)}/months-{uuid.uuid4().hex}")
+    table.write(v.bookings)
+    table.delete_hotels(_kent_hotels(v))
+    edits = v.bookings.where(F.date_trunc("month", "booking_date") == F.lit("1997-05-01")).withColumn("guests", F.col("guests") + 1)
+    table.replace(edits)
+    return table.read().select("booking_id", "user_id", "hotel_id", "room_type", "check_in", "check_out", "guests",
+                               "num_nights", "total_price", "status", "booking_date")
+
+
 HOTEL_EDITS = """
 SELECT n.hotel_id, n.title, h.city, n.price, CAST(NULL AS VARCHAR) AS address, CAST(NULL AS VARCHAR) AS description
 FROM new_hotels n JOIN hotels h ON h.hotel_id = n.hotel_id - 100000

@@ -60,6 +60,27 @@ def monthly_sales_last_year(v):
     return R.monthly_sales(v.bookings, "last_year", AS_OF)
 
 
+@query("monthly_sales_last_month", """
+SELECT strftime(booking_date, '%Y-%m') AS month, count(*) AS bookings,
+  CAST(coalesce(sum(total_price), 0) AS DECIMAL(18,2)) AS revenue,
+  CAST(sum(total_price) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS avg_booking_value
+FROM bookings WHERE booking_date >= CAST(date_trunc('month', AS_OF) - INTERVAL 1 MONTH AS TIMESTAMP)
+  AND booking_date < CAST(date_trunc('month', AS_OF) AS TIMESTAMP)
+GROUP BY 1""")
+def monthly_sales_last_month(v):
+    return R.monthly_sales(v.bookings, "last_month", AS_OF)
+
+
+@query("monthly_sales_this_year", """
+SELECT strftime(booking_date, '%Y-%m') AS month, count(*) AS bookings,
+  CAST(coalesce(sum(total_price), 0) AS DECIMAL(18,2)) AS revenue,
+  CAST(sum(total_price) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS avg_booking_value
+FROM bookings WHERE booking_date >= CAST(date_trunc('year', AS_OF) AS TIMESTAMP) AND booking_date <= AS_OF
+GROUP BY 1""")
+def monthly_sales_this_year(v):
+    return R.monthly_sales(v.bookings, "this_year", AS_OF)
+
+
 @query("hotel_performance", f"""
 WITH ph AS ({CONFIRMED_PER_HOTEL}),
 tot AS (SELECT count(*) AS t FROM bookings WHERE status = 'confirmed')

@@ -25,8 +25,8 @@ VIEW_CITY_CYCLE = [
 
 
 def _pick(values: list[str], idx) -> F.Column:
-    """values[idx] for a 0-based integer column."""
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (idx + 1).cast("int"))
+    """values[idx] for a 0-based integer column; null outside, as the planner may ask it of another table's keys."""
+    return F.get(F.array(*[F.lit(v) for v in values]), idx.cast("int"))
 
 
 def _days(n) -> F.Column:
