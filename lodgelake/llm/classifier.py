@@ -11,7 +11,8 @@ document's score, so the model that goes to the executors is BUCKETS numbers.  L
 doc_id are never features; whole texts are scored.
 
 Null or empty text: no feature, so the score is that of the layer's bias.  A null doc_id counts as empty text
-in the held-out rule.  Several labels of one document: the lowest counts; null labels are left out.  Without
+in the held-out rule.  Several labels of one document: the lowest counts; null labels are left out.  Of several texts of one id that of the
+smallest hash is learned from.  Without
 any training row every score is 0.5.  Repeated rows are scored each.  An empty table gives an empty result.
 Extra columns are left out.
 """
@@ -105,7 +106,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
     lab = lab.groupBy("doc_id").agg(F.min("quality").alias("_label"))
     chosen = lab.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # the bounded sample
     rows = pick(docs, {"doc_id": "bigint", "text": "string"}).join(F.broadcast(chosen), "doc_id") \
-        .mapInArrow(_bags, "doc_id bigint, _label int, bucket array<int>, n array<int>").toArrow()
+        .groupBy("doc_id").agg(F.first("_label").alias("_label"), F.min_by("text", F.xxhash64("text")).alias("text")) \
+        .select("doc_id", "_label", "text").mapInArrow(_bags, "doc_id bigint, _label int, bucket array<int>, n array<int>").toArrow()
     bags, label, ids = [], [], []
     cols = [rows.column(c) for c in ("doc_id", "_label", "bucket", "n")]
     for d, y, b, n in zip(*cols, strict=True):
@@ -142,4 +144,5 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def op8(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score and predicted of every document; see the module for nulls, empty texts and repeats."""
     return classify(docs, labels).select("doc_id", "held_out", "score", "predicted")

@@ -78,6 +78,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: Fr
 
 
 def op2(docs: DataFrame) -> DataFrame:
+    """doc_id, size, source_size, target and taken of every document; see the module for nulls, ties and repeats."""
     return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 

@@ -197,6 +197,7 @@ def quality(docs: DataFrame) -> DataFrame:
 
 
 def op6(docs: DataFrame) -> DataFrame:
+    """The base counts, base_failed and kept of every document; see the module for nulls, languages and repeats."""
     return quality(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                                 "base_failed", "kept", "class_distance", "word_distance")
 

@@ -293,6 +293,7 @@ def _left(data: np.ndarray, off: np.ndarray, gone: np.ndarray) -> list[bytes]:
 
 
 def op7(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document; see the module for nulls and repeats."""
     def digest(t: pa.Table, data: np.ndarray, off: np.ndarray, gone: np.ndarray) -> pa.Table:
         removed, runs = _runs(gone, off)
         return pa.table({

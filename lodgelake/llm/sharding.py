@@ -94,6 +94,7 @@ def shard(docs: DataFrame, shards: int = 8, virtual_nodes: int = 64) -> DataFram
 
 
 def op10(docs: DataFrame) -> DataFrame:
+    """doc_id, size, shard and slot of every document; see the module for nulls and repeats."""
     return shard(docs).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"))
