@@ -1,5 +1,7 @@
 """Account queries (U4-U6, U10), data quality (DQ1-DQ4) and sinks."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lodgelake.operators import accounts as A
@@ -9,7 +11,9 @@ from lodgelake.operators.pricing import cancellation_quotes, price_quotes, stay_
 from lodgelake.plans.q_bookings import BOOKING_DETAIL
 from lodgelake.plans.q_pricing import CANCELLATION_QUOTES, QUOTES_CTES
 from lodgelake.plans.registry import AS_OF, query
+from lodgelake.session import checkpoint_dir
 from lodgelake.sources import sinks as S
+from lodgelake.sources.generations import load_generations, write_generation
 from lodgelake.sources.tables import load_declared
 
 IDENTIFIERS = "SELECT username AS identifier FROM new_users UNION ALL SELECT email FROM new_users"
@@ -345,6 +349,26 @@ def booking_json_roundtrip(v):
     return S.from_json_rows(S.to_json_rows(b), b.schema)
 
 
+@query("rooms_of_three_generations", """
+SELECT room_id, hotel_id, room_number, room_type,
+  CASE room_id % 3 WHEN 0 THEN CAST(CAST(price AS DECIMAL(7,1)) AS DECIMAL(10,2)) ELSE price END AS price,
+  CAST(CASE room_id % 3 WHEN 2 THEN 1.5 ELSE 1.0 END AS DECIMAL(3,2)) AS price_multiplier, CAST(NULL AS VARCHAR) AS features,
+  CASE WHEN room_id % 3 <> 0 THEN status END AS status,
+  CAST(CASE room_id % 3 WHEN 0 THEN 1 ELSE capacity END AS INTEGER) AS capacity, 1 AS max_guests FROM rooms""")
+def rooms_of_three_generations(v):
+    """Rooms stored under three versions of their schema, read as one table."""
+    root, r, of = f"{checkpoint_dir(v.spark)}/rooms-{uuid.uuid4().hex}", v.rooms, F.col("room_id") % 3
+    first = r.where(of == 0).select(F.col("room_id").cast("int"), F.col("hotel_id").cast("int"),
+                                    F.col("room_number").alias("number"), "room_type", F.col("price").cast("decimal(7,1)"))
+    second = r.where(of == 1)
+    third = r.where(of == 2).withColumn("price_multiplier", F.lit("1.5").cast("decimal(2,1)")).withColumn("floor", F.lit(3))
+    for k, df in enumerate((first, second, third)):
+        write_generation(df, root, k)
+    out = load_generations(v.spark, root, "rooms", {"room_number": "number"})
+    return out.select("room_id", "hotel_id", "room_number", "room_type", "price", "price_multiplier", "features", "status",
+                      "capacity", "max_guests")
+
+
 @query("inserted_read_back", "SELECT * FROM bookings WHERE booking_id IN (SELECT booking_id FROM booking_commands)")
 def inserted_read_back(v):
     return S.inserted(v.bookings, v.booking_commands, "booking_id")

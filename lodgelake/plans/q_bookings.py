@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from lodgelake.operators import bookings as B
+from lodgelake.operators.pages import page_marks, seek_page
 from lodgelake.plans.registry import AS_OF, query
 
 MONEY0 = """
@@ -174,3 +175,16 @@ SELECT booking_id, coalesce(nullif(customer_name, ''), 'N/A') AS customer_label,
 FROM f""")
 def booking_labels(v):
     return B.booking_labels(B.bookings_feed(v.bookings, v.users, v.hotels, ordered=False))
+
+
+#: newest first, as the feed
+NEWEST = [("booking_date", True), ("booking_id", True)]
+
+
+@query("bookings_deep_page", """
+SELECT booking_id, user_id, hotel_id, status, total_price, booking_date FROM bookings
+ORDER BY booking_date DESC, booking_id DESC LIMIT 20 OFFSET (SELECT count(*) // 2 + 7 FROM bookings)""")
+def bookings_deep_page(v):
+    """A page from the middle of all bookings by a seek from the mark before it."""
+    b = v.bookings.select("booking_id", "user_id", "hotel_id", "status", "total_price", "booking_date")
+    return seek_page(b, NEWEST, page_marks(b, NEWEST, step=500), b.count() // 2 + 7, 20)
