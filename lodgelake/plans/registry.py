@@ -42,6 +42,7 @@ def _load_all() -> None:
     from lodgelake.plans import (  # noqa: F401
         q_accounts,
         q_bookings,
+        q_branches,
         q_catalog,
         q_changes,
         q_pricing,
