@@ -20,6 +20,7 @@ are packed each.  An empty table gives an empty result.  Extra columns are left
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -53,6 +54,7 @@ class Tokens:
         self.tok = Tokenizer.from_file(path)
         # names of tokens of their own, found in the raw text before anything else; none holds white space
         self.added = tuple(t.content for t in self.tok.get_added_tokens_decoder().values())
+        self.hint = os.path.commonprefix(self.added)  # almost no part holds it
         if any(c.isspace() for name in self.added for c in name):
             raise ValueError("a token's name holds white space, so parts can't be encoded apart")
         self.clear()
@@ -97,7 +99,8 @@ class Tokens:
         """Ids of a part.  Below U+0100 the tokenizer's normal form is lower case alone, so its words go to its
         model one by one, which is cheaper than a whole encoding; any other part, and one that holds the name of a
         token of its own, is encoded whole."""
-        if (text.isascii() or max(text) < "\u0100") and not any(name in text for name in self.added):
+        if (text.isascii() or max(text) < "\u0100") and not (
+                self.hint in text and any(name in text for name in self.added)):
             return [i for w in _WORD.findall(text.lower()) for i in self._word(w)]
         return self.tok.encode(text, add_special_tokens=False).ids
 
