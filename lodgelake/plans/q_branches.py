@@ -24,17 +24,24 @@ def reaching(*conditions: str):
 
 UNKNOWN = 10**9
 ROOMS_ASKED = "SELECT room_id FROM rooms WHERE room_id % 5 < 2 UNION SELECT 1000000000"
-USERS_ASKED = "SELECT id FROM users WHERE id % 4 = 1 UNION SELECT 1000000000"
+# accounts registered since, which have no booking yet
+MORE_USERS = "(SELECT * FROM users UNION ALL SELECT * REPLACE (id + 1000000 AS id) FROM users)"
+USERS_ASKED = f"SELECT id FROM {MORE_USERS} WHERE id % 4 = 1 UNION SELECT 1000000000"
 ROOM_DELETE_MIXED = ROOM_DELETE.replace("SELECT DISTINCT room_id FROM rooms WHERE status = 'maintenance'", ROOMS_ASKED)
-USER_DELETE_MIXED = USER_DELETE.replace("SELECT DISTINCT id FROM users WHERE role = 'admin'", USERS_ASKED)
+USER_DELETE_MIXED = USER_DELETE.replace("SELECT DISTINCT id FROM users WHERE role = 'admin'", USERS_ASKED) \
+    .replace("LEFT JOIN users u", f"LEFT JOIN {MORE_USERS} u")
 
 
 def _rooms_asked(v):
     return v.rooms.where("room_id % 5 < 2").select("room_id").unionAll(v.spark.range(UNKNOWN, UNKNOWN + 1).toDF("room_id"))
 
 
+def _more_users(v):
+    return v.users.unionByName(v.users.withColumn("id", F.col("id") + 1_000_000))
+
+
 def _users_asked(v):
-    return v.users.where("id % 4 = 1").select("id").unionAll(v.spark.range(UNKNOWN, UNKNOWN + 1))
+    return _more_users(v).where("id % 4 = 1").select("id").unionAll(v.spark.range(UNKNOWN, UNKNOWN + 1))
 
 
 @reaching("outcome = 'deleted'", "outcome = 'refused' AND message LIKE 'Cannot delete room with % bookings!%'", "outcome = 'not_found'")
@@ -53,14 +60,14 @@ def delete_rooms_mixed(v):
 @reaching("outcome = 'deleted'", "outcome = 'refused' AND message LIKE 'Cannot delete user with % bookings!'", "outcome = 'not_found'")
 @query("user_delete_outcomes_mixed", USER_DELETE_MIXED)
 def user_delete_outcomes_mixed(v):
-    return X.user_delete_outcomes(v.users, v.bookings, _users_asked(v))
+    return X.user_delete_outcomes(_more_users(v), v.bookings, _users_asked(v))
 
 
 @reaching("id % 4 = 1", "id % 4 <> 1")
 @query("delete_users_mixed", f"""
-WITH o AS ({USER_DELETE_MIXED}) SELECT * FROM users WHERE id NOT IN (SELECT id FROM o WHERE outcome = 'deleted')""")
+WITH o AS ({USER_DELETE_MIXED}) SELECT * FROM {MORE_USERS} WHERE id NOT IN (SELECT id FROM o WHERE outcome = 'deleted')""")
 def delete_users_mixed(v):
-    return X.delete_users(v.users, v.bookings, _users_asked(v))
+    return X.delete_users(_more_users(v), v.bookings, _users_asked(v))
 
 
 @reaching("length(teaser) = 93", "length(teaser) < 93", "teaser = '...'")
