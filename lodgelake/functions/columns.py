@@ -128,6 +128,17 @@ def money(c) -> Column:
     return F.format_string(rules.MONEY_FORMAT, col_(c).cast("double"))
 
 
+def store_text(c) -> Column:
+    """Text as the store compares it for equality: blind to case and accents.  For keys of joins, groups and filters,
+    not for results."""
+    return F.collate(col_(c), rules.STORE_COLLATION)
+
+
+def plain_text(c) -> Column:
+    """Text compared by its bytes again."""
+    return F.collate(col_(c), "UTF8_BINARY")
+
+
 def dec(c, p: int = 10, s: int = 2) -> Column:
     return col_(c).cast(f"decimal({p},{s})")
 

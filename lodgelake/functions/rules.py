@@ -121,3 +121,6 @@ MSG_EMAIL_FORMAT = "Invalid email format"
 MSG_ROLE_INVALID = "Invalid role selected"
 MSG_ACCOUNT_EXISTS = "Account already exists!"
 MSG_TAKEN = "Email or username already exists"
+
+# the collation by which the store compares text: accents and case make no difference
+STORE_COLLATION = "UNICODE_CI_AI"

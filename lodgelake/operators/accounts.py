@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodgelake.functions import rules
-from lodgelake.functions.columns import day_fmt, first_present, iso_day, ts_lit
+from lodgelake.functions.columns import day_fmt, first_present, iso_day, store_text, ts_lit
 from lodgelake.operators.changes import first_come
 from lodgelake.operators.ids import assign_ids
 from lodgelake.session import materialize
@@ -16,16 +16,16 @@ PROFILE_COLUMNS = ["id", "username", "email", "created_at", "last_login", "role"
 
 # ------------------------------------------------------------------ U4
 def resolve_identity(ids: DataFrame, users: DataFrame, identifier: str = "identifier") -> DataFrame:
-    """Match each identifier to users by username OR email (case-insensitive).
+    """Match each identifier to users by username OR email (whatever the case and accents, as the store compares).
 
     The disjunctive join is two equi-joins (each a hash join on one key) unioned
     and de-duplicated, instead of a nested-loop join on an OR condition.
     """
-    key = F.lower(F.trim(F.col(identifier)))
-    req = ids.select(F.col(identifier).alias("identifier"), key.alias("_k")).distinct()
+    key = store_text(F.trim(F.col(identifier)))
+    req = ids.select(F.col(identifier).alias("identifier"), key.alias("_k")).dropDuplicates(["identifier"])
     prof = users.select(*PROFILE_COLUMNS)
-    by_name = req.join(prof.withColumn("_k", F.lower("username")), "_k")
-    by_mail = req.join(prof.withColumn("_k", F.lower("email")), "_k")
+    by_name = req.join(prof.withColumn("_k", store_text("username")), "_k")
+    by_mail = req.join(prof.withColumn("_k", store_text("email")), "_k")
     return by_name.unionByName(by_mail).drop("_k").dropDuplicates(["identifier", "id"])
 
 
@@ -43,11 +43,11 @@ def validate_new_users(new: DataFrame, users: DataFrame) -> DataFrame:
         F.coalesce(F.col("role"), F.lit("user")).alias("role"),
     )
     # existing names and addresses, one row per value, so each request meets at most one of each
-    names = users.select(F.lower("username").alias("_lu"), F.lit(True).alias("_taken_u")).distinct()
-    mails = users.select(F.lower("email").alias("_le"), F.lit(True).alias("_taken_e")).distinct()
+    names = users.select(store_text("username").alias("_lu"), F.lit(True).alias("_taken_u")).distinct()
+    mails = users.select(store_text("email").alias("_le"), F.lit(True).alias("_taken_e")).distinct()
     df = (
-        r.join(names, F.lower(r["username"]) == names["_lu"], "left")
-        .join(mails, r["email"] == mails["_le"], "left")
+        r.join(names, store_text(r["username"]) == names["_lu"], "left")
+        .join(mails, store_text(r["email"]) == mails["_le"], "left")
         .withColumn("_taken", F.when(F.col("_taken_u") | F.col("_taken_e"), F.lit(True)))
     )
     u, e = F.col("username"), F.col("email")
@@ -76,7 +76,7 @@ def append_users(checked: DataFrame, users: DataFrame, as_of, status: int = 1, r
     Self-registration is ``role="user", status=1``; the admin form passes each request's own role
     (``role=None``) and the chosen status."""
     v = materialize(checked.filter("valid"))  # read by the contest and by the result
-    won = first_come(v.select("request_id", F.lower("username").alias("_lu"), F.col("email").alias("_le")),
+    won = first_come(v.select("request_id", store_text("username").alias("_lu"), store_text("email").alias("_le")),
                      "request_id", ["_lu", "_le"])
     winners = v.join(won, "request_id", "left_semi").select("request_id", "username", "email", "role")
     rows = winners.select(
@@ -90,10 +90,10 @@ def append_users(checked: DataFrame, users: DataFrame, as_of, status: int = 1, r
 
 def registration_outcomes(requests: DataFrame, users: DataFrame) -> DataFrame:
     """Self-registration, one after the other by request_id: refused where the email or the username, as typed but for the
-    case, belongs to a stored account or to one registered before it.  Nothing else is checked there."""
-    r = requests.select("request_id", "username", "email", F.lower("username").alias("_lu"), F.lower("email").alias("_le"))
-    names = users.select(F.lower("username").alias("_lu"), F.lit(True).alias("_u")).distinct()
-    mails = users.select(F.lower("email").alias("_le"), F.lit(True).alias("_e")).distinct()
+    case and accents, belongs to a stored account or to one registered before it.  Nothing else is checked there."""
+    r = requests.select("request_id", "username", "email", store_text("username").alias("_lu"), store_text("email").alias("_le"))
+    names = users.select(store_text("username").alias("_lu"), F.lit(True).alias("_u")).distinct()
+    mails = users.select(store_text("email").alias("_le"), F.lit(True).alias("_e")).distinct()
     r = r.join(names, "_lu", "left").join(mails, "_le", "left")
     r = materialize(r.withColumn("_held", F.coalesce(F.col("_u"), F.col("_e"), F.lit(False))).drop("_u", "_e"))
     won = first_come(r.where("NOT _held"), "request_id", ["_lu", "_le"]).withColumn("_won", F.lit(True))

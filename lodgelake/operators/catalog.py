@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodgelake.functions import rules
+from lodgelake.functions.columns import store_text
 
 SEARCH_COLUMNS = ["hotel_id", "city", "title", "price", "image", "description"]
 
 
 def _city_filter(hotels: DataFrame, city: str | None) -> DataFrame:
-    # the store compared case-insensitively; an empty string and the page's choice "all" mean all cities
+    # the store compared whatever the case and accents; an empty string and the page's choice "all" mean all cities
     if city and city.lower() != "all":
-        return hotels.filter(F.lower(F.col("city")) == city.lower())
+        return hotels.filter(store_text("city") == F.lit(city))
     return hotels
 
 
@@ -47,8 +48,8 @@ def hotel_search_meta(hotels: DataFrame, city: str | None = None, offset: int =
 
 
 def distinct_cities(hotels: DataFrame) -> DataFrame:
-    """One entry per city, compared case-insensitively as the store did (the smallest spelling shown)."""
-    return (hotels.groupBy(F.lower("city").alias("_k")).agg(F.min("city").alias("city"))
+    """One entry per city, compared as the store did, whatever the case and accents (the smallest spelling shown)."""
+    return (hotels.groupBy(store_text("city").alias("_k")).agg(F.min("city").alias("city"))
             .orderBy("_k").select("city"))
 
 

@@ -18,8 +18,10 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lodgelake.functions import rules
+from lodgelake.functions.columns import plain_text, store_text
 from lodgelake.session import materialize
 
 
@@ -318,11 +320,11 @@ def upsert_hotels(hotels: DataFrame, edits: DataFrame, order_col: str | None = N
 # ------------------------------------------------------------------ U7
 def resolve_account_targets(cmds: DataFrame, users: DataFrame) -> DataFrame:
     """Commands may name their account by ``email`` instead of ``user_id`` (activation links carry
-    the address): resolve it case-insensitively against one row per address."""
+    the address): resolve it as the store compares text against one row per address."""
     if "email" not in cmds.columns:
         return cmds
-    by_mail = users.groupBy(F.lower("email").alias("_mail")).agg(F.min("id").alias("_uid"))
-    df = cmds.join(by_mail, F.lower(cmds["email"]) == by_mail["_mail"], "left")
+    by_mail = users.groupBy(store_text("email").alias("_mail")).agg(F.min("id").alias("_uid"))
+    df = cmds.join(by_mail, store_text(cmds["email"]) == by_mail["_mail"], "left")
     uid = F.coalesce(F.col("user_id"), F.col("_uid")) if "user_id" in cmds.columns else F.col("_uid")
     return df.select(*[c for c in cmds.columns if c not in ("user_id", "email")], uid.alias("user_id"))
 
@@ -452,12 +454,15 @@ def first_come(requests: DataFrame, id_col: str, keys: list[str], replayed: int
     minima per value, so a value that a third of all requests ask for is gone after one such round.
     """
     rivals = requests.select(id_col, *keys)
+    text = {k for k in keys if isinstance(requests.schema[k].dataType, StringType)}
     wanted = F.lit(False)
     for k in keys:
-        asked = requests.groupBy(F.col(k).alias(f"_v_{k}")).agg(F.count(F.lit(1)).alias(f"_n_{k}"))
+        # equal values under the column's collation are replaced by one spelling, which is compared by its bytes below
+        one = plain_text(k) if k in text else F.col(k)
+        asked = requests.groupBy(F.col(k).alias(f"_v_{k}")).agg(F.count(F.lit(1)).alias(f"_n_{k}"), F.min(one).alias(f"_o_{k}"))
         rivals = rivals.join(asked.where(F.col(f"_v_{k}").isNotNull()), F.col(k) == F.col(f"_v_{k}"), "left")
         wanted = wanted | (F.coalesce(F.col(f"_n_{k}"), F.lit(0)) > 1)
-    marked = materialize(rivals.select(id_col, *keys, wanted.alias("_rival")))
+    marked = materialize(rivals.select(id_col, *[F.col(f"_o_{k}").alias(k) for k in keys], wanted.alias("_rival")))
     accepted = [marked.where("NOT _rival").select(id_col)]
     rivals = marked.where("_rival").drop("_rival")
     while rivals.count() > replayed:
@@ -481,19 +486,19 @@ def first_come(requests: DataFrame, id_col: str, keys: list[str], replayed: int
 
 def profile_update_outcomes(users: DataFrame, edits: DataFrame, order_col: str | None = None) -> DataFrame:
     """Each (id, username, email) edit: accepted, or refused when the new username or email (compared
-    case-insensitively, untrimmed, as the store compares) belongs to another stored user or went to an accepted edit
+    whatever the case and accents, untrimmed, as the store compares) belongs to another stored user or went to an accepted edit
     with a smaller id.  A refused edit blocks nobody.  Of several edits of one user the latest counts
     (``order_col``; without it the greatest pair of values)."""
     if order_col:
         e = latest_per_key(edits.select("id", "username", "email", order_col), "id", order_col)
     else:
         e = edits.groupBy("id").agg(F.max(F.struct("username", "email")).alias("_e")).select("id", "_e.*")
-    e = e.select("id", "username", "email", F.lower("username").alias("_lu"), F.lower("email").alias("_le"))
+    e = e.select("id", "username", "email", store_text("username").alias("_lu"), store_text("email").alias("_le"))
 
     # another user already holds the name / address: holders are aggregated to one row per value
     # (min/max id), so a popular value is compared once per edit, never edit x holder pairs
     def holders(col, name):
-        return users.groupBy(F.lower(col).alias(name)).agg(F.min("id").alias(f"{name}_min"),
+        return users.groupBy(store_text(col).alias(name)).agg(F.min("id").alias(f"{name}_min"),
                                                           F.max("id").alias(f"{name}_max"))
 
     def taken_by_other(name):

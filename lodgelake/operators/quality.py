@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodgelake import schema as S
+from lodgelake.functions.columns import store_text
 
 
 def constraint_violations(df: DataFrame, table: str) -> DataFrame:
@@ -50,9 +51,16 @@ def constraint_report(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def duplicate_keys(df: DataFrame, cols: list[str], case_insensitive: bool = True) -> DataFrame:
-    """Key values held by more than one row (UNIQUE / PRIMARY KEY violations)."""
-    key = [F.lower(F.col(c).cast("string")).alias(c) if case_insensitive else F.col(c) for c in cols]
-    return df.groupBy(*key).agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > 1)
+    """Key values held by more than one row (UNIQUE / PRIMARY KEY violations).
+
+    By default text is compared as the store does, whatever the case and accents, and the smallest lower-case spelling
+    is shown."""
+    if not case_insensitive:
+        return df.groupBy(*cols).agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > 1)
+    text = {c: F.col(c).cast("string") for c in cols}
+    keys = [store_text(t).alias(f"_k{i}") for i, t in enumerate(text.values())]
+    return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), *[F.min(F.lower(t)).alias(c) for c, t in text.items()])
+            .filter(F.col("rows") > 1).select(*cols, "rows"))
 
 
 def orphans(child: DataFrame, parent: DataFrame, fk: str, pk: str | None = None) -> DataFrame:

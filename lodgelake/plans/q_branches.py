@@ -3,6 +3,7 @@ texts, broken rows.  ``BRANCHES`` says what each must hold; a test fails where a
 
 from pyspark.sql import functions as F
 
+from lodgelake.operators import accounts as A
 from lodgelake.operators import bookings as B
 from lodgelake.operators import catalog as C
 from lodgelake.operators import changes as X
@@ -142,3 +143,81 @@ def duplicate_room_numbers_found(v):
     k = F.col("room_id")
     r = v.rooms.select(F.concat(F.when(k % 2 == 0, "R").otherwise("r"), F.expr("room_id DIV 3").cast("string")).alias("room_number"))
     return Q.duplicate_keys(r, ["room_number"]).withColumnRenamed("rows", "n")
+
+
+# ------------------------------------------------------------------ accents and case in keys (DQ2, C1, U4, U5, U9)
+SPELLED = "CASE {k} % 4 WHEN 0 THEN 'José' WHEN 1 THEN 'JOSE' WHEN 2 THEN 'josÈ' ELSE 'jose' END"
+
+
+def _spelled(k):
+    return F.when(k % 4 == 0, "José").when(k % 4 == 1, "JOSE").when(k % 4 == 2, "josÈ").otherwise("jose")
+
+
+def _named(df, key, of):
+    """Names that are one to the store where ``of`` is equal, spelled by ``key``."""
+    name = F.concat(_spelled(F.col(key)), F.lit("."), of.cast("string"))
+    return df.withColumn("username", name).withColumn("email", F.concat(name, F.lit("@mäil.com")))
+
+
+def _named_sql(table, key, of):
+    name = f"concat({SPELLED.format(k=key)}, '.', {of})"
+    return f"(SELECT * REPLACE ({name} AS username, concat({name}, '@mäil.com') AS email) FROM {table})"
+
+
+@reaching("n > 2")
+@query("duplicate_names_accented", f"""
+SELECT strip_accents(lower(username)) AS name, count(*) AS n FROM {_named_sql("users", "id", "id // 3")}
+GROUP BY username COLLATE NOCASE.NOACCENT, 1 HAVING count(*) > 1""")
+def duplicate_names_accented(v):
+    d = Q.duplicate_keys(_named(v.users, "id", F.expr("id DIV 3")), ["username"])
+    fold = F.translate("username", "éè", "ee")  # any spelling may be shown
+    return d.select(fold.alias("name"), F.col("rows").alias("n"))
+
+
+CITIES = "(SELECT * REPLACE (concat(" + SPELLED.format(k="hotel_id") + ", ' ', hotel_id % 3) AS city) FROM hotels)"
+
+
+def _cities(v):
+    k = F.col("hotel_id")
+    return v.hotels.withColumn("city", F.concat(_spelled(k), F.lit(" "), (k % 3).cast("string")))
+
+
+@reaching("city LIKE 'JOSE %'")
+@query("distinct_cities_accented", f"SELECT min(city) AS city FROM {CITIES} GROUP BY city COLLATE NOCASE.NOACCENT")
+def distinct_cities_accented(v):
+    return C.distinct_cities(_cities(v))
+
+
+@reaching("city = 'José 1'", "city = 'JOSE 1'", "city = 'jose 1'")
+@query("hotel_search_accented", f"""
+SELECT hotel_id, city, title, price, image, description FROM {CITIES} WHERE city COLLATE NOCASE.NOACCENT = 'jôsé 1'
+ORDER BY price, hotel_id LIMIT 9""")
+def hotel_search_accented(v):
+    return C.hotel_search(_cities(v), city="jôsé 1", sort="price-low")
+
+
+ASKED = "concat('ĴOSÊ.', CAST(request_id % 60 AS BIGINT), CASE WHEN request_id % 2 = 0 THEN '@MAIL.com' ELSE '' END)"
+
+
+@reaching("identifier LIKE '%@MAIL.com'", "identifier NOT LIKE '%@MAIL.com'")
+@query("resolve_identity_accented", f"""
+SELECT DISTINCT r.identifier, u.id, u.username, u.email, u.created_at, u.last_login, u.role, u.status
+FROM (SELECT {ASKED} AS identifier FROM new_users) r JOIN {_named_sql("users", "id", "id // 3")} u
+ON r.identifier = u.username COLLATE NOCASE.NOACCENT OR r.identifier = u.email COLLATE NOCASE.NOACCENT""")
+def resolve_identity_accented(v):
+    return A.resolve_identity(v.new_users.select(F.expr(ASKED).alias("identifier")), _named(v.users, "id", F.expr("id DIV 3")))
+
+
+REGISTER_NAMED = f"""
+WITH r AS (SELECT * FROM {_named_sql("new_users", "request_id", "request_id // 5")}),
+f AS (SELECT *, EXISTS (SELECT 1 FROM {_named_sql("users", "id", "id * 2")} u WHERE strip_accents(lower(u.username)) = strip_accents(lower(r.username))) AS held,
+  row_number() OVER (PARTITION BY strip_accents(lower(username)) ORDER BY request_id) AS k FROM r)
+SELECT request_id, username, email, NOT held AND k = 1 AS registered,
+  CASE WHEN held OR k > 1 THEN 'Account already exists!' END AS message FROM f"""
+
+
+@reaching("registered", "NOT registered")
+@query("registration_outcomes_accented", REGISTER_NAMED)
+def registration_outcomes_accented(v):
+    return A.registration_outcomes(_named(v.new_users, "request_id", F.expr("request_id DIV 5")),
+                                   _named(v.users, "id", F.col("id") * 2))
