@@ -61,12 +61,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def bounded_rows(df: DataFrame, most: int, what: str) -> list:
-    """Rows of a small dimension for the driver; more than ``most`` of them is an error, never a cut."""
+def few_rows(df: DataFrame, most: int) -> list | None:
+    """Rows of a dimension for the driver where there are at most ``most``; None where there are more, which then
+    stay distributed."""
     rows = df.limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} {what}")
-    return rows
+    return rows if len(rows) <= most else None
 
 
 RUN_BUCKETS = 1024

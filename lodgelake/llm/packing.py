@@ -11,8 +11,15 @@ without a sequential pass.  A document is cut at grain ends, and a window holds
 
 Padding: at most one partial grain per source and one partial window in all.
 
+With target weights, or more than FEW_SOURCES sources, the grains are put in order by a range exchange instead: the
+g-th grain of a source of weight w is served at (g + 1/2) / w, so each source earns w a round, and one whose queue ends
+leaves its part to the others by their weights.  Windows are cut from that order at every WINDOW tokens (a
+grain may be cut, so only the last window is padded), and a window's tokens stand by source.  Rows of documents only
+hold their own grains, so any number of sources takes the same memory.
+
 The tokens before a document are a running sum in slices (no window holds a hot source).  One row per source
-reaches the driver, at most MOST_SOURCES.  Token ids travel once, as 16-bit numbers where they fit.
+reaches the driver where there are at most FEW_SOURCES.  Token ids travel once (twice with weights or many sources), as
+16-bit numbers where they fit.
 
 Null text counts as empty: its one id is the end mark.  A null source is a source of its own.  Repeated rows
 are packed each.  An empty table gives an empty result.  Extra columns are left out.
@@ -27,13 +34,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodgelake.llm.common import bounded_rows, cut, passes, pick, running_sum, span_hashes, spans, text_bytes
+from lodgelake.llm.common import cut, few_rows, passes, pick, running_sum, span_hashes, spans, text_bytes
 
 WINDOW, GRAIN, END_ID = 2048, 64, 1
-MOST_SOURCES = 65536
+FEW_SOURCES = 64
+MOST_SOURCES = 65536  # rows of sources that are broadcast
 TOKENIZER = "word_bpe_49k.json"
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, 10]] = True  # always white space to the tokenizer, which drops it and never joins across it
@@ -242,8 +250,86 @@ def pieces(before: np.ndarray, n: np.ndarray, source: np.ndarray, totals: np.nda
     return row, a - before[row], b - a, w, ahead[k, s] + a - first
 
 
-def pack(docs: DataFrame, tokenizer_path: str | None = None, seed: int = 23) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids, ids_crc32, doc_tokens, sequence_id, offset."""
+def ordered_pieces(run_: DataFrame, rates: DataFrame, small: bool) -> DataFrame:
+    """_g, _before and the pieces (start in the source's queue, length, sequence_id, offset) of each document, from
+    (_g, _before, _n) and each source's (_sg, _rate).  ``small``: the rates are few enough to be broadcast."""
+    lo, hi = F.col("_before"), F.col("_before") + F.col("_n")
+    parts = run_.select("_g", "_before", "_n").join(F.broadcast(rates) if small else rates, F.col("_g") == F.col("_sg")).select(
+        "_g", "_before", "_n", "_rate", F.explode(F.sequence(F.expr(f"_before DIV {GRAIN}"), F.expr(f"(_before + _n - 1) DIV {GRAIN}"))).alias("_k"))
+    parts = parts.select(
+        "_g", "_before", ((F.col("_k") + 0.5) / F.col("_rate")).alias("_at"), F.greatest(lo, F.col("_k") * GRAIN).alias("_lo"),
+        F.least(hi, (F.col("_k") + 1) * GRAIN).alias("_hi"))
+    order = [F.col("_at"), F.col("_g"), F.col("_lo")]  # unique: a queue's token is in one part
+    placed = parts.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id())
+    placed = cut(placed.withColumn("_part", F.shiftright("_place", 33)))
+    sums = placed.groupBy("_part").agg(F.sum(F.col("_hi") - F.col("_lo")).alias("n")).orderBy("_part").collect()  # one a range
+    base, total = [], 0
+    for r in sums:
+        base.append((r["_part"], total))
+        total += r["n"]
+    base = F.broadcast(run_.sparkSession.createDataFrame(base, "_bp long, _base long"))
+    before = Window.partitionBy("_part").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
+    p = F.col("_p")
+    cut_ = (
+        placed.withColumn("_p", F.coalesce(F.sum(F.col("_hi") - F.col("_lo")).over(before), F.lit(0)))
+        .join(base, F.col("_part") == F.col("_bp")).withColumn("_p", p + F.col("_base"))
+        .select("_g", "_before", "_lo", "_hi", "_p", F.explode(F.sequence(
+            F.expr(f"_p DIV {WINDOW}"), F.expr(f"(_p + _hi - _lo - 1) DIV {WINDOW}"))).alias("sequence_id"))
+        .withColumn("_a", F.greatest(p, F.col("sequence_id") * WINDOW))
+        .withColumn("_b", F.least(p + F.col("_hi") - F.col("_lo"), (F.col("sequence_id") + 1) * WINDOW))
+        .select("_g", "_before", "sequence_id", (F.col("_lo") + F.col("_a") - p).alias("_lo"), (F.col("_b") - F.col("_a")).alias("_len"))
+    )
+    ahead = Window.partitionBy("sequence_id").orderBy("_g", "_lo").rowsBetween(Window.unboundedPreceding, -1)
+    # a document's grains in one window follow each other in its queue
+    whole = cut_.repartition("sequence_id").groupBy("_g", "_before", "sequence_id").agg(
+        F.min("_lo").alias("_lo"), F.sum("_len").alias("_len")) \
+        .withColumn("_offset", F.coalesce(F.sum("_len").over(ahead), F.lit(0)))
+    return whole.groupBy(F.col("_g").alias("_pg"), F.col("_before").alias("_pb")).agg(
+        F.array_sort(F.collect_list(F.struct("_lo", "_len", "sequence_id", "_offset"))).alias("_pieces"))
+
+
+def _piece_batch(batch: pa.RecordBatch, row, start, length, w, offset) -> pa.RecordBatch:
+    """The pieces of a batch's documents with their ids."""
+    n = batch.column("_n").to_numpy(zero_copy_only=False)
+    blobs = batch.column("_ids").to_pylist()
+    out = []
+    for r, a, m in zip(row.tolist(), start.tolist(), length.tolist(), strict=True):
+        x = blobs[r]
+        wide = np.frombuffer(x, "<u2" if len(x) == 2 * n[r] else "<u4", m, a * (len(x) // int(n[r])))
+        out.append(wide.astype("<u4").tobytes())
+    return pa.RecordBatch.from_arrays(
+        [batch.column("doc_id").take(pa.array(row)), pa.array(start), pa.array(length),
+         pa.ListArray.from_arrays(
+             pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()),
+             pa.array(np.frombuffer(b"".join(out), "<i4"))), pa.array([zlib.crc32(x) for x in out], pa.int64()),
+         pa.array(n[row]), pa.array(w), pa.array(offset)],
+        ["doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+
+
+def _laid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for at in range(0, whole.num_rows, 1024):
+            batch = whole.slice(at, 1024)
+            lists = batch.column("_pieces")
+            flat = lists.flatten()
+            start, length, w, offset = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+            row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+            start = start - batch.column("_before").to_numpy(zero_copy_only=False)[row]
+            yield _piece_batch(batch, row, start, length, w, offset)
+
+
+PIECES = ("doc_id bigint, start bigint, length bigint, ids array<int>, ids_crc32 bigint, doc_tokens bigint, "
+          "sequence_id bigint, offset bigint")
+
+
+def pack(docs: DataFrame, tokenizer_path: str | None = None, seed: int = 23,
+         weights: dict[str | None, float] | None = None, few: int = FEW_SOURCES) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids, ids_crc32, doc_tokens, sequence_id, offset.
+
+    ``weights`` are the sources' target proportions (a source not named weighs 1, and all must be above 0); without them
+    each source's target is its share of all tokens."""
+    if weights and min(weights.values()) <= 0:
+        raise ValueError("weights must be above 0")
     if tokenizer_path is None:
         import public_tokenizers
 
@@ -251,9 +337,23 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, seed: int = 23) ->
     t = cut(tokenized(docs, tokenizer_path)).withColumn(
         "_h", F.when(F.col("doc_id").isNull(), F.xxhash64("_ids", F.lit(seed)))  # rows without an id are spread as well
         .otherwise(F.xxhash64("doc_id", F.lit(seed))))
-    rows = sorted(bounded_rows(t.groupBy("_g").agg(F.sum("_n")), MOST_SOURCES, "sources"))
+    run_ = running_sum(t, "_g", "_h", ["doc_id", "_n", F.xxhash64("_ids")], "_n", "_before")
     spark = docs.sparkSession
-    index = F.broadcast(spark.createDataFrame(  # one row per source, at most MOST_SOURCES
+    sources = t.groupBy("_g").agg(F.sum("_n").alias("n"))
+    rows = few_rows(sources, few)
+    if rows is None or weights is not None:
+        rate = F.ceil(F.col("n") / GRAIN).cast("double")
+        if weights is not None:
+            given = spark.createDataFrame([("n" if s is None else f"s{s}", float(x)) for s, x in weights.items()],
+                                          "_wg string, _w double")  # a parameter of the caller
+            sources = sources.join(F.broadcast(given), F.col("_g") == F.col("_wg"), "left")
+            rate = F.coalesce("_w", F.lit(1.0))
+        rates = cut(sources.select(F.col("_g").alias("_sg"), rate.alias("_rate")))
+        at = ordered_pieces(run_, rates, rates.count() <= MOST_SOURCES)
+        return run_.join(at, (F.col("_g") == F.col("_pg")) & (F.col("_before") == F.col("_pb"))) \
+            .select("doc_id", "_n", "_ids", "_before", "_pieces").mapInArrow(_laid, PIECES)
+    rows = sorted(rows)
+    index = F.broadcast(spark.createDataFrame(  # one row per source, at most ``few``
         [(r[0], i) for i, r in enumerate(rows)], "_sg string, _source int"))
     totals = np.array([r[1] for r in rows], np.int64)
 
@@ -263,25 +363,10 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, seed: int = 23) ->
                 batch = whole.slice(at, 1024)
                 num = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("_before", "_n", "_source")}
                 row, start, length, w, offset = pieces(num["_before"], num["_n"], num["_source"], totals)
-                blobs = batch.column("_ids").to_pylist()
-                out = []
-                for r, a, m in zip(row.tolist(), start.tolist(), length.tolist(), strict=True):
-                    x = blobs[r]
-                    wide = np.frombuffer(x, "<u2" if len(x) == 2 * num["_n"][r] else "<u4", m,
-                                         a * (len(x) // int(num["_n"][r])))
-                    out.append(wide.astype("<u4").tobytes())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(pa.array(row)), pa.array(start), pa.array(length),
-                     pa.ListArray.from_arrays(
-                         pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()),
-                         pa.array(np.frombuffer(b"".join(out), "<i4"))), pa.array([zlib.crc32(x) for x in out], pa.int64()),
-                     pa.array(num["_n"][row]), pa.array(w), pa.array(offset)],
-                    ["doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+                yield _piece_batch(batch, row, start, length, w, offset)
 
-    run_ = running_sum(t, "_g", "_h", ["doc_id", "_n", F.xxhash64("_ids")], "_n", "_before")
     return run_.join(index, F.col("_g") == F.col("_sg")).select("doc_id", "_n", "_ids", "_before", "_source") \
-        .mapInArrow(run, "doc_id bigint, start bigint, length bigint, ids array<int>, ids_crc32 bigint, "
-                    "doc_tokens bigint, sequence_id bigint, offset bigint")
+        .mapInArrow(run, PIECES)
 
 
 def op9(docs: DataFrame) -> DataFrame:
