@@ -1,23 +1,27 @@
 """Quality rules: a document's histograms against language references by Jensen-Shannon distance.
 
 Two histograms are taken of each whole text: character classes, and common words of several languages
-with one bin for all others.  A reference is the sum of the histograms of all documents of one language
-(one row per language).  Only the languages named in COMMON give one: any other value of ``lang``, null and wrong
-tags included, might be a heap of junk that judges itself.  The verdict rejects a document whose
-distance to the nearest reference is above the limit for its length: limit + slack / sqrt(words), as short
-texts stray more.  Guards: documents under MIN_WORDS words fail the base rule and are not measured;
-a language with fewer than REFERENCE_WORDS words gives no reference.  A document whose own language has no
-reference is not measured either: its distances are 0 and it is not rejected by distance, whatever other
-languages the table holds.
+with one bin for all others.  The references are fixed values, so a document's verdict hangs on its own text and
+language alone, whatever else the table holds and however large it is: PROFILE for the classes, and for the words of a
+language Zipf's law over its most frequent words in COMMON.  The verdict rejects a document whose distance is above the
+limit for its length: limit + slack / sqrt(words), as short texts stray more.
+
+The word distance is that to the own language or, as texts quote each other, to an even blend of it with one other
+language of COMMON, whichever is nearest.  ``lang`` is read without case and region (``EN``, ``en-GB``).  Of any other
+language, null and wrong tags included, neither the frequent words nor the use of blanks and capitals are known: the
+word distance is 0, and the class distance is taken over letters of any script, digits, punctuation, control
+characters and symbols alone.  So a heap of symbols is rejected under every tag.  Guard: documents under MIN_WORDS
+words fail the base rule, whatever their distances.
 
 Base rules: under MIN_WORDS words, or over half of the words in repeated 3-word windows, fails.
 
-Null or empty text: no words, base_failed.  Null language: not measured.  Repeated rows count each.
+Null or empty text: no words, base_failed.  Null language: a language that is not named.  Repeated rows count each.
 An empty table gives an empty result.  Extra columns are left out.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,9 +39,11 @@ COMMON = {
     "es": "de la que el en y a los se del las un por con no una su para es al lo como pero sus le ha me si",
 }
 WORDS = sorted({w for line in COMMON.values() for w in line.split()})
+# fixed values: percent of the characters of plain prose
+PROFILE = {"letters": 78, "capitals": 3, "digits": 1, "blanks": 16, "punctuation": 3, "control": 0, "symbols": 0.1}
+TOP_WORD = 0.065  # share of the most frequent word; the r-th has 1 / r of it
 
 MIN_WORDS = 50
-REFERENCE_WORDS = 2000
 CLASS_LIMIT, CLASS_SLACK = 0.12, 1.0
 WORD_LIMIT, WORD_SLACK = 0.14, 2.1
 
@@ -140,44 +146,57 @@ def _measured(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.
         yield i, j, *measure(data[part[0]:part[-1]], part - part[0])
 
 
-def _partial_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict = {}
-    for batch in batches:
-        lang = batch.column("lang").to_pylist()
-        for i, j, _, hist in _measured(batch):
-            names = lang[i:j]
-            for name in set(names):
-                rows = hist[[k for k, x in enumerate(names) if x == name]].sum(axis=0)
-                total[name] = total.get(name, 0) + rows
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(list(total), pa.string()), pa.array([v.tolist() for v in total.values()], pa.list_(pa.int64()))],
-        ["lang", "hist"])
+def word_reference(lang: str) -> np.ndarray:
+    """Shares of WORDS and of all other words in the language."""
+    share = {w: TOP_WORD / r for r, w in enumerate(COMMON[lang].split(), 1)}
+    of = np.array([share.get(w, 0.0) for w in WORDS])
+    return np.append(of, 1 - of.sum())
 
 
-def references(docs: DataFrame) -> dict[str, np.ndarray]:
-    """One histogram for each language of COMMON with enough words, over all documents."""
-    part = pick(docs).select("text", "lang").where(F.col("lang").isin(*COMMON)) \
-        .mapInArrow(_partial_sums, "lang string, hist array<bigint>")
-    sums = part.groupBy("lang").agg(*[F.sum(F.col("hist")[i]).alias(f"_{i}") for i in range(BINS)])
-    rows = {r[0]: np.array(r[1:], np.int64) for r in sums.collect()}  # at most one per language of COMMON
-    return {name: r for name, r in rows.items() if r[_CLASSES:].sum() >= REFERENCE_WORDS}
+def classes(hist: np.ndarray) -> np.ndarray:
+    """Counts in the order of PROFILE: small letters of any script as letters."""
+    out = hist[:, :_CLASSES - 1].copy()
+    out[:, 0] += hist[:, _CLASSES - 1]
+    return out
+
+
+def _scriptless(counts: np.ndarray) -> np.ndarray:
+    """Without blanks, and capitals as letters: what scripts have in common."""
+    return np.concatenate([counts[:, :1] + counts[:, 1:2], counts[:, [2, 4, 5, 6]]], axis=1)
+
+
+_PROFILE = np.array(list(PROFILE.values()))
+_SCRIPTLESS = _scriptless(_PROFILE[None, :])[0]
+_OWN = {g: word_reference(g) for g in COMMON}
+_BLENDS = {g: [own, *[(own + other) / 2 for h, other in _OWN.items() if h != g]] for g, own in _OWN.items()}
+
+
+def distances(hist: np.ndarray, langs: list) -> np.ndarray:
+    """Class and word distance of each document (row of histograms) of the given language."""
+    tags = [re.split("[-_]", (x or "").strip().lower())[0] for x in langs]
+    count = classes(hist)
+    far = np.zeros((len(hist), 2))
+    for tag in set(tags):
+        rows = np.array([x == tag for x in tags])
+        if tag in _BLENDS:
+            far[rows, 0] = js_distance(count[rows], _PROFILE)
+            far[rows, 1] = np.min([js_distance(hist[rows, _CLASSES:], r) for r in _BLENDS[tag]], axis=0)
+        else:
+            far[rows, 0] = js_distance(_scriptless(count[rows]), _SCRIPTLESS)
+    return far
 
 
 def quality(docs: DataFrame) -> DataFrame:
     """Documents' columns with the base counts, base_failed, class_distance, word_distance and kept."""
-    refs = references(docs)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             base, far = np.zeros((n, 5), np.int64), np.zeros((n, 2))
-            measured = np.array([x in refs for x in batch.column("lang").to_pylist()], bool)
+            langs = batch.column("lang").to_pylist()
             for i, j, b, hist in _measured(batch):
                 base[i:j] = b
-                if refs:
-                    far[i:j, 0] = np.min([js_distance(hist[:, :_CLASSES], r[:_CLASSES]) for r in refs.values()], axis=0)
-                    far[i:j, 1] = np.min([js_distance(hist[:, _CLASSES:], r[_CLASSES:]) for r in refs.values()], axis=0)
-            far[~measured] = 0
+                far[i:j] = distances(hist, langs[i:j])
             words = base[:, 0]
             failed = (words < MIN_WORDS) | (100 * base[:, 4] > 50 * words)
             root = np.sqrt(np.maximum(words, 1))

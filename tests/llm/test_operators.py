@@ -382,26 +382,104 @@ def test_op6_base_counts(docs):
         assert not any(r[5] and r[6] for r in got[i])
 
 
-def test_op6_languages_without_reference(make):
-    """A verdict doesn't hang on the other languages of the table, and junk gives no reference."""
+def _prose_of(rng, g, n=200):
+    """Sentences of a language: the frequent words as often as Zipf's law says, the others made up."""
+    common = quality.COMMON[g].split()
+    share = [0.065 / r for r in range(1, len(common) + 1)]
+    w = [rng.choices([*common, None], [*share, 1 - sum(share)])[0] or
+         "".join(rng.choice("abcdeilnorst") for _ in range(6)) for _ in range(n)]
+    return " ".join(x.capitalize() if k % 12 == 0 else x + "." if k % 12 == 11 else x + "," if k % 12 == 5 else x
+                    for k, x in enumerate(w))
+
+
+def _distance(p, q):
+    p, q = ({k: v / sum(x.values()) for k, v in x.items()} if sum(x.values()) else {} for x in (p, q))
+    total = 0.0
+    for k in {*p, *q}:
+        a, b = p.get(k, 0), q.get(k, 0)
+        total += sum(x * math.log2(2 * x / (a + b)) for x in (a, b) if x) / 2
+    return math.sqrt(max(total, 0))
+
+
+def _kept(text, lang):
+    """The verdict of one document, restated by characters and words."""
+    text = text or ""
+    w = words(text)
+    n = collections.Counter(tuple(w[k:k + 3]) for k in range(len(w) - 2))
+    cover = {k + d for k in range(len(w) - 2) if n[tuple(w[k:k + 3])] > 1 for d in range(3)}
+    if len(w) < 50 or 100 * len(cover) > 50 * len(w):
+        return False
+
+    def kind(c):
+        if "a" <= c <= "z" or ord(c) > 127:
+            return "letters"
+        if "A" <= c <= "Z":
+            return "capitals"
+        if c.isdigit():
+            return "digits"
+        if c in " \t\n\v\f\r":
+            return "blanks"
+        if c in ".,;:!?'\"()-":
+            return "punctuation"
+        return "control" if ord(c) < 32 or ord(c) == 127 else "symbols"
+
+    tag = re.split("[-_]", (lang or "").strip().lower())[0]
+    count, profile = collections.Counter(map(kind, text)), dict(quality.PROFILE)
+    if tag not in quality.COMMON:
+        for x in (count, profile):
+            x["letters"] += x.pop("capitals", 0)
+            x.pop("blanks", 0)
+    limit = 0.12 + 1 / math.sqrt(len(w))
+    if _distance(count, profile) > limit:
+        return False
+    if tag not in quality.COMMON:
+        return True
+    every = {x for line in quality.COMMON.values() for x in line.split()}
+    bins = collections.Counter(x if x in every else None for x in re.findall(r"[a-z\u0080-\U0010ffff]+", text.translate(LOWER)))
+
+    def reference(*langs):
+        out = collections.Counter()
+        for g in langs:
+            for r, x in enumerate(quality.COMMON[g].split(), 1):
+                out[x] += 0.065 / r / len(langs)
+        out[None] = 1 - sum(out.values())
+        return out
+
+    near = min(_distance(bins, reference(tag, g)) for g in quality.COMMON)
+    return near <= 0.14 + 2.1 / math.sqrt(len(w))
+
+
+def test_op6_verdict_is_the_restatement(make):
     import random
-    rng = random.Random(11)
-    common = {g: line.split() for g, line in quality.COMMON.items()}
+    rng = random.Random(5)
+    texts = [r[1] for r in ROWS[:40]]
+    for g in quality.COMMON:
+        texts += [_prose_of(rng, g, n) for n in (20, 60, 200, 900)]
+        texts += [_prose_of(rng, g, 100) + " " + "".join(rng.choice("#*$%&|<> 0123") for _ in range(k)) for k in (30, 300, 1500)]
+        texts += [_prose_of(rng, g, 150) + "\n" + _prose_of(rng, h, 150) for h in quality.COMMON]
+    rows = [(i, t, lang, "a") for i, (t, lang) in enumerate(
+        (t, lang) for t in texts for lang in ("en", "fr", "EN", "de-AT", "es_MX", "zz", "", None))]
+    got = {r["doc_id"]: r["kept"] for r in quality.op6(make(rows)).collect()}
+    want = {i: _kept(t, lang) for i, t, lang, _ in rows}
+    assert got == want and 100 < sum(want.values()) < len(want) - 100
 
-    def text(g, n=200):
-        return " ".join(rng.choice(common[g]) if rng.random() < 0.5 else
-                        "".join(rng.choice("abcdeilnorst") for _ in range(6)) for _ in range(n))
 
+def test_op6_languages_without_reference(make):
+    """A verdict doesn't hang on the rest of the table, and junk gives no reference."""
+    import random
+    rng = random.Random(11)
     russian = " ".join("".join(rng.choice("абвгдежзиклмнопрст") for _ in range(6)) for _ in range(104))
     junk = [" ".join("".join(rng.choice("#*$%&|<>") for _ in range(5)) for _ in range(200)) for _ in range(25)]
-    rows = [(i, text("en"), "en", "a") for i in range(20)]
-    rows += [(100, russian, "ru", "a"), (101, junk[0], "en", "a")]
+    rows = [(i, _prose_of(rng, "en"), "en", "a") for i in range(20)]
+    rows += [(100, russian, "ru", "a"), (101, junk[0], "en", "a"), (102, junk[1], "zz", "a"), (103, junk[2], None, "a"),
+             (104, junk[3], "EN", "a"), (105, _prose_of(rng, "fr", 1000), "en", "a"), (106, _prose_of(rng, "fr", 1000), "FR", "a")]
     heap = [(200 + i, t, "zz" if i % 2 else None, "a") for i, t in enumerate(junk)]  # with 2000 words each
     heap += [(300 + i, " ".join("q%d" % rng.randrange(10**6) for _ in range(200)) + " " + t, "zz", "a")
              for i, t in enumerate(junk)]
-    for table in (rows, rows + heap):
+    for table in (rows, rows + heap, rows[:5] + rows[20:], rows[20:]):
         kept = {r["doc_id"]: r["kept"] for r in quality.op6(make(table)).collect()}
-        assert kept[100] and not kept[101] and all(kept[i] for i in range(20))
+        assert kept[100] and not any(kept[i] for i in range(101, 106)) and kept[106]
+        assert all(kept[i] for i in range(20) if i in kept)
 
 
 def test_js_distance_bounds():
