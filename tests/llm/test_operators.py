@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 from fractions import Fraction
@@ -363,6 +364,38 @@ def test_op5_other_licenses_in_the_templates(make):
     assert {i: r[0][0] for i, r in got.items()} == {i: label for i, (_, label) in texts.items()}
 
 
+def test_op5_every_block_over_the_threshold(make):
+    """All blocks of all templates against brute force, named or not, at thresholds whose products round up too."""
+    rng = random.Random(5)
+    templates = licenses.TEMPLATES | {"long": [" ".join(f"w{i}" for i in range(20))], "other": ["w1 w1 w2 w30 w31"]}
+    texts = ["", "redistribution and use in source and binary forms with or without modification is ok",
+             "released under the zlib license", "all rights reserved any part of this may be reproduced",
+             "licensed under the apache license version 2", "w0 " * 3 + " ".join(f"w{i}" for i in range(11))]
+    for t in [t for ts in templates.values() for t in ts] * 3:  # words lost, changed and put in between, twice a text
+        w = [x for x in (t + " and so on " + t).split() if rng.random() > 0.1]
+        texts.append(" ".join(x if rng.random() > 0.1 else rng.choice(["zlib", "the", x + " of"]) for x in w))
+    df = make([(i, t) for i, t in enumerate(texts)])
+    for threshold in (0.8, 0.55, 0.28):
+        got = licenses.license_scan(df, templates, threshold).select("doc_id", "labels", "score", "blocks").collect()
+        assert len(got) == len(texts)
+        for doc_id, labels, score, blocks in got:
+            w, want = texts[doc_id].split(), []
+            for label, ts in templates.items():
+                for i, t in enumerate(ts):
+                    tok, n, names = set(t.split()), len(t.split()), set(licenses.NAMES.get(label, "").split())
+                    for k in range(len(w)):
+                        held = tok & set(w[k:k + n])
+                        if len(held) / len(tok) >= threshold:
+                            want.append((label, i, k, len(held) / len(tok), names & tok <= held))
+            assert sorted(tuple(b) for b in blocks) == sorted(want)
+            base = {x for p, x in licenses.BASE.items() if f" {p} " in f" {' '.join(w)} "}
+            assert labels == ",".join(sorted(base | {b[0] for b in want if b[4]}))
+            assert score == (1.0 if base else max((b[3] for b in want if b[4]), default=0.0))
+    got = by_id(licenses.op5(df), "doc_id", "labels", "block_labels", "n_blocks", "block_score")
+    assert got[0] == [("", "", 0, 0.0)] and got[1][0][:2] == ("bsd", "bsd") and got[1][0][3] == 11 / 13
+    assert got[2] == [("", "mit", 1, 0.8)] and got[3][0][:2] == ("", "proprietary") and got[4][0][:2] == ("apache", "apache")
+
+
 # ---------------------------------------------------------------- op6
 
 def test_op6_base_counts(docs):
