@@ -126,7 +126,7 @@ def _levels(slices) -> tuple[int, ...]:
 
 
 def _booking_command_steps(bookings: DataFrame, cmds: DataFrame, slices=SLICE_LEVELS) -> DataFrame:
-    """Every command against an existing booking, with what it did.
+    """Every command against an existing booking, with what it did (``_booking_changes`` has the outcome only).
 
     Per command the fold needs: the latest admin status before it (``la``), the number of owner
     cancels so far (``c``) and how many of them came before that admin command (``bf``).  Over a
@@ -232,14 +232,13 @@ def _booking_command_steps(bookings: DataFrame, cmds: DataFrame, slices=SLICE_LE
         (F.col("_admin") | effective).alias("applied"),
         reason.alias("reason"),
         after.alias("status_after"),
-        effective.alias("_effective_cancel"),
     )
 
 
 def booking_command_outcomes(bookings: DataFrame, cmds: DataFrame, slices=SLICE_LEVELS) -> DataFrame:
     """Per command: applied or refused with a reason.  On an unknown booking a user's cancel gets the
     reply of the source; an administrator's command changes no row and is reported as not found."""
-    steps = _booking_command_steps(bookings, cmds, slices).drop("_effective_cancel")
+    steps = _booking_command_steps(bookings, cmds, slices)
     lost = cmds.join(bookings.select("booking_id"), "booking_id", "left_anti").select(
         "seq", "ts", "booking_id", "actor_id", "command", F.lit(False).alias("applied"),
         F.when(F.col("command") == "user_cancel", F.lit(rules.MSG_CANCEL_NOT_ALLOWED))
@@ -247,23 +246,65 @@ def booking_command_outcomes(bookings: DataFrame, cmds: DataFrame, slices=SLICE_
     return steps.unionByName(lost)
 
 
+# what a command is to the fold of states; others change nothing
+CONFIRM, REFUSE, CANCEL = 1, 2, 3
+
+
+def _booking_changes(bookings: DataFrame, cmds: DataFrame, slices=SLICE_LEVELS) -> DataFrame:
+    """What the log did to each booking it names: its first and last command that counts (an admin's or an owner's
+    cancel), the time of the first, the latest cancel that took effect, whether an admin's command is there.
+
+    An owner's cancel takes effect if the command before it that counts is a confirmation.  So a range of commands is
+    summed up by these values, and two summaries make one: the later's first follows the earlier's last.  They are
+    combined slice by slice, each level dealt once and no value joined back to commands; windows are bounded as in
+    ``_booking_command_steps``."""
+    levels = _levels(slices)
+    key = "booking_id"
+    names = [f"_b{i}" for i in range(len(levels))]
+    c = cmds.join(bookings.select(key, F.col("user_id").alias("_owner")), key)
+    kind = F.when(F.col("command") == "admin_confirm", CONFIRM).when(F.col("command") == "admin_cancel", REFUSE) \
+        .when((F.col("command") == "user_cancel") & (F.col("actor_id") == F.col("_owner")), CANCEL)
+    seconds = _epoch_seconds("ts")
+    parts = c.select(key, "ts", "seq", kind.alias("_first"), kind.alias("_last"), F.col("ts").alias("_at"),
+                     F.lit(None).cast(cmds.schema["ts"].dataType).alias("_done"),
+                     F.coalesce(kind < CANCEL, F.lit(False)).alias("_admin"), F.col("ts").isNotNull().alias("_dated"),
+                     *[F.floor(seconds / w).alias(n) for w, n in zip(levels, names)])
+    # dealt anew, as the join leaves a hot booking in one task
+    parts = parts.repartition(key, names[0])
+    for order, groups in zip([["ts", "seq"], *([n] for n in names)], [names[k:] for k in range(len(names) + 1)]):
+        w = Window.partitionBy(key, *groups[:1]).orderBy(*order)
+        before = F.last("_last", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+        parts = parts.select("*", before.alias("_before"), F.row_number().over(w).alias("_n"))
+        n = F.when(F.col("_first").isNotNull(), F.col("_n"))
+        took = F.when((F.col("_before") == CONFIRM) & (F.col("_first") == CANCEL), F.col("_at"))
+        parts = parts.groupBy(key, *groups).agg(
+            F.min_by("_first", n).alias("_first"), F.max_by("_last", n).alias("_last"), F.min_by("_at", n).alias("_at"),
+            F.max(F.greatest(F.col("_done"), took)).alias("_done"), F.max("_admin").alias("_admin"),
+            F.max("_dated").alias("_dated"))
+    return parts
+
+
 def apply_booking_commands(bookings: DataFrame, cmds: DataFrame, slices=SLICE_LEVELS) -> DataFrame:
     """Bookings after the command log: admin confirm/cancel are unconditional; an owner's cancel
     applies only to a confirmed booking and stamps cancellation_date."""
-    steps = _booking_command_steps(bookings, cmds, slices)
-    final = steps.groupBy("booking_id").agg(
-        F.max_by("status_after", _pos()).alias("_new_status"),
-        F.max(F.when(F.col("_effective_cancel"), F.col("ts"))).alias("_new_cancel_date"),
-    )
     b = bookings if "cancellation_date" in bookings.columns else bookings.withColumn(
         "cancellation_date", F.lit(None).cast("timestamp_ntz"))
-    df = b.join(final, "booking_id", "left")
+    df = b.join(_booking_changes(bookings, cmds, slices), "booking_id", "left")
+    was_confirmed = F.col("status") == "confirmed"
+    status = (
+        F.when(~F.col("_dated"), F.col("status"))  # by commands without a time alone nothing changes
+        .when(F.col("_last") == CONFIRM, "confirmed")
+        .when(F.col("_last") == REFUSE, "cancelled")
+        .when((F.col("_last") == CANCEL) & (F.col("_admin") | was_confirmed), "cancelled")
+        .otherwise(F.col("status"))
+    )
+    done = F.greatest(F.col("_done"), F.when((F.col("_first") == CANCEL) & was_confirmed, F.col("_at")))
     cols = []
     for c in b.columns:
         if c == "status":
-            cols.append(F.coalesce(F.col("_new_status"), F.col("status")).alias("status"))
+            cols.append(status.alias("status"))
         elif c == "cancellation_date":
-            cols.append(F.coalesce(F.col("_new_cancel_date"), F.col("cancellation_date")).alias(c))
+            cols.append(F.coalesce(done, F.col("cancellation_date")).alias(c))
         else:
             cols.append(F.col(c))
     return df.select(*cols)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodgelake.operators import changes as X
 from lodgelake.operators import upkeep
 from lodgelake.plans.registry import query
-from lodgelake.session import checkpoint_dir
+from lodgelake.session import checkpoint_dir, stored
 from lodgelake.sources.months import MonthTable
 from lodgelake.streaming.state import CommandState
 
@@ -124,7 +124,7 @@ def _with_cancellation(v):
 @query("booking_state_by_batches", BOOKINGS_AFTER + " SELECT * FROM after")
 def booking_state_by_batches(v):
     """The command log in three batches of its time, each folded onto a state of changed rows (ST2), read back."""
-    bookings, cmds = _with_cancellation(v), v.booking_commands
+    bookings, cmds = _with_cancellation(v), stored(v.booking_commands)  # read by every batch
     state = CommandState(v.spark, f"{checkpoint_dir(v.spark)}/state-{uuid.uuid4().hex}", bookings.schema, "booking_id")
     state.start(bookings)
     lo, hi = cmds.select(F.min("ts"), F.max("ts")).first()

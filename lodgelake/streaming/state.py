@@ -108,14 +108,17 @@ class CommandState:
 
     def apply(self, batch_id: int, commands: DataFrame, fold: Callable[[DataFrame, DataFrame], DataFrame],
               command_key: str | None = None, compact_every: int = 100, sums: bool = False) -> None:
-        """Folds ``commands`` onto the rows they name and writes the rows that differ.  With ``sums`` what the change
+        """Folds ``commands`` onto the rows they name and writes the rows that differ.  ``fold`` keeps columns that it does
+        not know, so each row is compared with what it was and no second join is needed.  With ``sums`` what the change
         does to the sums per day and status (see upkeep) is written as well."""
         commands = commands.persist()  # read several times
         self.compact(batch_id, compact_every)
         keys = commands.select(command_key or self.key).where(F.col(command_key or self.key).isNotNull())
         old = self.read(batch_id, keys).persist()
-        new = fold(old, commands).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields])
-        changed = new.subtract(old).persist()
+        cols = self.schema.fieldNames()
+        new = fold(old.withColumn("_was", F.struct(*cols)), commands).select(
+            *[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields], "_was")
+        changed = new.where(~F.struct(*cols).eqNullSafe(F.col("_was"))).select(*cols).distinct().persist()
         if sums:  # before the batch is listed, which makes both count
             before = old.join(changed.select(self.key), self.key, "left_semi")
             upkeep.day_status_deltas(before, changed).coalesce(1).write.mode("overwrite") \

@@ -45,6 +45,33 @@ def test_booking_fold_never_windows_a_whole_booking(spark):
         assert not re.match(r"booking_id#\d+L?, ts#", spec), spec
 
 
+def test_booking_fold_deals_each_level_once(spark):
+    """The outcome of the log needs no joins back to commands: one exchange a level, and commands are scanned once."""
+    from lodgelake.operators.changes import apply_booking_commands
+
+    bookings = spark.createDataFrame([], "booking_id long, user_id long, status string")
+    cmds = spark.range(9).selectExpr("id AS seq", "timestamp_ntz '2024-01-01' AS ts", "id AS booking_id",
+                                     "id AS actor_id", "'user_cancel' AS command")
+    p = plan(apply_booking_commands(bookings, cmds))
+    assert len(re.findall(r"\bWindow\b", p)) == 3 and len(re.findall(r"\bRange \(", p)) == 1
+
+
+def test_batches_compare_rows_in_place(spark, views, scratch):
+    """A batch finds the rows it changed without another join of all old and new rows on every column."""
+    from pyspark.sql import functions as F
+
+    from lodgelake.operators.changes import apply_booking_commands
+    from lodgelake.streaming.state import CommandState
+
+    bookings = views.bookings.withColumn("cancellation_date", F.lit(None).cast("timestamp_ntz"))
+    state = CommandState(spark, scratch, bookings.schema, "booking_id")
+    state.start(bookings)
+    seen = []
+    state.write_changes = lambda batch_id, rows: seen.append(plan(rows))
+    state.apply(0, views.booking_commands, apply_booking_commands)
+    assert "LeftAnti" not in seen[0]
+
+
 def _dealt_by(p: str) -> set[str]:
     return {re.sub(r"#\d+L?", "", m) for m in re.findall(r"Exchange hashpartitioning\(([^)]*), \d+\)", p)}
 
