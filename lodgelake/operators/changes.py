@@ -262,12 +262,14 @@ def _booking_changes(bookings: DataFrame, cmds: DataFrame, slices=SLICE_LEVELS)
     key = "booking_id"
     names = [f"_b{i}" for i in range(len(levels))]
     c = cmds.join(bookings.select(key, F.col("user_id").alias("_owner")), key)
-    kind = F.when(F.col("command") == "admin_confirm", CONFIRM).when(F.col("command") == "admin_cancel", REFUSE) \
+    dated = F.col("ts").isNotNull()  # an admin's command without a time has no place in the log
+    kind = F.when(dated & (F.col("command") == "admin_confirm"), CONFIRM) \
+        .when(dated & (F.col("command") == "admin_cancel"), REFUSE) \
         .when((F.col("command") == "user_cancel") & (F.col("actor_id") == F.col("_owner")), CANCEL)
     seconds = _epoch_seconds("ts")
     parts = c.select(key, "ts", "seq", kind.alias("_first"), kind.alias("_last"), F.col("ts").alias("_at"),
                      F.lit(None).cast(cmds.schema["ts"].dataType).alias("_done"),
-                     F.coalesce(kind < CANCEL, F.lit(False)).alias("_admin"), F.col("ts").isNotNull().alias("_dated"),
+                     F.coalesce(kind < CANCEL, F.lit(False)).alias("_admin"), dated.alias("_dated"),
                      *[F.floor(seconds / w).alias(n) for w, n in zip(levels, names)])
     # dealt anew, as the join leaves a hot booking in one task
     parts = parts.repartition(key, names[0])

@@ -61,6 +61,20 @@ def test_booking_fold_null_actor_and_unknown_booking(spark):
     assert out == {1: (True, None), 2: (False, refused), 3: (False, refused), 4: (False, "booking not found")}
 
 
+def test_booking_fold_commands_without_a_time(spark):
+    """An admin's changes nothing; an owner's cancel counts as an early one, and shows with a later command."""
+    bookings = spark.createDataFrame([(i, 7, "confirmed") for i in range(5)], "booking_id long, user_id long, status string")
+    cmds = spark.createDataFrame(
+        [(1, None, 0, 7, "admin_cancel"), (2, _t(0), 0, 8, "user_cancel"), (3, None, 1, 7, "user_cancel"),
+         (4, None, 2, 7, "user_cancel"), (5, _t(1), 2, 7, "user_cancel"), (6, None, 3, 7, "user_cancel"),
+         (7, _t(2), 3, 1, "admin_confirm"), (8, _t(3), 3, 7, "user_cancel"), (9, None, 4, 7, "admin_cancel"),
+         (10, _t(4), 4, 7, "user_cancel")],
+        "seq long, ts timestamp_ntz, booking_id long, actor_id long, command string")
+    got = {r.booking_id: (r.status, r.cancellation_date) for r in X.apply_booking_commands(bookings, cmds).collect()}
+    assert got == {0: ("confirmed", None), 1: ("confirmed", None), 2: ("cancelled", None), 3: ("cancelled", _t(3)),
+                   4: ("cancelled", _t(4))}
+
+
 def test_account_fold_equals_replay(spark):
     import random
     rng = random.Random(5)
